@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelode.llm import chat_format, decontam, language_id, license_scan, quality_rules, sharding, simhash, toxicity
+from corelode.llm import chat_format, decontam, language_id, license_scan, lm_score, quality_rules, sentencepiece_codec, sharding, simhash, toxicity
 from corelode.llm.common import table
 from corelode.llm.oracles import ORACLES
 
+#: The vocabulary file; a parameter of the query.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
@@ -33,6 +36,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str, model_path: str = TOKENIZER) -> DataFrame:
+    return sentencepiece_codec.encode_texts(table(spark, sf_dir, "documents"), model_path)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -49,6 +56,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_score.score_documents(docs, lm_score.learn(table(spark, sf_dir, "conversations"), docs))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.identify(docs, language_id.learn(docs))

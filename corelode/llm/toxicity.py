@@ -1,7 +1,7 @@
 r"""Toxicity by cumulative-link ordinal regression.
 
 A document's grade y in 0..K-1 has P(y <= k) = sigmoid(threshold_k - w.x): one weight vector for all ordered thresholds. x holds
-sqrt(count / words) of the vocabulary's features: words (lower-cased A-Z, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) and their first
+min(1, 10 sqrt(count / words)) of the vocabulary's features: words (lower-cased A-Z, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) and their first
 6 and 8 bytes. The vocabulary is the `features` most associated with grades over zero among the training rows.
 
 Training takes at most `most_rows` labelled rows, the first in the order of a hash of their ids. Labels say toxic or not; among
@@ -29,7 +29,7 @@ from corelode.llm.common import ALNUM, durable
 
 MOST_ROWS = 20_000
 FEATURES = 4096
-THRESHOLD = 0.5
+THRESHOLD = 0.3
 PREFIXES = (6, 8)
 _FLUSH = 200_000
 
@@ -64,7 +64,7 @@ class OrdinalModel:
             for k in PREFIXES:
                 if len(w) > k and (i := get(b" %d " % k + w[:k])) is not None:
                     found[i] += c
-        return [*found], [(c / n) ** 0.5 for c in found.values()], n
+        return [*found], [min(1.0, 10 * (c / n) ** 0.5) for c in found.values()], n
 
     def above(self, text: bytes | None) -> np.ndarray:
         """P(y >= k) for k = 1, 2, ..."""
@@ -74,7 +74,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[i] @ np.array(x), -50, 50)))
 
 
-def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, ridge: float = 1e-3, steps: int = 400, rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+def fit(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grades: np.ndarray, width: int, ridge: float = 3e-4, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds by full-batch Adam on the mean cumulative-link loss. Thresholds are a first value plus
     exponentials, so they stay in order."""
     k, n = int(grades.max()), len(grades)
