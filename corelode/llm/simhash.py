@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corelode.llm.common import durable, pair, slices
@@ -37,25 +38,49 @@ _CHUNK = 1 << 16
 _SHORT = 48
 
 
-def fingerprint(text: bytes | None, size: int = SIZE) -> int:
+def shingle_hashes(text: bytes | None, size: int = SIZE) -> np.ndarray:
+    """XXH64 of each shingle in order; none for a text without words."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype="<u8")
+    digest = xxhash.xxh64_intdigest
     if len(words) <= size:
-        hashes = [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
-    else:
-        line, ends, at = b" ".join(words), [], 0
-        for w in words:
-            at += len(w) + 1
-            ends.append(at - 1)
-        starts = [0, *(e + 1 for e in ends[: -size])]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=True)]
-    all_of_it, n = np.zeros(64, dtype=np.int64), len(hashes)
-    h = np.array(hashes, dtype="<u8")
+        return np.array([digest(b" ".join(words), SEED)], dtype="<u8")
+    line, ends, at = b" ".join(words), [], 0
+    for w in words:
+        at += len(w) + 1
+        ends.append(at - 1)
+    starts = [0, *(e + 1 for e in ends[:-size])]
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[size - 1 :], strict=True)], dtype="<u8")
+
+
+def majority(h: np.ndarray) -> bytes:
+    """The bits that are set in over half of the hashes, the lowest first; 0 of no hashes."""
+    total, n = np.zeros(64, dtype=np.int64), len(h)
     for k in range(0, n, _CHUNK):
-        all_of_it += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(2 * all_of_it > n, bitorder="little").tobytes(), "little")
+        total += np.unpackbits(h[k : k + _CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+    return np.packbits(2 * total > n, bitorder="little").tobytes()
+
+
+def fingerprint(text: bytes | None, size: int = SIZE) -> int:
+    return int.from_bytes(majority(shingle_hashes(text, size)), "little")
+
+
+def mixed(h: np.ndarray, k: int) -> np.ndarray:
+    """Another 64 bits for each hash; k = 0 leaves them."""
+    if not k:
+        return h
+    x = h + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def anchors(h: np.ndarray, many: int) -> list[int]:
+    """The `many` least different hashes."""
+    few = np.partition(h, 4 * many)[: 4 * many] if len(h) > 4 * many else h
+    least = np.unique(few)[:many]
+    return (least if len(least) == many or len(few) == len(h) else np.unique(h)[:many]).astype(np.int64).tolist()
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
@@ -72,11 +97,10 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def planes_of(prints: np.ndarray) -> np.ndarray:
-    """Bit planes: row j holds bit j of every fingerprint, 64 lanes a word."""
-    lanes = -(-len(prints) // 64) * 64
-    padded = np.zeros(lanes, dtype="<u8")
+    """Bit planes: row j holds bit j of every fingerprint (a row of one or more words), 64 lanes a word."""
+    padded = np.zeros((-(-len(prints) // 64) * 64, prints.shape[1]), dtype="<u8")
     padded[: len(prints)] = prints
-    bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(padded.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(np.ascontiguousarray(bits.T), axis=1, bitorder="little").view("<u8")
 
 
@@ -110,7 +134,7 @@ def within(planes: np.ndarray, other, alive: np.ndarray, radius: int, step: int
     """Lanes of `alive` at most `radius` bits from other(j), the words to hold against plane j. Blocks of lanes none of which
     is left are abandoned every `step` planes."""
     at, counter = np.arange(len(alive)), Counter(alive, radius)
-    for j in range(64):
+    for j in range(len(planes)):
         counter.add(planes[j, at] ^ other(j, at))
         if j % step == step - 1:
             left = counter.alive != 0
@@ -161,8 +185,7 @@ def long_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]
         gone = 0
         while queue and gone < len(left):
             q = queue.pop()
-            f = int(prints[q])
-            fill = [~np.uint64(0) if f >> j & 1 else np.uint64(0) for j in range(64)]
+            fill = [~np.uint64(0) if x else np.uint64(0) for x in np.unpackbits(prints[q].view(np.uint8), bitorder="little")]
             near = within(planes, lambda j, k, fill=fill: fill[j], alive, radius)
             if (met := lanes_of(near)).size:
                 alive = alive & ~near
@@ -210,25 +233,40 @@ def file_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.nda
         a, b = long_links(prints[s : s + n], radius)
         out.append((prints[s + a], prints[s + b]))
     if not out:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        return prints[:0], prints[:0]
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def _compare(radius: int, most: int = 1 << 20):
+def _words_of(column) -> np.ndarray:
+    """Fingerprints of a long or binary column, as rows of words."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(zero_copy_only=False).astype("<u8").reshape(-1, 1)
+    raw = b"".join(column.to_pylist())
+    return np.frombuffer(raw, dtype="<u8").reshape(len(column), -1)
+
+
+def _as_column(prints: np.ndarray, kind: pa.DataType) -> pa.Array:
+    if pa.types.is_integer(kind):
+        return pa.array(prints[:, 0].astype(np.int64))
+    return pa.array([x.tobytes() for x in prints], pa.binary())
+
+
+def _compare(radius: int, most: int = 1 << 19):
     """Reads rows sorted by file; runs may span batches."""
 
-    def links(t, k, f):
+    def links(t, k, f, kind):
         run = np.cumsum(np.r_[0, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-        a, b = file_links(f.astype(np.uint64), run, radius)
-        return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], names=["a", "b"])
+        a, b = file_links(f, run, radius)
+        return pa.RecordBatch.from_arrays([_as_column(a, kind), _as_column(b, kind)], names=["a", "b"])
 
     def run(batches):
         held: list[list[np.ndarray]] = [[], [], []]
         rows = 0
         for batch in batches:
-            cols = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k", "fp")]
-            if not len(cols[0]):
+            if not batch.num_rows:
                 continue
+            kind = batch.column("fp").type
+            cols = [*(batch.column(c).to_numpy(zero_copy_only=False) for c in ("t", "k")), _words_of(batch.column("fp"))]
             for h, c in zip(held, cols, strict=True):
                 h.append(c)
             rows += len(cols[0])
@@ -237,10 +275,10 @@ def _compare(radius: int, most: int = 1 << 20):
                 same = (t == t[-1]) & (k == k[-1])
                 cut = len(t) - int(same[::-1].argmin()) if not same.all() else 0
                 if cut:
-                    yield links(t[:cut], k[:cut], f[:cut])
+                    yield links(t[:cut], k[:cut], f[:cut], kind)
                 held, rows = [[t[cut:]], [k[cut:]], [f[cut:]]], len(t) - cut
         if rows:
-            yield links(*(np.concatenate(h) for h in held))
+            yield links(*(np.concatenate(h) for h in held), kind)
 
     return run
 
@@ -291,3 +329,56 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, fingerprint, component_id) for each row."""
     prints = durable(fingerprints(df, id_col, text_col, size))
     return prints.join(grouped(prints, id_col, radius, split_rows), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# Near copies: five-word shingles, similarity 0.8 or more -------------------------------------------------------------
+
+WIDTH = 4
+#: Of 256 bits. Shingle sets of Jaccard similarity s (cosine c = 2s / (1 + s)) differ in arccos(c) / pi of all bits on average: 39 at
+#: 0.8, 49 at 0.7, 59 at 0.6; three more allow for chance.
+WIDE_RADIUS = 42
+COPY_SIZE = 5
+ANCHORS = 4
+
+
+def _wide_prints(size: int, many: int):
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                hashes = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
+                wide = [b"".join(majority(mixed(h, k)) for k in range(WIDTH)) for h in hashes]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(wide, pa.binary()), pa.array([anchors(h, many) if len(h) else [0] for h in hashes], pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "anchors"])
+
+    return run
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SIZE, radius: int = WIDE_RADIUS, many: int = ANCHORS, split_rows: int = SPLIT_ROWS) -> DataFrame:
+    """One row, that of the least id, of each group of near copies; all columns as they were.
+
+    Fingerprints have 256 bits here and documents are filed under their `many` least shingle hashes: two with similarity s
+    share one in about 1 - (1 - s) ** many of all cases (0.998 at 0.8). Files are compared bit-sliced as above, links join
+    groups, and the least (id, text hash) of each group stays; of equal rows one. A crowded file is filed again by blocks of
+    bits of which one must agree."""
+    kind, names = docs.schema[id_col].dataType.simpleString(), docs.columns
+    keyed = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    i, t = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
+    keyed = keyed.withColumn("h", F.xxhash64(t))
+    prints = keyed.select(i.alias("doc_id"), "h", t.cast("binary").alias("text")).mapInArrow(_wide_prints(size, many), f"doc_id {kind}, h long, fp binary, anchors array<long>")
+    groups = durable(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.min("anchors").alias("anchors")))
+    rows = groups.select("fp", F.lit(-1).alias("t"), F.explode("anchors").alias("k"))
+    crowded = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows).select("k", F.lit(True).alias("crowded"))
+    rows = rows.join(crowded, "k", "left")
+    parts = [F.struct(F.lit(p).alias("t"), F.xxhash64("k", F.substring(bits_of("fp"), low + 1, width)).alias("k")) for p, (low, width) in enumerate(_cuts(64 * WIDTH, radius + 1))]
+    rows = rows.select("fp", F.explode(F.when(F.col("crowded"), F.array(*parts)).otherwise(F.array(F.struct("t", "k")))).alias("f")).select("fp", "f.t", "f.k")
+    links = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(_compare(radius), "a binary, b binary")
+    root = least_member(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
+    best = groups.select("fp", "best").join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+    best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
+    kept = keyed.join(best, i.eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "inner")
+    first = F.row_number().over(W.partitionBy("__id", "__h").orderBy("h"))
+    return kept.withColumn("__n", first).where("__n = 1").select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
+
+
+def bits_of(name: str):
+    """The bits of a binary column as text of 0 and 1."""
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * WIDTH - 1)), lambda k: F.lpad(F.conv(F.substring(F.hex(name), k * 4 + 1, F.lit(4)), 16, 2), 16, "0")), "")
