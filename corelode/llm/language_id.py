@@ -31,7 +31,7 @@ MOST_LANGUAGES = 3
 PENALTY = 8.0
 ROUNDS = 10
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
-_CELLS_AT_ONCE = 4 << 20
+_CELLS_AT_ONCE = 1 << 20
 
 
 def grams(line: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 def _most(model: LanguageModel) -> int:
     """Bytes of text whose words x languages matrices take some tens of MB."""
-    return max(1 << 16, (16 << 20) // max(4, len(model.names)))
+    return max(1 << 16, (4 << 20) // max(4, len(model.names)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
