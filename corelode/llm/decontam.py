@@ -192,7 +192,9 @@ def blocks(items: DataFrame, id_col: str, text_col: str, window: int, block_word
     yield held
 
 
-def _pass(shared, keep_text: bool):
+def _pass(shared, drop: tuple[str, ...] = (), after=None):
+    """Adds a block's hits to n_words, spans and items; `after` then works on each batch, in the same worker."""
+
     def run(batches):
         a: SuffixAutomaton = shared.value
         get = a.numbers.get
@@ -214,28 +216,29 @@ def _pass(shared, keep_text: bool):
                     old = [list(x) for x in zip(spans[d][::2], spans[d][1::2], strict=True)]
                     spans[d] = [x for s in merged(old, new) for x in s]
                     names[d] = sorted({*names[d], *(x for x in found if x is not None)})
-                out = [*(b.column(c) for c in b.schema.names if c not in ("spans", "items", "n_words") and (keep_text or c != "text")), pa.array(many, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
-                yield pa.RecordBatch.from_arrays(out, names=[*(c for c in b.schema.names if c not in ("spans", "items", "n_words") and (keep_text or c != "text")), "n_words", "spans", "items"])
+                kept = [c for c in b.schema.names if c not in ("spans", "items", "n_words", *drop)]
+                out = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(many, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=[*kept, "n_words", "spans", "items"])
+                yield after(out) if after else out
 
     return run
 
 
-def _swept(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int, keep_text: bool) -> DataFrame:
-    """rows (with a binary `text`) plus n_words, spans and items, by a pass for each block of items."""
+def _swept(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int, drop: tuple[str, ...], after=None, schema=None) -> DataFrame:
+    """rows (with a binary `text`) plus n_words, spans and items, by a pass for each block of items; the last pass ends with `drop`
+    and `after`."""
     sc = rows.sparkSession.sparkContext
     rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
     ready = None
     for a in blocks(items, item_id, item_text, window, block_words):
         if ready is not None:
-            rows = rows.mapInArrow(_pass(ready, True), rows.schema)
+            rows = rows.mapInArrow(_pass(ready), rows.schema)
         ready = sc.broadcast(a)
-    schema = rows.schema if keep_text else T.StructType([f for f in rows.schema if f.name != "text"])
-    return rows.mapInArrow(_pass(ready, keep_text), schema)
+    return rows.mapInArrow(_pass(ready, drop, after), schema or T.StructType([f for f in rows.schema if f.name not in drop]))
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, spans, items): spans are [start, end, start, end, ...] in words, items the names in order."""
-    found = _swept(pair(docs, id_col, text_col), items, item_id, item_text, window, block_words, False)
+    found = _swept(pair(docs, id_col, text_col), items, item_id, item_text, window, block_words, ("text",))
     spans = F.col("spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
@@ -256,26 +259,25 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
     columns stay; `count_col`, if there, follows the new text."""
     names = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("binary").alias("text"))
-    found = _swept(inner, items, item_id, item_text, window, block_words, True)
     k, n = f"c{names.index(text_col)}", f"c{names.index(count_col)}" if count_col in names else None
-    schema = T.StructType([f for f in found.schema if f.name not in ("text", "n_words", "spans", "items")])
-
-    def clean(batches):
-        for b in batches:
-            cols = {c: b.column(c) for c in schema.names}
-            spans, words = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
-            hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-            if any(hit):
-                texts, size = b.column(k).to_pylist(), b.column(n).to_pylist() if n else None
-                for i, s in enumerate(spans):
-                    if s:
-                        texts[i] = cut(texts[i].encode(), s).decode()
-                        if n:
-                            size[i] = len(texts[i])
-                cols[k] = pa.array(texts, pa.string())
-                if n:
-                    cols[n] = pa.array(size, b.schema.field(n).type)
-            kept = pa.array([h <= max_coverage * w or not h for h, w in zip(hit, words, strict=True)], pa.bool_())
-            yield pa.RecordBatch.from_arrays([*cols.values()], names=[*cols]).filter(kept)
-
-    return found.mapInArrow(clean, schema).toDF(*names)
+    own = [f"c{i}" for i in range(len(names))]
+
+    def clean(b):
+        cols = {c: b.column(c) for c in own}
+        spans, words = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
+        hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
+        if any(hit):
+            texts, size = b.column(k).to_pylist(), b.column(n).to_pylist() if n else None
+            for i, s in enumerate(spans):
+                if s:
+                    texts[i] = cut(texts[i].encode(), s).decode()
+                    if n:
+                        size[i] = len(texts[i])
+            cols[k] = pa.array(texts, pa.string())
+            if n:
+                cols[n] = pa.array(size, b.schema.field(n).type)
+        kept = pa.array([h <= max_coverage * w or not h for h, w in zip(hit, words, strict=True)], pa.bool_())
+        return pa.RecordBatch.from_arrays([*cols.values()], names=own).filter(kept)
+
+    schema = T.StructType([f for f in inner.schema if f.name != "text"])
+    return _swept(inner, items, item_id, item_text, window, block_words, ("text",), clean, schema).toDF(*names)

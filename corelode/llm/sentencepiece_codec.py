@@ -34,7 +34,7 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are kept with their ids; the whole store is emptied at this size.
-_KEPT = 400_000
+_KEPT = 250_000
 _CELLS = 1 << 21
 
 
