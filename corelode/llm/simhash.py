@@ -150,24 +150,18 @@ def within(planes: np.ndarray, other, alive: np.ndarray, radius: int, step: int
 
 def short_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in one run within the radius: for each offset d all pairs (i, i + d) are compared at once."""
-    found, d = [], 1
-    at = np.arange(len(prints))
-    while len(at) > d:
-        same = run[at[:-d]] == run[at[d:]]
-        if not same.any():
-            break
-        # rows of runs with more than d rows only
-        keep = np.zeros(len(at), dtype=bool)
-        keep[:-d] |= same
-        keep[d:] |= same
-        at = at[keep]
+    found = []
+    start = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+    size = np.diff(np.r_[start, len(run)])
+    per_row, at = np.repeat(size, size), np.arange(len(prints))
+    for d in range(1, int(size.max())):
+        at = at[per_row[at] > d]  # whole runs stay or go, so offsets hold
         same = run[at[:-d]] == run[at[d:]]
         p, q = planes_of(prints[at[:-d]]), planes_of(prints[at[d:]])
         alive = np.zeros(p.shape[1] * 64, dtype=np.uint8)
         alive[: len(same)] = same
         met = lanes_of(within(p, lambda j, k, q=q: q[j, k], np.packbits(alive, bitorder="little").view("<u8"), radius))
         found.append((at[:-d][met], at[d:][met]))
-        d += 1
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
@@ -293,6 +287,11 @@ def _bits(fp: Column, low: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Files sorted, over as many tasks as the session asks for: they are small in bytes but not in work, so they aren't to be coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "k").sortWithinPartitions("t", "k", "fp")
+
+
 def linked(prints: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(a, b): links that join the distinct fingerprints of (fp) as all pairs within the radius would."""
     fp, blocks = F.col("fp"), _cuts(64, radius + 2)
@@ -313,7 +312,7 @@ def linked(prints: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROWS
                 again.append(F.when(F.col("t") == t, F.struct(F.lit(1000 * (t + 1) + p).alias("t"), F.xxhash64("k", fp.bitwiseAND(F.lit(signed))).alias("k"))))
         finer = F.filter(F.array(*again), lambda x: x.isNotNull())
         rows = rows.select("fp", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array(F.struct(F.col("t"), F.col("k"))))).alias("f")).select("fp", "f.t", "f.k")
-    rows = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp")
+    rows = _dealt(rows)
     return rows.mapInArrow(_compare(radius), "a long, b long")
 
 
@@ -370,7 +369,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = rows.join(crowded, "k", "left")
     parts = [F.struct(F.lit(p).alias("t"), F.xxhash64("k", F.substring(bits_of("fp"), low + 1, width)).alias("k")) for p, (low, width) in enumerate(_cuts(64 * WIDTH, radius + 1))]
     rows = rows.select("fp", F.explode(F.when(F.col("crowded"), F.array(*parts)).otherwise(F.array(F.struct("t", "k")))).alias("f")).select("fp", "f.t", "f.k")
-    links = rows.repartition("t", "k").sortWithinPartitions("t", "k", "fp").mapInArrow(_compare(radius), "a binary, b binary")
+    links = _dealt(rows).mapInArrow(_compare(radius), "a binary, b binary")
     root = least_member(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
     best = groups.select("fp", "best").join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
