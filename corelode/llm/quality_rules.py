@@ -87,8 +87,7 @@ def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     windows = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[at(i, k) for k in range(WINDOW)]))
     d = d.withColumn("__hashes", F.when(F.size(words) > WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
     hashes, lines = F.col("__hashes"), F.col("__lines")
-    return d.select(
-        F.col(id_col),
+    figures = F.struct(
         F.size(words).cast("long").alias("n_words"),
         F.length(F.regexp_replace(text, _SPACE, "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
@@ -97,6 +96,8 @@ def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.size(lines).cast("long").alias("n_lines"),
         F.size(F.filter(words, lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
+    # A generator of one row: filters above it aren't pushed below, where the optimizer would repeat all of this for each use of a figure.
+    return d.select(F.col(id_col), F.explode(F.array(figures)).alias("__f")).select(F.col(id_col), "__f.*")
 
 
 def compiled(rules=RULES) -> dict[str, Column]:
