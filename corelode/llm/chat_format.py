@@ -4,9 +4,10 @@ A turn is written ``<turn ROLE>\nTEXT</turn>\n``, ROLE percent-encoded. In TEXT
 ``</turn`` get a backslash after ``<``: no control string is left in it, and dropping the first of each backslash pair
 (``\x`` -> ``x``) gives the text back.
 
-Windows: turn tokens are counted, their prefix sums choose spans of whole turns: span k holds the turns whose tokens, with
-all before them, end in ((k - 1) * fresh, k * fresh], where ``fresh = budget - system_budget - history``. A window is the
-conversation's system turn, up to ``history_turns`` turns before the span that fit into ``history`` tokens (closest first, no
+Windows: turn tokens are counted, their prefix sums choose spans of whole turns: with ``fresh = budget - system_budget - history``
+the sums are cut at multiples of fresh; turns that lie between two cuts form a span, and a turn that crosses a cut is a span
+alone. So no span of several turns exceeds fresh, and no turn waits for the choice of another's span. A window is the
+conversation's system turn (`system_budget` is set aside for it), up to ``history_turns`` turns before the span that fit into ``history`` tokens (closest first, no
 gaps), and the span. The loss mask holds the assistant texts of the span; repeated ones are masked out, so each is
 learned once. A turn over the budget isn't cut: its window is longer.
 
@@ -59,7 +60,7 @@ def format_chats(df: DataFrame, budget: int = 1024, system_budget: int = 128, hi
     by = W.partitionBy("conv_id", "block").orderBy("turn", "role", "said")
     up_to = by.rowsBetween(W.unboundedPreceding, 0)
     turns = turns.select("*", F.sum(F.when(F.col("old"), 0).otherwise(F.col("tokens"))).over(up_to).alias("new_sum"), F.sum("tokens").over(up_to).alias("all_sum"), F.row_number().over(by).alias("k"))
-    turns = turns.withColumn("span", F.when(F.col("old"), F.lit(-1)).otherwise(F.floor((F.col("new_sum") - 1) / fresh)).cast("long"))
+    turns = turns.withColumn("span", F.when(F.col("old"), F.lit(-1)).otherwise(F.floor((F.col("new_sum") - F.col("tokens")) / fresh) + F.floor((F.col("new_sum") - 1) / fresh)).cast("long"))
 
     # Each turn also goes, as history, to the next span in its block: that of the first later turn with another span, if it
     # is near enough in turns and tokens.

@@ -175,7 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return few.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>").withColumnRenamed("doc_id", id_col)
 
 
-def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.4) -> DataFrame:
+def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.2) -> DataFrame:
     """docs without the rows whose language isn't known or has a share under `least_share`; all columns as they were."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))

@@ -103,7 +103,7 @@ def evaluate(expression: str) -> set[str] | None:
             right, left = stack.pop(), stack.pop()
             if t == "with" and (left[1] or right[1]):  # it joins two identifiers, not expressions
                 return None
-            stack.append((left[0] | ({"exception"} if t == "with" else right[0]), t != "with"))
+            stack.append((left[0] | ({"exception"} if t == "with" else right[0]), True))
         else:
             stack.append(({family(t) or "other"}, False))
     return stack[0][0]
