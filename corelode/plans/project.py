@@ -38,10 +38,15 @@ class State:
             raise AttributeError(name) from None
 
 
-def _gate(state: State, force: bool) -> None:
-    bad = state.issues.where("severity = 'ERROR'").select("check", "source", "count").collect()
+def _settle(state: State, new: DataFrame, force: bool, known: list | None = None) -> list:
+    """Issues are a row for each check and source: they are computed once and kept as rows. Errors stop the run unless it is forced."""
+    rows = new.collect()
+    bad = [r for r in rows if r["severity"] == "ERROR"]
     if bad and not force:
         raise ValidationFailed("; ".join(f"{r['source']}: {r['check']} ({r['count']})" for r in bad))
+    rows = [*(known or []), *rows]
+    state.issues = new.sparkSession.createDataFrame(rows, ISSUES)
+    return rows
 
 
 def stage_load(spark: SparkSession, cfg: Config) -> State:
@@ -93,12 +98,15 @@ def stage_geometry(state: State) -> State:
         if cfg.mass.prior_testwork_core == "available":
             rows = rows.withColumn("prior_testwork", F.lit(False))
     state.tables |= {"intervals": rows, "blocks": model}
-    found = [checks.placed_checks(rows), checks.extent_check(rows, cfg.block_model_options.off_model_error_fraction), checks.direction_checks(geometry.hole_ends(rows))]
-    for i in found:
-        state.issues = state.issues.unionByName(i)
     return state
 
 
+def geometry_issues(state: State) -> DataFrame:
+    rows = state.tables["intervals"]
+    found = checks.placed_checks(rows).unionByName(checks.extent_check(rows, state.cfg.block_model_options.off_model_error_fraction))
+    return found.unionByName(checks.direction_checks(geometry.hole_ends(rows)))
+
+
 def window_rules(cfg: Config) -> windows.WindowRules:
     c, bins = cfg.compositing, _labels(cfg, "intervals")
     parts = [p for p in bins["parts"] if p != "grade_bin"]
@@ -160,7 +168,7 @@ def run(spark: SparkSession, cfg: Config, through: str = "select", force: bool =
     if through not in STAGES:
         raise ValueError(f"no stage {through}")
     state = stage_load(spark, cfg)
-    _gate(state, force)
+    known = _settle(state, state.issues, force)
     key = digest(cfg.model_dump_json() + __version__ + "".join(sorted(f for t in state.data.tables.values() for f in t.inputFiles()))) if cache else ""
     for name, stage in (("geometry", stage_geometry), ("candidates", stage_candidates), ("allocate", stage_allocate), ("select", stage_select)):
         if STAGES.index(name) > STAGES.index(through):
@@ -172,7 +180,9 @@ def run(spark: SparkSession, cfg: Config, through: str = "select", force: bool =
                 if before.get(k) is not t:
                     state.tables[k] = _kept(spark, t, f"{cache}/{key}/{name}/{k}")
         if name == "geometry":
-            _gate(state, force)
+            if not cache:  # all later stages read the intervals
+                state.tables["intervals"] = state.tables["intervals"].persist()
+            _settle(state, geometry_issues(state), force, known)
     return state
 
 
@@ -189,10 +199,12 @@ def _kept(spark: SparkSession, t: DataFrame, path: str) -> DataFrame:
 def validate(spark: SparkSession, cfg: Config) -> DataFrame:
     """All issues; geometry is left out, and that told, where loading met errors."""
     state = stage_load(spark, cfg)
-    if state.issues.where("severity = 'ERROR'").limit(1).count():
+    known = _settle(state, state.issues, True)
+    if any(r["severity"] == "ERROR" for r in known):
         skipped = spark.createDataFrame([("INFO", "geometry_checks_skipped", "geometry", None, 1, "loading met errors", {})], ISSUES)
         return checks.ordered(state.issues.unionByName(skipped))
-    return checks.ordered(stage_geometry(state).issues)
+    _settle(state, geometry_issues(stage_geometry(state)), True, known)
+    return checks.ordered(state.issues)
 
 
 __all__ = ["FROM", "GAPS", "TO", "State", "ValidationFailed", "run", "validate"]
