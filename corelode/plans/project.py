@@ -82,9 +82,15 @@ def stage_geometry(state: State) -> State:
     else:
         rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged)
         rows = geometry.with_coordinates(rows, geometry.traces(t["collar"], t["survey"], cfg.fill_collar_survey))
+    rows = rows.withColumn("is_planned", F.lit(False))
+    if "planned_collar" in t:
+        rows = rows.unionByName(_planned(t, cfg), allowMissingColumns=True)
     model = blocks.label_rows(t["block_model"], **_labels(cfg, "blocks"))
     carry = ["period", "bm_density", *(c for c in model.columns if c.startswith(("bm_attr_", "bm_elem_")))]
     rows = blocks.nearest_block(rows, model.withColumnRenamed("density", "bm_density"), carry)
+    if cfg.block_model_options.planned_grade_source == "block_model":
+        grades = [(element(k), block_element(k)) for k, e in cfg.elements.items() if e.drillhole and e.block_model]
+        rows = rows.withColumns({a: F.when(F.col("is_planned"), F.coalesce(a, b)).otherwise(F.col(a)) for a, b in grades})
     pairs = [(hole_attribute(r), block_attribute(r)) for r in roles if hole_attribute(r) in rows.columns and block_attribute(r) in rows.columns]
     if m := cfg.domaining.domain_match_attribute:
         pairs.append(("geomet_domain", block_attribute(m)))
@@ -101,6 +107,14 @@ def stage_geometry(state: State) -> State:
     return state
 
 
+def _planned(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
+    """Planned holes in whole steps along their traces."""
+    steps = intervals.discretise(t["planned_collar"], cfg.block_model_options.planned_discretisation_m)
+    placed = geometry.with_coordinates(steps, geometry.traces(t["planned_collar"], t["planned_survey"], cfg.fill_collar_survey))
+    name = F.concat(F.col(HOLE), F.lit("_"), F.format_string("%.2f", F.col(FROM)))
+    return placed.withColumns({"sample_id": name, "parent_sample_id": name, "interval_id": name, "is_planned": F.lit(True)})
+
+
 def geometry_issues(state: State) -> DataFrame:
     rows = state.tables["intervals"]
     found = checks.placed_checks(rows).unionByName(checks.extent_check(rows, state.cfg.block_model_options.off_model_error_fraction))

@@ -245,7 +245,7 @@ def read_testwork(r: Reader) -> None:
     r.text("test_package", null=True)
 
 
-KINDS = {"collar": read_collar, "survey": read_survey, "assay": _interval, "litho": read_litho, "samples": read_samples, "domain_lookup": read_lookup, "block_model": read_blocks, "availability": read_availability, "existing_testwork": read_testwork}
+KINDS = {"collar": read_collar, "survey": read_survey, "assay": _interval, "litho": read_litho, "samples": read_samples, "domain_lookup": read_lookup, "block_model": read_blocks, "availability": read_availability, "existing_testwork": read_testwork, "planned_collar": read_collar, "planned_survey": read_survey}
 FIRST_OF = {"domain_lookup": "logged_code", "availability": HOLE}
 
 

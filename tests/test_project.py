@@ -70,6 +70,17 @@ def test_other_units_and_names_give_the_same(spark, tiny, tmp_path):
     assert key(other) == key(tiny.tables["selected"].collect())
 
 
+def test_planned_holes(spark, tmp_path):
+    text = project_files.make(tmp_path)
+    (tmp_path / "pc.csv").write_text("h,e,n,z,d\nPLAN1,1003,2001,500,60.4\n", "utf-8")
+    (tmp_path / "ps.csv").write_text("h,d,dip,azi\nPLAN1,0,-90,0\n", "utf-8")
+    more = "  planned_collar: {path: pc.csv, columns: {hole_id: h, east: e, north: n, rl: z, total_depth: d}}\n  planned_survey: {path: ps.csv, columns: {hole_id: h, depth: d, dip: dip, azimuth: azi}}\n"
+    text = text.replace("attributes:\n", more + "attributes:\n", 1) + "block_model_options: {planned_grade_source: block_model}\n"
+    state = project.stage_geometry(project.stage_load(spark, parse_config(text, str(tmp_path))))
+    rows = state.tables["intervals"].where("is_planned").collect()
+    assert len(rows) == 60 and all(r["elem_Zn"] == r["bm_elem_Zn"] for r in rows) and sum(r["outside_model"] for r in rows) == 5
+
+
 def test_validation_and_gate(spark, tmp_path):
     text = project_files.make(tmp_path)
     with (tmp_path / "assay.csv").open("a", encoding="utf-8", newline="") as f:
