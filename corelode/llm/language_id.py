@@ -81,7 +81,7 @@ class LanguageModel:
         shares = mixture(ll, np.array(many))
         for i, p in zip(good, shares, strict=True):
             order = [int(k) for k in np.argsort(-p, kind="stable") if p[k] > 0]
-            out[i] = ([self.names[k] for k in order], [float(p[k]) for k in order])
+            out[i] = ([self.names[k] for k in order], [min(1.0, float(p[k])) for k in order])
         return out
 
 
