@@ -109,45 +109,47 @@ def lanes_of(words: np.ndarray) -> np.ndarray:
 
 
 class Counter:
-    """Carry-save counters of as many bits as radius needs, per lane, and a mask of lanes that are over it."""
+    """Carry-save counters, per lane and query, that begin so far below their limit that the carry out of the last bit tells
+    the lanes over the radius; those die."""
 
     def __init__(self, alive: np.ndarray, radius: int):
-        self.radius, self.alive = radius, alive
-        self.bits = [np.zeros_like(alive) for _ in range((radius + 1).bit_length())]
+        many = (radius + 1).bit_length()
+        begin = (1 << many) - 1 - radius
+        self.alive = alive
+        self.bits = [np.full_like(alive, ~np.uint64(0) if begin >> k & 1 else np.uint64(0)) for k in range(many)]
 
     def add(self, differ: np.ndarray) -> None:
         carry = differ & self.alive
-        for k, b in enumerate(self.bits):
-            self.bits[k], carry = b ^ carry, b & carry
-        over = self.over() | carry
-        self.alive = self.alive & ~over
-
-    def over(self) -> np.ndarray:
-        """Lanes whose count is radius + 1: counts rise by one and stop there."""
-        met = np.full_like(self.alive, ~np.uint64(0))
-        for k, b in enumerate(self.bits):
-            met &= b if (self.radius + 1) >> k & 1 else ~b
-        return met
+        for b in self.bits:
+            over = b & carry
+            b ^= carry
+            carry = over
+        self.alive &= ~carry
 
 
 def within(planes: np.ndarray, other, alive: np.ndarray, radius: int, step: int = 8) -> np.ndarray:
-    """Lanes of `alive` at most `radius` bits from other(j), the words to hold against plane j. Blocks of lanes none of which
-    is left are abandoned every `step` planes."""
-    at, counter = np.arange(len(alive)), Counter(alive, radius)
+    """For each query the lanes of `alive` (queries x words) at most `radius` bits away; other(j, words) is what plane j is held
+    against. Blocks of lanes none of which is left for any query are abandoned every `step` planes."""
+    at, counter = np.arange(alive.shape[1]), Counter(alive.copy(), radius)
     for j in range(len(planes)):
         counter.add(planes[j, at] ^ other(j, at))
         if j % step == step - 1:
-            left = counter.alive != 0
+            left = counter.alive.any(axis=0)
             if not left.any():
                 return np.zeros_like(alive)
             if 2 * left.sum() < len(at):
                 at = at[left]
-                counter.alive, counter.bits = counter.alive[left], [b[left] for b in counter.bits]
+                counter.alive, counter.bits = counter.alive[:, left], [b[:, left] for b in counter.bits]
     out = np.zeros_like(alive)
-    out[at] = counter.alive
+    out[:, at] = counter.alive
     return out
 
 
+def _mask(lanes: int) -> np.ndarray:
+    """The first `lanes` lanes, in whole words."""
+    return np.packbits(np.r_[np.ones(lanes, np.uint8), np.zeros(-lanes % 64, np.uint8)], bitorder="little").view("<u8")
+
+
 def short_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in one run within the radius: for each offset d all pairs (i, i + d) are compared at once."""
     found = []
@@ -160,41 +162,33 @@ def short_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.nd
         p, q = planes_of(prints[at[:-d]]), planes_of(prints[at[d:]])
         alive = np.zeros(p.shape[1] * 64, dtype=np.uint8)
         alive[: len(same)] = same
-        met = lanes_of(within(p, lambda j, k, q=q: q[j, k], np.packbits(alive, bitorder="little").view("<u8"), radius))
+        met = lanes_of(within(p, lambda j, k, q=q: q[j, k], np.packbits(alive, bitorder="little").view("<u8")[None, :], radius)[0])
         found.append((at[:-d][met], at[d:][met]))
     if not found:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
 
 
-def long_links(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join the positions of one run as all links within the radius would: lanes that are reached leave the planes,
-    then stand against those that are left."""
-    left = np.arange(len(prints))
-    a, b = [], []
-    while len(left) > 1:
-        queue, left = [left[0]], left[1:]
-        planes, alive = planes_of(prints[left]), None
-        alive = np.packbits(np.r_[np.ones(len(left), np.uint8), np.zeros(-len(left) % 64, np.uint8)], bitorder="little").view("<u8")
-        gone = 0
-        while queue and gone < len(left):
-            q = queue.pop()
-            fill = [~np.uint64(0) if x else np.uint64(0) for x in np.unpackbits(prints[q].view(np.uint8), bitorder="little")]
-            near = within(planes, lambda j, k, fill=fill: fill[j], alive, radius)
-            if (met := lanes_of(near)).size:
-                alive = alive & ~near
-                gone += met.size
-                a += [q] * met.size
-                b += left[met].tolist()
-                queue += left[met].tolist()
-                if 2 * gone > len(left):
-                    still = lanes_of(alive)
-                    left = left[still]
-                    planes = planes_of(prints[left])
-                    alive = np.packbits(np.r_[np.ones(len(left), np.uint8), np.zeros(-len(left) % 64, np.uint8)], bitorder="little").view("<u8")
-                    gone = 0
-        left = left[lanes_of(alive)]
-    return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+def run_labels(prints: np.ndarray, radius: int, many: int = 32) -> np.ndarray:
+    """For each position of a run the least one that links within the radius reach. `many` queries at once stand against the lanes
+    that weren't queries yet and aren't in the query's own component: a dense group costs little once its lanes are joined."""
+    n, planes = len(prints), planes_of(prints)
+    label, done = np.arange(n), np.zeros(n, dtype=bool)
+    while True:
+        rest = np.flatnonzero(~done)
+        if not rest.size or (label[rest] == label[rest[0]]).all():
+            return label
+        queries = rest[np.argsort(label[rest], kind="stable")[:many]]
+        done[queries[label[queries] == label[queries[0]]]] = True  # lanes of one component don't ask each other
+        open_ = ~done[None, :] & (label[None, :] != label[queries][:, None])
+        alive = np.packbits(np.pad(open_, ((0, 0), (0, -n % 64))), axis=1, bitorder="little").view("<u8")
+        done[queries] = True
+        bits = np.unpackbits(np.ascontiguousarray(prints[queries]).view(np.uint8), axis=1, bitorder="little")
+        fill = np.where(bits.T[:, :, None] == 1, ~np.uint64(0), np.uint64(0))
+        near = within(planes, lambda j, k, fill=fill: fill[j], alive, radius)
+        row, lane = np.nonzero(np.unpackbits(near.view(np.uint8), axis=1, bitorder="little"))
+        if row.size:
+            label = least_labels(n, label[queries[row]], label[lane])[label]
 
 
 def least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -224,8 +218,9 @@ def file_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.nda
         moved = np.flatnonzero(label != np.arange(len(some)))
         out.append((prints[some[moved]], prints[some[label[moved]]]))
     for s, n in zip(start[size > _SHORT].tolist(), size[size > _SHORT].tolist(), strict=True):
-        a, b = long_links(prints[s : s + n], radius)
-        out.append((prints[s + a], prints[s + b]))
+        label = run_labels(prints[s : s + n], radius)
+        moved = np.flatnonzero(label != np.arange(n))
+        out.append((prints[s + moved], prints[s + label[moved]]))
     if not out:
         return prints[:0], prints[:0]
     return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
