@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corelode.functions.units import compose_label, core_mass, grade_bin
+from corelode.operators.joins import small
 from corelode.schema import attribute, block_attribute, hole_attribute
 
 TOLERANCE = 1e-6
@@ -71,7 +72,7 @@ def label_rows(rows: DataFrame, bin_on: str | None, edges: list[float], labels:
 
 def with_core(rows: DataFrame, availability: DataFrame, diameter: float, fraction: float) -> DataFrame:
     """Availability, core diameter and remaining fraction of the hole; a hole that isn't listed is UNAVAILABLE."""
-    known = availability.select(F.col("hole_id").alias("__hole"), "availability", "core_diameter_mm", "remaining_fraction")
+    known = small(availability.select(F.col("hole_id").alias("__hole"), "availability", "core_diameter_mm", "remaining_fraction"))
     out = rows.join(known, F.col("hole_id") == F.col("__hole"), "left").drop("__hole")
     return out.withColumns({"availability": F.coalesce("availability", F.lit("UNAVAILABLE")), "core_diameter_mm": F.coalesce("core_diameter_mm", F.lit(float(diameter))), "remaining_fraction": F.coalesce("remaining_fraction", F.lit(float(fraction)))})
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corelode.operators.joins import asof_join, split_intervals
+from corelode.operators.joins import asof_join, small, split_intervals
 from corelode.schema import FROM, HOLE, LENGTH, TO, TOLERANCE
 
 
@@ -27,7 +27,7 @@ def logged_at_middle(intervals: DataFrame, litho: DataFrame, carry: tuple[str, .
 
 def domain_of_code(intervals: DataFrame, lookup: DataFrame) -> DataFrame:
     """Left lookup of geomet_domain; codes that aren't there leave null. The first row of a code counts (callers dedupe by file order)."""
-    few = lookup.select(F.col("logged_code").alias("__code"), "geomet_domain")
+    few = small(lookup.select(F.col("logged_code").alias("__code"), "geomet_domain"))  # a shuffle by code would deal all rows to a few tasks
     return intervals.join(few, F.col("logged_code") == F.col("__code"), "left").drop("__code")
 
 

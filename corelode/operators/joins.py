@@ -14,6 +14,15 @@ from pyspark.sql import functions as F
 from corelode.schema import FROM, HOLE, TO, TOLERANCE
 
 
+#: Rows up to which a lookup table is sent to all executors.
+SMALL = 100_000
+
+
+def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
+    """rows with a broadcast hint if they are `most` at most, which a count that stops beyond it tells; else as they are, and a join shuffles."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
+
+
 def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: Column, right_on: Column, carry: list[str], tie: list[Column] = (), into: str = "asof") -> DataFrame:
     """left plus a struct `into` of the `carry` columns of the last right row with the same key whose position isn't over that of the left row; of
     equal positions the last by `tie`. Null where there is none or a position is null."""
@@ -25,7 +34,9 @@ def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: Column, right
     asked = left.select(F.col(by).alias("__by"), left_on.alias("__at"), F.lit(1).alias("__side"), *blank, kept.alias("__left"), F.lit(None).cast(found.schema["__right"].dataType).alias("__right"))
     order = W.partitionBy("__by").orderBy(F.col("__at").asc_nulls_first(), "__side", *(f"__t{i}" for i in range(n))).rowsBetween(W.unboundedPreceding, 0)
     both = found.unionByName(asked).withColumn(into, F.last("__right", ignorenulls=True).over(order))
-    return both.where("__side = 1").select("__left.*", F.when(F.col("__at").isNotNull() & F.col("__by").isNotNull(), F.col(into)).alias(into))
+    # The key comes from the window's own column, so that what follows knows how the rows are dealt and sorts them no more.
+    own = [F.col("__by").alias(c) if c == by else F.col(f"__left.{c}") for c in left.columns]
+    return both.where("__side = 1").select(*own, F.when(F.col("__at").isNotNull() & F.col("__by").isNotNull(), F.col(into)).alias(into))
 
 
 def _buckets(start: Column, end: Column, width: float) -> Column:
