@@ -18,6 +18,7 @@ repeated rows are kept; an empty table gives an empty result; other columns are
 
 from __future__ import annotations
 
+import hashlib
 from itertools import combinations
 
 import numpy as np
@@ -76,13 +77,6 @@ def mixed(h: np.ndarray, k: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def anchors(h: np.ndarray, many: int) -> list[int]:
-    """The `many` least different hashes."""
-    few = np.partition(h, 4 * many)[: 4 * many] if len(h) > 4 * many else h
-    least = np.unique(few)[:many]
-    return (least if len(least) == many or len(few) == len(h) else np.unique(h)[:many]).astype(np.int64).tolist()
-
-
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(id, fp): fp is the fingerprint as a signed long."""
     kind = df.schema[id_col].dataType.simpleString()
@@ -328,11 +322,18 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 # Near copies: five-word shingles, similarity 0.8 or more -------------------------------------------------------------
 
 WIDTH = 4
-#: Of 256 bits. Shingle sets of Jaccard similarity s (cosine c = 2s / (1 + s)) differ in arccos(c) / pi of all bits on average: 39 at
-#: 0.8, 49 at 0.7, 59 at 0.6; three more allow for chance.
-WIDE_RADIUS = 42
+SIMILARITY = 0.8
+#: Of 256 bits, for candidates only. Shingle sets of Jaccard similarity s (cosine c = 2s / (1 + s)) differ in arccos(c) / pi of all bits
+#: on average: 39 at 0.8, with a deviation of 5.7; 68 at 0.5.
+WIDE_RADIUS = 72
 COPY_SIZE = 5
-ANCHORS = 4
+ANCHORS = 8
+#: Members of a candidate component that one task compares with as many others at once.
+BLOCK_ROWS = 4096
+
+
+def shingle_set(text: bytes | None, size: int = COPY_SIZE) -> np.ndarray:
+    return np.unique(shingle_hashes(text, size))
 
 
 def _wide_prints(size: int, many: int):
@@ -340,39 +341,104 @@ def _wide_prints(size: int, many: int):
         for whole in batches:
             for b in slices(whole):
                 hashes = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
+                sets = [np.unique(h) for h in hashes]
+                keys = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
                 wide = [b"".join(majority(mixed(h, k)) for k in range(WIDTH)) for h in hashes]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(wide, pa.binary()), pa.array([anchors(h, many) if len(h) else [0] for h in hashes], pa.list_(pa.int64()))], names=["doc_id", "h", "fp", "anchors"])
+                least = [h[:many].astype(np.int64).tolist() if len(h) else [0] for h in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(wide, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "h", "key", "fp", "anchors"])
+
+    return run
+
+
+def similar_links(sets: list[np.ndarray], least: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
+    """(member, another one with Jaccard similarity of at least `least`): links that join the sets as all such pairs would.
+    Each set in turn is held against all that nothing has reached yet; those it reaches come next."""
+    size = np.array([len(s) for s in sets])
+    flat, number = np.unique(np.concatenate(sets), return_inverse=True)
+    marked = np.zeros(len(flat), dtype=bool)
+    start = np.cumsum(size) - size
+    rest, reached, found = np.arange(len(sets)), [], []
+    tokens, own, begin = number, size, start  # of the rest
+    while rest.size:
+        if reached:
+            q = reached.pop()
+        else:
+            q, gone = rest[0], len(tokens) if len(rest) == 1 else begin[1]
+            rest, tokens, own = rest[1:], tokens[gone:], own[1:]
+            begin = np.cumsum(own) - own
+        if not rest.size:
+            break
+        mine = number[start[q] : start[q] + size[q]]
+        marked[mine] = True
+        both = np.add.reduceat(marked[tokens].astype(np.int64), begin)
+        marked[mine] = False
+        near = both >= least * (size[q] + own - both) - 1e-9
+        if near.any():
+            found += [(i, q) for i in rest[near].tolist()]
+            reached += rest[near].tolist()
+            tokens, rest, own = tokens[np.repeat(~near, own)], rest[~near], own[~near]
+            begin = np.cumsum(own) - own
+    pairs = np.array(found, dtype=np.int64).reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _verify(size: int, least: float):
+    """Reads (root, i, j, key, text) sorted by (root, i, j); such files may span batches."""
+
+    def links(keys: dict):
+        names = list(keys)
+        a, b = similar_links([keys[k] for k in names], least) if len(names) > 1 else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array([names[x] for x in a], pa.binary()), pa.array([names[x] for x in b], pa.binary())], names=["a", "b"])
+
+    def run(batches):
+        now, held = None, {}
+        for whole in batches:
+            for b in slices(whole):
+                for root, i, j, key, text in zip(*(b.column(c).to_pylist() for c in ("root", "i", "j", "key", "text")), strict=True):
+                    if (root, i, j) != now:
+                        if len(held) > 1:
+                            yield links(held)
+                        now, held = (root, i, j), {}
+                    if key not in held and len(found := shingle_set(text, size)):
+                        held[key] = found
+        if len(held) > 1:
+            yield links(held)
 
     return run
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SIZE, radius: int = WIDE_RADIUS, many: int = ANCHORS, split_rows: int = SPLIT_ROWS) -> DataFrame:
-    """One row, that of the least id, of each group of near copies; all columns as they were.
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = COPY_SIZE, radius: int = WIDE_RADIUS, many: int = ANCHORS, split_rows: int = SPLIT_ROWS, similarity: float = SIMILARITY, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row, that of the least id, of each group of near copies; all columns as they were. Texts are linked if the Jaccard
+    similarity of their sets of shingles is `similarity` or more; links join groups; texts without words are one group.
 
-    Fingerprints have 256 bits here and documents are filed under their `many` least shingle hashes: two with similarity s
-    share one in about 1 - (1 - s) ** many of all cases (0.998 at 0.8). Files are compared bit-sliced as above, links join
-    groups, and the least (id, text hash) of each group stays; of equal rows one. A crowded file is filed again by blocks of
-    bits of which one must agree."""
+    Texts of equal sets (by a digest of 128 bits) are one row. Candidates: fingerprints have 256 bits here and are filed
+    under the `many` least shingle hashes: two sets with similarity s share none in about (1 - s) ** many of all cases (3 in a million at 0.8).
+    Files are compared bit-sliced as above. Verdict: all members of a component of candidates are held against each other by their
+    whole sets. Crowded files and large components are dealt out in blocks, each pair of blocks to a file of its own. Of each group the least (id, text hash) stays; of equal rows one."""
     kind, names = docs.schema[id_col].dataType.simpleString(), docs.columns
     keyed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     i, t = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
     keyed = keyed.withColumn("h", F.xxhash64(t))
-    prints = keyed.select(i.alias("doc_id"), "h", t.cast("binary").alias("text")).mapInArrow(_wide_prints(size, many), f"doc_id {kind}, h long, fp binary, anchors array<long>")
-    groups = durable(prints.groupBy("fp").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.min("anchors").alias("anchors")))
+    prints = keyed.select(i.alias("doc_id"), "h", t.cast("binary").alias("text")).mapInArrow(_wide_prints(size, many), f"doc_id {kind}, h long, key binary, fp binary, anchors array<long>")
+    groups = durable(prints.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")))
     rows = groups.select("fp", F.lit(-1).alias("t"), F.explode("anchors").alias("k"))
-    crowded = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows).select("k", F.lit(True).alias("crowded"))
-    rows = rows.join(crowded, "k", "left")
-    parts = [F.struct(F.lit(p).alias("t"), F.xxhash64("k", F.substring(bits_of("fp"), low + 1, width)).alias("k")) for p, (low, width) in enumerate(_cuts(64 * WIDTH, radius + 1))]
-    rows = rows.select("fp", F.explode(F.when(F.col("crowded"), F.array(*parts)).otherwise(F.array(F.struct("t", "k")))).alias("f")).select("fp", "f.t", "f.k")
+    crowded = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows).select("k", F.ceil(F.col("n") / split_rows).cast("int").alias("blocks"))
+    rows = rows.join(crowded, "k", "left").select("fp", "t", "k", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
+    rows = rows.select("fp", "t", F.when(F.col("own").isNull(), F.col("k")).otherwise(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))).alias("k"))
     links = _dealt(rows).mapInArrow(_compare(radius), "a binary, b binary")
     root = least_member(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
-    best = groups.select("fp", "best").join(root, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("best").alias("best"))
+
+    near = groups.select("key", "best", "fp").join(root, "fp", "left").select("key", "best", F.coalesce("root", "fp").alias("root"))
+    blocks = near.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
+    near = near.join(blocks, "root").select("root", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"), "blocks", F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
+    near = near.join(keyed.select(i.alias("id"), "h", t.cast("binary").alias("text")), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    near = near.select("root", "key", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    near = near.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "text")
+    near = near.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "root", "i", "j").sortWithinPartitions("root", "i", "j")
+    same = least_member(near.mapInArrow(_verify(size, similarity), "a binary, b binary")).select(F.col("a").alias("key"), F.col("b").alias("root"))
+
+    best = groups.select("key", "best").join(same, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
     kept = keyed.join(best, i.eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "inner")
     first = F.row_number().over(W.partitionBy("__id", "__h").orderBy("h"))
     return kept.withColumn("__n", first).where("__n = 1").select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
-
-
-def bits_of(name: str):
-    """The bits of a binary column as text of 0 and 1."""
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(4 * WIDTH - 1)), lambda k: F.lpad(F.conv(F.substring(F.hex(name), k * 4 + 1, F.lit(4)), 16, 2), 16, "0")), "")

@@ -161,6 +161,41 @@ def test_near_copies(spark):
         assert sorted((r["doc_id"] for r in kept.collect()), key=str) == sorted([None, 0, 1, 3, 4, 5, 6, 7, 500, 600], key=str)
 
 
+def near_copies(rows, size=5):
+    """rows: (id, text), ids different -> ids that stay; every pair is compared."""
+    sets, root = {}, {}
+    for d, text in rows:
+        w = brute.BLANK_WORDS.findall((text or "").translate(brute.LOWER))
+        sets[d], root[d] = {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set(), d
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    return sorted(d for d in root if find(d) == d)
+
+
+def test_near_copies_are_judged_by_jaccard(spark):
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    rows = []
+    for _ in range(25):
+        base = [word() for _ in range(204)]
+        rows.append(base)
+        for cut in (21, 22, 23, 24, 25, 30, 40):  # similarities from 0.70 to 0.82
+            rows.append(base[:-cut] + [word() for _ in range(cut)])
+    rows = [(i, " ".join(x)) for i, x in enumerate(rows)]
+    for options in ({}, {"block_rows": 3, "split_rows": 5}):
+        kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+        assert sorted(r["doc_id"] for r in kept.collect()) == near_copies(rows)
+
+
 CHATS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi <turn user> \\ there"), (1, 2, "assistant", "a\\</turn>\n<turn assistant>\nb"), (1, 3, "user", None), (1, 4, "assistant", ""), (2, 0, "assistant", "only"),
     (3, 5, None, "x"), (3, 5, None, "x"), (3, 2, "we>ird\nrole", "y"), (None, 1, "user", "z"), (4, 0, "system", "s"),
