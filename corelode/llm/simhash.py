@@ -340,10 +340,9 @@ def _wide_prints(size: int, many: int):
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                hashes = [shingle_hashes(t, size) for t in b.column("text").to_pylist()]
-                sets = [np.unique(h) for h in hashes]
+                sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
                 keys = [hashlib.blake2b(h.tobytes(), digest_size=16).digest() for h in sets]
-                wide = [b"".join(majority(mixed(h, k)) for k in range(WIDTH)) for h in hashes]
+                wide = [b"".join(majority(mixed(h, k)) for k in range(WIDTH)) for h in sets]
                 least = [h[:many].astype(np.int64).tolist() if len(h) else [0] for h in sets]
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h"), pa.array(keys, pa.binary()), pa.array(wide, pa.binary()), pa.array(least, pa.list_(pa.int64()))], names=["doc_id", "h", "key", "fp", "anchors"])
 
@@ -411,7 +410,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row, that of the least id, of each group of near copies; all columns as they were. Texts are linked if the Jaccard
     similarity of their sets of shingles is `similarity` or more; links join groups; texts without words are one group.
 
-    Texts of equal sets (by a digest of 128 bits) are one row. Candidates: fingerprints have 256 bits here and are filed
+    Texts of equal sets (by a digest of 128 bits) are one row. Candidates: fingerprints of the sets have 256 bits here and are filed
     under the `many` least shingle hashes: two sets with similarity s share none in about (1 - s) ** many of all cases (3 in a million at 0.8).
     Files are compared bit-sliced as above. Verdict: all members of a component of candidates are held against each other by their
     whole sets. Crowded files and large components are dealt out in blocks, each pair of blocks to a file of its own. Of each group the least (id, text hash) stays; of equal rows one."""

@@ -196,6 +196,19 @@ def test_near_copies_are_judged_by_jaccard(spark):
         assert sorted(r["doc_id"] for r in kept.collect()) == near_copies(rows)
 
 
+def test_near_copies_count_shingles_once(spark):
+    rng = random.Random(13)
+    words = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    rows = []
+    for k in range(20):
+        line, own = words(24), words(100)
+        rows += [(4 * k, " ".join([line] * 10) + " " + words(44)), (4 * k + 1, " ".join([line] * 10) + " " + words(44))]  # different, but for one line
+        often = words(5)
+        rows += [(4 * k + 2, f"{own} {often}"), (4 * k + 3, f"{own} {' '.join([often] * 10)}")]  # much alike, one line is repeated
+    kept = sorted(r["doc_id"] for r in simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert kept == near_copies(rows) == sorted(i for i in range(80) if i % 4 < 3)
+
+
 CHATS = [
     (1, 0, "system", "be kind"), (1, 1, "user", "hi <turn user> \\ there"), (1, 2, "assistant", "a\\</turn>\n<turn assistant>\nb"), (1, 3, "user", None), (1, 4, "assistant", ""), (2, 0, "assistant", "only"),
     (3, 5, None, "x"), (3, 5, None, "x"), (3, 2, "we>ird\nrole", "y"), (None, 1, "user", "z"), (4, 0, "system", "s"),
