@@ -143,6 +143,21 @@ def test_most_frequent_is_bounded(spark):
     assert lm_score.most_frequent(rows, "bigram", 10_000).count() == 5000
 
 
+def test_lm_models_keep_all_words_and_bigrams(spark):
+    rng = random.Random(14)
+    target = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(400)) for _ in range(60)]
+    background = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(400)) for _ in range(120)]
+    t, b = (spark.createDataFrame(list(enumerate(x)), "doc_id long, text string") for x in (target, background))
+    models = lm_score.learn(t, b)
+    other = spark.createDataFrame([(0, background[0]), (1, target[0]), (2, "new words w1 w1 w2")], "doc_id long, text string")
+    for docs, texts, few in ((b, background, range(0, 120, 40)), (other, [r["text"] for r in other.collect()], range(3))):
+        got = {r["doc_id"]: r for r in lm_score.score_documents(docs, models, chunk_bytes=50_000).collect()}
+        assert len(got) == len(texts)
+        for i in few:
+            wanted = lm_brute(target, background, texts[i])
+            assert got[i]["loss_target"] == pytest.approx(wanted[0], rel=1e-9) and got[i]["loss_background"] == pytest.approx(wanted[1], rel=1e-9)
+
+
 TEXTS = ["", " ", "  two  blanks ", "Hello world", "tab\tand\nline\r\n", "é 漢字 🙂 x", "a" * 50, "$$$$$ &&&&& ### ***", "The the THE", "日本語テキスト", "Ünïcode naïve café", "x" * 3 + " " * 20 + "y", "word " * 5000, None]
 
 
