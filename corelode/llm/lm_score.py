@@ -204,11 +204,12 @@ class MatchedModels:
 
 
 def most_frequent(counted: DataFrame, key: str, bound: int) -> DataFrame:
-    """About the `bound` most frequent keys, never many more: whole bands of frequency, 64 to each power of two, while they fit, then those of the
-    next band whose hash is in the part that is left. No task sorts or gathers the candidates; a count a band reaches the driver."""
-    banded = counted.withColumn("band", F.floor(F.log2(F.col("target") + F.col("background")) * 64).cast("int"))
+    """About the `bound` most frequent keys, never many more: whole frequencies while they fit, then of the next frequency, whose keys
+    are all equally frequent, those whose hash is in the part that is left. learn() doesn't use it: the models keep all keys.
+    No task sorts or gathers the candidates; a count a frequency reaches the driver."""
+    banded = counted.withColumn("band", F.col("target") + F.col("background"))
     sizes = sorted(((r["band"], r["n"]) for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()), reverse=True)
-    left, lowest, part = bound, 1 << 30, 0.0
+    left, lowest, part = bound, 1 << 62, 0.0
     for band, n in sizes:
         if n > left:
             part = left / n
