@@ -2,8 +2,8 @@
 
 Each language has a smoothed distribution over hashed byte trigrams around letters (A-Z lower-cased, other ASCII taken as blanks),
 counted over all training texts. A word's likelihood under a language is that of its trigrams. For each document,
-expectation-maximisation finds the proportions of languages among its words; then sets of the 1, 2, ... `most_languages` largest
-are fitted alone, and the set with the best likelihood less `penalty` * log(words) / 2 for each further language counts.
+expectation-maximisation finds the proportions of languages among its words; then sets of the 1, 2, ... largest, up to all
+learned languages, are fitted alone, and the set with the best likelihood less `penalty` * log(words) / 2 for each further language counts.
 The prediction is its largest part, the score that part's share.
 
 Documents of a slice go through the iterations together as one matrix (words x languages), cut so that memory is bounded.
@@ -27,7 +27,6 @@ from corelode.llm.common import slices
 CELLS = 1 << 16
 UNKNOWN = "und"
 SMOOTHING = 0.5
-MOST_LANGUAGES = 3
 PENALTY = 8.0
 ROUNDS = 10
 _LETTERS = bytes(b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in bytes(range(256)).lower())
@@ -96,7 +95,7 @@ def _em(like: np.ndarray, starts: np.ndarray, many: np.ndarray, share: np.ndarra
     return share, np.add.reduceat(np.log(total.astype(np.float64)), starts)
 
 
-def mixture(ll: np.ndarray, many: np.ndarray, most: int = MOST_LANGUAGES, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
+def mixture(ll: np.ndarray, many: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
     """Shares, documents x languages, of the chosen set. many: words of each document, all positive."""
     top = ll.max(axis=1, keepdims=True)
     like = np.maximum(np.exp(ll - top), np.float32(1e-30))
@@ -108,9 +107,9 @@ def mixture(ll: np.ndarray, many: np.ndarray, most: int = MOST_LANGUAGES, penalt
     best[np.arange(len(many)), alone.argmax(axis=1)] = 1
     value = alone.max(axis=1)
     rank = np.argsort(np.argsort(-share, axis=1, kind="stable"), axis=1)
-    for k in range(2, min(most, langs) + 1):
-        # Only documents where a k-th language has a part at all can gain.
-        some = np.flatnonzero((share >= 0.02).sum(axis=1) >= k)
+    for k in range(2, langs + 1):
+        # Only documents where a k-th language has a part at all, half a word or more, can gain.
+        some = np.flatnonzero((share * many[:, None] >= 0.5).sum(axis=1) >= k)
         if not some.size:
             break
         rows = np.repeat(np.isin(np.arange(len(many)), some), many)

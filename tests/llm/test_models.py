@@ -49,6 +49,18 @@ def test_language_inputs_are_texts_only(spark, talk):
     assert {x for x in a} == {x for x in b if x in set(a)}
 
 
+def test_text_in_all_languages(spark):
+    rng = random.Random(15)
+    parts = {**SYLLABLES, "dd": "zyx wq jj vv".split(), "ee": "ooh ihi uhu".split()}
+    say = lambda lang, n: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(n))
+    rows = [(i, say(lang := list(parts)[i % 5], 40), lang) for i in range(200)]
+    rows += [(1000, " ".join(say(x, 60) for x in parts), None), (1001, " ".join([say("aa", 600), say("bb", 8)]), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in language_id.identify(docs, language_id.learn(docs)).where("doc_id >= 1000").collect()}
+    assert set(got[1000]["languages"]) == set(parts) and all(abs(x - 0.2) < 0.05 for x in got[1000]["shares"])
+    assert got[1001]["languages"] == ["aa", "bb"] and abs(got[1001]["shares"][1] - 8 / 608) < 0.005
+
+
 def test_no_languages(spark, talk):
     none = talk.limit(0)
     assert language_id.identify(none, language_id.learn(none)).count() == 0
