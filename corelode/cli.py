@@ -8,6 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from corelode.config import load_config
+from corelode.operators import checks
 from corelode.plans import project, report
 from corelode.sources import infer
 
@@ -42,16 +43,28 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     if a.command == "validate":
         issues = project.validate(spark, cfg).cache()
         report.write_csv({"validation_report": report.present(issues)}, out)
-        return int(issues.where("severity = 'ERROR'").count() > 0 and not a.force)
+        failed = issues.where("severity = 'ERROR'").count() > 0 and not a.force
+        issues.unpersist()
+        return int(failed)
     stage, table = SHOWS.get(a.command, ("select", ""))
-    state = project.run(spark, cfg, stage, a.force, a.cache)
+    try:
+        state = project.run(spark, cfg, stage, a.force, a.cache)
+    except project.ValidationFailed as e:
+        report.write_csv({"validation_report": report.present(checks.ordered(e.issues))}, out)
+        print(f"{e}; see validation_report in {out}", file=sys.stderr)
+        return 1
     if a.command == "run":
-        sheets = report.sheets(state)
-        report.write_csv(sheets, out)
-        if "://" not in out:
+        sheets, r = report.sheets(state), cfg.reporting
+        if "csv" in r.formats:
+            report.write_csv({k: v for k, v in sheets.items() if r.include_gap_register or k != "Gap_Register"}, out)
+        report.write_csv({"validation_report": sheets["Validation"]}, out)
+        if r.include_plots:
+            report.write_csv(report.chart_data(state), f"{out}/charts")
+        if "xlsx" in r.formats and "://" not in out:
             report.write_workbook(sheets, f"{out}/{cfg.project.name}.xlsx")
     else:
         report.write_csv({a.command: report.present(state.tables[table], report.units_of(state))}, out)
+    state.close()
     return 0
 
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 BELOW = r"^<\s*((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?)$"
+#: All blanks of Unicode and the ASCII separators.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 SHOWN_VALUES, SHOWN_LINES, DETAIL_LINES = 5, 5, 20
 #: The header is line 1 and row 0 is line 2.
 FIRST_LINE = 2
@@ -26,15 +29,20 @@ class ParseRules:
     negative_is_below_detection: bool = False
 
 
+def strip(text: Column) -> Column:
+    """text without blanks of any kind around it; F.trim knows only the space."""
+    return F.btrim(text, F.lit(SPACES))
+
+
 def plain_number(text: Column) -> Column:
     """A finite number or null. The pattern keeps out nan, inf and type suffixes, which a cast takes."""
-    t = F.trim(text)
+    t = strip(text)
     value = F.when(t.rlike(NUMBER), t.try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(F.trim(text), F.lit("")) == ""
+    return F.coalesce(strip(text), F.lit("")) == ""
 
 
 def is_declared_null(text: Column, rules: ParseRules) -> Column:
@@ -48,7 +56,7 @@ def is_declared_null(text: Column, rules: ParseRules) -> Column:
             numbers.append(float(v))
         except ValueError:
             continue
-    found = F.upper(F.trim(text)).isin(words)
+    found = F.upper(strip(text)).isin(words)
     if numbers := [n for n in numbers if n == n and abs(n) != float("inf")]:
         found = found | F.coalesce(plain_number(text).isin(numbers), F.lit(False))
     return found
@@ -65,7 +73,7 @@ def parse_number(text: Column, rules: ParseRules = ParseRules()) -> Column:
 
 
 def parse_grade(text: Column, rules: ParseRules = ParseRules()) -> Column:
-    number, limit = plain_number(text), plain_number(F.regexp_extract(F.trim(text), BELOW, 1))
+    number, limit = plain_number(text), plain_number(F.regexp_extract(strip(text), BELOW, 1))
     low = F.lit("below_detection" if rules.negative_is_below_detection else "negative")
     state = (
         F.when(is_blank(text), "blank").when(is_declared_null(text, rules), "declared_null").when(limit.isNotNull(), "below_detection")
@@ -74,18 +82,34 @@ def parse_grade(text: Column, rules: ParseRules = ParseRules()) -> Column:
     return _parsed(F.when(state == "ok", number).when(state == "below_detection", F.coalesce(limit, F.abs(number)) / 2), state)
 
 
+def _first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
+    """The first `most` rows of each key with their rank; each task cuts its own rows before the exchange, so no task gathers more than
+    `most` rows from each other one."""
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= most)
+
+
 def parse_issues(rows: DataFrame, source: str, columns: dict[str, tuple[str, str]], line: str = "_row") -> DataFrame:
-    """Issue rows of all parsed columns in one aggregation. columns: {shown name: (text column, parsed column)}; `line` is the row's number
-    in the file, from 0. Shown are the five most frequent values, ties in file order, and the first lines."""
-    each = [F.struct(F.lit(name).alias("column"), F.col(text).alias("value"), F.col(f"{parsed}.state").alias("state")) for name, (text, parsed) in columns.items()]
+    """Issue rows of all parsed columns. columns: {shown name: (text column, parsed column)}; `line` is the row's number in the file, from
+    0. Shown are the five most frequent values, ties in file order, and the first lines."""
+    each = [
+        F.struct(F.lit(name).alias("column"), F.col(text).alias("value"), F.col(f"{parsed}.state").alias("state"))
+        for name, (text, parsed) in columns.items()
+    ]
+    key = ["column", "state"]
     long = rows.select(F.col(line).alias("line"), F.explode(F.array(*each)).alias("c")).select("line", "c.*").where(F.col("state").isin(*SEVERITY))
-    by_value = long.groupBy("column", "state", "value").agg(F.count("*").alias("n"), F.min("line").alias("first"), F.slice(F.sort_array(F.collect_set(F.col("line") + FIRST_LINE)), 1, DETAIL_LINES).alias("lines"))
-    by_state = by_value.groupBy("column", "state").agg(F.sum("n").alias("count"), F.count("*").alias("different"), F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "first", "value"))).alias("top"), F.slice(F.sort_array(F.flatten(F.collect_list("lines"))), 1, DETAIL_LINES).alias("lines"))
-    shown = F.array_join(F.transform(F.slice("top", 1, SHOWN_VALUES), lambda v: F.format_string("'%s' x %d", v["value"], -v["n"])), ", ")
-    shown = F.when(F.col("different") > SHOWN_VALUES, F.concat(shown, F.format_string(" and %d more", F.col("different") - SHOWN_VALUES))).otherwise(shown)
+    by_value = long.groupBy(*key, "value").agg(F.count("*").alias("n"), F.min("line").alias("first"))
+    by_state = by_value.groupBy(*key).agg(F.sum("n").alias("count"), F.count("*").alias("different"))
+    top = _first_rows(by_value, key, [F.desc("n"), F.col("first"), F.col("value")], SHOWN_VALUES)
+    top = top.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))
+    first = _first_rows(long.select(*key, "line"), key, [F.col("line")], DETAIL_LINES)
+    first = first.groupBy(*key).agg(F.sort_array(F.collect_list(F.col("line") + FIRST_LINE)).alias("lines"))
+    told = by_state.join(top, key).join(first, key)  # a row for each column and state
+    shown = F.array_join(F.transform("top", lambda v: F.format_string("'%s' x %d", v["value"], v["n"])), ", ")
+    more = F.format_string(" and %d more", F.col("different") - SHOWN_VALUES)
+    shown = F.when(F.col("different") > SHOWN_VALUES, F.concat(shown, more)).otherwise(shown)
     at = F.array_join(F.slice("lines", 1, SHOWN_LINES).cast("array<string>"), ", ")
     pick = lambda k: F.coalesce(*(F.when(F.col("state") == s, F.lit(v[k])) for s, v in SEVERITY.items()))
-    return by_state.select(
+    return told.select(
         pick(0).alias("severity"), pick(1).alias("check"), F.lit(source).alias("source"), F.lit(None).cast("string").alias("hole_id"), "count",
         F.concat(F.col("column"), F.lit(": "), shown, F.lit("; lines "), at).alias("message"),
         F.create_map(F.lit("column"), F.col("column"), F.lit("lines"), F.array_join(F.col("lines").cast("array<string>"), ",")).alias("detail"),

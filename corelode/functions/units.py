@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corelode.functions.numbers import plain_number, strip
+
 # Unit factors.
 LENGTH = {"m": 1.0, "ft": 0.3048}
 DENSITY = {"t_m3": 1.0, "g_cm3": 1.0, "lb_ft3": 0.0160184634}
@@ -63,16 +65,17 @@ def _looked_up(key: Column, table: dict[str, float]) -> Column:
 
 
 def period_weight(period: Column, weights: dict[str, float], default: float = 1.0) -> Column:
-    """The weight of the label, else that of its whole part, else the default."""
+    """The weight of the label, else that of its whole part, else the default. NaN, infinities and numbers beyond 18 digits have none."""
     if not weights:
-        return F.lit(default)
-    whole = F.floor(F.abs(period.try_cast("double"))) * F.signum(period.try_cast("double"))
-    return F.coalesce(_looked_up(period, weights), _looked_up(whole.cast("bigint").cast("string"), weights), F.lit(float(default)))
+        return F.lit(float(default))
+    number = plain_number(period)
+    whole = F.when(F.abs(number) < 1e18, F.floor(F.abs(number)) * F.signum(number).cast("bigint"))
+    return F.coalesce(_looked_up(period, weights), _looked_up(whole.cast("string"), weights), F.lit(float(default)))
 
 
 def period_order(period: Column) -> list[Column]:
     """Numbers first by value, then other labels, nulls last."""
-    number = period.try_cast("double")
+    number = plain_number(period)
     return [period.isNull().asc(), number.isNull().asc(), number.asc(), period.asc()]
 
 
@@ -93,10 +96,6 @@ def compose_label(parts: Sequence[Column]) -> Column:
 
 
 def is_scheduled(period: Column, excluded: Sequence[str] = ()) -> Column:
-    t = F.lower(F.trim(F.coalesce(period, F.lit(""))))
+    t = F.lower(strip(F.coalesce(period, F.lit(""))))
     return ~t.isin("", "nan", "none", "null", *(x.strip().lower() for x in excluded))
 
-
-def bare_name(text: Column) -> Column:
-    """Letters and digits only, in lower case."""
-    return F.regexp_replace(F.lower(text), r"[^a-z0-9]", "")

@@ -12,37 +12,40 @@ from corelode.schema import attribute, block_attribute, hole_attribute
 TOLERANCE = 1e-6
 
 
-def reach(blocks: DataFrame) -> float:
-    """The largest half diagonal of a block: beyond it no block holds a point."""
+def reach(blocks: DataFrame) -> Column:
+    """The largest half diagonal of a block: beyond it no block holds a point. A scalar subquery, so no job runs before it is needed."""
     half = F.sqrt(sum(F.pow(F.col(d) / 2 + TOLERANCE, F.lit(2.0)) for d in ("dx", "dy", "dz")))
-    return blocks.agg(F.max(half)).collect()[0][0] or 1.0
+    return blocks.agg(F.coalesce(F.max(half), F.lit(1.0)).alias("r")).scalar()
 
 
-def nearest_block(points: DataFrame, blocks: DataFrame, carry: list[str], x: str = "x_mid", y: str = "y_mid", z: str = "z_mid", order: str = "_row", within: float | None = None) -> DataFrame:
+def nearest_block(points: DataFrame, blocks: DataFrame, carry: list[str], x: str = "x_mid", y: str = "y_mid", z: str = "z_mid", order: str = "_row") -> DataFrame:
     """points plus `carry` columns of the block whose centroid is nearest, if it holds the point, and `outside_model`. Of equally near
     ones the least `order` counts.
 
-    Blocks are filed under cells two reaches wide and a point looks into the cells that its reach touches, eight at most. This finds what a search of
-    all blocks would: a nearest block that holds the point is within reach, and if the nearest doesn't hold it, either it is within
-    reach too, or no block is near enough to."""
-    r = within or reach(blocks)
-    cell = 2.0 * r
-    at = [F.col(c) for c in (x, y, z)]
-    corner = lambda c, sign: F.floor((c + sign * r) / cell)
-    spans = [F.sequence(corner(c, -1), corner(c, 1)) for c in at]
-    kept = F.struct(*(F.col(c) for c in points.columns))
-    asked = points.select(F.monotonically_increasing_id().alias("__p"), kept.alias("__kept"), *(c.alias(f"__{n}") for c, n in zip(at, "xyz", strict=True)), *(s.alias(f"__s{n}") for s, n in zip(spans, "xyz", strict=True)))
+    Space is cut into cells as wide as the reach, and each block is filed under the cells that its reach touches (three a side at most). A
+    point looks into its own cell only, so points pass through one join and nothing else, and need no key. This finds what a search
+    of all blocks would: a nearest block that holds the point is within reach, and if the nearest doesn't hold it, either it is
+    within reach too, or no block is near enough to. A cell's list is as long as there are blocks within reach of it: some tens for a
+    regular model, more near a block that is far larger than the others."""
+    r = reach(blocks)
+    known = blocks.where("x is not null and y is not null and z is not null").withColumn("__r", r)
+    block = F.struct(F.col(order).alias("o"), "x", "y", "z", "dx", "dy", "dz", *(F.col(c).alias(f"v_{c}") for c in carry))
+    filed = known.select(block.alias("__block"), *(F.sequence(F.floor(F.col(c) / F.col("__r") - 1), F.floor(F.col(c) / F.col("__r") + 1)).alias(f"__s{c}") for c in "xyz"))
     for n in "xyz":
-        asked = asked.withColumn(f"__c{n}", F.explode_outer(f"__s{n}")).drop(f"__s{n}")
-    filed = blocks.where("x is not null and y is not null and z is not null").select(*(F.floor(F.col(c) / cell).alias(f"__c{c}") for c in "xyz"), F.struct(F.col(order).alias("o"), "x", "y", "z", "dx", "dy", "dz", *(F.col(c).alias(f"v_{c}") for c in carry)).alias("b"))
-    met = asked.join(filed, ["__cx", "__cy", "__cz"], "left")
-    far = sum(F.pow(F.col(f"__{n}") - F.col(f"b.{n}"), F.lit(2.0)) for n in "xyz")
-    best = met.groupBy("__p").agg(F.first("__kept").alias("__kept"), F.min_by("b", F.struct(far.isNull().alias("n"), far.alias("d"), F.col("b.o").alias("o"))).alias("b"), *(F.first(f"__{n}").alias(f"__{n}") for n in "xyz"))
+        filed = filed.withColumn(f"__c{n}", F.explode(f"__s{n}")).drop(f"__s{n}")
+    cells = ["__cx", "__cy", "__cz"]
+    filed = filed.groupBy(*cells).agg(F.collect_list("__block").alias("__near"))
+    at = dict(zip("xyz", (F.col(c) for c in (x, y, z)), strict=True))
+    asked = points.withColumn("__r", r).withColumns({f"__c{n}": F.floor(c / F.col("__r")) for n, c in at.items()}).drop("__r")
+    met = asked.join(filed, cells, "left")
+    far = lambda b: sum((at[n] - b[n]) * (at[n] - b[n]) for n in "xyz")
+    best = F.array_min(F.transform("__near", lambda b, i: F.struct(far(b).alias("d"), b["o"].alias("o"), i.alias("i"))))
+    met = met.withColumn("__best", F.get("__near", best["i"]))
     inside = F.lit(True)
     for n in "xyz":
-        inside = inside & (F.abs(F.col(f"__{n}") - F.col(f"b.{n}")) <= F.col(f"b.d{n}") / 2 + TOLERANCE)
-    inside = F.coalesce(inside, F.lit(False))
-    return best.select("__kept.*", *(F.when(inside, F.col(f"b.v_{c}")).alias(c) for c in carry), (~inside).alias("outside_model"))
+        inside = inside & (F.abs(at[n] - F.col(f"__best.{n}")) <= F.col(f"__best.d{n}") / 2 + TOLERANCE)
+    met = met.withColumn("__in", F.coalesce(inside, F.lit(False)))
+    return met.select(*points.columns, *(F.when(F.col("__in"), F.col(f"__best.v_{c}")).alias(c) for c in carry), (~F.col("__in")).alias("outside_model"))
 
 
 def resolve_attributes(rows: DataFrame, roles: list[str]) -> DataFrame:

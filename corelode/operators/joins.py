@@ -56,15 +56,36 @@ def overlap_join(left: DataFrame, right: DataFrame, by: str = HOLE, left_span: t
     return a.join(b, ["__by", "__b"]).where(met).select("l", "r")
 
 
+#: Widths of the buckets under which boundaries are filed; an interval looks into the narrowest that is as long as itself.
+WIDTHS = (64.0, 256.0, 1024.0, 4096.0, 16384.0)
+
+
+def _filed(boundaries: DataFrame, at: str, by: str) -> DataFrame:
+    """(key, class, bucket, cuts): the boundaries in each bucket and the next one, in order; the last class holds all of a key."""
+    classes = [F.floor(F.col(at) / w) for w in WIDTHS]
+    places = [F.struct(F.lit(k).alias("c"), (b - back).alias("b")) for k, b in enumerate(classes) for back in (0, 1)]
+    places.append(F.struct(F.lit(len(WIDTHS)).alias("c"), F.lit(0).cast("bigint").alias("b")))
+    rows = boundaries.where(F.col(at).isNotNull()).select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.explode(F.array(*places)).alias("p"))
+    return rows.groupBy("__by", F.col("p.c").alias("__c"), F.col("p.b").alias("__b")).agg(F.sort_array(F.collect_set("__at")).alias("__cuts"))
+
+
 def split_intervals(intervals: DataFrame, boundaries: DataFrame, at: str = "at_m", by: str = HOLE, start: str = FROM, end: str = TO, tolerance: float = TOLERANCE) -> DataFrame:
     """Each interval cut at the boundaries of its key that lie inside by more than `tolerance`; other columns are copied. Spans that are
-    null or not longer than the tolerance are dropped after the cut."""
-    cuts = boundaries.where(F.col(at).isNotNull()).groupBy(F.col(by).alias("__by")).agg(F.sort_array(F.collect_set(at)).alias("__cuts"))
+    null or not longer than the tolerance are dropped after the cut.
+
+    An interval meets one row only, of the boundaries around it: those in the bucket where it begins and the next one, of a width
+    that is as large as itself. So work follows an interval's length, not its key's, and a hot key is dealt over its buckets."""
     lo, hi = F.col(start), F.col(end)
-    inside = F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda c: (c > lo + tolerance) & (c < hi - tolerance))
+    size, c, b = hi - lo, F.lit(len(WIDTHS)), F.lit(0).cast("bigint")
+    for k, w in reversed(list(enumerate(WIDTHS))):
+        c, b = F.when(size <= w, F.lit(k)).otherwise(c), F.when(size <= w, F.floor(lo / w)).otherwise(b)
+    out = intervals.where(size > tolerance).withColumns({"__ic": c, "__ib": b})
+    filed = _filed(boundaries, at, by)
+    out = out.join(filed, (F.col(by) == F.col("__by")) & (F.col("__ic") == F.col("__c")) & (F.col("__ib") == F.col("__b")), "left")
+    inside = F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda x: (x > lo + tolerance) & (x < hi - tolerance))
     edges = F.concat(F.array(lo), inside, F.array(hi))
-    out = intervals.join(cuts, intervals[by] == F.col("__by"), "left").withColumn("__edges", edges)
+    out = out.withColumn("__edges", edges)
     pieces = F.transform(F.sequence(F.lit(1), F.size("__edges") - 1), lambda k: F.struct(F.get("__edges", k - 1).alias("a"), F.get("__edges", k).alias("b")))
     out = out.withColumn("__piece", F.explode(pieces))
-    cols = [F.col("__piece.a").alias(start) if c == start else F.col("__piece.b").alias(end) if c == end else F.col(c) for c in intervals.columns]
+    cols = [F.col("__piece.a").alias(start) if x == start else F.col("__piece.b").alias(end) if x == end else F.col(x) for x in intervals.columns]
     return out.select(*cols).where(F.col(end) - F.col(start) > tolerance)

@@ -1,18 +1,23 @@
 """A project from configuration to selected samples: lazy tables stage by stage, with a gate on errors between them.
 
 Stages: load, geometry, candidates, allocate, select. A stage's tables are Parquet in the cache folder, if one is given, under a key of
-configuration, inputs and engine version; a later call goes on from the latest stage that is there.
+configuration, contents of the inputs and engine version; a later call goes on from the latest stage that is there.
 """
 
 from __future__ import annotations
 
+import hashlib
+import uuid
 from dataclasses import dataclass, field
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode import __version__
 from corelode.config import Config, digest
+from corelode.functions.units import GRADE
 from corelode.operators import allocate, blocks, checks, geometry, intervals, runs, select, windows
 from corelode.schema import FROM, GAPS, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute, key_column
 from corelode.sources.readers import Dataset, load
@@ -21,7 +26,11 @@ STAGES = ("load", "geometry", "candidates", "allocate", "select")
 
 
 class ValidationFailed(RuntimeError):
-    """A stage met errors and wasn't forced."""
+    """A stage met errors and wasn't forced. issues: all that was told so far."""
+
+    def __init__(self, said: str, issues: DataFrame):
+        super().__init__(said)
+        self.issues = issues
 
 
 @dataclass
@@ -30,6 +39,13 @@ class State:
     data: Dataset
     issues: DataFrame
     tables: dict[str, DataFrame] = field(default_factory=dict)
+    held: list[DataFrame] = field(default_factory=list)
+    trace: DataFrame | None = None
+
+    def close(self) -> None:
+        """Gives back what run() keeps."""
+        while self.held:
+            _released(self.held.pop())
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -42,33 +58,35 @@ def _settle(state: State, new: DataFrame, force: bool, known: list | None = None
     """Issues are a row for each check and source: they are computed once and kept as rows. Errors stop the run unless it is forced."""
     rows = new.collect()
     bad = [r for r in rows if r["severity"] == "ERROR"]
-    if bad and not force:
-        raise ValidationFailed("; ".join(f"{r['source']}: {r['check']} ({r['count']})" for r in bad))
     rows = [*(known or []), *rows]
     state.issues = new.sparkSession.createDataFrame(rows, ISSUES)
+    if bad and not force:
+        raise ValidationFailed("; ".join(f"{r['source']}: {r['check']} ({r['count']})" for r in bad), state.issues)
     return rows
 
 
+def _all(issues: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, issues)
+
+
 def stage_load(spark: SparkSession, cfg: Config) -> State:
     data = load(spark, cfg)
     t, issues = data.tables, [data.issues]
     if "samples" in t:
-        issues += [checks.interval_checks(t["samples"], "samples", cfg.domaining.max_interval_gap_m), checks.density_checks(t["samples"], "samples"), checks.geometry_checks(t["samples"])]
+        issues += [checks.interval_checks(t["samples"], "samples", cfg.domaining.max_interval_gap_m), checks.density_checks(t["samples"], "samples"), checks.geometry_checks(t["samples"]), checks.inherited(t["samples"])]
     else:
         issues += [checks.duplicated(t["collar"], [HOLE], "collar_duplicate", "collar"), checks.survey_checks(t["survey"]), checks.dip_sign(t["survey"]), checks.density_checks(t["assay"], "assay")]
         issues += [checks.orphans(t[n], t["collar"], n) for n in ("survey", "assay", "litho")]
         issues += [checks.interval_checks(t[n], n, cfg.domaining.max_interval_gap_m) for n in ("assay", "litho")]
         issues += [checks.beyond_depth(t[n], t["collar"], n) for n in ("assay", "litho")]
     issues.append(checks.block_checks(t["block_model"], tuple(cfg.block_model_options.excluded_periods)))
-    all_of_it = issues[0]
-    for i in issues[1:]:
-        all_of_it = all_of_it.unionByName(i)
-    return State(cfg, data, all_of_it)
+    issues.append(checks.codes_unmapped(t["samples" if "samples" in t else "litho"], t["domain_lookup"]))
+    return State(cfg, data, _all(issues))
 
 
 def _labels(cfg: Config, side: str) -> dict:
     bins = cfg.domaining.grade_bins
-    factor = {"pct": 1e4, "ppm": 1.0, "gpt": 1.0, "oz_t": 34.2857142857}[getattr(cfg.elements[bins.element], bins.source).units]
+    factor = GRADE[getattr(cfg.elements[bins.element], bins.source).units]
     parts = [k if k in ("grade_bin", "period") else block_attribute(k) for k in cfg.domaining.allocation_key]
     return {"bin_on": block_element(bins.element) if side == "blocks" or bins.source == "block_model" else element(bins.element), "edges": [e * factor for e in bins.edges], "labels": bins.labels, "parts": parts}
 
@@ -77,14 +95,18 @@ def stage_geometry(state: State) -> State:
     cfg, t, spark = state.cfg, state.data.tables, state.issues.sparkSession
     roles = list(cfg.attributes)
     logged = tuple(hole_attribute(r) for r in roles if "litho" in t and hole_attribute(r) in t["litho"].columns)
+    trace = None
     if "samples" in t:
         rows = intervals.framework_from_samples(t["samples"], t["domain_lookup"])
     else:
+        trace = geometry.traces(t["collar"], t["survey"], cfg.desurvey.fill_collar_survey)
         rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged)
-        rows = geometry.with_coordinates(rows, geometry.traces(t["collar"], t["survey"], cfg.fill_collar_survey))
+        rows = geometry.with_coordinates(rows, trace)
     rows = rows.withColumn("is_planned", F.lit(False))
     if "planned_collar" in t:
-        rows = rows.unionByName(_planned(t, cfg), allowMissingColumns=True)
+        planned = geometry.traces(t["planned_collar"], t["planned_survey"], cfg.desurvey.fill_collar_survey)
+        rows = rows.unionByName(_planned(planned, cfg), allowMissingColumns=True)
+        trace = trace.unionByName(planned) if trace is not None else planned
     model = blocks.label_rows(t["block_model"], **_labels(cfg, "blocks"))
     carry = ["period", "bm_density", *(c for c in model.columns if c.startswith(("bm_attr_", "bm_elem_")))]
     rows = blocks.nearest_block(rows, model.withColumnRenamed("density", "bm_density"), carry)
@@ -98,27 +120,45 @@ def stage_geometry(state: State) -> State:
     rows = blocks.label_rows(rows, **_labels(cfg, "intervals"))
     none = spark.createDataFrame([], f"{HOLE} string, availability string, core_diameter_mm double, remaining_fraction double")
     rows = blocks.with_core(rows, t.get("availability", none), cfg.mass.default_core_diameter_mm, cfg.mass.default_remaining_fraction)
-    rows = blocks.with_mass(rows, cfg.mass.loss_factor)
+    density = (cfg.sources.samples or cfg.sources.assay).density
+    rows = blocks.with_mass(rows, cfg.mass.loss_factor, density.fallback_constant if density else None)
     if "existing_testwork" in t:
         rows = allocate.mark_testwork(rows, t["existing_testwork"])
         if cfg.mass.prior_testwork_core == "available":
             rows = rows.withColumn("prior_testwork", F.lit(False))
     state.tables |= {"intervals": rows, "blocks": model}
+    state.trace = trace
     return state
 
 
-def _planned(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
-    """Planned holes in whole steps along their traces."""
-    steps = intervals.discretise(t["planned_collar"], cfg.block_model_options.planned_discretisation_m)
-    placed = geometry.with_coordinates(steps, geometry.traces(t["planned_collar"], t["planned_survey"], cfg.fill_collar_survey))
-    name = F.concat(F.col(HOLE), F.lit("_"), F.format_string("%.2f", F.col(FROM)))
+def _planned(trace: DataFrame, cfg: Config) -> DataFrame:
+    """Planned holes in whole steps along their traces, whose last station is the deepest reading or the total depth."""
+    depth = trace.groupBy(HOLE).agg(F.max("depth").alias("total_depth"))
+    steps = intervals.discretise(depth, cfg.block_model_options.planned_discretisation_m)
+    placed = geometry.with_coordinates(steps, trace)
+    name = F.concat(F.col(HOLE), F.lit("_PLAN_"), F.format_string("%.2f", F.col(FROM)))
     return placed.withColumns({"sample_id": name, "parent_sample_id": name, "interval_id": name, "is_planned": F.lit(True)})
 
 
+def hold(state: State, *names: str) -> None:
+    """Computes tables that several later stages read; close() gives them back."""
+    for k in names:
+        state.tables[k] = _held(state.tables[k])
+        state.held.append(state.tables[k])
+
+
 def geometry_issues(state: State) -> DataFrame:
-    rows = state.tables["intervals"]
-    found = checks.placed_checks(rows).unionByName(checks.extent_check(rows, state.cfg.block_model_options.off_model_error_fraction))
-    return found.unionByName(checks.direction_checks(geometry.hole_ends(rows)))
+    """Also adds the holes' ends, which rest on the intervals as they are held by now."""
+    state.tables["hole_ends"] = geometry.hole_ends(state.tables["intervals"], state.trace)
+    rows, t = state.tables["intervals"], state.data.tables
+    found = [checks.placed_checks(rows), checks.extent_check(rows, state.cfg.block_model_options.off_model_error_fraction)]
+    found += [checks.direction_checks(state.tables["hole_ends"]), checks.empty(state.tables["blocks"], "block_model", "block_model_empty", "WARN", "no blocks: every interval lies outside")]
+    found += [checks.without_survey(t[c], t[s]) for c, s in (("collar", "survey"), ("planned_collar", "planned_survey")) if c in t and s in t]
+    if "litho" in t:
+        found.append(checks.without_lithology(t["assay"], t["litho"]))
+    if "existing_testwork" in t:
+        found.append(checks.testwork_checks(t["existing_testwork"], rows, state.cfg.mass.prior_testwork_core == "exclude"))
+    return _all(found)
 
 
 def window_rules(cfg: Config) -> windows.WindowRules:
@@ -145,6 +185,9 @@ def stage_candidates(state: State) -> State:
     gone = rows.where("availability = 'UNAVAILABLE'").groupBy(HOLE).agg(F.count("*").alias("n"))
     gaps = short.select(F.lit("run").alias("scope"), F.col("run_id").alias("key"), "reason", F.create_map(F.lit("hole_id"), F.col(HOLE).cast("string"), F.lit("length_m"), F.round("length_m", 3).cast("string")).alias("detail"))
     gaps = gaps.unionByName(gone.select(F.lit("hole").alias("scope"), F.col(HOLE).cast("string").alias("key"), F.lit("core_unavailable").alias("reason"), F.create_map(F.lit("intervals"), F.col("n").cast("string")).alias("detail")))
+    if "prior_testwork" in rows.columns:
+        used = rows.where("prior_testwork and availability <> 'UNAVAILABLE'").groupBy(HOLE).agg(F.count("*").alias("n"))
+        gaps = gaps.unionByName(used.select(F.lit("hole").alias("scope"), F.col(HOLE).cast("string").alias("key"), F.lit("prior_testwork").alias("reason"), F.create_map(F.lit("intervals"), F.col("n").cast("string")).alias("detail")))
     state.tables |= {"runs": rows, "run_summary": summary, "candidates": found, "gaps": gaps}
     return state
 
@@ -152,7 +195,7 @@ def stage_candidates(state: State) -> State:
 def stage_allocate(state: State) -> State:
     cfg, model = state.cfg, state.tables["blocks"]
     a, excluded = cfg.allocation, cfg.block_model_options.excluded_periods
-    tonnage = allocate.domain_tonnage(model, a.period_weights, a.default_period_weight, excluded)
+    tonnage = allocate.domain_tonnage(model, a.label_weights, a.default_weight, excluded)
     grade = block_element(cfg.primary)
     spread = allocate.grade_dispersion(model, grade, excluded) if a.method == "neyman" and grade in model.columns else None
     existing = None
@@ -165,11 +208,21 @@ def stage_allocate(state: State) -> State:
     return state
 
 
+def allocation_issues(state: State) -> DataFrame:
+    a, t = state.cfg.allocation, state.tables
+    found = checks.allocation_checks(t["allocation"], a.method, block_element(state.cfg.primary) in t["blocks"].columns, tuple(a.manual_targets))
+    return found.unionByName(checks.undomained(t["testwork"])) if "testwork" in t else found
+
+
+def selection_issues(state: State) -> DataFrame:
+    return checks.selection_checks(state.tables["candidates"], state.tables["allocation"], state.tables["selected"])
+
+
 def stage_select(state: State) -> State:
     s, a = state.cfg.selection, state.cfg.allocation
     w = s.objective_weights
     rules = select.SelectRules(s.max_samples_per_hole, s.min_separation_m, s.swap_iterations, s.random_seed, s.planned_penalty, w.allocation, w.separation, w.cv, w.match)
-    picked = select.greedy_select(state.tables["candidates"], state.tables["allocation"], rules, a.period_weights, a.default_period_weight)
+    picked = select.greedy_select(state.tables["candidates"], state.tables["allocation"], rules, a.label_weights, a.default_weight)
     short = allocate.unmet(state.tables["allocation"], select.achieved(picked))
     more = short.select(F.lit("domain").alias("scope"), F.col(allocate.DOMAIN).alias("key"), F.lit("deficit_unmet").alias("reason"), F.create_map(F.lit("missing"), F.col("missing").cast("string")).alias("detail"))
     grades = [c for c in state.tables["runs"].columns if c.startswith("elem_")]
@@ -183,7 +236,7 @@ def run(spark: SparkSession, cfg: Config, through: str = "select", force: bool =
         raise ValueError(f"no stage {through}")
     state = stage_load(spark, cfg)
     known = _settle(state, state.issues, force)
-    key = digest(cfg.model_dump_json() + __version__ + "".join(sorted(f for t in state.data.tables.values() for f in t.inputFiles()))) if cache else ""
+    key = run_key(spark, cfg) if cache else ""
     for name, stage in (("geometry", stage_geometry), ("candidates", stage_candidates), ("allocate", stage_allocate), ("select", stage_select)):
         if STAGES.index(name) > STAGES.index(through):
             break
@@ -193,21 +246,80 @@ def run(spark: SparkSession, cfg: Config, through: str = "select", force: bool =
             for k, t in state.tables.items():
                 if before.get(k) is not t:
                     state.tables[k] = _kept(spark, t, f"{cache}/{key}/{name}/{k}")
-        if name == "geometry":
-            if not cache:  # all later stages read the intervals
-                state.tables["intervals"] = state.tables["intervals"].persist()
-            _settle(state, geometry_issues(state), force, known)
+        if not cache and name in HOLDS:
+            hold(state, *HOLDS[name])
+        if name in TELLS:
+            try:
+                known = _settle(state, TELLS[name](state), force or name != "geometry", known)
+            except ValidationFailed:
+                state.close()
+                raise
     return state
 
 
+HOLDS = {"geometry": ("intervals",), "candidates": ("candidates",), "select": ("selected",)}
+TELLS = {"geometry": geometry_issues, "allocate": allocation_issues, "select": selection_issues}
+
+
+def _held(t: DataFrame) -> DataFrame:
+    """t, computed once: in the shared checkpoint folder, where the session has one, which also cuts the plan short; else in memory."""
+    return t.checkpoint() if t.sparkSession.sparkContext.getCheckpointDir() else t.persist()
+
+
+def _released(t: DataFrame) -> None:
+    plan = t._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        t.unpersist()
+        return
+    path = plan.rdd().getCheckpointFile()
+    if path.isDefined():
+        target, store = _store(t.sparkSession, path.get())
+        store.delete(target, True)
+
+
+def _store(spark: SparkSession, path: str):
+    """The path as Hadoop knows it, and its file system."""
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
+
+
+def content_key(spark: SparkSession, path: str) -> str:
+    """Of what a source holds: for local files a SHA-256 of their bytes, in other stores names, lengths and times of change."""
+    local = Path(path.removeprefix("file://"))
+    if local.exists():
+        h = hashlib.sha256()
+        for f in sorted(x for x in ([local] if local.is_file() else local.rglob("*")) if x.is_file() and not x.name.startswith((".", "_"))):
+            h.update(f"{f.relative_to(local.parent)}:{f.stat().st_size};".encode())
+            with f.open("rb") as data:
+                while piece := data.read(1 << 20):
+                    h.update(piece)
+        return h.hexdigest()
+    p, store = _store(spark, path)
+    files, said = store.listFiles(p, True), []
+    while files.hasNext():
+        f = files.next()
+        said.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return digest("\n".join(sorted(said)))
+
+
+def run_key(spark: SparkSession, cfg: Config) -> str:
+    """Of configuration, inputs and engine: another content under the same name gives another key."""
+    named = {k: getattr(cfg.sources, k) for k in type(cfg.sources).model_fields}
+    return digest(cfg.model_dump_json() + __version__ + ";".join(f"{k}={content_key(spark, cfg.path(s.path))}" for k, s in named.items() if s))
+
+
 def _kept(spark: SparkSession, t: DataFrame, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(t.schema).parquet(path) if spark.read.parquet(path) else t
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    t.write.parquet(path)
-    return spark.read.parquet(path)
+    """The table at path; where it isn't there whole it is written aside and moved there, so a broken write leaves nothing that counts."""
+    done, store = _store(spark, f"{path}/_SUCCESS")
+    if not store.exists(done):
+        aside = f"{path}.{uuid.uuid4().hex}"
+        t.write.parquet(aside)
+        target, _ = _store(spark, path)
+        store.delete(target, True)
+        if not store.rename(_store(spark, aside)[0], target) and not store.exists(done):
+            raise OSError(f"{aside} can't be moved to {path}")
+    return spark.read.schema(t.schema).parquet(path)
 
 
 def validate(spark: SparkSession, cfg: Config) -> DataFrame:
@@ -217,7 +329,10 @@ def validate(spark: SparkSession, cfg: Config) -> DataFrame:
     if any(r["severity"] == "ERROR" for r in known):
         skipped = spark.createDataFrame([("INFO", "geometry_checks_skipped", "geometry", None, 1, "loading met errors", {})], ISSUES)
         return checks.ordered(state.issues.unionByName(skipped))
-    _settle(state, geometry_issues(stage_geometry(state)), True, known)
+    state = stage_geometry(state)
+    hold(state, "intervals")
+    _settle(state, geometry_issues(state), True, known)
+    state.close()
     return checks.ordered(state.issues)
 
 

@@ -67,7 +67,8 @@ def chart_data(state: State) -> dict[str, DataFrame]:
     t = state.tables
     return {
         "tonnes_by_period": t["tonnage_by_period"],
-        "allocation": t["allocation"].select("allocation_domain", "target", "deficit"),
+        "allocation": t["allocation"].select("allocation_domain", "target", "deficit").join(t["selected"].groupBy("allocation_domain").agg(F.count("*").alias("achieved")), "allocation_domain", "left").na.fill(0, ["achieved"]),
+        "hole_orientation": t["hole_ends"],
         "grade_histogram": t["candidates"].select(F.floor(F.col("mean_primary") / 1000).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")),
         "sample_places": t["selected"].select("sample_no", "x_mid", "y_mid", "z_mid", "mass_kg"),
     }

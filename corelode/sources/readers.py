@@ -6,7 +6,6 @@ A path that ends in .parquet is read as Parquet (cast to text), everything else
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corelode.config import Config, Flag, Source
 from corelode.functions import units
-from corelode.functions.numbers import ParseRules, parse_grade, parse_issues, parse_number
+from corelode.functions.numbers import ParseRules, is_blank, parse_grade, parse_issues, parse_number, strip
 from corelode.operators.checks import Check, run_checks
 from corelode.schema import COORDS, FROM, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute
 
@@ -27,25 +26,51 @@ class MappingError(ValueError):
     """Declared columns that a file doesn't have; told for all sources at once."""
 
 
-def _csv(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="\x00", emptyValue="", encoding=encoding)
+def _csv(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=multiline, quote='"', escape='"', nullValue="\x00", emptyValue="", encoding=encoding)
 
 
-def read_text(spark: SparkSession, path: str, encoding: str = "auto") -> DataFrame:
-    """All columns as text, blanks as '', plus _row from 0 in file order. `auto` takes UTF-8, and Windows-1252 if the file isn't that."""
+def _look(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether the lines are UTF-8, and whether any has an odd number of quotes, so that a quoted line break may be in it: one aggregation."""
+    v = F.col("value")
+    odd = (F.octet_length(v) - F.octet_length(F.replace(v, F.lit('"'), F.lit("")))) % 2 == 1
+    r = spark.read.text(path).agg(F.coalesce(F.bool_and(F.is_valid_utf8(v)), F.lit(True)), F.coalesce(F.bool_or(odd), F.lit(False))).collect()[0]
+    return r[0], r[1]
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """df plus _row: 0, 1, 2, ... in file order without gaps. df has to be a scan: its partitions are the same each time it is read."""
+    place = F.monotonically_increasing_id()
+    if df.rdd.getNumPartitions() < 2:
+        return df.withColumn("_row", place)
+    part, before, offsets = F.spark_partition_id().alias("__part"), 0, []
+    for r in sorted(df.groupBy(part).agg(F.count("*").alias("n")).collect()):
+        offsets.append((r["__part"], before))
+        before += r["n"]
+    at = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __before long")  # a row for each partition
+    inside = place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__inside")
+    out = df.select("*", part, inside).join(F.broadcast(at), "__part")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__inside")).alias("_row"))
+
+
+def read_text(spark: SparkSession, path: str, encoding: str = "auto", multiline: bool | None = None) -> DataFrame:
+    """All columns as text, blanks as '', plus _row from 0 in file order. `auto` takes UTF-8, and Windows-1252 if the file isn't that.
+    Without quoted line breaks a CSV is cut into tasks; with them a file is one task."""
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
         df = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
-    elif encoding in ("cp1252", "windows-1252"):
-        df = _csv(spark, path, "ISO-8859-1")
-        df = df.select(*(F.translate(f"`{c}`", C1, WINDOWS).alias(c.translate(str.maketrans(C1, WINDOWS))) for c in df.columns))
     else:
-        df = _csv(spark, path, "UTF-8")
-        broken = reduce(lambda a, b: a | b, (F.coalesce(F.contains(F.col(f"`{c}`"), F.lit("�")), F.lit(False)) for c in df.columns))
-        if encoding == "auto" and (any("�" in c for c in df.columns) or df.where(broken).limit(1).count()):
-            return read_text(spark, path, "cp1252")
-    bare = [c.strip().removeprefix("﻿") for c in df.columns]
-    return df.toDF(*bare).select(*(F.coalesce(F.trim(f"`{c}`"), F.lit("")).alias(c) for c in bare), F.monotonically_increasing_id().alias("_row"))
+        if encoding == "auto" or multiline is None:
+            utf8, broken = _look(spark, path)
+            encoding = ("utf-8" if utf8 else "cp1252") if encoding == "auto" else encoding
+            multiline = broken if multiline is None else multiline
+        if encoding.lower() in ("cp1252", "windows-1252"):
+            df = _csv(spark, path, "ISO-8859-1", multiline)
+            df = df.select(*(F.translate(f"`{c}`", C1, WINDOWS).alias(c.translate(str.maketrans(C1, WINDOWS))) for c in df.columns))
+        else:
+            df = _csv(spark, path, encoding, multiline)
+    bare = [c.strip().removeprefix("\ufeff") for c in df.columns]
+    return numbered(df.toDF(*bare).select(*(F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in bare)))
 
 
 def mapping_problems(df: DataFrame, src: Source, name: str, more: list[str]) -> list[str]:
@@ -58,7 +83,6 @@ def mapping_problems(df: DataFrame, src: Source, name: str, more: list[str]) ->
 class Dataset:
     tables: dict[str, DataFrame]
     issues: DataFrame
-    fallbacks: list[str] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> DataFrame | None:
         return self.tables.get(name)
@@ -75,6 +99,7 @@ class Reader:
     out: dict[str, Column] = field(default_factory=dict)
     parsed: dict[str, tuple[str, str]] = field(default_factory=dict)
     told: list[tuple[str, str, str]] = field(default_factory=list)
+    counted: list[Check] = field(default_factory=list)
 
     def __post_init__(self):
         self.rules = ParseRules(tuple(str(v) for v in self.src.null_values), self.src.negative_is_below_detection)
@@ -113,16 +138,17 @@ class Reader:
         else:
             self.number("density", d.source, lambda c: units.density_to_t_m3(c, self.cfg.conventions.density_units))
             if d.fallback_constant is not None:
+                missing = self.out["density"].isNull()
                 self.out["density"] = F.coalesce(self.out["density"], F.lit(float(d.fallback_constant)))
-                self.told.append(("WARN", "density_fallback", "missing densities become the constant"))
+                self.counted.append(Check("density_fallback", "WARN", missing, f"missing densities become {d.fallback_constant}"))
 
     def flag(self, canonical: str) -> None:
         f: Flag | None = self.src.flags.get(canonical)
-        if f is None:
+        if f is None or f.source is None:
             self.out[canonical] = F.lit(False)
             self.told.append(("INFO", "tier2_fallback", f"{canonical} isn't mapped"))
         elif f.type == "boolean":
-            self.out[canonical] = F.upper(F.trim(f"`{f.source}`")).isin([v.strip().upper() for v in f.true_values])
+            self.out[canonical] = F.upper(strip(F.col(f"`{f.source}`"))).isin([v.strip().upper() for v in f.true_values])
         else:
             self.number(f"__f_{canonical}", f.source)
             value = self.out.pop(f"__f_{canonical}")
@@ -134,12 +160,14 @@ class Reader:
     def issues(self) -> DataFrame:
         spark = self.raw.sparkSession
         said = spark.createDataFrame([(s, c, self.name, None, 1, m, {}) for s, c, m in self.told], ISSUES)
+        if self.counted:
+            said = said.unionByName(run_checks(self.raw, self.name, self.counted, None))
         return said.unionByName(parse_issues(self.raw, self.name, self.parsed)) if self.parsed else said
 
 
 def _needs(src: Source, cfg: Config, name: str) -> list[str]:
     """User columns that a source needs besides its own mapping."""
-    out = [f.source for f in src.flags.values()]
+    out = [f.source for f in src.flags.values() if f.source]
     if src.density and src.density.source:
         out.append(src.density.source)
     if name in ("assay", "samples"):
@@ -155,6 +183,7 @@ def _interval(r: Reader) -> None:
     made = F.concat(r.out[HOLE], F.lit("_"), F.coalesce(F.format_string("%.2f", r.out[FROM]), F.lit("NA")))
     if r.has("sample_id"):
         r.text("sample_id", null=True)
+        r.counted.append(Check("sample_id_blank", "WARN", is_blank(F.col(f"`{r.src.columns['sample_id']}`")), "rows without a sample id get one of hole and depth"))
         r.out["sample_id"] = F.coalesce(r.out["sample_id"], made)
     else:
         r.out["sample_id"] = made
@@ -211,7 +240,7 @@ def read_lookup(r: Reader) -> None:
 def read_blocks(r: Reader) -> None:
     r.length("x", "y", "z", "dx", "dy", "dz")
     r.text("period")
-    r.out["period"] = F.when(~F.lower(F.trim(r.out["period"])).isin("", "nan"), r.out["period"])
+    r.out["period"] = F.when(~F.lower(strip(r.out["period"])).isin("", "nan"), r.out["period"])
     r.density()
     for role, a in r.cfg.attributes.items():
         if a.block_model:
@@ -225,8 +254,8 @@ def read_blocks(r: Reader) -> None:
 def read_availability(r: Reader) -> None:
     r.text(HOLE)
     r.text("availability")
-    known = {"AVAILABLE": "AVAILABLE", "UNAVAILABLE": "UNAVAILABLE", "PLANNED": "PLANNED"} | {k.strip().upper(): v for k, v in r.src.value_map.items()}
-    state = F.upper(F.trim(r.out["availability"]))
+    known = {k: k for k in ("AVAILABLE", "UNAVAILABLE", "PLANNED")} | {w.strip().upper(): k for k, words in r.src.value_map.items() for w in words}
+    state = F.upper(strip(r.out["availability"]))
     mapped = F.lit(None).cast("string")
     for k, v in known.items():
         mapped = F.when(state == k, F.lit(v)).otherwise(mapped)
@@ -254,7 +283,7 @@ def load(spark: SparkSession, cfg: Config) -> Dataset:
     readers, problems = [], []
     for name in KINDS:
         if src := getattr(cfg.sources, name):
-            raw = read_text(spark, cfg.path(src.path), src.encoding)
+            raw = read_text(spark, cfg.path(src.path), src.encoding, src.multiline)
             problems += mapping_problems(raw, src, name, _needs(src, cfg, name))
             if name == "samples":
                 problems += [f"samples: {c} isn't mapped" for c in (HOLE, FROM, TO, "logged_code", *COORDS) if not src.columns.get(c)]

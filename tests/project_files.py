@@ -51,7 +51,7 @@ sources:
     flags: {{low_recovery: {{source: {n("LowRec")}}}}}
   domain_lookup: {{path: lookup.csv, columns: {{logged_code: code, geomet_domain: domain}}}}
   block_model: {{path: blocks.csv, columns: {{x: X, y: Y, z: Z, dx: DX, dy: DY, dz: DZ, period: PERIOD}}, density: {{source: DENSITY}}}}
-  availability: {{path: availability.csv, columns: {{hole_id: hole, availability: state, core_diameter_mm: diameter, remaining_fraction: fraction}}, value_map: {{IN STORAGE: AVAILABLE, DISPOSED: UNAVAILABLE}}}}
+  availability: {{path: availability.csv, columns: {{hole_id: hole, availability: state, core_diameter_mm: diameter, remaining_fraction: fraction}}, value_map: {{AVAILABLE: [IN STORAGE, Y], UNAVAILABLE: [DISPOSED, NO]}}}}
 attributes:
   rock: {{block_model: ROCKTYPE}}
   weathering: {{block_model: WEATHERING}}
