@@ -50,7 +50,7 @@ def desurvey_stations(s: SparkSession, d: str) -> DataFrame:
 
 
 def desurvey_midpoints(s: SparkSession, d: str) -> DataFrame:
-    placed = geometry.with_coordinates(v.assay(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)))
+    placed = geometry.with_coordinates(v.assay(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)), ("mid",))
     return placed.select("sample_id", _r("x_mid", 3), _r("y_mid", 3), _r("z_mid", 3))
 
 
@@ -60,7 +60,7 @@ def planned_discretise(s: SparkSession, d: str) -> DataFrame:
 
 
 def hole_ends_orientation(s: SparkSession, d: str) -> DataFrame:
-    placed = geometry.with_coordinates(v.assay(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)))
+    placed = geometry.with_coordinates(v.assay(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)), ("from", "to"))
     return geometry.hole_ends(placed).select("hole_id", _r("collar_z", 3), _r("toe_z", 3), "rises")
 
 
@@ -190,15 +190,42 @@ def allocation_targets(s: SparkSession, d: str) -> DataFrame:
     return got.select("allocation_domain", _r("target_raw", 5), _r("deficit_raw", 5), "target", "deficit")
 
 
+def _targets(s: SparkSession, d: str, method: str, **more) -> DataFrame:
+    return allocate.targets(allocate.domain_tonnage(_labelled(s, d), WEIGHTS), TOTAL, method, **more)
+
+
+RISKS = {"BRAND#11-MED": 2.0, "BRAND#55-MED": 0.5}
+MANUAL = {"BRAND#12-MED": 3.0, "BRAND#21-HIGH": 1.0, "BRAND#34-MED": 2.5}
+
+
+def targets_proportional_risk(s: SparkSession, d: str) -> DataFrame:
+    return _targets(s, d, "proportional", risk=RISKS).select("allocation_domain", _r("target_raw", 5), "target", "deficit")
+
+
+def targets_manual(s: SparkSession, d: str) -> DataFrame:
+    return _targets(s, d, "manual", manual=MANUAL).select("allocation_domain", _r("target_raw", 5), "target", "deficit")
+
+
 def largest_remainder(s: SparkSession, d: str) -> DataFrame:
     per = v.table(s, d, "orders").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
     share = per.withColumn("share", 1000.0 * F.col("n") / F.sum("n").over(allocate.W.partitionBy()))
     return allocate.largest_remainder(share, "share", 1000, "given", "o_orderpriority").select("o_orderpriority", "given")
 
 
+_HELD: list[DataFrame] = []
+
+
+def _held(rows: DataFrame) -> DataFrame:
+    """rows, kept in memory until the next query that needs some, so one table at most is held."""
+    while _HELD:
+        _HELD.pop().unpersist()
+    _HELD.append(rows.persist())
+    return _HELD[0]
+
+
 def _choice(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    rows = geometry.with_coordinates(_usable(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)))
-    found = windows.with_candidate_ids(windows.candidates(rows, RULES)).persist()  # read for tonnage, scores and the picks
+    rows = geometry.with_coordinates(_usable(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)), ("mid",))
+    found = _held(windows.with_candidate_ids(windows.candidates(rows, RULES)))  # read for tonnage, scores and the picks
     tonnage = found.groupBy("allocation_domain").agg(F.sum("mass_kg").alias("tonnes"), F.sum("mass_kg").alias("weighted_tonnes")).withColumn("tonnes_pct", F.lit(100.0))
     allocation = allocate.targets(tonnage, TOTAL, "proportional")
     return found, allocation
@@ -215,8 +242,16 @@ def pick_list(s: SparkSession, d: str) -> DataFrame:
 
 
 def unmet_gaps(s: SparkSession, d: str) -> DataFrame:
+    """Targets for all domains of the block model; what drilling could fill is counted in whole samples a hole."""
+    allocation = _targets(s, d, "proportional").select("allocation_domain", "deficit")
+    per = v.table(s, d, "part").groupBy(F.concat_ws("-", F.upper("p_brand"), F.lit("MED")).alias("allocation_domain")).agg(F.count("*").alias("n"))
+    return allocate.unmet(allocation, per.select("allocation_domain", (F.col("n") % 3).alias("achieved")))
+
+
+def unmet_after_selection(s: SparkSession, d: str) -> DataFrame:
     found, allocation = _choice(s, d)
-    return allocate.unmet(allocation, select.achieved(select.greedy_select(found, allocation)))
+    few = select.SelectRules(max_per_hole=1, min_separation=400.0)
+    return allocate.unmet(allocation, select.achieved(select.greedy_select(found, allocation, few)))
 
 
 def objective_components(s: SparkSession, d: str) -> DataFrame:
@@ -257,6 +292,60 @@ def dq_duplicates(s: SparkSession, d: str) -> DataFrame:
     return _counts(checks.duplicated(v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_linenumber").alias("b")), ["a", "b"], "collar_duplicate", "collar"))
 
 
+def dq_framework(s: SparkSession, d: str) -> DataFrame:
+    """Every 17th hole without readings, every 19th without a log."""
+    survey, litho = v.survey(s, d).where("hole_id % 17 <> 0"), v.litho(s, d).where("hole_id % 19 <> 0")
+    return _counts(checks.without_survey(v.collar(s, d), survey).unionByName(checks.without_lithology(v.assay(s, d), litho)))
+
+
+def dq_placed(s: SparkSession, d: str) -> DataFrame:
+    rows = intervals.domain_of_code(intervals.logged_at_middle(v.assay(s, d), v.litho(s, d)), v.lookup(s, d))
+    rows = rows.withColumn("x_mid", F.when(F.col("hole_id") % 17 != 0, F.col("from_m")))
+    return _counts(checks.placed_checks(rows).unionByName(checks.codes_unmapped(v.litho(s, d), v.lookup(s, d))))
+
+
+def dq_extent(s: SparkSession, d: str) -> DataFrame:
+    return _counts(checks.extent_check(_assigned(s, d).withColumnRenamed("point_id", "hole_id"), 0.05))
+
+
+def dq_testwork(s: SparkSession, d: str) -> DataFrame:
+    """Every 12th record without a depth, and those of every 5th hole in no hole that has samples."""
+    k = F.col("_row")
+    work = v.testwork(s, d).withColumns({"to_m": F.when(k % 12 != 0, F.col("to_m")), "hole_id": F.when(k % 5 == 0, -k).otherwise(k)})
+    rows = intervals.domain_of_code(intervals.logged_at_middle(v.assay(s, d), v.litho(s, d)), v.lookup(s, d)).withColumnRenamed("geomet_domain", "allocation_domain")
+    marked = allocate.mark_testwork(intervals.with_interval_ids(rows), work)
+    known = s.createDataFrame([("VOLCANIC",), ("SEDIMENT",)], "allocation_domain string")
+    return _counts(checks.testwork_checks(work, marked).unionByName(checks.undomained(allocate.testwork_domains(work, rows, known))))
+
+
+def dq_allocation(s: SparkSession, d: str) -> DataFrame:
+    """The things that targets tell: nothing scheduled, no deficit, no grades, no spread, no named domain."""
+    tonnage = allocate.domain_tonnage(_labelled(s, d), WEIGHTS)
+    flat = tonnage.select("allocation_domain", F.lit(0.0).alias("grade_sd"))
+    done = tonnage.select("allocation_domain", F.lit(1000).cast("long").alias("existing"))
+    found = [
+        checks.allocation_checks(allocate.targets(tonnage.where("tonnes < 0"), TOTAL)), checks.allocation_checks(allocate.targets(tonnage, TOTAL, "proportional", existing=done), "proportional"),
+        checks.allocation_checks(allocate.targets(tonnage, TOTAL), dispersion=False), checks.allocation_checks(allocate.targets(tonnage, TOTAL, dispersion=flat, min_samples=1)),
+        checks.allocation_checks(allocate.targets(tonnage, TOTAL, "manual", manual={"NOWHERE": 1.0}, min_samples=1), "manual", manual=("NOWHERE",)),
+    ]
+    return _counts(found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4]))
+
+
+def dq_samples(s: SparkSession, d: str) -> DataFrame:
+    """A samples table in which two rows share an id where they have one order."""
+    rows = v.table(s, d, "lineitem").select(F.col("l_orderkey").alias("sample_id"))
+    return _counts(checks.inherited(rows))
+
+
+def unit_mismatch_ratio(s: SparkSession, d: str) -> DataFrame:
+    """Vertical intervals: every third in feet, every fourth of the others with depths in feet, the rest right."""
+    k = F.col("hole_id")
+    factor = F.when(k % 3 == 0, 1 / 0.3048).when(k % 4 == 0, 0.3048).otherwise(1.0)
+    zero = F.lit(0.0)
+    rows = v.assay(s, d).withColumns({"x_from": zero, "y_from": zero, "x_to": zero, "y_to": zero, "z_from": -F.col("from_m") * factor, "z_to": -F.col("to_m") * factor})
+    return checks.unit_ratio(rows).select("which", "rows", _r("median_ratio", 6))
+
+
 def dq_blocks(s: SparkSession, d: str) -> DataFrame:
     rows = v.blocks(s, d).withColumns({"dx": F.when(F.col("_row") % 50 == 0, 0.0).otherwise(F.col("dx")), "x": F.when(F.col("_row") % 40 == 0, F.col("x") - 40).otherwise(F.col("x"))})
     return _counts(checks.block_checks(rows))
@@ -266,7 +355,7 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
     """Values as a file would spell them."""
     k = F.col("event_id") % 12
     cents = F.floor(F.col("value") * 100).cast("string")
-    text = F.when(k == 0, "").when(k == 1, "-99.00").when(k == 2, "NA").when(k == 3, "<0.01").when(k == 4, F.concat(F.lit("< "), cents)).when(k == 5, "nan").when(k == 6, "-5").when(k == 7, "1.5d").when(k == 8, F.concat(F.lit(" "), cents, F.lit(" "))).when(k == 9, F.concat(cents, F.lit("e2"))).otherwise(cents)
+    text = F.when(k == 0, "").when(k == 1, "-99.00").when(k == 2, "NA").when(k == 3, "<0.01").when(k == 4, F.concat(F.lit("< "), cents)).when(k == 5, "nan").when(k == 6, "-5").when(k == 7, "1.5d").when(k == 8, F.concat(F.lit(" \t"), cents, F.lit("\t"))).when(k == 9, F.concat(cents, F.lit("e2"))).otherwise(cents)
     return v.table(s, d, "events").select("event_id", text.alias("t"))
 
 
@@ -302,7 +391,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         interval_split, interval_split_lengths, asof_litho_domain, unmapped_codes, sample_ids_suffix, desurvey_stations, desurvey_midpoints, planned_discretise, hole_ends_orientation,
         block_assign_nearest, outside_model_fraction, resolve_attributes, domain_match_rate, grade_bins, allocation_domain_labels, interval_mass_fail_closed, prior_testwork_overlap,
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, candidate_windows, best_window_per_start, domain_tonnage,
-        tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, objective_components, dq_intervals, dq_orphans, dq_beyond_depth,
+        tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
+        dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
         dq_density_range, dq_survey, dq_duplicates, dq_blocks, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
     )
     return {f.__name__: f for f in named}

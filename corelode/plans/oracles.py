@@ -131,10 +131,10 @@ placed_work AS (SELECT t.sample_id, coalesce(t.own, m.geomet_domain) AS domain F
 _TEXTS = """
 texts0 AS (SELECT event_id, event_id % 12 AS k, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS cents FROM events),
 texts AS (
-  SELECT event_id, CASE k WHEN 0 THEN '' WHEN 1 THEN '-99.00' WHEN 2 THEN 'NA' WHEN 3 THEN '<0.01' WHEN 4 THEN '< ' || cents WHEN 5 THEN 'nan' WHEN 6 THEN '-5' WHEN 7 THEN '1.5d' WHEN 8 THEN ' ' || cents || ' ' WHEN 9 THEN cents || 'e2' ELSE cents END AS t FROM texts0),
+  SELECT event_id, CASE k WHEN 0 THEN '' WHEN 1 THEN '-99.00' WHEN 2 THEN 'NA' WHEN 3 THEN '<0.01' WHEN 4 THEN '< ' || cents WHEN 5 THEN 'nan' WHEN 6 THEN '-5' WHEN 7 THEN '1.5d' WHEN 8 THEN ' ' || chr(9) || cents || chr(9) WHEN 9 THEN cents || 'e2' ELSE cents END AS t FROM texts0),
 plain AS (
-  SELECT event_id, trim(t) AS t, CASE WHEN regexp_full_match(trim(t), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(trim(t) AS DOUBLE) END AS n,
-    CASE WHEN regexp_full_match(trim(t), '<\\s*([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN CAST(trim(substr(trim(t), 2)) AS DOUBLE) END AS lim FROM texts),
+  SELECT event_id, t, CASE WHEN regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN CAST(t AS DOUBLE) END AS n,
+    CASE WHEN regexp_full_match(t, '<\\s*([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][-+]?[0-9]+)?') THEN CAST(trim(substr(t, 2)) AS DOUBLE) END AS lim FROM (SELECT event_id, trim(t, ' ' || chr(9)) AS t FROM texts)),
 grades AS (
   SELECT *, CASE WHEN t = '' THEN 'blank' WHEN upper(t) IN ('-99', 'NA') OR n = -99 THEN 'declared_null' WHEN lim IS NOT NULL THEN 'below_detection' WHEN n IS NULL THEN 'unparsed' WHEN n < 0 THEN 'negative' ELSE 'ok' END AS state FROM plain)"""
 
@@ -143,6 +143,14 @@ def _q(select: str, *parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
 
+def _rounded(basis: str, select: str = "SELECT allocation_domain, round(raw, 5) + 0 AS target_raw, target, deficit FROM given") -> str:
+    """Targets of 40 samples in proportion to `basis`, floors and largest remainders."""
+    return _q(select, _BLOCKS, _TONNAGE, f"""
+      shares AS (SELECT allocation_domain, coalesce(40 * b / nullif(sum(b) OVER (), 0), 0) AS raw FROM (SELECT *, {basis} AS b FROM tonnage)),
+      given AS (SELECT *, target AS deficit FROM (
+        SELECT *, CAST(floor(raw) + CASE WHEN row_number() OVER (ORDER BY raw - floor(raw) DESC, allocation_domain) <= 40 - sum(floor(raw)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS target FROM shares))""")
+
+
 _SEGMENTED = (_ASSAY, _LITHO, _CODED, _MASSED, _RUNS)
 _COUNTS = "SELECT severity, \"check\", CAST(n AS BIGINT) AS count FROM found WHERE n > 0"
 
@@ -200,13 +208,35 @@ ORACLES: dict[str, str] = {
       SELECT o_orderpriority, CAST(floor(share) + CASE WHEN row_number() OVER (ORDER BY share - floor(share) DESC, o_orderpriority) <= 1000 - sum(floor(share)) OVER () THEN 1 ELSE 0 END AS BIGINT) AS given FROM s""",
     "dq_intervals": _issues("moved", ("ERROR", "interval_depth_missing", "from_m IS NULL OR to_m IS NULL"), ("ERROR", "interval_order", "from_m >= to_m"), ("ERROR", "interval_overlap", "gap < -1e-9"),
       ("INFO", "interval_overlap_nested", "deep < -1e-9 AND NOT coalesce(gap < -1e-9, false) AND gap IS NOT NULL"), ("INFO", "interval_gap", "gap > 1e-9 AND gap <= 0.1::DOUBLE"), ("WARN", "interval_gap", "gap > 0.1::DOUBLE"), extra=(_ASSAY, _MOVED)),
-    "dq_orphans": "SELECT 'ERROR' AS severity, 'orphan_hole' AS \"check\", count(DISTINCT l_suppkey) AS count FROM lineitem WHERE l_suppkey % 5 = 0 OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier) HAVING count(*) > 0",
+    "dq_orphans": "SELECT 'ERROR' AS severity, 'orphan_hole' AS \"check\", count(*) AS count FROM lineitem WHERE l_suppkey % 5 = 0 OR l_suppkey NOT IN (SELECT s_suppkey FROM supplier) HAVING count(*) > 0",
     "dq_beyond_depth": _q("SELECT 'WARN' AS severity, 'beyond_total_depth' AS \"check\", count(*) AS count FROM assay JOIN supplier ON hole_id = s_suppkey WHERE to_m > 700 + 1e-6 HAVING count(*) > 0", _ASSAY),
     "dq_density_range": _issues("dense", ("WARN", "density_missing", "density IS NULL"), ("ERROR", "density_range", "density < 1.5 OR density > 6"),
       extra=(_ASSAY, " dense AS (SELECT CASE WHEN density > 2.85::DOUBLE THEN density * 3 WHEN density > 2.55::DOUBLE THEN density END AS density FROM assay)")),
     "dq_survey": _issues("read", ("ERROR", "azimuth_range", "az < 0 OR az >= 360"), ("ERROR", "dip_range", "abs(dip) > 90"), ("WARN", "survey_duplicate_depth", "depth = prev"), ("WARN", "survey_incomplete", "dip IS NULL"), extra=("""
       read0 AS (SELECT s_suppkey AS hole_id, CAST(CASE WHEN i = 5 THEN 200 ELSE i * 50 END AS DOUBLE) AS depth, CASE WHEN i <> 3 THEN -60 - 5 * (s_suppkey % 4) + 0.5 * i END AS dip, (s_suppkey * 37 + i * 2) % 360 + CASE WHEN i = 2 THEN 200 ELSE 0 END AS az FROM supplier, range(0, 17) t(i)),
       read AS (SELECT *, lag(depth) OVER (PARTITION BY hole_id ORDER BY depth) AS prev FROM read0)""",)),
+    "dq_framework": """SELECT 'WARN' AS severity, 'no_survey' AS "check", count(*) AS count FROM supplier WHERE s_suppkey % 17 = 0 HAVING count(*) > 0
+      UNION ALL SELECT 'WARN', 'no_lithology', count(DISTINCT l_suppkey) FROM lineitem WHERE l_suppkey % 19 = 0 HAVING count(*) > 0""",
+    "dq_placed": _q("""SELECT severity, "check", n AS count FROM (
+      SELECT 'WARN' AS severity, 'interval_not_desurveyed' AS "check", count(*) AS n FROM domained WHERE hole_id % 17 = 0 UNION ALL SELECT 'WARN', 'interval_not_logged', count(*) FROM domained WHERE logged_code IS NULL
+      UNION ALL SELECT 'ERROR', 'logged_code_unmapped', count(*) FROM domained WHERE logged_code IS NOT NULL AND geomet_domain IS NULL
+      UNION ALL SELECT 'ERROR', 'logged_code_unmapped', count(DISTINCT logged_code) FROM litho WHERE logged_code NOT IN (SELECT logged_code FROM lookup)) WHERE n > 0""", _ASSAY, _LITHO, _CODED),
+    "dq_extent": _q("""SELECT severity, "check", CAST(n AS BIGINT) AS count FROM (
+      SELECT 'INFO' AS severity, 'outside_model' AS "check", count(*) AS n FROM assigned WHERE outside UNION ALL SELECT 'ERROR', 'off_model_extent', CASE WHEN avg(CAST(outside AS INT)) > 0.05 THEN 1 ELSE 0 END FROM assigned) WHERE n > 0""", _BLOCKS, _POINTS),
+    "dq_testwork": _q("""SELECT severity, "check", CAST(n AS BIGINT) AS count FROM (
+      SELECT 'WARN' AS severity, 'prior_testwork_unlocated' AS "check", count(*) AS n FROM work WHERE b IS NULL
+      UNION ALL SELECT 'INFO', 'prior_testwork_excluded', count(*) FROM domained d WHERE EXISTS (SELECT 1 FROM work t WHERE t.hole_id = d.hole_id AND t.b > d.from_m + 1e-6 AND t.a < d.to_m - 1e-6)
+      UNION ALL SELECT 'WARN', 'existing_testwork_undomained', count(*) FROM work t WHERE own IS NULL AND NOT EXISTS (SELECT 1 FROM domained d WHERE t.hole_id = d.hole_id AND d.to_m > t.a AND d.from_m < t.b AND d.geomet_domain IS NOT NULL)) WHERE n > 0""",
+      _ASSAY, _LITHO, _CODED, _TESTWORK, " work AS (SELECT a, own, CASE WHEN hole_id % 12 <> 0 THEN b END AS b, CASE WHEN hole_id % 5 = 0 THEN -hole_id ELSE hole_id END AS hole_id FROM testwork)"),
+    "dq_allocation": """SELECT * FROM (VALUES ('ERROR', 'no_scheduled_tonnage'), ('WARN', 'no_deficit'), ('WARN', 'neyman_no_block_grade'), ('WARN', 'neyman_no_dispersion'), ('ERROR', 'manual_targets_missing')) t(severity, "check"), (SELECT CAST(1 AS BIGINT) AS count)""",
+    "dq_samples": """SELECT 'INFO' AS severity, 'geometry_supplied' AS "check", CAST(1 AS BIGINT) AS count UNION ALL SELECT 'INFO', 'boundaries_inherited', 1
+      UNION ALL SELECT 'INFO', 'sample_split_upstream', count(*) FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey HAVING count(*) > 1) HAVING count(*) > 0""",
+    "unit_mismatch_ratio": _q("""SELECT CASE WHEN f > 1 THEN 'coordinates in feet' ELSE 'depths in feet' END AS which, count(*) AS rows, round(median((to_m * f - from_m * f) / (to_m - from_m)), 6) AS median_ratio FROM (
+      SELECT *, CASE WHEN hole_id % 3 = 0 THEN 1 / 0.3048::DOUBLE WHEN hole_id % 4 = 0 THEN 0.3048::DOUBLE ELSE 1 END AS f FROM assay) WHERE f <> 1 GROUP BY 1""", _ASSAY),
+    "targets_proportional_risk": _rounded("weighted_tonnes * CASE allocation_domain WHEN 'BRAND#11-MED' THEN 2 WHEN 'BRAND#55-MED' THEN 0.5 ELSE 1 END::DOUBLE"),
+    "targets_manual": _rounded("CASE allocation_domain WHEN 'BRAND#12-MED' THEN 3 WHEN 'BRAND#21-HIGH' THEN 1 WHEN 'BRAND#34-MED' THEN 2.5 ELSE 0 END::DOUBLE"),
+    "unmet_gaps": _rounded("weighted_tonnes", """SELECT allocation_domain, deficit, coalesce(n, 0) AS achieved, deficit - coalesce(n, 0) AS missing
+      FROM given LEFT JOIN (SELECT upper(p_brand) || '-MED' AS allocation_domain, count(*) % 3 AS n FROM part GROUP BY 1) USING (allocation_domain) WHERE coalesce(n, 0) < deficit"""),
     "dq_duplicates": "SELECT 'ERROR' AS severity, 'collar_duplicate' AS \"check\", count(*) AS count FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) HAVING count(*) > 0",
     "dq_blocks": _q("""SELECT severity, "check", CAST(n AS BIGINT) AS count FROM (
       SELECT 'ERROR' AS severity, 'block_dimension' AS "check", count(*) AS n FROM blocks WHERE block % 50 = 0 UNION ALL SELECT 'INFO', 'period_unscheduled', count(*) FROM blocks WHERE period = ''

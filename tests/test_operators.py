@@ -262,3 +262,94 @@ def test_run_checks_tells_holes(spark):
     got = {r["check"]: (r["count"], r["detail"]["holes"]) for r in checks.interval_checks(rows, "assay").collect()}
     assert got == {"interval_overlap": (1, "A"), "interval_order": (1, "B"), "interval_depth_missing": (1, "C")}
     assert checks.ordered(checks.interval_checks(rows, "assay")).collect()[0]["severity"] == "ERROR"
+
+
+def test_hot_and_long_intervals_are_split(spark):
+    rng = np.random.default_rng(11)
+    spans = [("H", float(a), float(a) + float(n)) for a, n in zip(rng.integers(-300, 3000, 40), rng.choice([1, 40, 64, 65, 300, 5000, 70000], 40), strict=True)]
+    cuts = sorted({float(x) / 2 for x in rng.integers(-600, 8000, 300)})
+    got = joins.split_intervals(frame(spark, spans, SPANS), frame(spark, [("H", c) for c in cuts], "hole_id string, at_m double")).collect()
+    want = []
+    for _, a, b in spans:
+        edges = [a, *(c for c in cuts if a + 1e-6 < c < b - 1e-6), b]
+        want += zip(edges, edges[1:], strict=False)
+    assert sorted((r["from_m"], r["to_m"]) for r in got) == sorted(want)
+
+
+@pytest.mark.parametrize("text", ["5.2\t", "\t5.2", " 5.2 ", "\r\n5.2 "])
+def test_blanks_of_all_kinds(spark, text):
+    assert parsed(spark, text) == (5.2, "ok") and parsed(spark, text.replace("5.2", "")) == (None, "blank")
+
+
+def test_odd_periods_have_the_default_weight(spark):
+    rows = frame(spark, [(p,) for p in ("NaN", "Infinity", "1e30", "-1e30", "2.7", " 2 ", "-0.5", None, "x")], "p string")
+    got = [r[0] for r in rows.select(units.period_weight(F.col("p"), {"2": 5.0, "0": 7.0}, 1.5)).collect()]
+    assert got == [1.5, 1.5, 1.5, 1.5, 5.0, 5.0, 7.0, 1.5, 1.5]
+
+
+def test_issues_show_the_least_lines_and_top_values(spark):
+    rows = spark.range(5000).selectExpr("id as _row", "case when id % 10 = 3 then concat('bad', id % 70) when id % 2 = 0 then '-99' else '1' end as t").repartition(7)
+    rows = rows.withColumn("p", numbers.parse_grade(F.col("t"), numbers.ParseRules(("-99",))))
+    got = {r["check"]: r for r in numbers.parse_issues(rows, "assay", {"zn": ("t", "p")}).collect()}
+    assert got["null_value"]["count"] == 2500 and got["null_value"]["message"].endswith("lines 2, 4, 6, 8, 10")
+    assert got["null_value"]["detail"]["lines"].split(",") == [str(k) for k in range(2, 42, 2)]
+    assert got["value_unparseable"]["message"].startswith("zn: 'bad3' x 72, 'bad13' x 72, 'bad23' x 72, 'bad33' x 71, 'bad43' x 71 and 2 more; lines 5, 15")
+
+
+def test_many_holes_are_cut_to_twenty(spark):
+    rows = spark.range(3000).selectExpr("id as hole_id", "1.0D as from_m", "0.5D as to_m")
+    r = checks.interval_checks(rows, "assay").collect()[0]
+    assert (r["check"], r["count"], r["detail"]["holes"]) == ("interval_order", 3000, ",".join(map(str, range(20))))
+
+
+def test_duplicate_collars_place_once(spark):
+    collar = frame(spark, [(5, "H", 100.0, 0.0, 0.0, 10.0), (9, "H", 900.0, 0.0, 0.0, 10.0)], "_row long, hole_id string, east double, north double, rl double, total_depth double")
+    t = geometry.traces(collar, frame(spark, [("H", 0.0, -90.0, 0.0)], "hole_id string, depth double, dip double, azimuth double"))
+    assert sorted((r["depth"], r["x"]) for r in t.collect()) == [(0.0, 100.0), (10.0, 100.0)]
+
+
+def test_swap_draws_from_domains_without_deficit():
+    rng = np.random.default_rng(4)
+    rows = [row(f"c{i:02d}", f"H{i % 5}", 10.0 * (i // 5), dom="AB"[i % 2], cv=float(rng.random()), base=float(rng.random())) for i in range(30)]
+    table = pd.DataFrame(rows, columns=["candidate_id", "hole_id", "from_m", "to_m", "allocation_domain", "x_mid", "y_mid", "z_mid", "cv_primary", "domain_match", "base"])
+    c = select.Choice(table.sort_values(["hole_id", "from_m"], ignore_index=True), {"A": 4}, select.SelectRules(swaps=80))
+    c.greedy()
+    now, value, pool = list(c.taken), c.objective(c.taken), [i for i in range(30) if i not in c.taken]
+    draw = np.random.default_rng(42)
+    assert len(pool) == 26 and any(c.domain[i] == "B" for i in pool)
+    for _ in range(80):
+        at, new = int(draw.integers(4)), pool[int(draw.integers(26))]
+        trial = [*now[:at], new, *now[at + 1 :]]
+        if new not in now and c.free(new, now[:at] + now[at + 1 :])[0] and c.objective(trial) > value + 1e-12:
+            now, value = trial, c.objective(trial)
+    c.swap()
+    assert c.taken == now
+
+
+def test_selection_tells(spark):
+    cand = frame(spark, [("a", "H", 0.0, 5.0, "A", 0.0, 0.0, 0.0, 0.1, True, 0.8, ["x", "y"]), ("b", "H", 5.0, 9.0, "A", 3.0, 4.0, 0.0, 0.2, False, 0.7, ["y"])], f"candidate_id string, {SPANS}, allocation_domain string, x_mid double, y_mid double, z_mid double, cv_primary double, domain_match boolean, quality double, interval_ids array<string>")
+    wanted = frame(spark, [("A", 3), ("B", 0)], "allocation_domain string, deficit long")
+    got = select.greedy_select(cand, wanted)
+    assert {r["check"]: r["count"] for r in checks.selection_checks(cand, wanted, got).collect()} == {"selection_exhausted": 1, "interval_reused": 1}
+    none = select.greedy_select(cand.limit(0), wanted)
+    assert [r["check"] for r in checks.selection_checks(cand.limit(0), wanted, none).collect()] == ["no_candidates"]
+    r = select.objective_parts(got, wanted).collect()[0]
+    assert (r["fit"], r["separation"], r["samples"], r["match_rate"]) == (1, 5.0, 2, 0.5) and r["objective"] == pytest.approx(0.05 - 10 - 0.3 + 2.5)
+
+
+def test_greedy_equals_plain_search():
+    rng = np.random.default_rng(8)
+    for trial in range(6):
+        rows = [row(f"c{i:02d}", f"H{rng.integers(6)}", float(rng.integers(0, 60)), dom="ABC"[rng.integers(3)], x=float(rng.integers(0, 200)), cv=float(rng.random()), base=float(rng.integers(1, 9)) / 4) for i in range(50)]
+        rules = {"max_per_hole": 2, "min_separation": 15.0 * (trial % 2)}
+        table = sorted(rows, key=lambda r: (r[1], r[2], r[0]))
+        left, got = {"A": 3, "B": 4, "C": 1}, []
+        for _ in range(8):
+            ok = [r for r in table if r not in got and sum(p[1] == r[1] for p in got) < 2 and not any(p[1] == r[1] and r[2] < p[3] and r[3] > p[2] for p in got)]
+            ok = [r for r in ok if left[r[4]] > 0 and not any(math.dist(r[5:8], p[5:8]) < rules["min_separation"] for p in got)]
+            if not ok:
+                break
+            top = max(left[r[4]] * r[10] for r in ok)
+            got.append(min((r for r in ok if abs(left[r[4]] * r[10] - top) <= 1e-8 + 1e-5 * top), key=lambda r: (r[8], r[1], r[2])))
+            left[got[-1][4]] -= 1
+        assert chosen(rows, {"A": 3, "B": 4, "C": 1}, **rules) == [r[0] for r in got]

@@ -78,7 +78,7 @@ def test_planned_holes(spark, tmp_path):
     text = text.replace("attributes:\n", more + "attributes:\n", 1) + "block_model_options: {planned_grade_source: block_model}\n"
     state = project.stage_geometry(project.stage_load(spark, parse_config(text, str(tmp_path))))
     rows = state.tables["intervals"].where("is_planned").collect()
-    assert len(rows) == 60 and all(r["elem_Zn"] == r["bm_elem_Zn"] for r in rows) and sum(r["outside_model"] for r in rows) == 5
+    assert len(rows) == 60 and rows[0]["interval_id"].startswith("PLAN1_PLAN_") and all(r["elem_Zn"] == r["bm_elem_Zn"] for r in rows) and sum(r["outside_model"] for r in rows) == 5
 
 
 def test_validation_and_gate(spark, tmp_path):
@@ -130,6 +130,62 @@ def test_command_line(spark, tmp_path):
     got = yaml.safe_load(text)
     assert "# CONFIRM" in text and got["conventions"]["dip_convention"] == "negative_down" and got["elements"]["Zn"]["drillhole"] == {"field": "Zn_pct", "units": "pct"} and got["sources"]["assay"]["density"]["source"] == "BD_tonnes_m3"
     assert got["sources"]["collar"]["columns"]["east"] == "Easting"
+    whole = parse_config(text)
+    assert whole.domaining.allocation_key == ["grade_bin"] and whole.primary == "Zn" and whole.compositing.target_mass_kg == 50 and whole.sources.domain_lookup.path == "PATH_REQUIRED"
+
+
+def test_a_failed_run_leaves_its_report(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text(project_files.make(tmp_path), "utf-8")
+    with (tmp_path / "assay.csv").open("a", encoding="utf-8", newline="") as f:
+        f.write("DDH999,0,1,1,2.7,N\r\n")
+    assert cli.main(["run", str(tmp_path / "p.yaml"), "--out", str(tmp_path / "o")], spark) == 1
+    told = {r["check"]: r["count"] for r in spark.read.csv(f"{tmp_path}/o/validation_report", header=True).collect()}
+    assert told["orphan_hole"] == "1"
+
+
+def test_all_keys_of_a_configuration(tmp_path):
+    text = project_files.make(tmp_path)
+    for old, new in (
+        ("name: tiny,", "name: tiny, crs: null,"), ("target_mass_kg: 50,", "target_mass_kg: 50, allow_multi_hole: false,"), ("{1: 2.0}", "{1: 2.0, default: 0.5}"), ("swap_iterations: 50", "swap_iterations: 50, method: greedy_with_swap"),
+        ("elements:\n", "elements:\n  Pb: {drillhole: {field: Pb, units: pct}, block_model: {field: null, units: null}}\n"), ("flags: {low_recovery: {source: ", "null_values: [NS, -99, NO]\n    flags: {low_recovery: {true_values: [Y, 1, TRUE], source: "),
+    ):
+        assert old in text
+        text = text.replace(old, new, 1)
+    cfg = parse_config(text + "desurvey: {method: minimum_curvature, fill_collar_survey: false}\nreporting: {formats: [csv], include_plots: no}\n")
+    assert cfg.allocation.label_weights == {"1": 2.0} and cfg.allocation.default_weight == 0.5 and cfg.elements["Pb"].block_model is None
+    assert cfg.sources.assay.null_values == ["NS", "-99", "NO"] and cfg.sources.assay.flags["low_recovery"].true_values == ["Y", "1", "TRUE"] and cfg.sources.availability.value_map["UNAVAILABLE"] == ["DISPOSED", "NO"]
+    assert not cfg.desurvey.fill_collar_survey and not cfg.reporting.include_plots and cfg.reporting.formats == ["csv"]
+
+
+def test_cache_follows_contents(spark, tmp_path):
+    cfg = parse_config(project_files.make(tmp_path), str(tmp_path))
+    first = project.run(spark, cfg, "geometry", cache=f"{tmp_path}/cache").tables["intervals"]
+    assert first.count() == 480
+    path = next(p for p in (tmp_path / "cache").rglob("intervals") if p.is_dir())
+    (path / "_SUCCESS").unlink()  # as after a broken write
+    assert project.run(spark, cfg, "geometry", cache=f"{tmp_path}/cache").tables["intervals"].count() == 480
+    lines = (tmp_path / "assay.csv").read_bytes().split(b"\r\n")
+    (tmp_path / "assay.csv").write_bytes(b"\r\n".join(lines[:100]) + b"\r\n")
+    assert project.run(spark, cfg, "geometry", cache=f"{tmp_path}/cache").tables["intervals"].count() == 99
+
+
+def test_lines_are_dense_over_many_files(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.csv").write_text("a,b\n" + "".join(f"{k},{i}\n" for i in range(7 + k)), "utf-8")
+    rows = read_text(spark, str(tmp_path)).collect()
+    assert sorted(r["_row"] for r in rows) == list(range(sum(7 + k for k in range(5))))
+    (tmp_path / "g.csv").write_bytes("a\nfine \ufffd sign\n".encode())
+    assert read_text(spark, f"{tmp_path}/g.csv").collect()[0]["a"] == "fine \ufffd sign"
+
+
+def test_fallback_densities_and_blank_ids_are_counted(spark, tmp_path):
+    text = project_files.make(tmp_path).replace("to_m: To_m}", "to_m: To_m, sample_id: LowRec}").replace("{source: BD_tonnes_m3}", "{source: BD_tonnes_m3, fallback_constant: 2.6}")
+    told = {r["check"]: r["count"] for r in project.stage_load(spark, parse_config(text, str(tmp_path))).data.issues.collect()}
+    assert "density_fallback" not in told and "sample_id_blank" not in told
+    with (tmp_path / "assay.csv").open("a", encoding="utf-8", newline="") as f:
+        f.write("DDH001,60,61,1,,\r\nDDH001,61,62,1,,Y\r\n")
+    told = {r["check"]: r["count"] for r in project.stage_load(spark, parse_config(text, str(tmp_path))).data.issues.collect()}
+    assert told["density_fallback"] == 2 and told["sample_id_blank"] == 1
 
 
 def test_encodings(spark, tmp_path):
