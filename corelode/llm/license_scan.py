@@ -3,11 +3,15 @@ parser evaluates the and/or/with expressions behind the tags.
 
 Texts become lower-case words (``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` after lower-casing A-Z) joined by single blanks, so a
 phrase matches wherever its words stand consecutively; overlapping places all count. Expressions are read from the
-line of the tag in the original text.
+line of the tag in the original text, whatever stands between the tag's words.
 
-Score: 1 where a tag's expression parses, else 0.9 with a base phrase, 0.7 with another phrase, 0.5 with only a tag whose
-expression doesn't parse, else 0. Labels of an expression: for `or` and `and` those of both sides, `with` keeps its left side
-and adds ``exception``; ``+`` and version suffixes fold into the family.
+An expression is evaluated over its postfix form to three values. Labels: those of all identifiers, and ``exception`` for
+`with`; ``+`` and version suffixes fold into the family. Certainty: 1 for an identifier of a known family, 0.5 for another;
+`or` takes the larger side (any branch will do), `and` the smaller (all must hold), `with` that of its identifier.
+Permissive: whether permissive families alone meet it, by any branch of `or` and all of `and`; an exception changes nothing.
+
+Score: the largest certainty of the tags that parse; without one 0.9 with a base phrase, 0.7 with another phrase, 0.4 with only
+a tag whose expression doesn't parse, else 0. `permissive` is true if all tags that parse are, null if none does.
 
 Defined results: null and empty texts have no words, null places, empty labels and score 0; null or repeated ids are
 kept, each row is scanned alone; an empty table gives an empty result; other columns are ignored.
@@ -17,6 +21,7 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
@@ -41,7 +46,9 @@ MORE_PHRASES = {
     "all rights reserved": "reserved",
 }
 TAG = "spdx license identifier"
-_TAG_LINE = re.compile(r"spdx-license-identifier\s*:[ \t]*([^\r\n]*)", re.I)
+_TAG_LINE = re.compile(r"(?<![0-9A-Za-z\x80-\U0010ffff])spdx[\x00-/:-@\[-`{-\x7f]+license[\x00-/:-@\[-`{-\x7f]+identifier[ \t]*[:=][ \t]*([^\r\n]*)", re.I)
+#: Families that ask for no more than a notice.
+PERMISSIVE = {"mit", "apache", "bsd", "isc", "zlib", "unlicense", "cc0"}
 #: Identifier prefixes and families, the longest match counts.
 FAMILIES = {"mit": "mit", "apache": "apache", "gpl": "gpl", "lgpl": "lgpl", "agpl": "agpl", "bsd": "bsd", "0bsd": "bsd", "mpl": "mpl", "isc": "isc", "epl": "epl", "cc-by": "cc-by", "cc0": "cc0", "unlicense": "unlicense", "zlib": "zlib"}
 _STRENGTH = {"or": 1, "and": 2, "with": 3}
@@ -92,21 +99,35 @@ def to_postfix(expression: str) -> list[str] | None:
     return out + held[::-1]
 
 
-def evaluate(expression: str) -> set[str] | None:
-    """The families that an expression names; None where it doesn't parse."""
+class Value(NamedTuple):
+    """What an expression comes to."""
+
+    labels: frozenset[str]
+    certainty: float
+    permissive: bool
+    whole: bool = True  # of a single identifier
+
+
+def evaluate(expression: str) -> Value | None:
+    """None where it doesn't parse."""
     postfix = to_postfix(expression)
     if postfix is None:
         return None
-    stack: list[tuple[set[str], bool]] = []
+    stack: list[Value] = []
     for t in postfix:
-        if t in _STRENGTH:
-            right, left = stack.pop(), stack.pop()
-            if t == "with" and (left[1] or right[1]):  # it joins two identifiers, not expressions
+        if t not in _STRENGTH:
+            name = family(t)
+            stack.append(Value(frozenset({name or "other"}), 1.0 if name else 0.5, name in PERMISSIVE))
+            continue
+        right, left = stack.pop(), stack.pop()
+        if t == "with":
+            if not (left.whole and right.whole):  # it joins two identifiers, not expressions
                 return None
-            stack.append((left[0] | ({"exception"} if t == "with" else right[0]), True))
+            stack.append(Value(left.labels | {"exception"}, left.certainty, left.permissive, False))
         else:
-            stack.append(({family(t) or "other"}, False))
-    return stack[0][0]
+            pick, meets = (max, left.permissive or right.permissive) if t == "or" else (min, left.permissive and right.permissive)
+            stack.append(Value(left.labels | right.labels, pick(left.certainty, right.certainty), meets, False))
+    return stack[0]
 
 
 @lru_cache(1)
@@ -119,7 +140,7 @@ def automaton():
 
 
 def scan(text: bytes | None) -> tuple:
-    """n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    """n_words, n_base, first_word, last_word, base_labels, labels, score, permissive."""
     words = (text or b"").translate(ALNUM).split()
     line = " " + b" ".join(words).decode("latin-1") + " "
     places, base, more, tagged = [], set(), set(), False
@@ -132,23 +153,25 @@ def scan(text: bytes | None) -> tuple:
         else:
             more.add(MORE_PHRASES[phrase])
     score = 0.9 if base else 0.7 if more else 0.0
+    permissive = None
     if tagged:
         named = [evaluate(_JUNK.sub("", x).strip()) for x in _TAG_LINE.findall(text.decode("utf-8", "replace"))]
         known = [x for x in named if x is not None]
-        score = 1.0 if known else max(score, 0.5)
-        more.update(*known)
+        score = max((x.certainty for x in known), default=max(score, 0.4))
+        permissive = all(x.permissive for x in known) if known else None
+        more.update(*(x.labels for x in known))
     where = (line.count(" ", 0, min(places)), line.count(" ", 0, max(places))) if places else (None, None)
-    return len(words), len(places), *where, ",".join(sorted(base)), ",".join(sorted(base | more)), score
+    return len(words), len(places), *where, ",".join(sorted(base)), ",".join(sorted(base | more)), score, permissive
 
 
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     kind = df.schema[id_col].dataType.simpleString()
-    types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64()}
+    types = {"n_words": pa.int64(), "n_base": pa.int64(), "first_word": pa.int64(), "last_word": pa.int64(), "base_labels": pa.string(), "labels": pa.string(), "score": pa.float64(), "permissive": pa.bool_()}
 
     def run(batches):
         for b in batches:
             found = [scan(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([x[k] for x in found], t) for k, t in enumerate(types.values()))], names=["doc_id", *types])
 
-    out = pair(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double")
+    out = pair(df, id_col, text_col).mapInArrow(run, f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, permissive boolean")
     return out.withColumnRenamed("doc_id", id_col)

@@ -54,6 +54,74 @@ def licenses(text):
     return len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
 
 
+class _Expression:
+    """Recursive descent, by precedence."""
+
+    def __init__(self, text):
+        self.tokens, self.at = re.findall(r"[()]|[A-Za-z0-9.+:-]+|\S", text), 0
+
+    def peek(self):
+        return self.tokens[self.at].lower() if self.at < len(self.tokens) else None
+
+    def level(self, word, below):
+        left = below()
+        while self.peek() == word:
+            self.at += 1
+            right = below()
+            left = (left[0] | right[0], max(left[1], right[1]), left[2] or right[2]) if word == "or" else (left[0] | right[0], min(left[1], right[1]), left[2] and right[2])
+        return left
+
+    def atom(self):
+        t = self.peek()
+        self.at += 1
+        if t == "(":
+            inner = self.any()
+            if self.peek() != ")":
+                raise ValueError
+            self.at += 1
+            if self.peek() == "with":
+                raise ValueError
+            return inner
+        if t is None or t in ("and", "or", "with", ")") or not re.fullmatch(r"[a-z0-9.+:-]+", t):
+            raise ValueError
+        known = {"mit": "mit", "apache-2.0": "apache", "gpl-2.0+": "gpl", "isc": "isc", "zlib": "zlib", "cc-by-4.0": "cc-by"}.get(t)
+        value = {known or "other"}, 1.0 if known else 0.5, known in ("mit", "apache", "isc", "zlib")
+        if self.peek() == "with":
+            self.at += 1
+            after = self.peek()
+            self.at += 1
+            if after is None or after in ("and", "or", "with", "(", ")") or self.peek() == "with":
+                raise ValueError
+            value = value[0] | {"exception"}, *value[1:]
+        return value
+
+    def any(self):
+        return self.level("or", lambda: self.level("and", self.atom))
+
+    def value(self):
+        out = self.any()
+        if self.at != len(self.tokens):
+            raise ValueError
+        return out
+
+
+def license_verdict(text):
+    """labels, score, permissive; tags end their line or a comment."""
+    from corelode.llm.license_scan import MORE_PHRASES
+
+    w = " " + " ".join(WORDS.findall(text.translate(LOWER))) + " "
+    base = set(filter(None, licenses(text)[4].split(",")))
+    more = {v for k, v in MORE_PHRASES.items() if f" {k} " in w}
+    values, tagged = [], " spdx license identifier " in w
+    for said in re.findall(r"(?i)spdx[ _-]license[ _-]identifier ?[:=](.*)", text):
+        try:
+            values.append(_Expression(said.replace("*/", "")).value())
+        except ValueError:
+            pass
+    score = max(v[1] for v in values) if values else 0.9 if base else 0.7 if more else 0.4 if tagged else 0.0
+    return ",".join(sorted(base | more | {x for v in values for x in v[0]})), score, all(v[2] for v in values) if values else None
+
+
 def leaks(docs, items):
     """docs: {id: text}; items: [(id, text)] -> {id: (n_words, n_hit, n_items, items_sha256)}."""
     windows = defaultdict(set)

@@ -61,8 +61,40 @@ def test_expressions(text, postfix):
     assert license_scan.to_postfix(text) == postfix
 
 
+def test_license_labels_and_scores_equal_brute_force(spark):
+    rng = random.Random(12)
+    name = lambda: rng.choice(["MIT", "Apache-2.0", "GPL-2.0+", "ISC", "LicenseRef-x", "zlib", "cc-by-4.0"])
+    phrases = [*license_scan.BASE_PHRASES, *license_scan.MORE_PHRASES, "no license", "mit", "public license"]
+
+    def expression(depth):
+        kind = rng.random()
+        if depth == 0 or kind < 0.3:
+            return name() + (f" with {name()}" if rng.random() < 0.3 else "")
+        if kind < 0.4:
+            return f"({expression(depth - 1)})"
+        return f"{expression(depth - 1)} {rng.choice(['AND', 'or', 'and', 'OR'])} {expression(depth - 1)}"
+
+    texts = []
+    for i in range(300):
+        said = [rng.choice(phrases).title() + rng.choice([".", ",", "\n", " "]) for _ in range(rng.randrange(3))]
+        for _ in range(rng.randrange(3)):
+            e = expression(3)
+            e = e if rng.random() < 0.8 else rng.choice([e + ")", "(" + e, e + " OR", "AND " + e, "", e.replace(" ", " $ ", 1)])
+            said.append(rng.choice(["SPDX-License-Identifier: ", "// spdx license identifier : ", "SPDX_License-Identifier="]) + e + rng.choice(["\n", " */\n"]))
+        rng.shuffle(said)
+        texts.append((i, " ".join(said)))
+    for r in license_scan.scan_licenses(spark.createDataFrame(texts, "doc_id long, text string")).collect():
+        assert (r["labels"], r["score"], r["permissive"]) == brute.license_verdict(dict(texts)[r["doc_id"]]), dict(texts)[r["doc_id"]]
+
+
+def test_or_takes_any_branch_and_and_takes_all():
+    value = lambda e: license_scan.evaluate(e)[1:3]
+    assert value("MIT OR GPL-3.0") == (1.0, True) and value("MIT AND GPL-3.0") == (1.0, False) and value("Odd AND MIT") == (0.5, False) and value("Odd OR MIT") == (1.0, True)
+    assert value("GPL-2.0 WITH X") == (1.0, False) and value("(GPL-2.0 OR MIT) AND ISC") == (1.0, True)
+
+
 def test_with_joins_identifiers_only():
-    assert license_scan.evaluate("MIT OR ISC WITH X") == {"mit", "isc", "exception"}
+    assert license_scan.evaluate("MIT OR ISC WITH X").labels == {"mit", "isc", "exception"}
     assert license_scan.evaluate("(MIT OR ISC) WITH X") is None
     assert license_scan.evaluate("MIT WITH (A WITH B)") is None
 
