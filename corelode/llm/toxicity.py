@@ -4,7 +4,9 @@ A document's grade y in 0..K-1 has P(y <= k) = sigmoid(threshold_k - w.x): one w
 min(1, 10 sqrt(count / words)) of the vocabulary's features: words (lower-cased A-Z, ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+``) and their first
 6 and 8 bytes. The vocabulary is the `features` most associated with grades over zero among the training rows.
 
-Training takes at most `most_rows` labelled rows, the first in the order of a hash of their ids. Labels say toxic or not; among
+Training takes at most `most_rows` labelled texts, the first in the order of a hash of their ids, and of each id the text with the least
+hash, so that a repeated id counts once. Features in fewer than `least_documents` of them, or associated by less than `least_z`
+standard errors, are noise and take no part. Labels say toxic or not; among
 toxic rows those whose share of vocabulary words is at least the median get grade 2, the others grade 1. Scoring reads every
 whole text; what is broadcast is the sample's labels (bounded by `most_rows`) and the model (bounded by `features`).
 
@@ -29,6 +31,8 @@ from corelode.llm.common import ALNUM, durable
 
 MOST_ROWS = 20_000
 FEATURES = 4096
+LEAST_DOCUMENTS = 3
+LEAST_Z = 3.0
 THRESHOLD = 0.3
 PREFIXES = (6, 8)
 _FLUSH = 200_000
@@ -124,14 +128,16 @@ def _document_counts(batches):
     yield out()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, features: int = FEATURES) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most_rows: int = MOST_ROWS, features: int = FEATURES, least_documents: int = LEAST_DOCUMENTS, least_z: float = LEAST_Z) -> OrdinalModel:
     few = labels.select(F.col(id_col).alias("id"), (F.col(label_col) > 0).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     # Of very many labels only about twice what is needed gets sorted.
     part = 2.0 * most_rows / max(1, few.count())
     if part < 1:
         few = few.where(F.xxhash64("id") < F.lit(int(-(1 << 63) + part * (1 << 64))))
     few = few.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(few), "id")  # at most most_rows rows of an id and a bit
+    text = F.col(text_col).cast("binary").alias("text")
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), text).join(F.broadcast(few), "id")  # at most most_rows rows of an id and a bit
+    rows = rows.groupBy("id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
     rows = durable(rows.select("text", "y"))
     total = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if len(total) < 2:
@@ -139,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     seen = rows.mapInArrow(_document_counts, "feature binary, toxic long, other long").groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     a, b, na, nb = F.col("toxic") + 0.5, F.col("other") + 0.5, float(total[1] + 1), float(total[0] + 1)
     far = F.abs(F.log(a / na) - F.log(b / nb)) / F.sqrt(1 / a + 1 / b)
-    top = seen.where("toxic + other >= 3").withColumn("far", far).where("far >= 3").orderBy(F.desc("far"), "feature").limit(features).collect()
+    top = seen.where(F.col("toxic") + F.col("other") >= least_documents).withColumn("far", far).where(F.col("far") >= least_z).orderBy(F.desc("far"), "feature").limit(features).collect()
     if not top:
         return OrdinalModel()
     model = OrdinalModel({bytes(r["feature"]): i for i, r in enumerate(top)})
@@ -185,6 +191,8 @@ def drop_toxic(docs: DataFrame, model: OrdinalModel, text_col: str = "text", thr
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([t is None or bool(shared.value.above(t.encode())[0] < threshold) for t in b.column(at).to_pylist()], pa.bool_()))
+            keep = [not t.is_valid or bool(shared.value.above(t.as_buffer().to_pybytes())[0] < threshold) for t in b.column(at)]
+            yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(run, docs.toDF(*(f"c{i}" for i in range(len(names)))).schema).toDF(*names)
+    inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
+    return inner.mapInArrow(run, inner.schema).toDF(*names)

@@ -106,6 +106,43 @@ def test_toxicity_gradient():
     assert weights[0] < weights[1] < weights[2] and cuts[0] < cuts[1]
 
 
+def test_toxicity_fit_is_the_least_of_a_plain_loss():
+    """The loss is written out from its definition; no step from the fitted point lowers it."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n, width = 240, 4
+    x = rng.random((n, width)) * (rng.random((n, width)) < 0.7)
+    grades = np.clip((x @ [3.0, -2.0, 1.0, 0.0] + rng.normal(0, 1, n)).round().astype(int), 0, 2)
+    rows, cols = np.nonzero(x)
+    weights, cuts = toxicity.fit(rows, cols, x[rows, cols], grades, width, ridge=0.0, steps=3000, rate=0.02)
+
+    def loss(w, c):
+        total = 0.0
+        for i in range(n):
+            below = [0.0, *(1 / (1 + math.exp(-(t - float(x[i] @ w)))) for t in c), 1.0]
+            total -= math.log(below[grades[i] + 1] - below[grades[i]])
+        return total / n
+
+    best = loss(weights, cuts)
+    for k in range(width + 2):
+        for step in (-0.02, 0.02):
+            w, c = weights.copy(), cuts.copy()
+            (w if k < width else c)[k if k < width else k - width] += step
+            assert loss(w, c) > best
+    model = toxicity.OrdinalModel({b"bad": 0, b" 6 rotten": 1}, np.array([2.0, 1.5]), np.array([0.5, 1.0]))
+    text = b"a Bad rottenest day, bad!"
+    z = 2.0 * min(1, 10 * math.sqrt(2 / 5)) + 1.5 * min(1, 10 * math.sqrt(1 / 5))
+    assert model.above(text) == pytest.approx([1 - 1 / (1 + math.exp(-(t - z))) for t in (0.5, 1.0)])
+
+
+def test_toxicity_counts_a_repeated_id_once(spark, rude):
+    docs, labels = rude
+    more = docs.unionByName(docs.where("doc_id = 0").selectExpr("*", "explode(sequence(1, 400)) as k").drop("k"))
+    a, b = toxicity.train(docs, labels), toxicity.train(more, labels)
+    assert a.index == b.index and list(a.thresholds) == pytest.approx(list(b.thresholds)) and list(a.weights) == pytest.approx(list(b.weights))
+
+
 def test_toxicity_without_labels(rude):
     docs, labels = rude
     model = toxicity.train(docs, labels.limit(0))
