@@ -203,24 +203,6 @@ class MatchedModels:
         return -np.log((two + self.backoff * p) / (context + self.backoff))
 
 
-def most_frequent(counted: DataFrame, key: str, bound: int) -> DataFrame:
-    """About the `bound` most frequent keys, never many more: whole frequencies while they fit, then of the next frequency, whose keys
-    are all equally frequent, those whose hash is in the part that is left. learn() doesn't use it: the models keep all keys.
-    No task sorts or gathers the candidates; a count a frequency reaches the driver."""
-    banded = counted.withColumn("band", F.col("target") + F.col("background"))
-    sizes = sorted(((r["band"], r["n"]) for r in banded.groupBy("band").agg(F.count("*").alias("n")).collect()), reverse=True)
-    left, lowest, part = bound, 1 << 62, 0.0
-    for band, n in sizes:
-        if n > left:
-            part = left / n
-            break
-        left, lowest = left - n, band
-    share = F.xxhash64(key).bitwiseAND(F.lit((1 << 31) - 1)) / float(1 << 31)
-    below = max((band for band, _ in sizes if band < lowest), default=None)
-    kept = F.col("band") >= lowest
-    return banded.where(kept if below is None else kept | ((F.col("band") == below) & (share < part))).drop("band")
-
-
 def learn(target: DataFrame, background: DataFrame, text_col: str = "text", backoff: float = BACKOFF) -> MatchedModels:
     t, b = (d.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(_count_words, "word long, n long") for d in (target, background))
     zero = F.lit(0).cast("long")

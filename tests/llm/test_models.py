@@ -186,12 +186,6 @@ def test_lm_scores(spark):
     assert all(r["score"] is None or abs(r["score"]) < 1e-6 for r in lm_score.score_documents(b, empty).collect())
 
 
-def test_most_frequent_is_bounded(spark):
-    rows = spark.range(5000).selectExpr("id as bigram", "1 + id % 7 as target", "0L as background")
-    assert 900 <= lm_score.most_frequent(rows, "bigram", 1000).count() <= 1100
-    assert lm_score.most_frequent(rows, "bigram", 10_000).count() == 5000
-
-
 def test_lm_models_keep_all_words_and_bigrams(spark):
     rng = random.Random(14)
     target = [" ".join(f"w{rng.randrange(40_000)}" for _ in range(400)) for _ in range(60)]
@@ -207,12 +201,6 @@ def test_lm_models_keep_all_words_and_bigrams(spark):
             assert got[i]["loss_target"] == pytest.approx(wanted[0], rel=1e-9) and got[i]["loss_background"] == pytest.approx(wanted[1], rel=1e-9)
 
 
-def test_most_frequent_takes_the_more_frequent(spark):
-    rows = spark.range(4000).selectExpr("id as bigram", "1000000 + id % 4 as target", "0L as background")
-    kept = [r["target"] % 4 for r in lm_score.most_frequent(rows, "bigram", 2500).collect()]
-    assert kept.count(3) == kept.count(2) == 1000 and 0 not in kept
-
-
 TEXTS = ["", " ", "  two  blanks ", "Hello world", "tab\tand\nline\r\n", "é 漢字 🙂 x", "a" * 50, "$$$$$ &&&&& ### ***", "The the THE", "日本語テキスト", "Ünïcode naïve café", "x" * 3 + " " * 20 + "y", "word " * 5000, None]
 
 
