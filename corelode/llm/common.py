@@ -34,10 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none, one in the warehouse."""
+    """The folder of spark.checkpoint.dir; where the session names none, one in the warehouse, which on a cluster mustn't be a local folder."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    return named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    if named:
+        return named
+    place = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not sc.master.startswith("local") and (place.startswith("file:") or "://" not in place):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return place + "/_checkpoints"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -48,6 +53,14 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(df: DataFrame) -> None:
+    """Deletes the files of durable(), once nothing reads df any more."""
+    plan, sc = df._jdf.queryExecution().logical(), df.sparkSession.sparkContext
+    if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+        path = sc._jvm.org.apache.hadoop.fs.Path(file.get())
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -1,7 +1,7 @@
 """Connected components of a link table by alternating large-star and small-star steps.
 
 Each step is an aggregation to the least neighbour and an equi-join back; links are kept in the shared checkpoint folder
-after each round, and only a count and a checksum reach the driver.
+after each round, those of the round before are deleted, and only a count and a checksum reach the driver.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelode.llm.common import durable
+from corelode.llm.common import durable, release
 
 
 def _least(links: DataFrame) -> DataFrame:
@@ -42,7 +42,8 @@ def least_member(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     for _ in range(most_rounds):
         if not seen[0]:
             return now
-        now = durable(_small_star(_large_star(now)))
+        before, now = now, durable(_small_star(_large_star(now)))
+        release(before)
         if (got := _sum(now)) == seen:
             return now
         seen = got
