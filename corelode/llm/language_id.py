@@ -6,6 +6,9 @@ expectation-maximisation finds the proportions of languages among its words; the
 learned languages, are fitted alone, and the set with the best likelihood less `penalty` * log(words) / 2 for each further language counts.
 The prediction is its largest part, the score that part's share.
 
+Evidence for a document is its log-likelihood a trigram under its mixture, over that of cells drawn evenly. Where it isn't positive, no
+learned language explains the text better than chance; drop_unidentified() rejects such texts.
+
 Documents of a slice go through the iterations together as one matrix (words x languages), cut so that memory is bounded.
 
 Defined results: null texts, empty ones and those without a letter get ``und`` and score 0; so does every text if nothing
@@ -67,9 +70,9 @@ class LanguageModel:
             k = stop
         return np.concatenate(out) if out else np.zeros((0, len(self.names)), dtype=np.float32)
 
-    def infer(self, texts: list[bytes | None]) -> list[tuple[list[str], list[float]]]:
-        """Languages and shares of each text, the largest first; none where there is no letter."""
-        out: list[tuple[list[str], list[float]]] = [([], [])] * len(texts)
+    def infer(self, texts: list[bytes | None]) -> list[tuple[list[str], list[float], float]]:
+        """Languages and shares of each text, the largest first, and the evidence; none where there is no letter."""
+        out: list[tuple[list[str], list[float], float]] = [([], [], 0.0)] * len(texts)
         good = [i for i, t in enumerate(texts) if t and self.names and has_letter(t)]
         lines = [t.translate(_LETTERS) for t in (texts[i] for i in good)]
         many = [len(x.split()) for x in lines]
@@ -77,10 +80,12 @@ class LanguageModel:
         if not good:
             return out
         ll = self.words(b" " + b" ".join(lines) + b" ")
-        shares = mixture(ll, np.array(many))
-        for i, p in zip(good, shares, strict=True):
+        many = np.array(many)
+        shares = mixture(ll, many)
+        found = evidence(ll, many, shares, np.array([len(x) - x.count(b" ") for x in lines]))
+        for i, p, e in zip(good, shares, found.tolist(), strict=True):
             order = [int(k) for k in np.argsort(-p, kind="stable") if p[k] > 0]
-            out[i] = ([self.names[k] for k in order], [min(1.0, float(p[k])) for k in order])
+            out[i] = ([self.names[k] for k in order], [min(1.0, float(p[k])) for k in order], e)
         return out
 
 
@@ -121,6 +126,14 @@ def mixture(ll: np.ndarray, many: np.ndarray, penalty: float = PENALTY, rounds:
     return best
 
 
+def evidence(ll: np.ndarray, many: np.ndarray, shares: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+    """Of each document: the mean over its trigrams of log P under its mixture less that of even cells."""
+    top = ll.max(axis=1)
+    word = top + np.log(np.maximum((np.exp(ll - top[:, None]) * np.repeat(shares, many, axis=0)).sum(axis=1), 1e-30))
+    starts = np.concatenate(([0], np.cumsum(many)[:-1]))
+    return np.add.reduceat(word.astype(np.float64), starts) / trigrams + np.log(CELLS)
+
+
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -174,8 +187,8 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
     return few.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages array<string>, shares array<double>").withColumnRenamed("doc_id", id_col)
 
 
-def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_share: float = 0.2) -> DataFrame:
-    """docs without the rows whose language isn't known or has a share under `least_share`; all columns as they were."""
+def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "text", least_evidence: float = 0.0) -> DataFrame:
+    """docs without the rows that have no language or not more than `least_evidence` for theirs; all columns as they were."""
     shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
     inner = docs.toDF(*(f"c{i}" for i in range(len(names))))
     at = f"c{names.index(text_col)}"
@@ -184,6 +197,6 @@ def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "te
         for whole in batches:
             for b in slices(whole, at, _most(shared.value)):
                 found = shared.value.infer([t if t is None else t.encode() for t in b.column(at).to_pylist()])
-                yield b.filter(pa.array([bool(x[1]) and x[1][0] >= least_share for x in found], pa.bool_()))
+                yield b.filter(pa.array([bool(x[1]) and x[2] > least_evidence for x in found], pa.bool_()))
 
     return inner.mapInArrow(run, inner.schema).toDF(*names)

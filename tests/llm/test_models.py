@@ -61,6 +61,49 @@ def test_text_in_all_languages(spark):
     assert got[1001]["languages"] == ["aa", "bb"] and abs(got[1001]["shares"][1] - 8 / 608) < 0.005
 
 
+def test_letters_that_are_no_language_are_rejected(spark, talk):
+    rng = random.Random(21)
+    junk = [" ".join("".join(rng.choice("qwxzjvfbgdyh0") for _ in range(rng.randrange(3, 9))) for _ in range(60)) for _ in range(20)]
+    rows = [(i, t, None, "q") for i, t in enumerate(junk, 2000)] + [(3000, sentence(rng, "aa", 5) + " xq zj", None, "q"), (3001, " ".join(sentence(rng, x, 9) for x in SYLLABLES), None, "q")]
+    docs = talk.unionByName(spark.createDataFrame(rows, talk.schema))
+    kept = {r["doc_id"] for r in language_id.drop_unidentified(docs, language_id.learn(docs)).collect()}
+    assert not kept & set(range(2000, 2020)) and {3000, 3001, *range(300)} <= kept
+
+
+def test_mixture_equals_plain_em():
+    """Set by set, document by document, word by word."""
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    many = np.array([1, 2, 7, 30, 55])
+    ll = rng.normal(-20, 4, (int(many.sum()), 3)).astype(np.float32)
+    ll[-30:, 0] += 12
+    ll[-55:-30, 2] += 12
+    got, at = language_id.mixture(ll, many), 0
+
+    def em(rows, share, rounds=10):
+        for _ in range(rounds):
+            part = [[s * math.exp(float(x)) for s, x in zip(share, r, strict=True)] for r in rows]
+            total = [sum(p) for p in part]
+            share = [sum(p[k] / t for p, t in zip(part, total, strict=True)) / len(rows) for k in range(3)]
+        return share, sum(map(math.log, total))
+
+    for n, chosen in zip(many.tolist(), got, strict=True):
+        rows, at = (ll[at : at + n] - ll[at : at + n].max(axis=1, keepdims=True)).tolist(), at + n
+        share, _ = em(rows, [1 / 3] * 3)
+        order = sorted(range(3), key=lambda k: -share[k])
+        alone = [sum(r[k] for r in rows) for k in range(3)]
+        best = (max(alone), [float(k == alone.index(max(alone))) for k in range(3)])
+        for k in itertools.takewhile(lambda k: sum(s * n >= 0.5 for s in share) >= k, (2, 3)):
+            start = [share[i] if i in order[:k] else 0.0 for i in range(3)]
+            fitted, value = em(rows, [s / sum(start) for s in start])
+            value -= language_id.PENALTY * (k - 1) * math.log(max(n, 2)) / 2
+            best = max(best, (value, fitted), key=lambda x: x[0])
+        assert chosen == pytest.approx(best[1], abs=1e-3)
+
+
 def test_no_languages(spark, talk):
     none = talk.limit(0)
     assert language_id.identify(none, language_id.learn(none)).count() == 0
