@@ -10,6 +10,9 @@ once, and equal-length words advance together:
   encoding. Here the best-ranked pair of neighbours (the leftmost of equals) of every word is merged in each round; hashes of
   the joined substrings probe the same sorted keys, and vectorised maxima choose the pair.
 
+Words of more than `LONG` characters (unbroken scripts, base64) are encoded one by one in near-linear time instead: the same search with a
+dictionary of pieces, or merges from a heap; they are not kept.
+
 Characters that no piece has become their UTF-8 bytes' pieces if the model has these, else unknown.
 
 Defined results: a null text gives null ids and decodes to null; an empty text gives no ids; ids may be null or repeated; an
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +40,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are kept with their ids; the whole store is emptied at this size.
 _KEPT = 250_000
 _CELLS = 1 << 21
+#: Characters from which a word is encoded alone; rounds of merges over a word of n characters cost n * n.
+LONG = 256
+MODEL_BYTES = 64 << 20
 
 
 def _fields(data: bytes):
@@ -113,6 +120,7 @@ class Pieces:
         inner = "".join(re.escape(c) for c in sorted(joined - {BLANK}))
         self.cut = re.compile(f"{BLANK}*[{inner}]+|{BLANK}+|[^{BLANK}]" if inner else f"{BLANK}+|[^{BLANK}]")
         self.least = float(self.scores[usable].min()) if usable else 0.0
+        self.known = {self.names[i]: i for i in usable}
 
     def _hash(self, s: str) -> np.uint64:
         h = np.uint64(0)
@@ -199,12 +207,71 @@ class Pieces:
             rate(np.concatenate((active, active[has])), np.concatenate((pick, prior[has])))
         return live
 
+    def merge_one(self, word: str) -> list[int]:
+        """Ends of the pieces of a long word after best-ranked merges (the leftmost of equals), taken from a heap."""
+        size, known, scores = len(word), self.known, self.scores.tolist()
+        end = list(range(1, size + 1))  # of the symbol that starts here; 0: none does
+        before = list(range(-1, size - 1))
+
+        def pair(start: int):
+            mid = end[start]
+            if mid < size and (i := known.get(word[start : end[mid]])) is not None:
+                return -scores[i], start, mid, end[mid]
+            return None
+
+        heap = [x for k in range(size) if (x := pair(k))]
+        heapify(heap)
+        while heap:
+            _, start, mid, stop = heappop(heap)
+            if end[start] != mid or end[mid] != stop:
+                continue
+            end[start], end[mid] = stop, 0
+            if stop < size:
+                before[stop] = start
+                if x := pair(start):
+                    heappush(heap, x)
+            if before[start] >= 0 and (x := pair(before[start])):
+                heappush(heap, x)
+        return [e for e in end if e]
+
+    def viterbi_one(self, word: str) -> list[int]:
+        """Ends of the pieces of the best path of a long word."""
+        size, known, scores, longest = len(word), self.known, self.scores, self.longest
+        odd = np.float32(self.least - 10)
+        best, back = [np.float32(0)] * (size + 1), [0] * (size + 1)
+        for e in range(1, size + 1):
+            top = None
+            for n in range(min(longest, e), 0, -1):
+                i = known.get(word[e - n : e])
+                if i is None and n > 1:
+                    continue
+                value = best[e - n] + (odd if i is None else scores[i])
+                if top is None or value > top:
+                    top, back[e] = value, n
+            best[e] = top
+        out, e = [], size
+        while e:
+            out.append(e)
+            e -= back[e]
+        return out[::-1]
+
+    def encode_one(self, word: str) -> bytes:
+        start, ids = 0, []
+        for e in self.merge_one(word) if self.kind == BPE else self.viterbi_one(word):
+            piece, start = word[start:e], e
+            i = self.known.get(piece)
+            ids += self._bytes(piece) if i is None else [i]
+        return np.array(ids, dtype="<i4").tobytes()
+
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids (32 bits each) of different words, taken together by length."""
         out: list[bytes] = [b""] * len(words)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
-            by.setdefault(len(w), []).append(i)
+            if len(w) > LONG:
+                out[i] = self.encode_one(w)
+            else:
+                by.setdefault(len(w), []).append(i)
         by.pop(0, None)
         for size, group in by.items():
             step = max(1, _CELLS // size)
@@ -256,7 +323,11 @@ class Codec:
         kept = self.kept
         new = list(set().union(*(ws for ws in cut if ws)).difference(kept))
         kept.update(zip(new, self.pieces.encode_words(new), strict=True))
-        return [None if ws is None else np.frombuffer(b"".join(map(kept.__getitem__, ws)), dtype="<i4") for ws in cut]
+        out = [None if ws is None else np.frombuffer(b"".join(map(kept.__getitem__, ws)), dtype="<i4") for ws in cut]
+        for w in new:
+            if len(w) > LONG:
+                del kept[w]
+        return out
 
 
 _CODECS: dict[str, Codec] = {}
@@ -271,14 +342,18 @@ def _codec(shared, kind: int | None) -> Codec:
     return _CODECS[key]
 
 
+def _model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        data = f.read(MODEL_BYTES + 1)
+    if len(data) > MODEL_BYTES:
+        raise ValueError("the model file is over 64 MB")
+    return data
+
+
 def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", kind: int | None = None) -> DataFrame:
     """(id, n_ids, ids, ids_sha256, round_trip): the digest is of the ids in 4 bytes each, the lowest first; round_trip tells whether decoding gives
     the text back. The model file is read on the driver and broadcast (its size is checked: 64 MB at most)."""
-    with open(model_path, "rb") as f:
-        data = f.read(64 << 20 | 1)
-    if len(data) > 64 << 20:
-        raise ValueError("the model file is over 64 MB")
-    shared, of = docs.sparkSession.sparkContext.broadcast(data), docs.schema[id_col].dataType.simpleString()
+    shared, of = docs.sparkSession.sparkContext.broadcast(_model(model_path)), docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         codec = _codec(shared, kind)
@@ -298,9 +373,7 @@ def encode_texts(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_
 
 def decode_ids(rows: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """(id, text) from arrays of ids."""
-    with open(model_path, "rb") as f:
-        data = f.read()
-    shared, of = rows.sparkSession.sparkContext.broadcast(data), rows.schema[id_col].dataType.simpleString()
+    shared, of = rows.sparkSession.sparkContext.broadcast(_model(model_path)), rows.schema[id_col].dataType.simpleString()
 
     def run(batches):
         pieces = _codec(shared, None).pieces

@@ -274,6 +274,30 @@ def test_codec_equals_library(model_bytes, kind):
         assert ids.tolist() == library.encode(t) and codec.pieces.decode(ids.tolist()) == t
 
 
+@pytest.mark.parametrize("kind", [sentencepiece_codec.BPE, sentencepiece_codec.UNIGRAM])
+def test_unbroken_texts_take_linear_time(model_bytes, kind):
+    import time
+
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    proto = pb.ModelProto()
+    proto.ParseFromString(model_bytes)
+    proto.trainer_spec.model_type = kind
+    data = proto.SerializeToString()
+    library, codec = sentencepiece.SentencePieceProcessor(model_proto=data), sentencepiece_codec.Codec(sentencepiece_codec.Pieces(data))
+    rng = random.Random(16)
+    make = lambda n: "".join(rng.choice("ABCDabcdefghijklmnop0123+/") for _ in range(n))
+    for text in (make(257), make(3000) + " " + make(2000), "a" * 4000, "é漢" + "日本語" * 500, make(300) + "🙂" + make(300), "ab" * 9000):
+        got = codec.encode([text])[0].tolist()
+        assert codec.pieces.decode(got) == text
+        if kind == sentencepiece_codec.BPE or len(text) < 6000:
+            assert got == library.encode(text)
+    began = time.time()
+    text = make(1_000_000)
+    assert codec.pieces.decode(codec.encode([text])[0].tolist()) == text and time.time() - began < 60 and not any(len(w) > sentencepiece_codec.LONG for w in codec.kept)
+
+
 def test_codec_frames(spark, model_bytes):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(TEXTS)] + [(None, "a b", "k"), (3, "Hello world", "k")], "doc_id long, text string, ids string")
     out = sentencepiece_codec.encode_texts(docs, TOKENIZER)
