@@ -6,9 +6,11 @@ once, and equal-length words advance together:
 
 * Unigram models: batched Viterbi. For each end and each piece length, hashes of the substrings (from prefix hashes) probe
   the sorted hashes of the pieces; vectorised maxima of score + best score before store backpointers.
-* BPE models: their piece scores are merge ranks, which no sum over a path reproduces, so Viterbi can't give their
-  encoding. Here the best-ranked pair of neighbours (the leftmost of equals) of every word is merged in each round; hashes of
-  the joined substrings probe the same sorted keys, and vectorised maxima choose the pair.
+* BPE models: their piece scores are merge ranks, which no sum over a path reproduces. But merging gives each prefix of a word one last
+  piece, and a piece can follow another only if merging the two texts together gives back the two. So the same search runs over
+  ends, lengths and probes, a path's score being whether all its neighbours may stand together; one path has it at each end, the
+  maximum finds it, and its ids are those of the merges. Which pairs may stand together follows from undoing the merges of both,
+  and is kept in a table of fixed size.
 
 Words of more than `LONG` characters (unbroken scripts, base64) are encoded one by one in near-linear time instead: the same search with a
 dictionary of pieces, or merges from a heap; they are not kept.
@@ -40,6 +42,8 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Words that are kept with their ids; the whole store is emptied at this size.
 _KEPT = 250_000
 _CELLS = 1 << 21
+_PAIR_BITS = 21
+_KEY_BITS = 20
 #: Characters from which a word is encoded alone; rounds of merges over a word of n characters cost n * n.
 LONG = 256
 MODEL_BYTES = 64 << 20
@@ -107,6 +111,9 @@ class Pieces:
         self.keys = keys[order]
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces have one hash")
+        #: Whether any key has these highest bits: most substrings are no piece, and this tells it without a search.
+        self.some = np.zeros(1 << _KEY_BITS, dtype=bool)
+        self.some[self.keys >> np.uint64(64 - _KEY_BITS)] = True
         self.ids = np.array(usable, dtype=np.int64)[order]
         self.scores = np.array(scores, dtype=np.float32)
         self.key_scores = self.scores[self.ids]
@@ -120,7 +127,10 @@ class Pieces:
         inner = "".join(re.escape(c) for c in sorted(joined - {BLANK}))
         self.cut = re.compile(f"{BLANK}*[{inner}]+|{BLANK}+|[^{BLANK}]" if inner else f"{BLANK}+|[^{BLANK}]")
         self.least = float(self.scores[usable].min()) if usable else 0.0
+        self.ranked = len(np.unique(self.key_scores)) == len(self.key_scores)  # else ranks don't tell which merge comes first
         self.known = {self.names[i]: i for i in usable}
+        self.alone = np.zeros(0, dtype=bool)
+        self.pair_keys, self.pair_ok = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
 
     def _hash(self, s: str) -> np.uint64:
         h = np.uint64(0)
@@ -162,6 +172,12 @@ class Pieces:
                 value = best[:, start] + np.where(hit, self.key_scores[at], -np.inf if n > 1 else np.float32(self.least - 10))
                 better = value > best[:, end]
                 best[better, end], back[better, end] = value[better], n
+        return self._starts(back)
+
+    @staticmethod
+    def _starts(back: np.ndarray) -> np.ndarray:
+        """Where pieces begin, from the length of the last piece before each end."""
+        words, size = back.shape[0], back.shape[1] - 1
         live, end = np.zeros((words, size), dtype=bool), np.full(words, size)
         rows = np.arange(words)
         while rows.size:
@@ -170,9 +186,114 @@ class Pieces:
             rows = rows[end[rows] > 0]
         return live
 
+    # Symbols are places in the sorted keys, or, for characters that are no piece, the number of keys plus their code point.
+
+    def _prepare(self) -> None:
+        """Of each piece: whether merging its text gives it, its rank (-1 for a character), and the symbols that its last merge joined; and an
+        empty table of pairs."""
+        many = len(self.ids)
+        self.alone, self.left, self.right = np.zeros(many, dtype=bool), np.arange(many), np.arange(many)
+        self.rank = np.empty(many, dtype=np.int64)
+        self.rank[np.argsort(-self.key_scores, kind="stable")] = np.arange(many)
+        self.rank[self.lengths == 1] = -1
+        for size in np.unique(self.lengths).tolist():
+            of = np.flatnonzero(self.lengths == size)
+            points = np.ascontiguousarray(self.points[of, :size])
+            h = self._prefixes(points)
+            live, cut = self._merge(points, h)
+            self.alone[of] = live.sum(axis=1) == 1
+            if size > 1:
+                row, cut = np.arange(len(of)), np.clip(cut, 1, size - 1)
+                self.left[of] = self._symbols(points, h, row, np.zeros(len(of), dtype=np.int64), cut)
+                self.right[of] = self._symbols(points, h, row, cut, np.full(len(of), size))
+        self.pair_keys, self.pair_ok = np.full(1 << _PAIR_BITS, -1, dtype=np.int64), np.zeros(1 << _PAIR_BITS, dtype=bool)
+
+    def _symbols(self, points: np.ndarray, h: np.ndarray, row: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        n = end - start
+        at, hit = self.find(h[row, end] - h[row, start] * self.powers[n])
+        return np.where(hit & (self.lengths[at] == n), at, len(self.keys) + points[row, start].astype(np.int64))
+
+    def _of(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rank, hash and length of symbols."""
+        many = len(self.keys)
+        piece, k = s < many, np.minimum(s, many - 1)
+        return np.where(piece, self.rank[k], -1), np.where(piece, self.keys[k], (s - many + 1).astype(np.uint64)), np.where(piece, self.lengths[k], 1)
+
+    def _stay(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Whether merging gives x and y back from the two texts together. Their merges are undone, the latest first; at no time may the
+        symbols that meet at the border be a piece that would have been merged before."""
+        out, which = np.zeros(len(x), dtype=bool), np.arange(len(x))
+        limit = np.full(len(x), len(self.keys) + 1, dtype=np.int64)
+        while which.size:
+            (rx, hx, nx), (ry, hy, ny) = self._of(x), self._of(y)
+            n = nx + ny
+            fits = n <= self.longest
+            at, hit = self.find(hx * self.powers[np.where(fits, ny, 0)] + hy)
+            stay = ~(hit & fits & (self.lengths[at] == n) & (self.rank[at] < limit))
+            out[which[stay & (rx < 0) & (ry < 0)]] = True
+            go = np.flatnonzero(stay & ((rx >= 0) | (ry >= 0)))
+            which, x, y, rx, ry = which[go], x[go], y[go], rx[go], ry[go]
+            first = rx > ry
+            limit = np.where(first, rx, ry + 1)
+            x, y = x.copy(), y.copy()
+            x[first], y[~first] = self.right[x[first]], self.left[y[~first]]
+        return out
+
+    def _together(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_stay(), remembered."""
+        many = len(self.keys) + 0x110000
+        key = a * many + b
+        at = (key.astype(np.uint64) * _BASE >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+        ok, new = self.pair_ok[at], np.flatnonzero(self.pair_keys[at] != key)
+        if new.size:
+            ok[new] = self._stay(a[new], b[new])
+            # Of several keys for one slot a single one is written, with its own verdict.
+            _, one = np.unique(at[new], return_index=True)
+            self.pair_keys[at[new[one]]], self.pair_ok[at[new[one]]] = key[new[one]], ok[new[one]]
+        return ok
+
+    def paths(self, points: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """For words of one length: where the pieces of the one path begin all of whose neighbours may stand together."""
+        if not len(self.alone):
+            self._prepare()
+        if not self.ranked:
+            return self.merge(points, h)
+        words, size = points.shape
+        row, last = np.arange(words), np.zeros((words, size + 1), dtype=np.int64)
+        back = np.zeros((words, size + 1), dtype=np.int64)
+        for end in range(1, size + 1):
+            n = np.arange(min(self.longest, end), 0, -1)
+            start = end - n
+            hashes = h[:, end, None] - h[:, start] * self.powers[n]
+            r, c = np.nonzero(self.some[hashes >> np.uint64(64 - _KEY_BITS)])
+            at, hit = self.find(hashes[r, c])
+            hit &= self.alone[at]
+            hit &= self.lengths[at] == n[c]
+            r, c, at = r[hit], c[hit], at[hit]
+            lone = np.ones(words, dtype=bool)
+            lone[r[n[c] == 1]] = False  # what is left is a character that is no piece
+            lone = np.flatnonzero(lone)
+            r, c = np.concatenate((r, lone)), np.concatenate((c, np.full(len(lone), len(n) - 1)))
+            at = np.concatenate((at, len(self.keys) + points[lone, end - 1].astype(np.int64)))
+            good = start[c] == 0
+            inner = np.flatnonzero(~good)
+            good[inner] = self._together(last[r[inner], start[c[inner]]], at[inner])
+            length = np.zeros(words, dtype=np.int64)
+            np.maximum.at(length, r[good], n[c[good]])
+            if not length.all():
+                return self.merge(points, h)
+            best = good & (n[c] == length[r])
+            last[r[best], end], back[:, end] = at[best], length
+        return self._starts(back)
+
     def merge(self, points: np.ndarray, h: np.ndarray) -> np.ndarray:
         """For words of one length: where pieces begin after rounds of best-ranked merges."""
+        return self._merge(points, h)[0]
+
+    def _merge(self, points: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Also where the last merge of each word joined two symbols."""
         words, size = points.shape
+        cut = np.zeros(words, dtype=np.int64)
         last = np.tile(np.arange(1, size + 1), (words, 1))  # end of the symbol that starts here
         before = np.tile(np.arange(-1, size - 1), (words, 1))  # start of the symbol before
         after = np.full((words, size), -np.inf, dtype=np.float32)  # score of joining the symbol here with the next
@@ -196,6 +317,7 @@ class Pieces:
             good = part[np.arange(len(active)), pick] > -np.inf
             active, pick = active[good], pick[good]
             mid = last[active, pick]
+            cut[active] = mid
             end = last[active, mid]
             last[active, pick] = end
             live[active, mid] = False
@@ -205,7 +327,7 @@ class Pieces:
             prior = before[active, pick]
             has = prior >= 0
             rate(np.concatenate((active, active[has])), np.concatenate((pick, prior[has])))
-        return live
+        return live, cut
 
     def merge_one(self, word: str) -> list[int]:
         """Ends of the pieces of a long word after best-ranked merges (the leftmost of equals), taken from a heap."""
@@ -274,12 +396,12 @@ class Pieces:
                 by.setdefault(len(w), []).append(i)
         by.pop(0, None)
         for size, group in by.items():
-            step = max(1, _CELLS // size)
+            step = max(1, _CELLS // (size * self.longest))
             for k in range(0, len(group), step):
                 some = group[k : k + step]
                 points = np.frombuffer("".join([words[i] for i in some]).encode("utf-32-le"), dtype="<u4").reshape(len(some), size)
                 h = self._prefixes(points)
-                live = (self.merge if self.kind == BPE else self.viterbi)(points, h)
+                live = (self.paths if self.kind == BPE else self.viterbi)(points, h)
                 row, start = np.nonzero(live)
                 end = np.r_[start[1:], 0]
                 end[end == 0] = size

@@ -274,6 +274,38 @@ def test_codec_equals_library(model_bytes, kind):
         assert ids.tolist() == library.encode(t) and codec.pieces.decode(ids.tolist()) == t
 
 
+def test_search_equals_merges(model_bytes):
+    """Whole words by the search over ends against plain merging, pair by pair; the table of pairs is small, so its slots are fought for."""
+    import numpy as np
+
+    plain = sentencepiece_codec.Pieces(model_bytes)
+    rng, words = random.Random(31), []
+    names = [n for n in plain.names if n.strip("▁").isalpha()]
+    for _ in range(4000):
+        words.append("".join(rng.choice(names).replace("▁", "")[: rng.randrange(1, 9)] for _ in range(rng.randrange(1, 6)))[:24] or "x")
+
+    def merged(word):
+        parts = list(word)
+        while True:
+            scored = [(-plain.scores[i], k) for k in range(len(parts) - 1) if (i := plain.known.get(parts[k] + parts[k + 1])) is not None]
+            if not scored:
+                return parts
+            k = min(scored)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+
+    old, sentencepiece_codec._PAIR_BITS = sentencepiece_codec._PAIR_BITS, 8
+    try:
+        for size in sorted({len(w) for w in words}):
+            group = [w for w in words if len(w) == size]
+            points = np.frombuffer("".join(group).encode("utf-32-le"), dtype="<u4").reshape(len(group), size)
+            live = plain.paths(points, plain._prefixes(points))
+            for w, row in zip(group, live, strict=True):
+                at = [*np.flatnonzero(row).tolist(), size]
+                assert [w[a:b] for a, b in zip(at, at[1:], strict=False)] == merged(w)
+    finally:
+        sentencepiece_codec._PAIR_BITS = old
+
+
 @pytest.mark.parametrize("kind", [sentencepiece_codec.BPE, sentencepiece_codec.UNIGRAM])
 def test_unbroken_texts_take_linear_time(model_bytes, kind):
     import time
