@@ -261,6 +261,44 @@ def test_chats(spark, limits):
         assert all(r["n_new"] == 1 for r in over)
 
 
+@pytest.mark.parametrize("system", [0, 12, 90, 150, 400])
+def test_windows_equal_plain_packing(spark, system):
+    rng, budget, system_budget, history, most = random.Random(system), 200, 20, 60, 3
+    rows = [(1, 0, "system", "s " * (system - 4))] if system else []
+    rows += [(1, t, rng.choice(["user", "assistant"]), "w " * rng.choice([1, 5, 20, 40, 70, 110, 260])) for t in range(1, 80)]
+    rows += [(2, t, "user", "") for t in range(9)] + [(None, 3, "assistant", None), (3, None, "user", "x"), (3, None, "user", "x")]
+    tokens = lambda text: len((text or "").split()) + 4
+    room = max(1, budget - system - max(0, history - max(0, system - system_budget)))
+    spans, cost = [], [0 if r[2] == "system" else tokens(r[3]) for r in rows if r[0] == 1]
+    for k, c in enumerate(cost):
+        if spans and sum(cost[i] for i in spans[-1]) + c <= room:
+            spans[-1].append(k)
+        else:
+            spans.append([k])
+    wanted = []
+    for span in spans:
+        left, used, back = max(0, min(history, budget - system - sum(cost[i] for i in span))), 0, []
+        for i in range(span[0] - 1, max(-1, span[0] - 1 - most), -1):
+            used += cost[i]
+            if used > left:
+                break
+            back.append(i)
+        shown = sorted({*back, *span, *([0] if system else [])})
+        wanted.append((len(shown) - len(span), len(span), sum(tokens(rows[i][3]) for i in shown)))
+    out = chat_format.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), budget, system_budget, history, most)
+    got = out.where("conv_id = 1").orderBy("block", "span").collect()
+    assert [(r["n_repeated"], r["n_new"], r["tokens"]) for r in got] == wanted
+    assert all(r["tokens"] <= budget or r["n_new"] - ("turn system" in r["text"] and r["n_repeated"] == 0) <= 1 for r in got)
+    digests = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat_format.chat_digest(out).collect()}
+    assert digests == brute.chats(rows)
+
+
+def test_chat_plan_is_native(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    plan = chat_format.chat_digest(chat_format.format_chats(df))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
 @pytest.mark.parametrize("run", [quality_rules.judge_quality, license_scan.scan_licenses, sharding.shard_rows, simhash.near_duplicates, simhash.drop_near_copies])
 def test_empty(docs, run):
     assert run(docs.limit(0)).count() == 0
