@@ -218,7 +218,7 @@ def _pass(shared, drop: tuple[str, ...] = (), after=None):
                     names[d] = sorted({*names[d], *(x for x in found if x is not None)})
                 kept = [c for c in b.schema.names if c not in ("spans", "items", "n_words", *drop)]
                 out = pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(many, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))], names=[*kept, "n_words", "spans", "items"])
-                yield after(out) if after else out
+                yield after(out, a) if after else out
 
     return run
 
@@ -256,13 +256,14 @@ def cut(text: bytes, spans: list[int]) -> bytes:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, count_col: str | None = "n_chars") -> DataFrame:
     """docs without the spans of benchmark words; where those are over `max_coverage` of the words, the document goes. All
-    columns stay; `count_col`, if there, follows the new text."""
+    columns stay; `count_col`, if there, follows the new text. What is left is scanned again, since words that a cut brings together may
+    form a window, until nothing is found: for all items where one block holds them, else for those of the last block."""
     names = docs.columns
     inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("binary").alias("text"))
     k, n = f"c{names.index(text_col)}", f"c{names.index(count_col)}" if count_col in names else None
     own = [f"c{i}" for i in range(len(names))]
 
-    def clean(b):
+    def clean(b, a):
         cols = {c: b.column(c) for c in own}
         spans, words = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
         hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
@@ -270,7 +271,13 @@ def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item
             texts, size = b.column(k).to_pylist(), b.column(n).to_pylist() if n else None
             for i, s in enumerate(spans):
                 if s:
-                    texts[i] = cut(texts[i].encode(), s).decode()
+                    rest, s = texts[i].encode(), list(s)
+                    while s:
+                        rest = cut(rest, s)
+                        found, _ = a.hits(np.array([a.numbers.get(w, -1) for w in rest.translate(ALNUM).split()], dtype=np.int64))
+                        s = [x for span in found for x in span]
+                        hit[i] += sum(s[1::2]) - sum(s[::2])
+                    texts[i] = rest.decode()
                     if n:
                         size[i] = len(texts[i])
             cols[k] = pa.array(texts, pa.string())

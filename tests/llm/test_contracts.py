@@ -149,6 +149,18 @@ def test_leaks_are_cut_out(spark):
     assert set(got) == {1, 3, 4} and got[1]["text"] == "Keep this and these further words here, because all is well. ! And this." and got[1]["n_chars"] == len(got[1]["text"]) and got[3]["spans"] == "c"
 
 
+def test_nothing_is_left_after_the_cut(spark):
+    """Cutting one item joins the halves of another."""
+    outer, inner = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a10 a11".split(), "short item".split()
+    items = spark.createDataFrame([(1, " ".join(outer)), (2, " ".join(inner))], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(60))
+    rows = [(1, f"{filler} {' '.join(outer[:6])} Short, item; {' '.join(outer[6:])} end"), (2, " ".join([*outer[:5], *inner, *outer[5:], "x y"])), (3, filler)]
+    left = decontam.remove_leaks(spark.createDataFrame(rows, "doc_id long, text string"), items)
+    got = {r["doc_id"]: r["text"] for r in left.collect()}
+    assert set(got) == {1, 3} and got[3] == filler and got[1].split() == [*filler.split(), "end"]
+    assert {r["n_hit"] for r in decontam.find_leaks(left, items).collect()} == {0}
+
+
 def test_fingerprints_and_components(docs):
     few = docs.where("doc_id is not null")
     got = [tuple(r) for r in simhash.near_duplicates(few).select("doc_id", "fingerprint", "component_id").collect()]
