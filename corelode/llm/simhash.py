@@ -10,7 +10,8 @@ compared. Within a file the bits are stored as planes (lane = fingerprint) and m
 carry-save adders; blocks of lanes are abandoned once all of them exceed the radius. Only the links that join a file's
 lanes to their local least one go on, so a file of n gives under n links.
 
-Files over `split_rows` rows are filed again by further blocks of their remaining bits, of which one must agree.
+Files over `split_rows` rows are filed again by further blocks of their remaining bits, of which one must agree. What is crowded even
+then (a dense group) is dealt into chunks of `split_rows`, each pair of chunks to a task of its own.
 
 Defined results: null text counts as no words; null ids are kept and get their component's least id (null if it has none);
 repeated rows are kept; an empty table gives an empty result; other columns are ignored.
@@ -27,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corelode.llm.common import durable, pair, slices
 from corelode.llm.components import least_member
@@ -139,11 +141,6 @@ def within(planes: np.ndarray, other, alive: np.ndarray, radius: int, step: int
     return out
 
 
-def _mask(lanes: int) -> np.ndarray:
-    """The first `lanes` lanes, in whole words."""
-    return np.packbits(np.r_[np.ones(lanes, np.uint8), np.zeros(-lanes % 64, np.uint8)], bitorder="little").view("<u8")
-
-
 def short_links(prints: np.ndarray, run: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of positions in one run within the radius: for each offset d all pairs (i, i + d) are compared at once."""
     found = []
@@ -281,6 +278,16 @@ def _dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "t", "k").sortWithinPartitions("t", "k", "fp")
 
 
+def _in_chunks(rows: DataFrame, split_rows: int) -> DataFrame:
+    """rows (fp, t, k) in which each file over `split_rows` rows is cut into chunks by a hash of fp, and each pair of chunks is a file."""
+    crowded = rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows)
+    crowded = crowded.select("t", "k", F.ceil(F.col("n") / split_rows).cast("int").alias("chunks"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("chunks")).cast("int")
+    other = F.sequence(F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)
+    rows = rows.join(crowded, ["t", "k"], "left").select("fp", "t", "k", own.alias("own"), F.explode(other).alias("other"))
+    return rows.select("fp", "t", F.when(F.col("own").isNull(), F.col("k")).otherwise(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))).alias("k"))
+
+
 def linked(prints: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROWS) -> DataFrame:
     """(a, b): links that join the distinct fingerprints of (fp) as all pairs within the radius would."""
     fp, blocks = F.col("fp"), _cuts(64, radius + 2)
@@ -301,8 +308,8 @@ def linked(prints: DataFrame, radius: int = RADIUS, split_rows: int = SPLIT_ROWS
                 again.append(F.when(F.col("t") == t, F.struct(F.lit(1000 * (t + 1) + p).alias("t"), F.xxhash64("k", fp.bitwiseAND(F.lit(signed))).alias("k"))))
         finer = F.filter(F.array(*again), lambda x: x.isNotNull())
         rows = rows.select("fp", F.explode(F.when(F.col("crowded"), finer).otherwise(F.array(F.struct(F.col("t"), F.col("k"))))).alias("f")).select("fp", "f.t", "f.k")
-    rows = _dealt(rows)
-    return rows.mapInArrow(_compare(radius), "a long, b long")
+        rows = _in_chunks(rows, split_rows)
+    return _dealt(rows).mapInArrow(_compare(radius), "a long, b long")
 
 
 def grouped(prints: DataFrame, id_col: str, radius: int = RADIUS, split_rows: int = SPLIT_ROWS) -> DataFrame:
@@ -413,7 +420,8 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Texts of equal sets (by a digest of 128 bits) are one row. Candidates: fingerprints of the sets have 256 bits here and are filed
     under the `many` least shingle hashes: two sets with similarity s share none in about (1 - s) ** many of all cases (3 in a million at 0.8).
     Files are compared bit-sliced as above. Verdict: all members of a component of candidates are held against each other by their
-    whole sets. Crowded files and large components are dealt out in blocks, each pair of blocks to a file of its own. Of each group the least (id, text hash) stays; of equal rows one."""
+    whole sets. Crowded files and large components are dealt out in blocks, each pair of blocks to a file of its own. Of each group the least (id, text hash) stays; of rows with one id and
+    text the least by the other columns, in their order."""
     kind, names = docs.schema[id_col].dataType.simpleString(), docs.columns
     keyed = docs.toDF(*(f"c{i}" for i in range(len(names))))
     i, t = F.col(f"c{names.index(id_col)}"), F.col(f"c{names.index(text_col)}")
@@ -421,9 +429,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     prints = keyed.select(i.alias("doc_id"), "h", t.cast("binary").alias("text")).mapInArrow(_wide_prints(size, many), f"doc_id {kind}, h long, key binary, fp binary, anchors array<long>")
     groups = durable(prints.groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("best"), F.min("fp").alias("fp"), F.min("anchors").alias("anchors")))
     rows = groups.select("fp", F.lit(-1).alias("t"), F.explode("anchors").alias("k"))
-    crowded = rows.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > split_rows).select("k", F.ceil(F.col("n") / split_rows).cast("int").alias("blocks"))
-    rows = rows.join(crowded, "k", "left").select("fp", "t", "k", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("other"))
-    rows = rows.select("fp", "t", F.when(F.col("own").isNull(), F.col("k")).otherwise(F.xxhash64("k", F.least("own", "other"), F.greatest("own", "other"))).alias("k"))
+    rows = _in_chunks(rows, split_rows)
     links = _dealt(rows).mapInArrow(_compare(radius), "a binary, b binary")
     root = least_member(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
@@ -439,5 +445,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = groups.select("key", "best").join(same, "key", "left").groupBy(F.coalesce("root", "key").alias("root")).agg(F.min("best").alias("best"))
     best = best.select(F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
     kept = keyed.join(best, i.eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), "inner")
-    first = F.row_number().over(W.partitionBy("__id", "__h").orderBy("h"))
+    # Of rows with one id and text the least by the other columns, so that each run keeps the same.
+    rest = [F.col(f"c{k}") for k, f in enumerate(docs.schema.fields) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    first = F.row_number().over(W.partitionBy("__id", "__h").orderBy(*rest))
     return kept.withColumn("__n", first).where("__n = 1").select(*(F.col(f"c{k}").alias(n) for k, n in enumerate(names)))
