@@ -70,8 +70,8 @@ class LanguageModel:
             k = stop
         return np.concatenate(out) if out else np.zeros((0, len(self.names)), dtype=np.float32)
 
-    def infer(self, texts: list[bytes | None]) -> list[tuple[list[str], list[float], float]]:
-        """Languages and shares of each text, the largest first, and the evidence; none where there is no letter."""
+    def infer(self, texts: list[bytes | None], judged: bool = False) -> list[tuple[list[str], list[float], float]]:
+        """Languages and shares of each text, the largest first, and with `judged` the evidence (else 0); none where there is no letter."""
         out: list[tuple[list[str], list[float], float]] = [([], [], 0.0)] * len(texts)
         good = [i for i, t in enumerate(texts) if t and self.names and has_letter(t)]
         lines = [t.translate(_LETTERS) for t in (texts[i] for i in good)]
@@ -81,9 +81,11 @@ class LanguageModel:
             return out
         ll = self.words(b" " + b" ".join(lines) + b" ")
         many = np.array(many)
-        shares = mixture(ll, many)
-        found = evidence(ll, many, shares, np.array([len(x) - x.count(b" ") for x in lines]))
-        for i, p, e in zip(good, shares, found.tolist(), strict=True):
+        top = ll.max(axis=1, keepdims=True)
+        like = _likelihood(ll, top)
+        shares = mixture(ll, many, like=like)
+        found = evidence(like, top, many, shares, np.array([len(x) - x.count(b" ") for x in lines])).tolist() if judged else [0.0] * len(good)
+        for i, p, e in zip(good, shares, found, strict=True):
             order = [int(k) for k in np.argsort(-p, kind="stable") if p[k] > 0]
             out[i] = ([self.names[k] for k in order], [min(1.0, float(p[k])) for k in order], e)
         return out
@@ -100,10 +102,14 @@ def _em(like: np.ndarray, starts: np.ndarray, many: np.ndarray, share: np.ndarra
     return share, np.add.reduceat(np.log(total.astype(np.float64)), starts)
 
 
-def mixture(ll: np.ndarray, many: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS) -> np.ndarray:
+def _likelihood(ll: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """Relative to the best language of each word."""
+    return np.maximum(np.exp(ll - top), np.float32(1e-30))
+
+
+def mixture(ll: np.ndarray, many: np.ndarray, penalty: float = PENALTY, rounds: int = ROUNDS, like: np.ndarray | None = None) -> np.ndarray:
     """Shares, documents x languages, of the chosen set. many: words of each document, all positive."""
-    top = ll.max(axis=1, keepdims=True)
-    like = np.maximum(np.exp(ll - top), np.float32(1e-30))
+    like = _likelihood(ll, ll.max(axis=1, keepdims=True)) if like is None else like
     starts = np.concatenate(([0], np.cumsum(many)[:-1]))
     langs = ll.shape[1]
     share, _ = _em(like, starts, many, np.full((len(many), langs), 1 / langs, dtype=np.float32), rounds)
@@ -126,10 +132,9 @@ def mixture(ll: np.ndarray, many: np.ndarray, penalty: float = PENALTY, rounds:
     return best
 
 
-def evidence(ll: np.ndarray, many: np.ndarray, shares: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
+def evidence(like: np.ndarray, top: np.ndarray, many: np.ndarray, shares: np.ndarray, trigrams: np.ndarray) -> np.ndarray:
     """Of each document: the mean over its trigrams of log P under its mixture less that of even cells."""
-    top = ll.max(axis=1)
-    word = top + np.log(np.maximum((np.exp(ll - top[:, None]) * np.repeat(shares, many, axis=0)).sum(axis=1), 1e-30))
+    word = top[:, 0] + np.log(np.maximum((like * np.repeat(shares, many, axis=0)).sum(axis=1), 1e-30))
     starts = np.concatenate(([0], np.cumsum(many)[:-1]))
     return np.add.reduceat(word.astype(np.float64), starts) / trigrams + np.log(CELLS)
 
@@ -196,7 +201,7 @@ def drop_unidentified(docs: DataFrame, model: LanguageModel, text_col: str = "te
     def run(batches):
         for whole in batches:
             for b in slices(whole, at, _most(shared.value)):
-                found = shared.value.infer([t if t is None else t.encode() for t in b.column(at).to_pylist()])
+                found = shared.value.infer([t if t is None else t.encode() for t in b.column(at).to_pylist()], judged=True)
                 yield b.filter(pa.array([bool(x[1]) and x[2] > least_evidence for x in found], pa.bool_()))
 
     return inner.mapInArrow(run, inner.schema).toDF(*names)
