@@ -337,6 +337,7 @@ COPY_SIZE = 5
 ANCHORS = 8
 #: Members of a candidate component that one task compares with as many others at once.
 BLOCK_ROWS = 4096
+SALTS = 64
 
 
 def shingle_set(text: bytes | None, size: int = COPY_SIZE) -> np.ndarray:
@@ -434,8 +435,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     root = least_member(links).select(F.col("a").alias("fp"), F.col("b").alias("root"))
 
     near = groups.select("key", "best", "fp").join(root, "fp", "left").select("key", "best", F.coalesce("root", "fp").alias("root"))
-    blocks = near.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"))
-    near = near.join(blocks, "root").select("root", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"), "blocks", F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
+    # A component may hold very many: its members meet their number under one of several salts, so not in one task.
+    blocks = near.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
+    blocks = blocks.select("root", F.ceil(F.col("n") / block_rows).cast("int").alias("blocks"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    near = near.withColumn("salt", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(SALTS)).cast("int")).join(blocks, ["root", "salt"]).select("root", "key", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("own"), "blocks", F.col("best.doc_id").alias("__id"), F.col("best.h").alias("__h"))
     near = near.join(keyed.select(i.alias("id"), "h", t.cast("binary").alias("text")), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
     near = near.select("root", "key", "text", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     near = near.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "key", "text")
