@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 
-from corelode.llm import chat_format, decontam, license_scan, quality_rules, sharding, simhash
+from corelode.llm import chat_format, components, decontam, license_scan, quality_rules, sharding, simhash
 
 PLAIN = "the quick brown fox jumps over the lazy dog and runs to the river where it drinks"
 LONG = " ".join(f"w{i % 977}" for i in range(60_000))
@@ -321,3 +321,24 @@ def test_empty_tables(spark, docs):
     assert decontam.find_leaks(docs, none).where("n_hit > 0").count() == 0
     assert decontam.remove_leaks(docs.limit(0), none).count() == 0
     assert chat_format.chat_digest(chat_format.format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
+
+
+def test_components_of_hubs(spark):
+    """A hub at the least, one at the greatest and one at a middle node, a chain, loops, repeats and null ends, against union-find."""
+    links = [(0, i) for i in range(1, 3000)] + [(9999, i) for i in range(4000, 6000)] + [(6500, i) for i in range(6001, 7000)]
+    links += [(i, i + 1) for i in range(8000, 8040)] + [(7, 7), (5, 0), (5, 0), (4100, 9999), (None, 3), (3, None)]
+    root: dict[int, int] = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a is not None and b is not None:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+    rows = spark.createDataFrame(links, "a long, b long")
+    got = components.least_member(rows).collect()
+    assert len(got) == len({r["a"] for r in got})
+    assert {r["a"]: r["b"] for r in got} == {x: find(x) for x in root if find(x) != x}
