@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelode.llm import chat_format, decontam, language_id, license_scan, lm_score, quality_rules, sentencepiece_codec, sharding, simhash, toxicity
+from corelode.llm import chat_format, decontam, language_id, license_scan, lm_score, quality_rules, sentencepiece_codec, sharding, simhash, toxicity, vector_codes
 from corelode.llm.common import table
 from corelode.llm.oracles import ORACLES
 
@@ -66,6 +66,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.learn(docs))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = vector_codes.encode_vectors(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
