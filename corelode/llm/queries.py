@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelode.llm import chat_format, decontam, language_id, license_scan, lm_score, quality_rules, sentencepiece_codec, sharding, simhash, toxicity, vector_codes
+from corelode.llm import chat_format, decontam, language_id, license_scan, lm_score, packing, quality_rules, sentencepiece_codec, sharding, simhash, toxicity, vector_codes
 from corelode.llm.common import table
 from corelode.llm.oracles import ORACLES
 
-#: The vocabulary file; a parameter of the query.
+#: The vocabulary files; parameters of the queries.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+PACKING_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +72,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer_path: str = PACKING_TOKENIZER) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
