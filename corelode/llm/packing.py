@@ -268,8 +268,10 @@ def _units(text: str) -> list[str]:
     return (_SAFE.split(text) if text else []) if _RARE.search(text) else _UNIT.findall(text)
 
 
-#: A worker's own, so that what it has learnt serves its next task.
-_encoder = functools.lru_cache(maxsize=2)(Encoder)
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """A worker's own, so that what it has learnt serves its next task."""
+    return Encoder(path)
 
 
 def _pieces(path: str, room: int, end: int, with_ids: bool):
