@@ -33,6 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -42,11 +43,11 @@ from corelode.llm.common import durable, pair, slices
 
 ROOM, END = 1024, 2
 GROUPS, SHARES = (32, 96), (2, 3, 8)
-#: Different units that a worker remembers.
-MOST_UNITS = 500_000
-_UNIT = re.compile(r"[ \t\n\r]+[^ \t\n\r]*|[^ \t\n\r]+")
+#: Different units that a worker remembers, units that are encoded in a row, and bytes of text that are split at once.
+MOST_UNITS, _TOGETHER, _SLICE = 2_000_000, 20_000, 8 << 20
+_PLAIN = re.compile(r"[ \t\n\r][^ \t\n\r]")
 #: Texts with any other blank, or what some take for one, are cut before a plain blank after something that surely isn't one.
-_RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+_RARE = re.compile("[\x00\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 _SAFE = re.compile("(?<=[^\\s\u180e\u200b\ufeff])(?=[ \t\n\r])")
 _PLACES = 40
 
@@ -236,36 +237,69 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        first = (self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size()))
+        #: Ids of tokens that begin with a blank, in the byte-level spelling.
+        self.blank = np.array([t[:1] in ("\u0120", "\u010a", "\u0109", "\u010d") for t in first])
         self._clear()
 
     def _clear(self) -> None:
         self.number: dict[str, int] = {}
         self.ids, self.size = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
 
-    def _learn(self, units: list[str]) -> None:
-        fresh = [u for u in dict.fromkeys(units) if u not in self.number]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-        self.number.update(zip(fresh, range(len(self.number), len(self.number) + len(fresh)), strict=True))
-        sizes = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for g in got for i in g), dtype="<u4", count=int(sizes.sum()))])
-        self.size = np.concatenate([self.size, sizes])
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > MOST_UNITS or len(self.ids) > 8 * MOST_UNITS:
-            self._clear()
-        split = [_units(t) for t in texts]
-        units = [u for us in split for u in us]
-        self._learn(units)
-        n = np.fromiter(map(self.number.__getitem__, units), dtype=np.int64, count=len(units))
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _remember(self, units: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+        self.ids, self.size = np.concatenate([self.ids, ids]), np.concatenate([self.size, size])
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Units of one blank and a word are encoded in a row: each has one token that begins with a blank, its first."""
+        odd = [u for u in fresh if not _PLAIN.match(u)]
+        plain = [u for u in fresh if _PLAIN.match(u)] if odd else fresh
+        for k in range(0, len(plain), _TOGETHER):
+            some = plain[k : k + _TOGETHER]
+            row = "".join(some)
+            ids = self._encoded([row])[0]
+            start = np.flatnonzero(self.blank[ids])
+            if len(start) == len(some) and not _RARE.search(row):
+                self._remember(some, ids, np.diff(np.append(start, len(ids))))
+            else:
+                odd += some
+        if odd:
+            got = self._encoded(odd)
+            self._remember(odd, np.concatenate(got), np.array([len(x) for x in got], dtype=np.int64))
+
+    def _split(self, texts: pa.Array) -> pa.Array:
+        """A mark before each first blank of a run; where no two blanks meet, that is each blank."""
+        if pc.any(pc.match_substring_regex(texts, "[ \\n\\t\\r][ \\n\\t\\r]|[\\t\\r]")).as_py():
+            marked = pc.replace_substring_regex(texts, "([^ \\t\\n\\r])([ \\t\\n\\r])", "\\1\x00\\2")
+        else:
+            marked = pc.replace_substring(pc.replace_substring(texts, " ", "\x00 "), "\n", "\x00\n")
+        return pc.split_pattern(marked, "\x00")
+
+    def _joined(self, units: pa.Array) -> list[np.ndarray]:
+        """The ids of lists of units."""
+        at = units.flatten().dictionary_encode()
+        different = at.dictionary.to_pylist()
+        known = list(map(self.number.get, different))
+        fresh = [u for u, n in zip(different, known, strict=True) if n is None]
+        self._learn(fresh)
+        learnt = map(self.number.__getitem__, fresh)
+        n = np.array([next(learnt) if n is None else n for n in known], dtype=np.int64)[at.indices.to_numpy()]
         size, start = self.size[n], (np.cumsum(self.size) - self.size)[n]
         edges = np.r_[0, np.cumsum(size)]
         flat = self.ids[np.repeat(start - edges[:-1], size) + np.arange(edges[-1])]
-        ends = edges[np.cumsum([len(us) for us in split], dtype=np.int64)]
-        return np.split(flat, ends[:-1])
-
+        return np.split(flat, edges[np.cumsum(units.value_lengths().to_numpy(), dtype=np.int64)][:-1]) if len(units) else []
 
-def _units(text: str) -> list[str]:
-    return (_SAFE.split(text) if text else []) if _RARE.search(text) else _UNIT.findall(text)
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text (strings without nulls)."""
+        if len(self.number) > MOST_UNITS or len(self.ids) > 8 * MOST_UNITS:
+            self._clear()
+        rare = pc.match_substring_regex(texts, _RARE.pattern)
+        usual = iter(self._joined(self._split(texts.filter(pc.invert(rare)))))
+        others = iter(self._joined(pa.array([_SAFE.split(t) for t in texts.filter(rare).to_pylist()], pa.list_(pa.string()))))
+        return [next(others if r else usual) for r in rare.to_pylist()]
 
 
 @functools.lru_cache(maxsize=2)
@@ -274,15 +308,23 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _strings(texts: pa.Array) -> pa.Array:
+    texts = pc.fill_null(texts, b"")
+    try:
+        return texts.cast(pa.string())
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        return pa.array([t.decode("utf-8", "replace") for t in texts.to_pylist()], pa.string())
+
+
 def _pieces(path: str, room: int, end: int, with_ids: bool):
     """(doc_id, piece, start, length, ids_crc32, task, place) of each document's pieces; `place` counts a task's pieces of one length."""
 
     def run(batches):
         encoder, seen, task = _encoder(path), np.zeros(room + 1, dtype=np.int64), TaskContext.get().partitionId()
         for whole in batches:
-            for b in slices(whole):
+            for b in slices(whole, most=_SLICE):
                 rows, tokens = [], []
-                ids = encoder.encode([(t or b"").decode("utf-8", "replace") for t in b.column("text").to_pylist()])
+                ids = encoder.encode(_strings(b.column("text")))
                 for i, x in enumerate(ids):
                     x = np.append(x, np.uint32(end)).astype("<u4")
                     first = (len(x) - 1) % room + 1

@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corelode.llm import packing as pk
@@ -116,9 +117,9 @@ def test_units_are_borders_of_the_library():
     rng = random.Random(5)
     signs = [" ", " ", "\n", "\t", "\r", "\x0b", "\x1c", "\x85", " ", "᠎", "​", " ", "　", "﻿", "a", "B", "7", "'s", "'", ".", "é", "ß", "́", "字"]
     texts = ["".join(rng.choices(signs, k=rng.randint(0, 25))) for _ in range(4000)]
-    assert [x.tolist() for x in e.encode(texts)] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in e.encode(pa.array(texts))] == [x.ids for x in t.encode_batch(texts, add_special_tokens=False)]
     e.number = {str(i): i for i in range(pk.MOST_UNITS + 1)}  # a full memory is given up
-    assert [x.tolist() for x in e.encode(["a b", ""])] == [t.encode("a b").ids, []]
+    assert [x.tolist() for x in e.encode(pa.array(["a b", ""]))] == [t.encode("a b").ids, []]
 
 
 def test_repeated_rows_null_ids_and_empty_tables(spark):
