@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions.units import is_scheduled
 from corelode.operators.geometry import first_collar, no_survey
+from corelode.operators.scans import HotKeys, scanned
 from corelode.schema import FROM, HOLE, LENGTH, TO
 
 SHOWN = 20
@@ -65,14 +66,13 @@ def orphans(rows: DataFrame, collar: DataFrame, source: str) -> DataFrame:
     return told(rows.select(HOLE).join(collar.select(HOLE), HOLE, "left_anti"), source, "orphan_hole", "ERROR", "holes that aren't among the collars")
 
 
-def with_previous(rows: DataFrame) -> DataFrame:
-    by = W.partitionBy(HOLE).orderBy(FROM, TO)
-    return rows.withColumns({"prev_to": F.lag(TO).over(by), "max_to": F.max(TO).over(by.rowsBetween(W.unboundedPreceding, -1))})
+def with_previous(rows: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    return scanned(rows, HOLE, [FROM, TO], hot, prev_to=("previous", F.col(TO)), max_to=("highest", F.col(TO)))
 
 
-def interval_checks(rows: DataFrame, source: str, gap_tolerance: float = 0.10) -> DataFrame:
+def interval_checks(rows: DataFrame, source: str, gap_tolerance: float = 0.10, hot: HotKeys | None = None) -> DataFrame:
     gap, missing = F.col(FROM) - F.col("prev_to"), F.col(FROM).isNull() | F.col(TO).isNull()
-    return run_checks(with_previous(rows), source, [
+    return run_checks(with_previous(rows, hot), source, [
         Check("interval_depth_missing", "ERROR", missing, "from or to is missing"),
         Check("interval_order", "ERROR", F.col(FROM) >= F.col(TO), "from isn't above to"),
         Check("interval_overlap", "ERROR", gap < -1e-9, "begins before the one above ends"),
@@ -87,9 +87,8 @@ def beyond_depth(rows: DataFrame, collar: DataFrame, source: str) -> DataFrame:
     return run_checks(rows.join(known, HOLE), source, [Check("beyond_total_depth", "WARN", F.col(TO) > F.col("total_depth") + 1e-6, "deeper than the hole")])
 
 
-def survey_checks(survey: DataFrame) -> DataFrame:
-    by = W.partitionBy(HOLE).orderBy("depth", "dip", "azimuth")
-    rows = survey.withColumn("prev", F.lag("depth").over(by))
+def survey_checks(survey: DataFrame, hot: HotKeys | None = None) -> DataFrame:
+    rows = scanned(survey, HOLE, ["depth", "dip", "azimuth"], hot, prev=("previous", F.col("depth")))
     return run_checks(rows, "survey", [
         Check("azimuth_range", "ERROR", (F.col("azimuth") < 0) | (F.col("azimuth") >= 360), "azimuth outside 0 to 360"),
         Check("dip_range", "ERROR", F.abs("dip") > 90, "dip beyond 90"),

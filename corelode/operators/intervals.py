@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corelode.operators.joins import asof_join, small, split_intervals
+from corelode.operators.scans import HotKeys
 from corelode.schema import FROM, HOLE, LENGTH, TO, TOLERANCE
 
 
@@ -15,12 +16,12 @@ def contacts(litho: DataFrame) -> DataFrame:
     return litho.select(HOLE, F.explode(F.array(FROM, TO)).alias("at_m")).where("at_m is not null").distinct()
 
 
-def logged_at_middle(intervals: DataFrame, litho: DataFrame, carry: tuple[str, ...] = ("logged_code",)) -> DataFrame:
+def logged_at_middle(intervals: DataFrame, litho: DataFrame, carry: tuple[str, ...] = ("logged_code",), hot: HotKeys | None = None) -> DataFrame:
     """`carry` columns of the last logged interval that begins at or before the middle, where that interval reaches beyond it. There is
     no second choice: an earlier interval that also covers the middle isn't looked for."""
     middle = (F.col(FROM) + F.col(TO)) / 2
     fresh = [c for c in carry if c not in intervals.columns]
-    out = asof_join(intervals, litho, HOLE, middle, F.col(FROM), [TO, *fresh], [F.col(TO)], "__log")
+    out = asof_join(intervals, litho, HOLE, middle, F.col(FROM), [TO, *fresh], [F.col(TO)], "__log", hot)
     valid = middle < F.col(f"__log.{TO}")
     return out.select(*intervals.columns, *(F.when(valid, F.col(f"__log.{c}")).alias(c) for c in fresh))
 
@@ -43,9 +44,9 @@ def with_interval_ids(intervals: DataFrame, parent: str = "sample_id") -> DataFr
     return intervals.withColumn("interval_id", F.when(F.count("*").over(by) > 1, F.concat_ws("_", parent, k.cast("string"))).otherwise(F.col(parent)))
 
 
-def build_framework(assay: DataFrame, litho: DataFrame, lookup: DataFrame, attributes: tuple[str, ...] = ()) -> DataFrame:
+def build_framework(assay: DataFrame, litho: DataFrame, lookup: DataFrame, attributes: tuple[str, ...] = (), hot: HotKeys | None = None) -> DataFrame:
     cut = split_intervals(assay, contacts(litho))
-    coded = logged_at_middle(cut, litho, ("logged_code", *attributes))
+    coded = logged_at_middle(cut, litho, ("logged_code", *attributes), hot)
     named = with_interval_ids(coded.withColumn("parent_sample_id", F.col("sample_id")), "parent_sample_id")
     return domain_of_code(named, lookup).withColumn(LENGTH, F.col(TO) - F.col(FROM))
 

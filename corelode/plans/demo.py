@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode.functions import numbers, units
-from corelode.operators import allocate, blocks, checks, geometry, intervals, joins, runs, select, windows
+from corelode.operators import allocate, blocks, checks, geometry, intervals, joins, runs, scans, select, windows
 from corelode.plans import views as v
 
 RULES = windows.WindowRules(min_length=6.0, max_length=20.005, target_mass=50.0, min_mass=40.0, primary="elem_zn", edges=v.EDGES, labels=v.LABELS, max_cv=1.0, same_bin=False, keep=("geomet_domain",), label=("geomet_domain", "grade_bin"))
@@ -154,6 +154,26 @@ def short_runs(s: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("reason").agg(F.count("*").alias("n"))
 
 
+HOT_ORDER = ("from_m", "to_m", "sample_id", "elem_zn", "dh_attr_rock", "low_recovery")
+
+
+def hot_hole_runs(s: SparkSession, d: str) -> DataFrame:
+    """Runs where one hole has half of all rows: it is scanned in pieces."""
+    rows = v.hot_assay(s, d)
+    found = runs.segment_runs(rows, runs.BreakRules(0.25, (("rock", "dh_attr_rock"),), primary_grade="elem_zn"), HOT_ORDER, scans.hot_keys(rows))
+    return found.select("hole_id", "sample_id", "run_no", "break_reason", "usable")
+
+
+def hot_hole_codes(s: SparkSession, d: str) -> DataFrame:
+    rows = v.hot_assay(s, d)
+    return intervals.logged_at_middle(rows, v.hot_litho(s, d), hot=scans.hot_keys(rows)).select("hole_id", "sample_id", "logged_code")
+
+
+def hot_hole_gaps(s: SparkSession, d: str) -> DataFrame:
+    rows = v.hot_assay(s, d)
+    return _counts(checks.interval_checks(rows, "assay", 0.25, scans.hot_keys(rows)))
+
+
 def event_sessions(s: SparkSession, d: str) -> DataFrame:
     rows = runs.sessions(v.table(s, d, "events"), gap_seconds=6 * 3600)
     return rows.select("user_id", "session_no", "n", F.unix_micros(F.col("start_ts").cast("timestamp")).alias("start_us"))
@@ -390,7 +410,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         interval_split, interval_split_lengths, asof_litho_domain, unmapped_codes, sample_ids_suffix, desurvey_stations, desurvey_midpoints, planned_discretise, hole_ends_orientation,
         block_assign_nearest, outside_model_fraction, resolve_attributes, domain_match_rate, grade_bins, allocation_domain_labels, interval_mass_fail_closed, prior_testwork_overlap,
-        testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, candidate_windows, best_window_per_start, domain_tonnage,
+        testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
         dq_density_range, dq_survey, dq_duplicates, dq_blocks, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,

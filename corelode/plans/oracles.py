@@ -139,6 +139,32 @@ grades AS (
   SELECT *, CASE WHEN t = '' THEN 'blank' WHEN upper(t) IN ('-99', 'NA') OR n = -99 THEN 'declared_null' WHEN lim IS NOT NULL THEN 'below_detection' WHEN n IS NULL THEN 'unparsed' WHEN n < 0 THEN 'negative' ELSE 'ok' END AS state FROM plain)"""
 
 
+_HOT = """
+hot AS (
+  SELECT CASE WHEN l_orderkey % 2 = 0 THEN 0 ELSE l_suppkey + 1 END AS hole_id, CAST(l_orderkey * 1500 + (l_linenumber - 1) * 200 AS DOUBLE) / 100 AS from_m,
+    CAST(l_orderkey * 1500 + (l_linenumber - 1) * 200 + CASE WHEN l_quantity > 8 THEN 200 ELSE 180 END AS DOUBLE) / 100 AS to_m, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS sample_id,
+    CASE WHEN l_discount > 0 THEN l_discount * CAST(1e6 AS DOUBLE) END AS elem_zn, l_quantity < 3 AS low_recovery, l_returnflag AS rock FROM lineitem)"""
+
+_HOT_RUNS = """
+hot_reasoned AS (
+  SELECT *, low_recovery OR elem_zn IS NULL AS spoiled, CASE WHEN row_number() OVER w = 1 THEN 'hole' WHEN from_m - lag(to_m) OVER w > 0.25::DOUBLE THEN 'gap' WHEN rock IS DISTINCT FROM lag(rock) OVER w THEN 'attribute:rock'
+    WHEN low_recovery THEN 'low_recovery' WHEN elem_zn IS NULL THEN 'missing_primary_grade' WHEN lag(low_recovery OR elem_zn IS NULL) OVER w THEN 'after_unusable' ELSE '' END AS break_reason
+  FROM hot WINDOW w AS (PARTITION BY hole_id ORDER BY from_m, to_m, sample_id, elem_zn NULLS FIRST, rock, low_recovery)),
+hot_runs AS (
+  SELECT hole_id, sample_id, CAST(sum(CASE WHEN break_reason <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY hole_id ORDER BY from_m, to_m, sample_id, elem_zn NULLS FIRST, rock, low_recovery ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run_no,
+    break_reason, NOT spoiled AS usable FROM hot_reasoned)"""
+
+_HOT_CODES = """
+hot_litho AS (
+  SELECT CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE o_custkey % 10 + 1 END AS hole_id, CAST(o_orderkey * 15 AS DOUBLE) AS from_m, CAST(o_orderkey * 15 + 12 AS DOUBLE) AS to_m, 'L' || (o_custkey % 8) AS logged_code FROM orders),
+hot_coded AS (
+  SELECT h.hole_id, h.sample_id, CASE WHEN h.mid < l.to_m THEN l.logged_code END AS logged_code
+  FROM (SELECT *, (from_m + to_m) / 2 AS mid FROM hot) h ASOF LEFT JOIN hot_litho l ON h.hole_id = l.hole_id AND h.mid >= l.from_m)"""
+
+_HOT_GAPS = """
+moved AS (SELECT *, from_m - lag(to_m) OVER w AS gap, from_m - max(to_m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deep FROM hot WINDOW w AS (PARTITION BY hole_id ORDER BY from_m, to_m))"""
+
+
 def _q(select: str, *parts: str) -> str:
     return "WITH " + ",".join(parts) + "\n" + select
 
@@ -188,6 +214,10 @@ ORACLES: dict[str, str] = {
     "run_break_reasons": _q("SELECT break_reason, count(*) AS n FROM numbered GROUP BY 1", *_SEGMENTED),
     "run_summary": _q("SELECT hole_id, run_no, round(from_m, 2) + 0 AS from_m, round(to_m, 2) + 0 AS to_m, intervals, round(length_m, 3) + 0 AS length_m, break_reason, usable, round(mass_kg, 4) + 0 AS mass_kg, geomet_domain FROM summary", *_SEGMENTED, _RUN_SUMMARY),
     "short_runs": _q("SELECT CASE WHEN length_m < 6.004 THEN 'run_too_short' ELSE 'run_too_light' END AS reason, count(*) AS n FROM summary WHERE usable AND (length_m < 6.004 OR mass_kg < 40) GROUP BY 1", *_SEGMENTED, _RUN_SUMMARY),
+    "hot_hole_runs": _q("SELECT * FROM hot_runs", _HOT, _HOT_RUNS),
+    "hot_hole_codes": _q("SELECT * FROM hot_coded", _HOT, _HOT_CODES),
+    "hot_hole_gaps": _issues("moved", ("ERROR", "interval_overlap", "gap < -1e-9"), ("INFO", "interval_overlap_nested", "deep < -1e-9 AND NOT coalesce(gap < -1e-9, false) AND gap IS NOT NULL"),
+      ("INFO", "interval_gap", "gap > 1e-9 AND gap <= 0.25::DOUBLE"), ("WARN", "interval_gap", "gap > 0.25::DOUBLE"), extra=(_HOT, _HOT_GAPS)),
     "event_sessions": """WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM e)
       SELECT user_id, session_no, count(*) AS n, epoch_us(min(ts)) AS start_us FROM n GROUP BY 1, 2""",

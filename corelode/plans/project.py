@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from corelode import __version__
 from corelode.config import Config, digest
 from corelode.functions.units import GRADE
-from corelode.operators import allocate, blocks, checks, geometry, intervals, runs, select, windows
+from corelode.operators import allocate, blocks, checks, geometry, intervals, runs, scans, select, windows
 from corelode.schema import FROM, GAPS, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute, key_column
 from corelode.sources.readers import Dataset, load
 
@@ -99,9 +99,10 @@ def stage_geometry(state: State) -> State:
     if "samples" in t:
         rows = intervals.framework_from_samples(t["samples"], t["domain_lookup"])
     else:
-        trace = geometry.traces(t["collar"], t["survey"], cfg.desurvey.fill_collar_survey)
-        rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged)
-        rows = geometry.with_coordinates(rows, trace)
+        trace = geometry.traces(t["collar"], t["survey"], cfg.desurvey.fill_collar_survey, scans.hot_keys(t["survey"], HOLE, "depth"))
+        hot = scans.hot_keys(t["assay"])
+        rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged, hot)
+        rows = geometry.with_coordinates(rows, trace, hot=hot)
     rows = rows.withColumn("is_planned", F.lit(False))
     if "planned_collar" in t:
         planned = geometry.traces(t["planned_collar"], t["planned_survey"], cfg.desurvey.fill_collar_survey)
@@ -177,10 +178,11 @@ def break_rules(cfg: Config) -> runs.BreakRules:
 
 def stage_candidates(state: State) -> State:
     cfg = state.cfg
-    rows = runs.with_run_ids(runs.segment_runs(state.tables["intervals"], break_rules(cfg)))
+    hot = scans.hot_keys(state.tables["intervals"])
+    rows = runs.with_run_ids(runs.segment_runs(state.tables["intervals"], break_rules(cfg), (FROM, TO, "interval_id"), hot))
     summary = runs.summarise_runs(rows, ("run_id", "geomet_domain"))
     usable = rows.where("usable and availability <> 'UNAVAILABLE'")
-    found = windows.with_candidate_ids(windows.candidates(usable, window_rules(cfg)))
+    found = windows.with_candidate_ids(windows.candidates(usable, window_rules(cfg)), hot)
     short = runs.short_runs(summary, cfg.compositing.min_length_m, cfg.compositing.min_mass_kg)
     gone = rows.where("availability = 'UNAVAILABLE'").groupBy(HOLE).agg(F.count("*").alias("n"))
     gaps = short.select(F.lit("run").alias("scope"), F.col("run_id").alias("key"), "reason", F.create_map(F.lit("hole_id"), F.col(HOLE).cast("string"), F.lit("length_m"), F.round("length_m", 3).cast("string")).alias("detail"))

@@ -26,6 +26,25 @@ def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def hot_assay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all line items are samples of hole 0, the others of their supplier's. An order's lines follow one another, orders are a metre apart."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    from_cm = k * 1500 + (n - 1) * 200
+    to_cm = from_cm + F.when(F.col("l_quantity") > 8, 200).otherwise(180)
+    return table(spark, sf_dir, "lineitem").select(
+        F.when(k % 2 == 0, F.lit(0)).otherwise(F.col("l_suppkey") + 1).cast("bigint").alias("hole_id"), (from_cm / 100).alias("from_m"), (to_cm / 100).alias("to_m"),
+        F.concat_ws("-", k.cast("string"), n.cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string")).alias("sample_id"),
+        F.when(F.col("l_discount") > 0, F.col("l_discount") * 1e6).alias("elem_zn"), (F.col("l_quantity") < 3).alias("low_recovery"), F.col("l_returnflag").alias("dh_attr_rock"),
+    )
+
+
+def hot_litho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of 12 m for each order, in hole 0 or in the holes of ten suppliers."""
+    k = F.col("o_orderkey")
+    hole = F.when(k % 2 == 0, F.lit(0)).otherwise(F.col("o_custkey") % 10 + 1).cast("bigint")
+    return table(spark, sf_dir, "orders").select(hole.alias("hole_id"), (k * 15.0).alias("from_m"), (k * 15.0 + 12.0).alias("to_m"), F.concat(F.lit("L"), (F.col("o_custkey") % 8).cast("string")).alias("logged_code"))
+
+
 def litho(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, k = F.col("s_suppkey"), F.col("k")
     rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(0), F.lit(21))).alias("k"))
