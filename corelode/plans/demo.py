@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from corelode.functions import numbers, units
 from corelode.operators import allocate, blocks, checks, geometry, intervals, joins, runs, scans, select, windows
 from corelode.plans import views as v
+from corelode.plans.views import shared_dir
+from corelode.sources import readers
 
 RULES = windows.WindowRules(min_length=6.0, max_length=20.005, target_mass=50.0, min_mass=40.0, primary="elem_zn", edges=v.EDGES, labels=v.LABELS, max_cv=1.0, same_bin=False, keep=("geomet_domain",), label=("geomet_domain", "grade_bin"))
 TOTAL = 40
@@ -382,6 +385,14 @@ def _texts(s: SparkSession, d: str) -> DataFrame:
 PARSE = numbers.ParseRules(null_values=("-99", "na"))
 
 
+def csv_line_breaks(s: SparkSession, d: str) -> DataFrame:
+    """Texts with quotes and line breaks, written as CSV files into a folder of this call's own and read again in parallel."""
+    at = f"{shared_dir(s)}/csv-{uuid.uuid4().hex}"
+    v.table(s, d, "documents").select("doc_id", "text", "lang").write.csv(at, header=True, quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    rows = readers.read_text(s, at, "utf-8", True)
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))
+
+
 def parse_numbers(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("event_id", numbers.parse_number(F.col("t"), PARSE).alias("p")).select("event_id", "p.value", "p.state")
 
@@ -413,6 +424,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
-        dq_density_range, dq_survey, dq_duplicates, dq_blocks, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
+        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
     )
     return {f.__name__: f for f in named}

@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered queries, written from the rules, not from the plans."""
 
+from corelode.functions.numbers import SPACES
+
 _ASSAY = """
 assay0 AS (
   SELECT *, CAST(50 + l_quantity * 3 AS BIGINT) AS len_cm,
@@ -190,7 +192,10 @@ _MOVED = """
 moved0 AS (SELECT hole_id, CASE elem_zn WHEN 10000 THEN from_m - 0.3::DOUBLE WHEN 20000 THEN from_m + 0.05::DOUBLE WHEN 50000 THEN from_m + 0.3::DOUBLE ELSE from_m END AS from_m, CASE WHEN elem_zn <> 80000 THEN to_m END AS to_m FROM assay),
 moved AS (SELECT *, from_m - lag(to_m) OVER w AS gap, from_m - max(to_m) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS deep FROM moved0 WINDOW w AS (PARTITION BY hole_id ORDER BY from_m NULLS FIRST, to_m NULLS FIRST))"""
 
+_SPACES = SPACES.replace("'", "''")
+
 ORACLES: dict[str, str] = {
+    "csv_line_breaks": f"SELECT doc_id, coalesce(trim(lang, '{_SPACES}'), '') AS lang, CAST(length(t) AS BIGINT) AS chars, sha256(t) AS sha256 FROM (SELECT *, coalesce(trim(text, '{_SPACES}'), '') AS t FROM documents)",
     "interval_split": _q("SELECT hole_id, sample_id, round(from_m, 2) + 0 AS from_m, round(to_m, 2) + 0 AS to_m, round(elem_zn, 2) + 0 AS elem_zn FROM pieces", _ASSAY, _LITHO, _PIECES),
     "interval_split_lengths": _q("SELECT hole_id, count(*) AS pieces, round(sum(to_m - from_m), 4) AS metres FROM pieces GROUP BY 1", _ASSAY, _LITHO, _PIECES),
     "asof_litho_domain": _q("SELECT sample_id, logged_code, geomet_domain FROM domained", _ASSAY, _LITHO, _CODED),

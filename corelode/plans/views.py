@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's checkpoint folder; one in the warehouse where it names none, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    return named or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier s is hole s; its line items, in a full order, are consecutive samples."""
     rows = table(spark, sf_dir, "lineitem").withColumn("len_cm", (50 + F.col("l_quantity") * 3).cast("long"))

@@ -16,6 +16,7 @@ from corelode.functions import units
 from corelode.functions.numbers import ParseRules, is_blank, parse_grade, parse_issues, parse_number, strip
 from corelode.operators.checks import Check, run_checks
 from corelode.schema import COORDS, FROM, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute
+from corelode.sources.quoted import records
 
 # Characters that Windows-1252 has at 0x80 to 0x9F, where Latin-1 has controls.
 C1 = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
@@ -38,39 +39,66 @@ def _look(spark: SparkSession, path: str) -> tuple[bool, bool]:
     return r[0], r[1]
 
 
+def _bare(names: list[str]) -> list[str]:
+    return [c.strip().removeprefix("\ufeff") for c in names]
+
+
 def numbered(df: DataFrame) -> DataFrame:
-    """df plus _row: 0, 1, 2, ... in file order without gaps. df has to be a scan: its partitions are the same each time it is read."""
+    """df plus _row: 0, 1, 2, ... without gaps, by file name and place in the file, however the splits are dealt to tasks. df has to be a scan of files:
+    its splits are the same each time it is read."""
     place = F.monotonically_increasing_id()
-    if df.rdd.getNumPartitions() < 2:
+    if df.rdd.getNumPartitions() < 2 and len(df.inputFiles()) < 2:
         return df.withColumn("_row", place)
-    part, before, offsets = F.spark_partition_id().alias("__part"), 0, []
-    for r in sorted(df.groupBy(part).agg(F.count("*").alias("n")).collect()):
-        offsets.append((r["__part"], before))
+    split = [F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__block")]
+    found = df.select(*split, place.alias("__place")).groupBy("__file", "__block").agg(F.count("*").alias("n"), F.min("__place").alias("first"))
+    before, offsets = 0, []
+    for r in sorted(found.collect()):  # a row for each split
+        offsets.append((r["__file"], r["__block"], before - r["first"]))
         before += r["n"]
-    at = df.sparkSession.createDataFrame(offsets or [(0, 0)], "__part int, __before long")  # a row for each partition
-    inside = place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__inside")
-    out = df.select("*", part, inside).join(F.broadcast(at), "__part")
-    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__inside")).alias("_row"))
+    at = df.sparkSession.createDataFrame(offsets or [("", 0, 0)], "__f string, __b long, __shift long")
+    out = df.select("*", *split, place.alias("__place")).join(F.broadcast(at), (F.col("__file") == F.col("__f")) & (F.col("__block") == F.col("__b")))
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__place") + F.col("__shift")).alias("_row"))
+
+
+def _windows(data: bytes) -> str:
+    return data.decode("latin-1").translate(str.maketrans(C1, WINDOWS))
+
+
+def _utf8(data: bytes) -> str:
+    return data.decode("utf-8", "replace")
+
+
+def _quoted(spark: SparkSession, path: str, windows: bool) -> DataFrame:
+    """The columns of a CSV with quoted line breaks, and _row: records are put together by their splits, then parsed one by one."""
+    names = _csv(spark, path, "ISO-8859-1" if windows else "utf-8", True).columns  # the first record tells
+    found = records(spark, path, _windows if windows else _utf8)
+    schema = ", ".join(f"c{i} string" for i in range(len(names)))
+    options = {"quote": '"', "escape": '"', "nullValue": "\x00", "emptyValue": "", "multiLine": "true"}
+    rows = found.select("_row", F.from_csv(F.regexp_replace("text", "\r$", ""), schema, options).alias("r"))
+    return rows.select(*(F.col(f"r.c{i}").alias(c.translate(str.maketrans(C1, WINDOWS)) if windows else c) for i, c in enumerate(names)), "_row")
 
 
 def read_text(spark: SparkSession, path: str, encoding: str = "auto", multiline: bool | None = None) -> DataFrame:
     """All columns as text, blanks as '', plus _row from 0 in file order. `auto` takes UTF-8, and Windows-1252 if the file isn't that.
-    Without quoted line breaks a CSV is cut into tasks; with them a file is one task."""
+    A CSV is cut into tasks, with quoted line breaks or without; `multiline` tells which, else one look at the file does."""
     if path.rstrip("/").endswith(".parquet"):
-        df = spark.read.parquet(path)
-        df = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns))
+        df = numbered(spark.read.parquet(path))
+        df = df.select(*(F.col(f"`{c}`").cast("string").alias(c) for c in df.columns if c != "_row"), "_row")
     else:
         if encoding == "auto" or multiline is None:
             utf8, broken = _look(spark, path)
             encoding = ("utf-8" if utf8 else "cp1252") if encoding == "auto" else encoding
             multiline = broken if multiline is None else multiline
-        if encoding.lower() in ("cp1252", "windows-1252"):
-            df = _csv(spark, path, "ISO-8859-1", multiline)
-            df = df.select(*(F.translate(f"`{c}`", C1, WINDOWS).alias(c.translate(str.maketrans(C1, WINDOWS))) for c in df.columns))
+        windows = encoding.lower() in ("cp1252", "windows-1252")
+        if multiline and (windows or encoding.lower() in ("utf-8", "utf8")):
+            df = _quoted(spark, path, windows)
+        elif windows:
+            df = numbered(_csv(spark, path, "ISO-8859-1", multiline))
+            df = df.select(*(F.translate(f"`{c}`", C1, WINDOWS).alias(c.translate(str.maketrans(C1, WINDOWS))) for c in df.columns if c != "_row"), "_row")
         else:
-            df = _csv(spark, path, encoding, multiline)
-    bare = [c.strip().removeprefix("\ufeff") for c in df.columns]
-    return numbered(df.toDF(*bare).select(*(F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in bare)))
+            df = numbered(_csv(spark, path, encoding, multiline))
+    bare = _bare([c for c in df.columns if c != "_row"])
+    return df.toDF(*bare, "_row").select(*(F.coalesce(strip(F.col(f"`{c}`")), F.lit("")).alias(c) for c in bare), "_row")
 
 
 def mapping_problems(df: DataFrame, src: Source, name: str, more: list[str]) -> list[str]:

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 from corelode.functions.numbers import SPACES
 from corelode.plans.oracles import _ASSAY, _CODED, _LITHO, _MASSED, _RUN_SUMMARY, _RUNS, _q
+from corelode.plans.views import shared_dir
 from jobs import note_values, run_register
 from jobs.common import read_config
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder that no other call has, in the session's checkpoint folder; one in the warehouse where the session names none, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{shared or spark.conf.get('spark.sql.warehouse.dir')}/{name}-{uuid.uuid4().hex}"
+    """A folder that no other call has."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def job1_run_register(spark: SparkSession, sf_dir: str) -> DataFrame:
