@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions.units import is_scheduled
 from corelode.operators.geometry import first_collar, no_survey
+from corelode.operators.medians import exact_medians
 from corelode.operators.scans import HotKeys, scanned
 from corelode.schema import FROM, HOLE, LENGTH, TO
 
@@ -18,6 +19,7 @@ ORDER = ("ERROR", "WARN", "INFO")
 #: Plausible densities, t/m3.
 DENSITY_RANGE = (1.5, 6.0)
 M_PER_FT = 0.3048
+FEET = ("coordinates in feet", "depths in feet")
 
 
 @dataclass(frozen=True)
@@ -137,6 +139,7 @@ def geometry_checks(rows: DataFrame) -> DataFrame:
     ratio, slack = chord / length, F.greatest(F.lit(0.05), 0.05 * length)
     wrong = F.abs(chord - length) > slack
     coords_ft, depths_ft = wrong & (F.abs(ratio * M_PER_FT - 1) < 0.05), wrong & (F.abs(ratio / M_PER_FT - 1) < 0.05)
+    medians = {r["which"]: f": the chord is about {r['median_ratio']:.3f} times the length" for r in unit_ratio(rows).collect()}
     touch = F.abs(F.col(FROM) - F.col(f"p_{TO}")) <= 1e-8 + 1e-5 * F.abs(F.col(f"p_{TO}"))
     half = [(a + b) / 2 for a, b in zip(point("from"), point("to"), strict=True)]
     missing = F.lit(False)
@@ -146,8 +149,8 @@ def geometry_checks(rows: DataFrame) -> DataFrame:
     ok = length > 0
     out = run_checks(rows, "samples", [
         Check("coordinates_missing", "WARN", missing, "a coordinate is missing"),
-        Check("geometry_unit_mismatch", "ERROR", ok & coords_ft, "coordinates look like feet, depths like metres"),
-        Check("geometry_unit_mismatch", "ERROR", ok & depths_ft, "depths look like feet, coordinates like metres"),
+        Check("geometry_unit_mismatch", "ERROR", ok & coords_ft, "coordinates look like feet, depths like metres" + medians.get(FEET[0], "")),
+        Check("geometry_unit_mismatch", "ERROR", ok & depths_ft, "depths look like feet, coordinates like metres" + medians.get(FEET[1], "")),
         Check("geometry_length_mismatch", "WARN", ok & wrong & ~coords_ft & ~depths_ft, "the chord isn't as long as the interval"),
         Check("geometry_midpoint_offset", "WARN", ok & (far(point("mid"), half) > slack), "the middle isn't halfway"),
         Check("geometry_discontinuous", "WARN", touch & (far(point("from"), [F.col(f"p_{c}") for c in ("x_to", "y_to", "z_to")]) > 0.05), "touching rows are apart"),
@@ -172,13 +175,15 @@ def extent_check(rows: DataFrame, error_fraction: float = 0.5) -> DataFrame:
 
 def unit_ratio(rows: DataFrame) -> DataFrame:
     """(which, rows, median_ratio): of intervals whose chord and length differ by the factor between feet and metres, the exact median of
-    chord / length."""
+    chord / length. A row for each of the two kinds that there is."""
     far = F.sqrt(sum(F.pow(F.col(f"{a}_to") - F.col(f"{a}_from"), F.lit(2.0)) for a in "xyz"))
     length = F.col(TO) - F.col(FROM)
     ratio = far / length
-    which = F.when(F.abs(ratio * M_PER_FT - 1) < 0.05, "coordinates in feet").when(F.abs(ratio / M_PER_FT - 1) < 0.05, "depths in feet")
+    which = F.when(F.abs(ratio * M_PER_FT - 1) < 0.05, FEET[0]).when(F.abs(ratio / M_PER_FT - 1) < 0.05, FEET[1])
     bad = rows.where((length > 0) & (F.abs(far - length) > F.greatest(F.lit(0.05), 0.05 * length)))
-    return bad.select(which.alias("which"), ratio.alias("r")).where("which is not null").groupBy("which").agg(F.count("*").alias("rows"), F.median("r").alias("median_ratio"))
+    ratios = bad.select(which.alias("which"), ratio.alias("r")).where("which is not null")
+    found = [(k, n, m) for k, (n, m) in exact_medians(ratios, "which", "r").items()]
+    return rows.sparkSession.createDataFrame(sorted(found), "which string, rows long, median_ratio double")
 
 
 def placed_checks(rows: DataFrame) -> DataFrame:

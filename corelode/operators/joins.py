@@ -55,31 +55,42 @@ def overlap_join(left: DataFrame, right: DataFrame, by: str = HOLE, left_span: t
     return a.join(b, ["__by", "__b"]).where(met).select("l", "r")
 
 
-#: Widths of the buckets under which boundaries are filed; an interval looks into the narrowest that is as long as itself.
-WIDTHS = (64.0, 256.0, 1024.0, 4096.0, 16384.0)
+#: Width of the finest nodes of the axis; each level's are twice as wide as those of the one below.
+FINEST, LEVELS = 64.0, 60
 
 
-def _filed(boundaries: DataFrame, at: str, by: str) -> DataFrame:
-    """(key, class, bucket, cuts): the boundaries in each bucket and the next one, in order; the last class holds all of a key."""
-    classes = [F.floor(F.col(at) / w) for w in WIDTHS]
-    places = [F.struct(F.lit(k).alias("c"), (b - back).alias("b")) for k, b in enumerate(classes) for back in (0, 1)]
-    places.append(F.struct(F.lit(len(WIDTHS)).alias("c"), F.lit(0).cast("bigint").alias("b")))
-    rows = boundaries.where(F.col(at).isNotNull()).select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.explode(F.array(*places)).alias("p"))
-    return rows.groupBy("__by", F.col("p.c").alias("__c"), F.col("p.b").alias("__b")).agg(F.sort_array(F.collect_set("__at")).alias("__cuts"))
+def _level(size: Column) -> Column:
+    """The lowest level whose nodes are as wide as `size`."""
+    k = F.least(F.greatest(F.ceil(F.log2(size / FINEST)), F.lit(0)), F.lit(LEVELS))
+    return F.when(size > FINEST * F.pow(F.lit(2.0), k), F.least(k + 1, F.lit(LEVELS))).otherwise(k).cast("int")
+
+
+def _node(at: Column, level: Column) -> Column:
+    return F.floor(at / (FINEST * F.pow(F.lit(2.0), level)))
+
+
+def _filed(boundaries: DataFrame, asked: DataFrame, at: str, by: str) -> DataFrame:
+    """(key, level, node, cuts): for each node that is asked for, its boundaries and those of the next node, in order."""
+    levels = asked.agg(F.collect_set("__ic").alias("k")).scalar()  # LEVELS at most, one or two as a rule
+    rows = boundaries.where(F.col(at).isNotNull()).select(F.col(by).alias("__by"), F.col(at).alias("__at"), F.explode(levels).alias("__c"))
+    here = _node(F.col("__at"), F.col("__c"))
+    rows = rows.select("__by", "__at", "__c", F.explode(F.array(here, here - 1)).alias("__b"))
+    nodes = asked.distinct()
+    wanted = rows.join(nodes, (F.col("__by") == F.col("__ik")) & (F.col("__c") == F.col("__ic")) & (F.col("__b") == F.col("__ib")), "left_semi")
+    return wanted.groupBy("__by", "__c", "__b").agg(F.sort_array(F.collect_set("__at")).alias("__cuts"))
 
 
 def split_intervals(intervals: DataFrame, boundaries: DataFrame, at: str = "at_m", by: str = HOLE, start: str = FROM, end: str = TO, tolerance: float = TOLERANCE) -> DataFrame:
     """Each interval cut at the boundaries of its key that lie inside by more than `tolerance`; other columns are copied. Spans that are
     null or not longer than the tolerance are dropped after the cut.
 
-    An interval meets one row only, of the boundaries around it: those in the bucket where it begins and the next one, of a width
-    that is as large as itself. So work follows an interval's length, not its key's, and a hot key is dealt over its buckets."""
+    The axis is a dyadic tree. An interval meets one row only: the boundaries in the node where it begins, of the level whose nodes are as wide as
+    itself, and in the next. So work follows an interval's length, not its key's, and a hot key is dealt over its nodes. A boundary is filed only in
+    nodes that some interval asks for: none gathers a key's boundaries but for an interval as long as they reach. A null key has no boundaries."""
     lo, hi = F.col(start), F.col(end)
-    size, c, b = hi - lo, F.lit(len(WIDTHS)), F.lit(0).cast("bigint")
-    for k, w in reversed(list(enumerate(WIDTHS))):
-        c, b = F.when(size <= w, F.lit(k)).otherwise(c), F.when(size <= w, F.floor(lo / w)).otherwise(b)
-    out = intervals.where(size > tolerance).withColumns({"__ic": c, "__ib": b})
-    filed = _filed(boundaries, at, by)
+    size = hi - lo
+    out = intervals.where(size > tolerance).withColumn("__ic", _level(size)).withColumn("__ib", _node(lo, F.col("__ic")))
+    filed = _filed(boundaries, out.select(F.col(by).alias("__ik"), "__ic", "__ib"), at, by)
     out = out.join(filed, (F.col(by) == F.col("__by")) & (F.col("__ic") == F.col("__c")) & (F.col("__ib") == F.col("__b")), "left")
     inside = F.filter(F.coalesce("__cuts", F.array().cast("array<double>")), lambda x: (x > lo + tolerance) & (x < hi - tolerance))
     edges = F.concat(F.array(lo), inside, F.array(hi))
