@@ -15,6 +15,11 @@ from corelode.sources import infer
 SHOWS = {"desurvey": ("geometry", "intervals"), "candidates": ("candidates", "candidates"), "allocate": ("allocate", "allocation"), "select": ("select", "selected")}
 
 
+def _tell(notice: str) -> None:
+    if notice:
+        print(notice, file=sys.stderr)
+
+
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     p = argparse.ArgumentParser(prog="corelode", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -41,10 +46,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     cfg = load_config(a.config)
     out = a.out or cfg.path(cfg.project.output_dir)
     if a.command == "validate":
-        issues = project.validate(spark, cfg).cache()
-        report.write_csv({"validation_report": report.present(issues)}, out)
-        failed = issues.where("severity = 'ERROR'").count() > 0 and not a.force
-        issues.unpersist()
+        state = project.checked(spark, cfg)
+        report.write_csv({"validation_report": report.present(checks.ordered(state.issues))}, out)
+        _tell(report.write_orientation(state, out))
+        failed = state.issues.where("severity = 'ERROR'").count() > 0 and not a.force
+        state.close()
         return int(failed)
     stage, table = SHOWS.get(a.command, ("select", ""))
     try:
@@ -63,7 +69,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if "xlsx" in r.formats and "://" not in out:
             report.write_workbook(sheets, f"{out}/{cfg.project.name}.xlsx")
     else:
-        report.write_csv({a.command: report.present(state.tables[table], report.units_of(state))}, out)
+        report.write_csv({a.command: report.present(state.tables[table], report.shown_by(cfg))}, out)
+    if a.command in ("run", "desurvey"):
+        _tell(report.write_orientation(state, out))
     state.close()
     return 0
 

@@ -78,7 +78,7 @@ def targets(tonnage: DataFrame, total: int, method: str = "neyman", dispersion:
     rows = rows.withColumn("__short", F.greatest(F.col("target_raw") - F.col("existing"), F.lit(0.0)))
     scaled = F.when(F.sum("__short").over(everything) > 0, F.col("__short") * F.lit(float(total)) / F.sum("__short").over(everything)).otherwise(F.lit(0.0))
     rows = rows.withColumn("deficit_raw", scaled)
-    rows = largest_remainder(rows, "target_raw", total, "target")
+    rows = largest_remainder(rows, "target_raw", total, "target", zeros=zeros)
     return largest_remainder(rows, "deficit_raw", total, "deficit", zeros=zeros).drop("__basis", "__short")
 
 

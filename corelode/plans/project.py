@@ -324,18 +324,25 @@ def _kept(spark: SparkSession, t: DataFrame, path: str) -> DataFrame:
     return spark.read.schema(t.schema).parquet(path)
 
 
-def validate(spark: SparkSession, cfg: Config) -> DataFrame:
-    """All issues; geometry is left out, and that told, where loading met errors."""
+def checked(spark: SparkSession, cfg: Config) -> State:
+    """The state with all issues, and the holes' ends; geometry is left out, and that told, where loading met errors. The caller closes it."""
     state = stage_load(spark, cfg)
     known = _settle(state, state.issues, True)
     if any(r["severity"] == "ERROR" for r in known):
         skipped = spark.createDataFrame([("INFO", "geometry_checks_skipped", "geometry", None, 1, "loading met errors", {})], ISSUES)
-        return checks.ordered(state.issues.unionByName(skipped))
+        state.issues = state.issues.unionByName(skipped)
+        return state
     state = stage_geometry(state)
     hold(state, "intervals")
     _settle(state, geometry_issues(state), True, known)
+    return state
+
+
+def validate(spark: SparkSession, cfg: Config) -> DataFrame:
+    """All issues in order."""
+    state = checked(spark, cfg)
     state.close()
     return checks.ordered(state.issues)
 
 
-__all__ = ["FROM", "GAPS", "TO", "State", "ValidationFailed", "run", "validate"]
+__all__ = ["FROM", "GAPS", "TO", "State", "ValidationFailed", "checked", "run", "validate"]

@@ -4,29 +4,62 @@ from __future__ import annotations
 
 import zipfile
 from collections.abc import Iterable
+from dataclasses import dataclass
 from pathlib import Path
 from xml.sax.saxutils import escape
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corelode.config import Config
 from corelode.functions.units import ppm_to_units
 from corelode.operators.checks import ordered
 from corelode.plans.project import State
+from corelode.schema import attribute, block_attribute, block_element, element, weighted
 
 MAX_WIDTH = 46
 
 
-def present(rows: DataFrame, elements: dict[str, str] | None = None, digits: int = 3) -> DataFrame:
-    """Grades in their declared units and named so, arrays joined, doubles rounded half-even, repeated names told apart."""
+@dataclass(frozen=True)
+class Shown:
+    """How columns are shown: units of an element by side, and the attributes' roles."""
+
+    hole: dict[str, str]
+    block: dict[str, str]
+    roles: tuple[str, ...] = ()
+
+    def of(self, columns: list[str]) -> dict[str, tuple[str, str | None]]:
+        """{column: (header, units)} of those that have a header of their own. A block's grade is in the block model's units where it declares some, all
+        others in the drillhole's; an interval's own grade goes before a composite's mean of the same element."""
+        out: dict[str, tuple[str, str | None]] = {}
+        for k in dict.fromkeys([*self.hole, *self.block]):
+            units = self.hole.get(k) or self.block[k]
+            side = self.block.get(k) or units
+            own, mean = element(k), weighted(k)
+            out |= {own: (f"{k}_{units}", units), block_element(k): (f"bm_{k}_{side}", side), mean: (f"{k}_{units}_wtd" if own in columns else f"{k}_{units}", units)}
+        for r in self.roles:
+            out |= {attribute(r): (r, None), block_attribute(r): (f"bm_{r}", None)}
+        return {c: v for c, v in out.items() if c in columns}
+
+
+def shown_by(cfg: Config) -> Shown:
+    side = lambda name: {k: s.units for k, e in cfg.elements.items() if (s := getattr(e, name))}
+    return Shown(side("drillhole"), side("block_model"), tuple(cfg.attributes))
+
+
+def present(rows: DataFrame, shown: Shown | None = None, digits: int = 3) -> DataFrame:
+    """Grades in their declared units under plain headers, attributes under their roles, arrays joined, doubles rounded half-even. A header that
+    another column has already gets a number."""
+    headers = shown.of(rows.columns) if shown else {}
     out: list[Column] = []
     seen: dict[str, int] = {}
     for f in rows.schema.fields:
-        c, name = F.col(f"`{f.name}`"), f.name
-        for prefix in ("elem_", "wtd_", "bm_elem_"):
-            if name.startswith(prefix) and (u := (elements or {}).get(name.removeprefix(prefix))):
-                c, name = ppm_to_units(c, u), f"{name}_{u}"
+        name, units = headers.get(f.name, (f.name, None))
+        c = F.col(f"`{f.name}`")
+        if units:
+            c = ppm_to_units(c, units)
         if isinstance(f.dataType, T.DoubleType):
             c = F.bround(c, digits)
         elif isinstance(f.dataType, T.ArrayType):
@@ -38,10 +71,6 @@ def present(rows: DataFrame, elements: dict[str, str] | None = None, digits: int
     return rows.select(*out)
 
 
-def units_of(state: State) -> dict[str, str]:
-    return {k: e.drillhole.units for k, e in state.cfg.elements.items() if e.drillhole}
-
-
 def summary(state: State) -> DataFrame:
     """(item, value) rows."""
     count = lambda name, rows: rows.agg(F.lit(name).alias("item"), F.count("*").cast("string").alias("value"))
@@ -54,12 +83,44 @@ def summary(state: State) -> DataFrame:
     return out.unionByName(state.issues.groupBy("severity").agg(F.count("*").cast("string").alias("value")).select(F.concat(F.lit("issues "), "severity").alias("item"), "value"))
 
 
+#: What the workbook's lists begin with; a composite's reason comes last.
+ALLOCATION = ("allocation_domain", "tonnes", "tonnes_pct", "weighted_pct", "target", "existing", "deficit", "achieved", "shortfall")
+COMPOSITES = ("sample_no", "hole_id", "from_m", "to_m", "length_m", "intervals", "mass_kg", "allocation_domain", "geomet_domain", "period", "grade_bin", "cv_primary", "domain_match", "is_planned")
+INTERNAL = ("quality", "score", "missing", "swaps", "picked")
+
+
+def allocation_sheet(allocation: DataFrame, selected: DataFrame) -> DataFrame:
+    rows = allocation.join(selected.groupBy("allocation_domain").agg(F.count("*").alias("achieved")), "allocation_domain", "left")
+    rows = rows.withColumn("achieved", F.coalesce("achieved", F.lit(0).cast("long"))).withColumn("shortfall", F.col("deficit") - F.col("achieved"))
+    whole = F.sum("weighted_tonnes").over(W.partitionBy())  # a row for each domain
+    rows = rows.withColumn("weighted_pct", F.when(whole > 0, 100.0 * F.col("weighted_tonnes") / whole).otherwise(F.lit(0.0)))
+    return rows.select(*ALLOCATION).orderBy("allocation_domain")
+
+
+def composites_sheet(selected: DataFrame) -> DataFrame:
+    lead = [c for c in COMPOSITES if c in selected.columns]
+    rest = [c for c in selected.columns if c not in (*lead, *INTERNAL, "reason")]
+    return selected.select(*lead, *rest, "reason").orderBy("sample_no")
+
+
 def sheets(state: State) -> dict[str, DataFrame]:
-    t = state.tables
-    allocation = t["allocation"].join(t["selected"].groupBy("allocation_domain").agg(F.count("*").alias("achieved")), "allocation_domain", "left")
-    allocation = allocation.withColumn("achieved", F.coalesce("achieved", F.lit(0).cast("long"))).withColumn("shortfall", F.greatest(F.col("deficit") - F.col("achieved"), F.lit(0).cast("long"))).orderBy("allocation_domain")
-    shown = {"Summary": summary(state), "Allocation": allocation, "Composites": t["selected"].orderBy("sample_no"), "Pick_List": t["picks"], "Gap_Register": t["gaps"].orderBy("scope", "key"), "Validation": ordered(state.issues), "Candidates": t["candidates"].orderBy("candidate_id")}
-    return {k: present(v, units_of(state)) for k, v in shown.items()}
+    """The workbook's tables. What is for the core shed has two digits, the candidates three."""
+    t, shown = state.tables, shown_by(state.cfg)
+    return {
+        "Summary": summary(state), "Allocation": present(allocation_sheet(t["allocation"], t["selected"]), shown, 2), "Composites": present(composites_sheet(t["selected"]), shown, 2),
+        "Pick_List": present(t["picks"], shown, 2), "Gap_Register": present(t["gaps"].orderBy("scope", "key")), "Validation": present(ordered(state.issues)),
+        "Candidates": present(t["candidates"].orderBy("candidate_id"), shown),
+    }
+
+
+def write_orientation(state: State, folder: str) -> str:
+    """Writes the holes' collars and toes as CSV, for each run that has built geometry; returns what to look at before its results are used."""
+    ends = state.tables.get("hole_ends")
+    if ends is None:
+        return ""
+    write_csv({"hole_orientation": present(ends.orderBy("hole_id"))}, folder)
+    r = ends.agg(F.count("*").alias("n"), F.count_if("rises").alias("up")).collect()[0]
+    return f"{r['n']} holes, {r['up']} of them end above their collar: look at hole_orientation in {folder} first, since a wrong dip sign, elevation or unit shows there"
 
 
 def chart_data(state: State) -> dict[str, DataFrame]:

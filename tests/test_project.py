@@ -111,7 +111,9 @@ def test_bad_configurations(tmp_path, old, new):
 def test_sheets_workbook_and_cache(spark, tiny, tmp_path):
     sheets = report.sheets(tiny)
     assert list(sheets) == ["Summary", "Allocation", "Composites", "Pick_List", "Gap_Register", "Validation", "Candidates"]
-    assert "elem_Zn_pct" in sheets["Pick_List"].columns
+    assert "Zn_pct" in sheets["Pick_List"].columns and {"Zn_pct", "bm_rock"} <= set(report.present(tiny.tables["intervals"], report.shown_by(tiny.cfg)).columns)
+    assert sheets["Allocation"].columns == list(report.ALLOCATION) and abs(sum(r["weighted_pct"] for r in sheets["Allocation"].collect()) - 100) < 0.02
+    assert sheets["Composites"].columns[:3] == ["sample_no", "hole_id", "from_m"] and sheets["Composites"].columns[-1] == "reason" and "quality" not in sheets["Composites"].columns
     report.write_workbook({k: sheets[k] for k in ("Summary", "Composites")}, f"{tmp_path}/x/book.xlsx")
     with zipfile.ZipFile(f"{tmp_path}/x/book.xlsx") as z:
         assert "GM-001" in z.read("xl/worksheets/sheet2.xml").decode() and 'state="frozen"' in z.read("xl/worksheets/sheet1.xml").decode()
@@ -129,7 +131,8 @@ def test_command_line(spark, tmp_path):
     text = (tmp_path / "d.yaml").read_text("utf-8")
     got = yaml.safe_load(text)
     assert "# CONFIRM" in text and got["conventions"]["dip_convention"] == "negative_down" and got["elements"]["Zn"]["drillhole"] == {"field": "Zn_pct", "units": "pct"} and got["sources"]["assay"]["density"]["source"] == "BD_tonnes_m3"
-    assert got["sources"]["collar"]["columns"]["east"] == "Easting"
+    assert got["sources"]["collar"]["columns"]["east"] == "Easting" and got["sources"]["availability"]["path"] == "PATH_REQUIRED" and got["sources"]["assay"]["flags"]["low_recovery"]["source"] is None
+    assert "# dip_convention follows" in text and "# primary element: Zn" in text and "LowRec" not in text.split("project:")[0].replace("columns that nothing uses: LowRec", "") and "PATH_REQUIRED stands for files that weren't given: domain_lookup, block_model, availability" in text
     whole = parse_config(text)
     assert whole.domaining.allocation_key == ["grade_bin"] and whole.primary == "Zn" and whole.compositing.target_mass_kg == 50 and whole.sources.domain_lookup.path == "PATH_REQUIRED"
 
@@ -196,6 +199,35 @@ def test_encodings(spark, tmp_path):
     assert read_text(spark, f"{tmp_path}/u.csv").columns == ["a", "b", "_row"]
 
 
+def test_validate_shows_orientation(spark, tmp_path):
+    (tmp_path / "p.yaml").write_text(project_files.make(tmp_path) + "reporting: {formats: [csv], include_plots: no}\n", "utf-8")
+    assert cli.main(["validate", str(tmp_path / "p.yaml"), "--out", str(tmp_path / "o")], spark) == 0
+    ends = spark.read.csv(f"{tmp_path}/o/hole_orientation", header=True).collect()
+    assert len(ends) == 8 and {r["rises"] for r in ends} == {"false"}
+
+
+def test_availability_is_required(tmp_path):
+    text = project_files.make(tmp_path)
+    cut = "\n".join(x for x in text.split("\n") if not x.startswith("  availability:"))
+    with pytest.raises(ValueError, match="availability"):
+        parse_config(cut)
+
+
+def test_headers_and_units(spark):
+    shown = report.Shown({"Zn": "pct"}, {"Zn": "ppm", "Ag": "gpt"}, ("rock",))
+    rows = spark.createDataFrame([(20000.0, 30000.0, 500.0, 3.0, "a", "b")], "elem_Zn double, wtd_Zn double, bm_elem_Zn double, bm_elem_Ag double, attr_rock string, bm_attr_rock string")
+    got = report.present(rows, shown)
+    assert got.columns == ["Zn_pct", "Zn_pct_wtd", "bm_Zn_ppm", "bm_Ag_gpt", "rock", "bm_rock"] and got.collect() == [(2.0, 3.0, 500.0, 3.0, "a", "b")]
+    assert report.present(rows.select("wtd_Zn", "attr_rock", F.lit(1).alias("rock")), shown).columns == ["Zn_pct", "rock", "rock_2"]
+
+
+def test_categories_are_counted_exactly(spark, tmp_path):
+    rows = [(f"c{i % 50}", f"d{i % 51}", "x") for i in range(3000)]
+    spark.createDataFrame(rows, "fifty string, more string, one string").write.parquet(f"{tmp_path}/t.parquet")
+    assert infer.inspect(spark, f"{tmp_path}/t.parquet", ["hole_id"])["attributes"] == ["fifty"]
+
+
 def test_name_matching():
+    assert [infer.element_of(c) for c in ("Znpct", "Au gpt", "Ag-ozt", "agt", "Zinc_pct", "Zn", "Z1_pct")] == [("Zn", "pct"), ("Au", "gpt"), ("Ag", "oz_t"), None, None, None, None] and infer.role_of("Rock Type (main)") == "rock_type_main"
     assert infer.match_column("hole_id", ["X", "HoleID"]) == "HoleID" and infer.match_column("azimuth", ["Azimuth_deg"]) == "Azimuth_deg" and infer.match_column("dip", ["foo"]) is None
     assert infer.element_of("Zn_pct") == ("Zn", "pct") and infer.element_of("Density") is None
