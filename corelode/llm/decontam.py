@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corelode.llm.common import ALNUM, pair, slices
+from corelode.llm.common import ALNUM, durable, pair, slices
 
 WINDOW = 10
 BLOCK_WORDS = 250_000
@@ -223,22 +223,22 @@ def _pass(shared, drop: tuple[str, ...] = (), after=None):
     return run
 
 
-def _swept(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int, drop: tuple[str, ...], after=None, schema=None) -> DataFrame:
-    """rows (with a binary `text`) plus n_words, spans and items, by a pass for each block of items; the last pass ends with `drop`
-    and `after`."""
+def _swept(rows: DataFrame, items: DataFrame, item_id: str, item_text: str, window: int, block_words: int, drop: tuple[str, ...], after=None, schema=None) -> tuple[DataFrame, int]:
+    """rows (with a binary `text`) plus n_words, spans and items, by a pass for each block of items, and the number of blocks; the last pass ends with
+    `drop` and with what `after` gives for that number."""
     sc = rows.sparkSession.sparkContext
     rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<bigint>"), "items": F.array().cast("array<string>")})
-    ready = None
+    ready, many = None, 0
     for a in blocks(items, item_id, item_text, window, block_words):
         if ready is not None:
             rows = rows.mapInArrow(_pass(ready), rows.schema)
-        ready = sc.broadcast(a)
-    return rows.mapInArrow(_pass(ready, drop, after), schema or T.StructType([f for f in rows.schema if f.name not in drop]))
+        ready, many = sc.broadcast(a), many + 1
+    return rows.mapInArrow(_pass(ready, drop, after(many) if after else None), schema or T.StructType([f for f in rows.schema if f.name not in drop])), many
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(id, n_words, n_hit, spans, items): spans are [start, end, start, end, ...] in words, items the names in order."""
-    found = _swept(pair(docs, id_col, text_col), items, item_id, item_text, window, block_words, ("text",))
+    found, _ = _swept(pair(docs, id_col, text_col), items, item_id, item_text, window, block_words, ("text",))
     spans = F.col("spans")
     n_hit = F.aggregate(F.transform(spans, lambda x, i: F.when(i % 2 == 1, x).otherwise(-x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(F.col("doc_id").alias(id_col), "n_words", n_hit.alias("n_hit"), "spans", "items")
@@ -256,35 +256,53 @@ def cut(text: bytes, spans: list[int]) -> bytes:
 
 def remove_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS, count_col: str | None = "n_chars") -> DataFrame:
     """docs without the spans of benchmark words; where those are over `max_coverage` of the words, the document goes. All
-    columns stay; `count_col`, if there, follows the new text. What is left is scanned again, since words that a cut brings together may
-    form a window, until nothing is found: for all items where one block holds them, else for those of the last block."""
+    columns stay; `count_col`, if there, follows the new text. What is left of a cut is scanned again for all items, since words that a cut brings
+    together may form a window, until nothing is found: at once where one block holds the items, else in rounds over the rows that were cut,
+    which are kept in the shared checkpoint folder. The result is the same for any size of block."""
     names = docs.columns
-    inner = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), F.col(text_col).cast("binary").alias("text"))
     k, n = f"c{names.index(text_col)}", f"c{names.index(count_col)}" if count_col in names else None
     own = [f"c{i}" for i in range(len(names))]
 
-    def clean(b, a):
-        cols = {c: b.column(c) for c in own}
-        spans, words = b.column("spans").to_pylist(), b.column("n_words").to_pylist()
-        hit = [sum(s[1::2]) - sum(s[::2]) for s in spans]
-        if any(hit):
-            texts, size = b.column(k).to_pylist(), b.column(n).to_pylist() if n else None
-            for i, s in enumerate(spans):
-                if s:
-                    rest, s = texts[i].encode(), list(s)
-                    while s:
-                        rest = cut(rest, s)
-                        found, _ = a.hits(np.array([a.numbers.get(w, -1) for w in rest.translate(ALNUM).split()], dtype=np.int64))
-                        s = [x for span in found for x in span]
-                        hit[i] += sum(s[1::2]) - sum(s[::2])
-                    texts[i] = rest.decode()
-                    if n:
-                        size[i] = len(texts[i])
-            cols[k] = pa.array(texts, pa.string())
-            if n:
-                cols[n] = pa.array(size, b.schema.field(n).type)
-        kept = pa.array([h <= max_coverage * w or not h for h, w in zip(hit, words, strict=True)], pa.bool_())
-        return pa.RecordBatch.from_arrays([*cols.values()], names=own).filter(kept)
-
-    schema = T.StructType([f for f in inner.schema if f.name != "text"])
-    return _swept(inner, items, item_id, item_text, window, block_words, ("text",), clean, schema).toDF(*names)
+    def cleaner(many: int):
+        def clean(b, a):
+            cols = {c: b.column(c) for c in own}
+            spans = b.column("spans").to_pylist()
+            hit = b.column("hit").to_pylist()
+            words = [w if was is None else was for w, was in zip(b.column("n_words").to_pylist(), b.column("words").to_pylist(), strict=True)]
+            again = [bool(s) and many > 1 for s in spans]
+            if any(spans):
+                texts, size = b.column(k).to_pylist(), b.column(n).to_pylist() if n else None
+                for i, s in enumerate(spans):
+                    if s:
+                        rest, s = texts[i].encode(), list(s)
+                        while s:
+                            rest = cut(rest, s)
+                            hit[i] += sum(s[1::2]) - sum(s[::2])
+                            if many > 1:
+                                break
+                            found, _ = a.hits(np.array([a.numbers.get(w, -1) for w in rest.translate(ALNUM).split()], dtype=np.int64))
+                            s = [x for span in found for x in span]
+                        texts[i] = rest.decode()
+                        if n:
+                            size[i] = len(texts[i])
+                cols[k] = pa.array(texts, pa.string())
+                if n:
+                    cols[n] = pa.array(size, b.schema.field(n).type)
+            return pa.RecordBatch.from_arrays([*cols.values(), pa.array(hit, pa.int64()), pa.array(words, pa.int64()), pa.array(again, pa.bool_())], names=[*own, "hit", "words", "again"])
+
+        return clean
+
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("long")
+    todo = docs.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)), zero.alias("hit"), none.alias("words"))
+    schema = T.StructType([*todo.schema.fields[: len(own)], T.StructField("hit", T.LongType()), T.StructField("words", T.LongType()), T.StructField("again", T.BooleanType())])
+    done = None
+    while True:
+        swept, many = _swept(todo.withColumn("text", F.col(k).cast("binary")), items, item_id, item_text, window, block_words, ("text",), cleaner, schema)
+        ready = swept.where("not again")
+        done = ready if done is None else done.union(ready)
+        if many == 1:
+            break
+        todo = durable(swept.where("again")).drop("again")
+        if todo.isEmpty():
+            break
+    return done.where((F.col("hit") == 0) | (F.col("hit") <= F.col("words") * max_coverage)).select(*own).toDF(*names)
