@@ -19,7 +19,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corelode.operators import blocks, checks, intervals, joins, runs
+from corelode.operators import blocks, checks, intervals, joins, runs, scans
 from corelode.schema import FROM, HOLE, LENGTH, TO
 from jobs.common import arguments, counted, log, read_config, session, source
 
@@ -39,10 +39,11 @@ def judged(summary: DataFrame, min_length: float, min_mass: float) -> DataFrame:
 
 
 def register(assay: DataFrame, litho: DataFrame, holes: DataFrame, lookup: DataFrame, cfg: dict) -> DataFrame:
+    hot = scans.hot_keys(assay)
     cut = joins.split_intervals(assay, intervals.contacts(litho)).withColumn(LENGTH, F.col(TO) - F.col(FROM))
-    named = intervals.domain_of_code(intervals.logged_at_middle(cut, litho), lookup)
+    named = intervals.domain_of_code(intervals.logged_at_middle(cut, litho, hot=hot), lookup)
     massed = blocks.with_mass(blocks.with_core(named, holes, cfg["core_diameter_mm"], cfg["remaining_fraction"]), cfg["loss"], cfg["density"])
-    found = runs.segment_runs(massed, runs.BreakRules(cfg["max_gap_m"], (("geomet_domain", "geomet_domain"),), primary_grade=cfg["primary_grade"]))
+    found = runs.segment_runs(massed, runs.BreakRules(cfg["max_gap_m"], (("geomet_domain", "geomet_domain"),), primary_grade=cfg["primary_grade"]), (FROM, TO, "sample_id"), hot)
     # The project is the hole's, so it takes part in no exchange of its own.
     return judged(runs.summarise_runs(found, ("geomet_domain", "availability", "project")), cfg["min_length_m"], cfg["min_mass_kg"])
 
