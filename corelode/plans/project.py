@@ -10,8 +10,9 @@ import hashlib
 import uuid
 from dataclasses import dataclass, field
 from functools import reduce
-from pathlib import Path
+from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from corelode.config import Config, digest
 from corelode.functions.units import GRADE
 from corelode.operators import allocate, blocks, checks, geometry, intervals, runs, scans, select, windows
 from corelode.schema import FROM, GAPS, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute, key_column
+from corelode.sources import quoted
 from corelode.sources.readers import Dataset, load
 
 STAGES = ("load", "geometry", "candidates", "allocate", "select")
@@ -286,23 +288,35 @@ def _store(spark: SparkSession, path: str):
     return p, p.getFileSystem(sc._jsc.hadoopConfiguration())
 
 
+#: Prime modulus and base of the order-sensitive sum of line digests.
+MODULUS, BASE = (1 << 127) - 1, 0x2545F4914F6CDD1D9E3779B97F4A7C15 % ((1 << 127) - 1)
+
+
+def _digests(batches):
+    """(file, block, n, h): of each split the number of its lines and the sum of their digests times BASE to the power of their place."""
+    found: dict[tuple[str, int], list[int]] = {}
+    for b in batches:
+        for file, block, line in zip(*(b.column(c).to_pylist() for c in ("file", "block", "line")), strict=True):
+            mine = found.setdefault((file, block), [0, 0, 1])
+            mine[1] = (mine[1] + int.from_bytes(hashlib.sha256(line).digest()[:16], "big") * mine[2]) % MODULUS
+            mine[0], mine[2] = mine[0] + 1, mine[2] * BASE % MODULUS
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found]), pa.array([k[1] for k in found], pa.int64()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([str(v[1]) for v in found.values()])], names=["file", "block", "n", "h"])
+
+
 def content_key(spark: SparkSession, path: str) -> str:
-    """Of what a source holds: for local files a SHA-256 of their bytes, in other stores names, lengths and times of change."""
-    local = Path(path.removeprefix("file://"))
-    if local.exists():
-        h = hashlib.sha256()
-        for f in sorted(x for x in ([local] if local.is_file() else local.rglob("*")) if x.is_file() and not x.name.startswith((".", "_"))):
-            h.update(f"{f.relative_to(local.parent)}:{f.stat().st_size};".encode())
-            with f.open("rb") as data:
-                while piece := data.read(1 << 20):
-                    h.update(piece)
-        return h.hexdigest()
+    """Of what a source holds, in any store: names, lengths and contents of its files. Each split digests its own lines, in its task; the driver gets a row a
+    split and puts them together in order, so the key is the same however the files are split."""
+    rows = quoted.lines(spark, path).mapInArrow(_digests, "file string, block long, n long, h string").collect()
     p, store = _store(spark, path)
-    files, said = store.listFiles(p, True), []
+    base, files, said = store.makeQualified(p).toString(), store.listFiles(p, True), {}
     while files.hasNext():
         f = files.next()
-        said.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
-    return digest("\n".join(sorted(said)))
+        said[unquote(f.getPath().toString()).removeprefix(base)] = [f.getLen(), 0, 0]
+    for r in sorted(rows):
+        mine = said.setdefault(unquote(r["file"]).replace("file:///", "file:/").removeprefix(base), [0, 0, 0])
+        mine[1:] = mine[1] + r["n"], (mine[2] + int(r["h"]) * pow(BASE, mine[1], MODULUS)) % MODULUS
+    return digest("\n".join(f"{k}:{v}" for k, v in sorted(said.items()) if not k.rpartition("/")[2].startswith((".", "_"))))
 
 
 def run_key(spark: SparkSession, cfg: Config) -> str:

@@ -1,3 +1,5 @@
+import os
+import random
 import sys
 from pathlib import Path
 
@@ -172,6 +174,36 @@ def test_cache_follows_contents(spark, tmp_path):
     assert project.run(spark, cfg, "geometry", cache=f"{tmp_path}/cache").tables["intervals"].count() == 99
 
 
+def test_content_keys_follow_bytes_and_nothing_else(spark, tmp_path):
+    at = tmp_path / "some dir"
+    at.mkdir()
+    rng = random.Random(3)
+    for k in range(3):
+        (at / f"{k} ä.csv").write_bytes(b"\n".join(bytes(rng.choices(range(256), k=rng.randint(0, 60))) for _ in range(300)))
+    first = project.content_key(spark, str(at))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        for size in (900, 6000):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+            assert project.content_key(spark, str(at)) == first
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", kept[1])
+    one = at / "1 ä.csv"
+    data, times = bytearray(one.read_bytes()), one.stat()
+    data[1234] ^= 1
+    one.write_bytes(data)
+    os.utime(one, ns=(times.st_atime_ns, times.st_mtime_ns))
+    assert project.content_key(spark, str(at)) != first
+    data[1234] ^= 1
+    one.write_bytes(data)
+    assert project.content_key(spark, str(at)) == first
+    one.rename(at / "9.csv")
+    assert project.content_key(spark, str(at)) != first
+    assert project.content_key(spark, str(at / "9.csv")) != project.content_key(spark, str(at / "0 ä.csv"))
+
+
 def test_lines_are_dense_over_many_files(spark, tmp_path):
     for k in range(5):
         (tmp_path / f"{k}.csv").write_text("a,b\n" + "".join(f"{k},{i}\n" for i in range(7 + k)), "utf-8")
