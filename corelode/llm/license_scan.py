@@ -10,8 +10,8 @@ An expression is evaluated over its postfix form to three values. Labels: those
 `or` takes the larger side (any branch will do), `and` the smaller (all must hold), `with` that of its identifier.
 Permissive: whether permissive families alone meet it, by any branch of `or` and all of `and`; an exception changes nothing.
 
-Score: the largest certainty of the tags that parse; without one 0.9 with a base phrase, 0.7 with another phrase, 0.4 with only
-a tag whose expression doesn't parse, else 0. `permissive` is true if all tags that parse are, null if none does.
+Score: the largest that any evidence gives: the certainty of a tag that parses, 0.9 for a base phrase, 0.7 for another phrase, 0.4 for a
+tag whose expression doesn't parse; without any 0. `permissive` is true if all tags that parse are, null if none does.
 
 Defined results: null and empty texts have no words, null places, empty labels and score 0; null or repeated ids are
 kept, each row is scanned alone; an empty table gives an empty result; other columns are ignored.
@@ -157,7 +157,7 @@ def scan(text: bytes | None) -> tuple:
     if tagged:
         named = [evaluate(_JUNK.sub("", x).strip()) for x in _TAG_LINE.findall(text.decode("utf-8", "replace"))]
         known = [x for x in named if x is not None]
-        score = max((x.certainty for x in known), default=max(score, 0.4))
+        score = max([score, 0.4, *(x.certainty for x in known)])  # more evidence never takes any away
         permissive = all(x.permissive for x in known) if known else None
         more.update(*(x.labels for x in known))
     where = (line.count(" ", 0, min(places)), line.count(" ", 0, max(places))) if places else (None, None)

@@ -118,7 +118,7 @@ def license_verdict(text):
             values.append(_Expression(said.replace("*/", "")).value())
         except ValueError:
             pass
-    score = max(v[1] for v in values) if values else 0.9 if base else 0.7 if more else 0.4 if tagged else 0.0
+    score = max([0.9 if base else 0.7 if more else 0.4 if tagged else 0.0, *(v[1] for v in values)])
     return ",".join(sorted(base | more | {x for v in values for x in v[0]})), score, all(v[2] for v in values) if values else None
 
 

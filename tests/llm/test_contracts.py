@@ -61,6 +61,12 @@ def test_expressions(text, postfix):
     assert license_scan.to_postfix(text) == postfix
 
 
+def test_more_license_evidence_never_lowers_the_score():
+    plain = license_scan.scan(b"under the MIT license")
+    more = license_scan.scan(b"under the MIT license\nSPDX-License-Identifier: Foo-1.0\n")
+    assert plain[6] == more[6] == 0.9 and license_scan.scan(b"SPDX-License-Identifier: MIT\n")[6] == license_scan.scan(b"MIT license\nSPDX-License-Identifier: MIT\n")[6] == 1.0
+
+
 def test_license_labels_and_scores_equal_brute_force(spark):
     rng = random.Random(12)
     name = lambda: rng.choice(["MIT", "Apache-2.0", "GPL-2.0+", "ISC", "LicenseRef-x", "zlib", "cc-by-4.0"])
