@@ -75,6 +75,12 @@ def block_assign_nearest(s: SparkSession, d: str) -> DataFrame:
     return _assigned(s, d).select("point_id", F.col("_row").alias("block"), "outside_model")
 
 
+def block_assign_mixed(s: SparkSession, d: str) -> DataFrame:
+    """Nearest blocks in a model of mixed sizes."""
+    found = blocks.nearest_block(v.points(s, d), v.mixed_blocks(s, d), ["_row"])
+    return found.select("point_id", F.col("_row").alias("block"), "outside_model")
+
+
 def outside_model_fraction(s: SparkSession, d: str) -> DataFrame:
     return blocks.outside_fraction(_assigned(s, d)).select(_r("outside_fraction", 9))
 
@@ -420,7 +426,7 @@ def period_weights(s: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         interval_split, interval_split_lengths, asof_litho_domain, unmapped_codes, sample_ids_suffix, desurvey_stations, desurvey_midpoints, planned_discretise, hole_ends_orientation,
-        block_assign_nearest, outside_model_fraction, resolve_attributes, domain_match_rate, grade_bins, allocation_domain_labels, interval_mass_fail_closed, prior_testwork_overlap,
+        block_assign_nearest, block_assign_mixed, outside_model_fraction, resolve_attributes, domain_match_rate, grade_bins, allocation_domain_labels, interval_mass_fail_closed, prior_testwork_overlap,
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,

@@ -88,6 +88,14 @@ nearest AS (
   SELECT point_id, any_value(px) AS px, any_value(py) AS py, any_value(pz) AS pz, arg_min({'block': block, 'x': x, 'y': y, 'z': z}, {'d': (px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2, 'block': block}) AS b FROM points, blocks GROUP BY 1),
 assigned AS (SELECT point_id, b.block AS near, NOT (abs(px - b.x) <= 20 + 1e-6 AND abs(py - b.y) <= 30 + 1e-6 AND abs(pz - b.z) <= 50 + 1e-6) AS outside FROM nearest)"""
 
+_MIXED = """
+mixed AS (
+  SELECT block, x, y, CASE WHEN block = 1 THEN -905 ELSE z END AS z, CASE WHEN block = 1 THEN 1000 WHEN block % 10 = 3 THEN 5 ELSE 20 END AS hx, CASE WHEN block = 1 THEN 1000 WHEN block % 10 = 3 THEN 7.5 ELSE 30 END AS hy,
+    CASE WHEN block = 1 THEN 3000 WHEN block % 10 = 3 THEN 12.5 ELSE 50 END AS hz FROM blocks),
+near_mixed AS (
+  SELECT point_id, any_value(px) AS px, any_value(py) AS py, any_value(pz) AS pz, arg_min({'block': block, 'x': x, 'y': y, 'z': z, 'hx': hx, 'hy': hy, 'hz': hz}, {'d': (px - x) ** 2 + (py - y) ** 2 + (pz - z) ** 2, 'block': block}) AS b FROM points, mixed GROUP BY 1),
+in_mixed AS (SELECT point_id, b.block AS near, NOT (abs(px - b.x) <= b.hx + 1e-6 AND abs(py - b.y) <= b.hy + 1e-6 AND abs(pz - b.z) <= b.hz + 1e-6) AS outside FROM near_mixed)"""
+
 _MASSED = """
 massed AS (
   SELECT d.*, coalesce(v.availability, 'UNAVAILABLE') AS availability,
@@ -206,6 +214,7 @@ ORACLES: dict[str, str] = {
     "planned_discretise": "SELECT s_suppkey AS hole_id, k * 4.0::DOUBLE AS from_m, (k + 1) * 4.0::DOUBLE AS to_m FROM supplier, range(0, 60) t(k) WHERE (k + 1) * 4 <= 100 + s_suppkey % 7 * 10.5 + 1e-6",
     "hole_ends_orientation": _q("SELECT hole_id, round(arg_min(z, from_m) FILTER (what = 'from'), 3) + 0 AS collar_z, round(arg_max(z, to_m) FILTER (what = 'to'), 3) + 0 AS toe_z, arg_max(z, to_m) FILTER (what = 'to') > arg_min(z, from_m) FILTER (what = 'from') + 1e-6 AS rises FROM placed GROUP BY 1", _ASSAY, _SURVEY, _PLACED),
     "block_assign_nearest": _q("SELECT point_id, CASE WHEN NOT outside THEN near END AS block, outside AS outside_model FROM assigned", _BLOCKS, _POINTS),
+    "block_assign_mixed": _q("SELECT point_id, CASE WHEN NOT outside THEN near END AS block, outside AS outside_model FROM in_mixed", _BLOCKS, _POINTS, _MIXED),
     "outside_model_fraction": _q("SELECT round(avg(CAST(outside AS INT)), 9) + 0 AS outside_fraction FROM assigned", _BLOCKS, _POINTS),
     "resolve_attributes": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_brand[1:7] END, CASE WHEN p_partkey % 3 <> 0 THEN upper(p_brand[1:8]) END) AS attr_rock FROM part",
     "domain_match_rate": "SELECT CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN upper(p_brand[1:7]) = upper(p_brand[1:8]) END AS domain_match, count(*) AS n FROM part GROUP BY 1",

@@ -85,6 +85,13 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid with every tenth block a quarter as wide, and block 1 some sixty times as large, below the first levels."""
+    k = F.col("_row")
+    rows = blocks(spark, sf_dir).withColumns({d: F.when(k == 1, size).when(k % 10 == 3, F.col(d) / 4).otherwise(F.col(d)) for d, size in (("dx", 2000.0), ("dy", 2000.0), ("dz", 6000.0))})
+    return rows.withColumn("z", F.when(k == 1, F.lit(-905.0)).otherwise(F.col("z")))
+
+
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 11th hole is gone, every 13th isn't listed."""
     k = F.col("s_suppkey")
