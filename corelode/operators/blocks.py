@@ -21,7 +21,7 @@ def _squared(at: dict[str, Column], b: Column) -> Column:
     return sum((at[n] - b[n]) * (at[n] - b[n]) for n in "xyz")
 
 
-def _cells(at: dict[str, Column], half: Column, width: Column) -> list[Column]:
+def cells_of(at: dict[str, Column], half: Column, width: Column) -> list[Column]:
     return [F.sequence(F.floor((c - half) / width), F.floor((c + half) / width)) for c in at.values()]
 
 
@@ -46,7 +46,7 @@ def nearest_block(points: DataFrame, blocks: DataFrame, carry: list[str], x: str
     keys = ["__cx", "__cy", "__cz"]
     for k in levels:
         width = low * 2.0**k * (1 + 1e-8)
-        filed = known.where(F.col("__level") == k).select(block.alias("__block"), *(c.alias(f"__s{n}") for n, c in zip("xyz", _cells({n: F.col(n) for n in "xyz"}, F.col("__h"), F.lit(width)), strict=True)))
+        filed = known.where(F.col("__level") == k).select(block.alias("__block"), *(c.alias(f"__s{n}") for n, c in zip("xyz", cells_of({n: F.col(n) for n in "xyz"}, F.col("__h"), F.lit(width)), strict=True)))
         for n in "xyz":
             filed = filed.withColumn(f"__c{n}", F.explode(f"__s{n}")).drop(f"__s{n}")
         filed = filed.groupBy(*keys).agg(F.collect_list("__block").alias("__near"))
@@ -82,7 +82,7 @@ def kept(rows: DataFrame) -> DataFrame:
 FINER = 3
 
 
-def _pyramid(sites: DataFrame, levels: list[int]) -> DataFrame:
+def box_pyramid(sites: DataFrame, levels: list[int]) -> DataFrame:
     """(level, cell, subs): for each cell that holds a site, its finer cells with sites: their place, the box around the sites and the least order."""
     width = F.pow(F.lit(2.0), F.col("level"))
     rows = sites.withColumn("level", F.explode(F.array(*(F.lit(k) for k in levels))))
@@ -103,7 +103,7 @@ def rivals(asked: DataFrame, sites: DataFrame) -> DataFrame:
     radius = F.sqrt("__d")
     top = F.ceil(F.log2(F.greatest(radius * 2, F.lit(1e-9)) * (1 + 1e-9))).cast("int")
     front = asked.withColumn("level", top)
-    for n, cells in zip("xyz", _cells(p, radius * (1 + 1e-12), F.pow(F.lit(2.0), F.col("level"))), strict=True):
+    for n, cells in zip("xyz", cells_of(p, radius * (1 + 1e-12), F.pow(F.lit(2.0), F.col("level"))), strict=True):
         front = front.withColumn(f"c{n}", F.explode(cells))
     lost = asked.select("__id").limit(0)
     while True:
@@ -111,7 +111,7 @@ def rivals(asked: DataFrame, sites: DataFrame) -> DataFrame:
         levels = sorted(r[0] for r in front.select("level").distinct().collect())  # some tens at most
         if not levels:
             return lost
-        met = front.join(_pyramid(sites, levels), ["level", "cx", "cy", "cz"])
+        met = front.join(box_pyramid(sites, levels), ["level", "cx", "cy", "cz"])
         least = lambda s: sum(F.pow(F.greatest(F.lit(0.0), s[f"l{n}"] - p[n], p[n] - s[f"h{n}"]), F.lit(2.0)) for n in "xyz")
         most = lambda s: sum(F.pow(F.greatest(F.abs(p[n] - s[f"l{n}"]), F.abs(p[n] - s[f"h{n}"])), F.lit(2.0)) for n in "xyz")
         one = lambda s: (s["lx"] == s["hx"]) & (s["ly"] == s["hy"]) & (s["lz"] == s["hz"])

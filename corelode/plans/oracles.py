@@ -215,6 +215,10 @@ ORACLES: dict[str, str] = {
     "hole_ends_orientation": _q("SELECT hole_id, round(arg_min(z, from_m) FILTER (what = 'from'), 3) + 0 AS collar_z, round(arg_max(z, to_m) FILTER (what = 'to'), 3) + 0 AS toe_z, arg_max(z, to_m) FILTER (what = 'to') > arg_min(z, from_m) FILTER (what = 'from') + 1e-6 AS rises FROM placed GROUP BY 1", _ASSAY, _SURVEY, _PLACED),
     "block_assign_nearest": _q("SELECT point_id, CASE WHEN NOT outside THEN near END AS block, outside AS outside_model FROM assigned", _BLOCKS, _POINTS),
     "block_assign_mixed": _q("SELECT point_id, CASE WHEN NOT outside THEN near END AS block, outside AS outside_model FROM in_mixed", _BLOCKS, _POINTS, _MIXED),
+    "nearest_neighbours": """WITH places AS (
+      SELECT p_partkey AS k, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 31) % 97 / 100.0::DOUBLE ELSE (p_partkey * 7919) % 10007 END AS x, CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 17) % 89 / 100.0::DOUBLE ELSE (p_partkey * 1299) % 9973 END AS y,
+        CASE WHEN p_partkey % 5 = 0 THEN (p_partkey * 7) % 11 / 100.0::DOUBLE ELSE (p_partkey * 389) % 4999 END AS z FROM part)
+      SELECT a.k AS place_id, round(sqrt(min((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2)), 6) + 0 AS nearest_m FROM places a JOIN places b ON a.k <> b.k GROUP BY a.k""",
     "outside_model_fraction": _q("SELECT round(avg(CAST(outside AS INT)), 9) + 0 AS outside_fraction FROM assigned", _BLOCKS, _POINTS),
     "resolve_attributes": "SELECT p_partkey, coalesce(CASE WHEN p_partkey % 5 <> 0 THEN p_brand[1:7] END, CASE WHEN p_partkey % 3 <> 0 THEN upper(p_brand[1:8]) END) AS attr_rock FROM part",
     "domain_match_rate": "SELECT CASE WHEN p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 THEN upper(p_brand[1:7]) = upper(p_brand[1:8]) END AS domain_match, count(*) AS n FROM part GROUP BY 1",

@@ -92,6 +92,14 @@ def mixed_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("z", F.when(k == 1, F.lit(-905.0)).otherwise(F.col("z")))
 
 
+def places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    crowd = k % 5 == 0
+    wide = {"x": (k * 7919) % 10007, "y": (k * 1299) % 9973, "z": (k * 389) % 4999}
+    close = {"x": (k * 31) % 97, "y": (k * 17) % 89, "z": (k * 7) % 11}
+    return table(spark, sf_dir, "part").select(k.alias("place_id"), *(F.when(crowd, close[n] / 100.0).otherwise(wide[n].cast("double")).alias(n) for n in "xyz"))
+
+
 def availability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every 11th hole is gone, every 13th isn't listed."""
     k = F.col("s_suppkey")

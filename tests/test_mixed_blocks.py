@@ -78,12 +78,12 @@ def test_lists_stay_short_whatever_one_block(spark):
     model = spark.createDataFrame([*grid(20), (9000, 100.0, 100.0, 100.0, 1e4, 1e4, 1e4, "giant")], SCHEMA)
     known = model.withColumn("h", blocks._half())
     low = known.agg(F.min("h")).collect()[0][0]
-    cells = blocks._cells({n: F.col(n) for n in "xyz"}, F.col("h"), F.lit(low * (1 + 1e-8)))
+    cells = blocks.cells_of({n: F.col(n) for n in "xyz"}, F.col("h"), F.lit(low * (1 + 1e-8)))
     rows = known.where(F.col("h") < 2 * low)
     for n, c in zip("xyz", cells, strict=True):
         rows = rows.withColumn(f"c{n}", F.explode(c))
     assert rows.groupBy("cx", "cy", "cz").count().agg(F.max("count")).collect()[0][0] < 100
-    subs = blocks._pyramid(model.select("x", "y", "z", F.col("_row").alias("o")), [14, 6]).agg(F.max(F.size("subs"))).collect()[0][0]
+    subs = blocks.box_pyramid(model.select("x", "y", "z", F.col("_row").alias("o")), [14, 6]).agg(F.max(F.size("subs"))).collect()[0][0]
     assert subs <= 512
 
 
