@@ -67,7 +67,8 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         if r.include_plots:
             report.write_csv(report.chart_data(state), f"{out}/charts")
         if "xlsx" in r.formats and "://" not in out:
-            report.write_workbook(sheets, f"{out}/{cfg.project.name}.xlsx")
+            large = report.write_workbook(sheets, f"{out}/{cfg.project.name}.xlsx")
+            _tell(f"too long for a worksheet, see their CSV: {', '.join(large)}" if large else "")
     else:
         report.write_csv({a.command: report.present(state.tables[table], report.shown_by(cfg))}, out)
     if a.command in ("run", "desurvey"):

@@ -277,11 +277,11 @@ def _released(t: DataFrame) -> None:
         return
     path = plan.rdd().getCheckpointFile()
     if path.isDefined():
-        target, store = _store(t.sparkSession, path.get())
+        target, store = store_of(t.sparkSession, path.get())
         store.delete(target, True)
 
 
-def _store(spark: SparkSession, path: str):
+def store_of(spark: SparkSession, path: str):
     """The path as Hadoop knows it, and its file system."""
     sc = spark.sparkContext
     p = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -308,7 +308,7 @@ def content_key(spark: SparkSession, path: str) -> str:
     """Of what a source holds, in any store: names, lengths and contents of its files. Each split digests its own lines, in its task; the driver gets a row a
     split and puts them together in order, so the key is the same however the files are split."""
     rows = quoted.lines(spark, path).mapInArrow(_digests, "file string, block long, n long, h string").collect()
-    p, store = _store(spark, path)
+    p, store = store_of(spark, path)
     base, files, said = store.makeQualified(p).toString(), store.listFiles(p, True), {}
     while files.hasNext():
         f = files.next()
@@ -327,13 +327,13 @@ def run_key(spark: SparkSession, cfg: Config) -> str:
 
 def _kept(spark: SparkSession, t: DataFrame, path: str) -> DataFrame:
     """The table at path; where it isn't there whole it is written aside and moved there, so a broken write leaves nothing that counts."""
-    done, store = _store(spark, f"{path}/_SUCCESS")
+    done, store = store_of(spark, f"{path}/_SUCCESS")
     if not store.exists(done):
         aside = f"{path}.{uuid.uuid4().hex}"
         t.write.parquet(aside)
-        target, _ = _store(spark, path)
+        target, _ = store_of(spark, path)
         store.delete(target, True)
-        if not store.rename(_store(spark, aside)[0], target) and not store.exists(done):
+        if not store.rename(store_of(spark, aside)[0], target) and not store.exists(done):
             raise OSError(f"{aside} can't be moved to {path}")
     return spark.read.schema(t.schema).parquet(path)
 

@@ -16,10 +16,12 @@ from pyspark.sql import types as T
 from corelode.config import Config
 from corelode.functions.units import ppm_to_units
 from corelode.operators.checks import ordered
-from corelode.plans.project import State
+from corelode.plans.project import State, store_of
 from corelode.schema import attribute, block_attribute, block_element, element, weighted
 
 MAX_WIDTH = 46
+#: Rows up to which a table is one named CSV file, and rows of a worksheet without its header.
+MOST_ROWS, SHEET_ROWS = 1_000_000, 1_048_575
 
 
 @dataclass(frozen=True)
@@ -136,9 +138,18 @@ def chart_data(state: State) -> dict[str, DataFrame]:
 
 
 def write_csv(tables: dict[str, DataFrame], folder: str) -> None:
-    """A folder of CSV parts for each table, by Spark, so that it may be in any store."""
+    """A folder of CSV parts for each table, by Spark, so that it may be in any store; of a table of up to MOST_ROWS rows also one file, <name>.csv."""
     for name, rows in tables.items():
-        rows.write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        held = rows.persist()
+        small = held.limit(MOST_ROWS + 1).count() <= MOST_ROWS
+        (held.coalesce(1) if small else held).write.mode("overwrite").option("header", True).csv(f"{folder}/{name}")
+        held.unpersist()
+        target, store = store_of(rows.sparkSession, f"{folder}/{name}.csv")
+        store.delete(target, False)  # of an earlier run
+        if small:
+            sc = rows.sparkSession.sparkContext
+            parts = store.globStatus(store_of(rows.sparkSession, f"{folder}/{name}/part-*.csv")[0])
+            sc._jvm.org.apache.hadoop.fs.FileUtil.copy(store, parts[0].getPath(), store, target, False, True, sc._jsc.hadoopConfiguration())
 
 
 def _column(k: int) -> str:
@@ -169,8 +180,11 @@ def _sheet(names: list[str], rows: Iterable) -> str:
     )
 
 
-def write_workbook(tables: dict[str, DataFrame], path: str) -> None:
-    """One .xlsx on the driver, of tables that are small by nature (selected samples and what is told about them)."""
+def write_workbook(tables: dict[str, DataFrame], path: str) -> list[str]:
+    """One .xlsx on the driver, of tables that are small by nature (selected samples and what is told about them). A table with more rows than a
+    worksheet can hold is left to its CSV; returned are the names of those."""
+    large = [k for k, rows in tables.items() if rows.limit(SHEET_ROWS + 1).count() > SHEET_ROWS]
+    tables = {k: rows for k, rows in tables.items() if k not in large}
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     Path(path).parent.mkdir(parents=True, exist_ok=True)
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -182,3 +196,4 @@ def write_workbook(tables: dict[str, DataFrame], path: str) -> None:
         z.writestr("xl/styles.xml", f'<?xml version="1.0" encoding="UTF-8"?><styleSheet xmlns="{main}"><fonts count="2"><font/><font><b/></font></fonts><fills count="1"><fill/></fills><borders count="1"><border/></borders><cellStyleXfs count="1"><xf/></cellStyleXfs><cellXfs count="2"><xf/><xf fontId="1" applyFont="1"/></cellXfs></styleSheet>')
         for i, rows in enumerate(tables.values(), 1):
             z.writestr(f"xl/worksheets/sheet{i}.xml", _sheet(rows.columns, rows.toLocalIterator()))
+    return large

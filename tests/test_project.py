@@ -129,6 +129,7 @@ def test_command_line(spark, tmp_path):
     (tmp_path / "p.yaml").write_text(project_files.make(tmp_path), "utf-8")
     assert cli.main(["allocate", str(tmp_path / "p.yaml"), "--out", str(tmp_path / "a")], spark) == 0
     assert spark.read.csv(f"{tmp_path}/a/allocate", header=True).count() == 2
+    assert len((tmp_path / "a" / "allocate.csv").read_text("utf-8").splitlines()) == 3
     assert cli.main(["init", "--out", str(tmp_path / "d.yaml"), *(x for k in ("collar", "survey", "assay", "litho") for x in (f"--{k}", str(tmp_path / f"{k}.csv")))], spark) == 0
     text = (tmp_path / "d.yaml").read_text("utf-8")
     got = yaml.safe_load(text)
@@ -245,6 +246,20 @@ def test_availability_is_required(tmp_path):
         parse_config(cut)
 
 
+def test_long_tables_are_no_worksheet_and_no_single_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(report, "SHEET_ROWS", 4)
+    monkeypatch.setattr(report, "MOST_ROWS", 4)
+    tables = {"few": spark.range(4).repartition(3), "many": spark.range(5).repartition(3)}
+    assert report.write_workbook(tables, f"{tmp_path}/b.xlsx") == ["many"]
+    with zipfile.ZipFile(f"{tmp_path}/b.xlsx") as z:
+        assert sum(n.startswith("xl/worksheets/") for n in z.namelist()) == 1
+    report.write_csv(tables, f"{tmp_path}/c")
+    assert sorted((tmp_path / "c" / "few.csv").read_text().split()) == ["0", "1", "2", "3", "id"] and not (tmp_path / "c" / "many.csv").exists()
+    assert spark.read.csv(f"{tmp_path}/c/many", header=True).count() == 5
+    report.write_csv({"few": spark.range(9)}, f"{tmp_path}/c")
+    assert not (tmp_path / "c" / "few.csv").exists()
+
+
 def test_headers_and_units(spark):
     shown = report.Shown({"Zn": "pct"}, {"Zn": "ppm", "Ag": "gpt"}, ("rock",))
     rows = spark.createDataFrame([(20000.0, 30000.0, 500.0, 3.0, "a", "b")], "elem_Zn double, wtd_Zn double, bm_elem_Zn double, bm_elem_Ag double, attr_rock string, bm_attr_rock string")
