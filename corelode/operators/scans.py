@@ -31,12 +31,12 @@ RANGES, SAMPLED = 256, 16
 
 @dataclass(frozen=True)
 class HotKeys:
-    """(__key, __splits): a row for each hot key, positions at which its next piece begins, in order; and the pieces in all. Or, with `fixed`, the
-    splits of all rows as one key."""
+    """(__key, __splits): a row for each hot key, positions at which its next piece begins, in order; and the pieces in all. Or, with `fixed`, a
+    column with the splits of all rows as one key."""
 
     splits: DataFrame | None
     pieces: int
-    fixed: tuple = ()
+    fixed: Column | None = None
 
 
 def hot_keys(rows: DataFrame, by: str = HOLE, at: str | Column = FROM) -> HotKeys | None:
@@ -61,12 +61,12 @@ def hot_keys(rows: DataFrame, by: str = HOLE, at: str | Column = FROM) -> HotKey
 
 def prefix_sums(rows: DataFrame, key: str, value: str, into: str) -> DataFrame:
     """rows, one a key, plus `into`: the sum of `value` over all smaller keys (null is the smallest). Keys are dealt into ranges, whose borders are
-    those of a sample by hash, the same whenever they are asked for; ranges are summed on their own, and a row for each of them is scanned."""
-    sample = rows.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(RANGES * SAMPLED).collect()
-    borders = tuple(dict.fromkeys(sorted(r[0] for r in sample)[SAMPLED::SAMPLED]))
+    those of a sample by hash, the same whenever they are asked for; ranges are summed on their own, and a row for each of them is scanned. The sample is a
+    subquery: no job runs before its time."""
+    sample = rows.where(F.col(key).isNotNull()).select(key).orderBy(F.xxhash64(key), key).limit(RANGES * SAMPLED)
+    borders = sample.agg(F.filter(F.sort_array(F.collect_list(key)), lambda s, i: (i > 0) & (i % SAMPLED == 0)).alias("b")).scalar()
     whole = rows.withColumn("__all", F.lit(0))
-    hot = HotKeys(None, len(borders) + 1, borders) if borders else None
-    return scanned(whole, "__all", [key], hot, **{into: ("before", F.col(value))}).withColumn(into, F.coalesce(into, F.lit(0))).drop("__all")
+    return scanned(whole, "__all", [key], HotKeys(None, RANGES, borders), **{into: ("before", F.col(value))}).withColumn(into, F.coalesce(into, F.lit(0))).drop("__all")
 
 
 @dataclass(frozen=True)
@@ -85,7 +85,8 @@ class Axis:
         at = self.order[0] if self.at is None else self.at
         at = F.col(at) if isinstance(at, str) else at
         if self.hot.splits is None:
-            return rows.withColumns({"__piece": F.size(F.filter(F.array(*(F.lit(s) for s in self.hot.fixed)), lambda s: s <= at)), "__hot": F.lit(True)})
+            held = rows.withColumn("__splits", self.hot.fixed)  # a subquery may not stand within a lambda's function
+            return held.withColumns({"__piece": F.size(F.filter("__splits", lambda s: s <= at)), "__hot": F.lit(True)}).drop("__splits")
         out = rows.join(F.broadcast(self.hot.splits), F.col(self.by).eqNullSafe(F.col("__key")), "left")  # a row for each hot key
         piece = F.coalesce(F.size(F.filter("__splits", lambda s: s <= at)), F.lit(0))
         return out.withColumns({"__piece": F.when(F.col("__splits").isNotNull(), piece).otherwise(F.lit(0)), "__hot": F.col("__splits").isNotNull()}).drop("__key", "__splits")

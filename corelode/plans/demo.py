@@ -260,7 +260,7 @@ def _held(rows: DataFrame) -> DataFrame:
 
 def _choice(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     rows = geometry.with_coordinates(_usable(s, d), geometry.traces(v.collar(s, d), v.survey(s, d)), ("mid",))
-    found = _held(windows.with_candidate_ids(windows.candidates(rows, RULES)))  # read for tonnage, scores and the picks
+    found = windows.with_candidate_ids(_held(windows.candidates(rows, RULES)))  # read for numbers, tonnage, scores and the picks
     tonnage = found.groupBy("allocation_domain").agg(F.sum("mass_kg").alias("tonnes"), F.sum("mass_kg").alias("weighted_tonnes")).withColumn("tonnes_pct", F.lit(100.0))
     allocation = allocate.targets(tonnage, TOTAL, "proportional")
     return found, allocation

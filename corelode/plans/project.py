@@ -184,7 +184,9 @@ def stage_candidates(state: State) -> State:
     rows = runs.with_run_ids(runs.segment_runs(state.tables["intervals"], break_rules(cfg), (FROM, TO, "interval_id"), hot))
     summary = runs.summarise_runs(rows, ("run_id", "geomet_domain"))
     usable = rows.where("usable and availability <> 'UNAVAILABLE'")
-    found = windows.with_candidate_ids(windows.candidates(usable, window_rules(cfg)), hot)
+    best = _held(windows.candidates(usable, window_rules(cfg)))  # read for the numbers of all holes, then for the rows
+    state.held.append(best)
+    found = windows.with_candidate_ids(best, hot)
     short = runs.short_runs(summary, cfg.compositing.min_length_m, cfg.compositing.min_mass_kg)
     gone = rows.where("availability = 'UNAVAILABLE'").groupBy(HOLE).agg(F.count("*").alias("n"))
     gaps = short.select(F.lit("run").alias("scope"), F.col("run_id").alias("key"), "reason", F.create_map(F.lit("hole_id"), F.col(HOLE).cast("string"), F.lit("length_m"), F.round("length_m", 3).cast("string")).alias("detail"))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corelode.config import Config
-from corelode.functions.units import ppm_to_units
+from corelode.functions.units import period_order, ppm_to_units
 from corelode.operators.checks import ordered
 from corelode.plans.project import State, store_of
 from corelode.schema import attribute, block_attribute, block_element, element, weighted
@@ -129,7 +129,7 @@ def chart_data(state: State) -> dict[str, DataFrame]:
     """Tables that plots would draw: tonnes by domain and period, targets against picks, grades and masses of picks, hole directions."""
     t = state.tables
     return {
-        "tonnes_by_period": t["tonnage_by_period"],
+        "tonnes_by_period": t["tonnage_by_period"].orderBy("allocation_domain", *period_order(F.col("period"))),
         "allocation": t["allocation"].select("allocation_domain", "target", "deficit").join(t["selected"].groupBy("allocation_domain").agg(F.count("*").alias("achieved")), "allocation_domain", "left").na.fill(0, ["achieved"]),
         "hole_orientation": t["hole_ends"],
         "grade_histogram": t["candidates"].select(F.floor(F.col("mean_primary") / 1000).alias("bin")).groupBy("bin").agg(F.count("*").alias("n")),
