@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode.functions import numbers, units
 from corelode.operators import allocate, blocks, checks, geometry, intervals, joins, neighbours, runs, scans, select, windows
+from corelode.plans import files, project
 from corelode.plans import views as v
 from corelode.plans.views import shared_dir
 from corelode.sources import readers
@@ -405,6 +407,27 @@ def csv_line_breaks(s: SparkSession, d: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "lang", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("sha256"))
 
 
+def project_issues(s: SparkSession, d: str) -> DataFrame:
+    """What loading a whole project of CSV files tells."""
+    return project.stage_load(s, files.make(s, d)).issues.select("severity", "check", "source", "count")
+
+
+def project_intervals(s: SparkSession, d: str) -> DataFrame:
+    """The interval framework of a whole project of CSV files: read, mapped, parsed, cut, coded, placed, put into blocks and massed."""
+    rows = project.stage_geometry(project.stage_load(s, files.make(s, d))).tables["intervals"]
+    return rows.select(
+        "interval_id", F.col("hole_id").cast("bigint").alias("hole_id"), _r("from_m", 2), _r("to_m", 2), "logged_code", "geomet_domain", "low_recovery", _r("elem_Zn", 2), _r("density", 4), "availability", _r("mass_kg", 4),
+        _r("x_mid", 2), _r("y_mid", 2), _r("z_mid", 2), "outside_model", "attr_rock", "period", "grade_bin", "allocation_domain")
+
+
+def windows_same_bin(s: SparkSession, d: str) -> DataFrame:
+    """Windows whose grade bin is the most frequent one of their run."""
+    edges = (0.0, 20011.0, 60013.0, 200000.0)  # no mean of a window lies on one
+    binned = _usable(s, d).withColumn("grade_bin", units.grade_bin(F.col("elem_zn"), edges, v.LABELS))
+    found = windows.windows(binned, replace(RULES, same_bin=True, edges=edges))
+    return found.groupBy("hole_id", "run_no", "grade_bin").agg(F.count("*").alias("windows"), F.sum("n").cast("long").alias("intervals"))
+
+
 def parse_numbers(s: SparkSession, d: str) -> DataFrame:
     return _texts(s, d).select("event_id", numbers.parse_number(F.col("t"), PARSE).alias("p")).select("event_id", "p.value", "p.state")
 
@@ -436,6 +459,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
-        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
+        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, project_issues, project_intervals, windows_same_bin, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
     )
     return {f.__name__: f for f in named}

@@ -28,6 +28,14 @@ edges AS (
 pieces AS (
   SELECT hole_id, sample_id, elem_zn, cut AS from_m, coalesce(lead(cut) OVER (PARTITION BY sample_id ORDER BY cut), last) AS to_m FROM edges)"""
 
+_CUT = """
+bounds AS (SELECT DISTINCT hole_id, cut FROM (SELECT hole_id, from_m AS cut FROM litho UNION ALL SELECT hole_id, to_m FROM litho)),
+edges AS (
+  SELECT *, from_m AS cut FROM whole UNION ALL SELECT w.*, b.cut FROM whole w JOIN bounds b ON w.hole_id = b.hole_id AND b.cut > w.from_m + 1e-6 AND b.cut < w.to_m - 1e-6),
+assay AS (
+  SELECT hole_id, sample_id AS parent, sample_id || '/' || cut AS sample_id, elem_zn, density, low_recovery, cut AS from_m, last AS to_m, last - cut AS length_m
+  FROM (SELECT *, coalesce(lead(cut) OVER (PARTITION BY sample_id ORDER BY cut), to_m) AS last FROM edges))"""
+
 _CODED = """
 coded AS (
   SELECT a.*, CASE WHEN (a.from_m + a.to_m) / 2 < l.to_m THEN l.logged_code END AS logged_code
@@ -138,6 +146,24 @@ met AS (SELECT t.sample_id, d.geomet_domain, count(*) AS n FROM testwork t JOIN
 modal AS (SELECT sample_id, geomet_domain FROM met QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY n DESC, geomet_domain) = 1),
 placed_work AS (SELECT t.sample_id, coalesce(t.own, m.geomet_domain) AS domain FROM testwork t LEFT JOIN modal m USING (sample_id))"""
 
+_SPELLED = """
+numbered_assay AS (SELECT *, CAST(round(from_m * 100) AS BIGINT) + hole_id AS k FROM plain_assay),
+whole AS (
+  SELECT hole_id, from_m, to_m, sample_id, low_recovery, CASE k % 50 WHEN 1 THEN 50 WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE elem_zn END AS elem_zn, CASE WHEN k % 20 = 7 THEN 2.7 ELSE density END AS density FROM numbered_assay)"""
+
+_IN_BLOCKS = """
+middles AS (SELECT p.sample_id, p.x, p.y, p.z FROM placed p WHERE what = 'mid'),
+closest AS (
+  SELECT m.sample_id, any_value(m.x) AS px, any_value(m.y) AS py, any_value(m.z) AS pz, arg_min({'x': b.x, 'y': b.y, 'z': b.z, 'rock': b.rock, 'period': b.period}, {'d': (m.x - b.x) ** 2 + (m.y - b.y) ** 2 + (m.z - b.z) ** 2, 'block': b.block}) AS b
+  FROM middles m, blocks b GROUP BY 1),
+housed AS (SELECT *, NOT (abs(px - b.x) <= 20 + 1e-6 AND abs(py - b.y) <= 30 + 1e-6 AND abs(pz - b.z) <= 50 + 1e-6) AS outside FROM closest)"""
+
+_SAME_BIN = """
+binned AS (SELECT *, CASE WHEN g >= 0 AND g < 20011 THEN 'LOW' WHEN g >= 20011 AND g < 60013 THEN 'MED' WHEN g >= 60013 AND g < 200000 THEN 'HIGH' END AS bin FROM usable),
+modal_bin AS (SELECT hole_id, run_no, bin FROM (SELECT hole_id, run_no, bin, count(*) AS n FROM binned WHERE bin IS NOT NULL GROUP BY 1, 2, 3) QUALIFY row_number() OVER (PARTITION BY hole_id, run_no ORDER BY n DESC, bin) = 1),
+in_bin AS (
+  SELECT r.*, CASE WHEN mean >= 0 AND mean < 20011 THEN 'LOW' WHEN mean >= 20011 AND mean < 60013 THEN 'MED' WHEN mean >= 60013 AND mean <= 200000 THEN 'HIGH' END AS grade_bin FROM rated r)"""
+
 _TEXTS = """
 texts0 AS (SELECT event_id, event_id % 12 AS k, CAST(CAST(floor(value * 100) AS BIGINT) AS VARCHAR) AS cents FROM events),
 texts AS (
@@ -236,6 +262,18 @@ ORACLES: dict[str, str] = {
     "hot_hole_codes": _q("SELECT * FROM hot_coded", _HOT, _HOT_CODES),
     "hot_hole_gaps": _issues("moved", ("ERROR", "interval_overlap", "gap < -1e-9"), ("INFO", "interval_overlap_nested", "deep < -1e-9 AND NOT coalesce(gap < -1e-9, false) AND gap IS NOT NULL"),
       ("INFO", "interval_gap", "gap > 1e-9 AND gap <= 0.25::DOUBLE"), ("WARN", "interval_gap", "gap > 0.25::DOUBLE"), extra=(_HOT, _HOT_GAPS)),
+    "project_issues": _q("""SELECT severity, "check", source, CAST(n AS BIGINT) AS count FROM (
+      SELECT 'WARN' AS severity, 'density_fallback' AS "check", 'assay' AS source, count(*) AS n FROM numbered_assay WHERE k % 20 = 7 UNION ALL SELECT 'INFO', 'below_detection', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 1
+      UNION ALL SELECT 'INFO', 'null_value', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 2 UNION ALL SELECT 'ERROR', 'value_unparseable', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 3
+      UNION ALL SELECT 'WARN', 'beyond_total_depth', 'assay', count(*) FROM plain_assay WHERE to_m > 820 + 1e-6 UNION ALL SELECT 'INFO', 'period_unscheduled', 'block_model', count(*) FROM blocks WHERE period = ''
+      UNION ALL SELECT 'ERROR', 'logged_code_unmapped', 'domain_lookup', count(DISTINCT logged_code) FROM litho WHERE logged_code NOT IN (SELECT logged_code FROM lookup)) WHERE n > 0""",
+      _ASSAY.replace("assay AS (", "plain_assay AS ("), _LITHO, _SPELLED, _BLOCKS),
+    "project_intervals": _q("""SELECT CASE WHEN count(*) OVER (PARTITION BY parent) > 1 THEN parent || '_' || row_number() OVER (PARTITION BY parent ORDER BY from_m) ELSE parent END AS interval_id, hole_id, round(from_m, 2) + 0 AS from_m, round(to_m, 2) + 0 AS to_m, logged_code, geomet_domain, low_recovery,
+      round(elem_zn, 2) + 0 AS "elem_Zn", round(density, 4) + 0 AS density, availability, round(mass_kg, 4) + 0 AS mass_kg, round(px, 2) + 0 AS x_mid, round(py, 2) + 0 AS y_mid, round(pz, 2) + 0 AS z_mid, outside AS outside_model, CASE WHEN NOT outside THEN b.rock END AS attr_rock,
+      CASE WHEN NOT outside AND b.period <> '' THEN b.period END AS period, bin AS grade_bin, upper(coalesce(CASE WHEN NOT outside THEN b.rock END, 'UNKNOWN')) || '-' || upper(coalesce(bin, 'UNKNOWN')) AS allocation_domain
+      FROM (SELECT *, CASE WHEN elem_zn >= 0 AND elem_zn < 20000 THEN 'LOW' WHEN elem_zn >= 20000 AND elem_zn < 60000 THEN 'MED' WHEN elem_zn >= 60000 AND elem_zn < 200000 THEN 'HIGH' END AS bin FROM massed) JOIN housed USING (sample_id)""",
+      _ASSAY.replace("assay AS (", "plain_assay AS ("), _LITHO, _SPELLED, _CUT, _CODED, _MASSED, _SURVEY, _PLACED, _BLOCKS, _IN_BLOCKS),
+    "windows_same_bin": _q("SELECT hole_id, run_no, grade_bin, count(*) AS windows, CAST(sum(n) AS BIGINT) AS intervals FROM in_bin JOIN modal_bin USING (hole_id, run_no) WHERE grade_bin = bin GROUP BY 1, 2, 3", *_SEGMENTED, _WINDOWS, _SAME_BIN),
     "event_sessions": """WITH e AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
       n AS (SELECT *, CAST(sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session_no FROM e)
       SELECT user_id, session_no, count(*) AS n, epoch_us(min(ts)) AS start_us FROM n GROUP BY 1, 2""",

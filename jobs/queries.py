@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode.functions.numbers import SPACES
-from corelode.plans.oracles import _ASSAY, _CODED, _LITHO, _MASSED, _RUN_SUMMARY, _RUNS, _q
+from corelode.plans.oracles import _ASSAY, _CODED, _CUT, _LITHO, _MASSED, _RUN_SUMMARY, _RUNS, _q
 from corelode.plans.views import shared_dir
 from jobs import note_values, run_register
 from jobs.common import read_config
@@ -35,14 +35,6 @@ def job2_note_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return note_values.read_values(spark, at, cfg)
 
 
-_CUT = """
-bounds AS (SELECT DISTINCT hole_id, cut FROM (SELECT hole_id, from_m AS cut FROM litho UNION ALL SELECT hole_id, to_m FROM litho)),
-edges AS (
-  SELECT *, from_m AS cut FROM whole UNION ALL SELECT w.*, b.cut FROM whole w JOIN bounds b ON w.hole_id = b.hole_id AND b.cut > w.from_m + 1e-6 AND b.cut < w.to_m - 1e-6),
-assay AS (
-  SELECT hole_id, sample_id || '/' || cut AS sample_id, elem_zn, density, low_recovery, cut AS from_m, last AS to_m, last - cut AS length_m
-  FROM (SELECT *, coalesce(lead(cut) OVER (PARTITION BY sample_id ORDER BY cut), to_m) AS last FROM edges))"""
-
 _REGISTER = _q("""SELECT hole_id, run_no, round(from_m, 4) + 0 AS from_m, round(to_m, 4) + 0 AS to_m, round(length_m, 4) + 0 AS length_m, intervals, round(mass_kg, 4) + 0 AS mass_kg, geomet_domain, break_reason,
   CASE WHEN NOT usable THEN 'unusable' WHEN s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 THEN 'unavailable' WHEN length_m < 6.004 THEN 'run_too_short' WHEN coalesce(mass_kg, 0) < 40 THEN 'run_too_light' ELSE 'sample' END AS verdict,
   printf('P%02d', s_nationkey) AS project FROM summary JOIN supplier ON hole_id = s_suppkey""", _ASSAY.replace("assay AS (", "whole AS ("), _LITHO, _CUT, _CODED, _MASSED, _RUNS, _RUN_SUMMARY)
