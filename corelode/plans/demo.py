@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corelode.functions import numbers, units
 from corelode.operators import allocate, blocks, checks, geometry, intervals, joins, neighbours, runs, scans, select, windows
-from corelode.plans import files, project
+from corelode.plans import files, project, report
 from corelode.plans import views as v
 from corelode.plans.views import shared_dir
 from corelode.sources import readers
@@ -412,6 +412,41 @@ def project_issues(s: SparkSession, d: str) -> DataFrame:
     return project.stage_load(s, files.make(s, d)).issues.select("severity", "check", "source", "count")
 
 
+def project_faults(s: SparkSession, d: str) -> DataFrame:
+    """What loading tells of a project with faults of mapping and convention."""
+    told = project.stage_load(s, files.make(s, d, True)).issues
+    return told.groupBy("severity", "check", "source").agg(F.sum("count").alias("count"))
+
+
+def dq_geometry(s: SparkSession, d: str) -> DataFrame:
+    """Vertical intervals with coordinates of their own: by hole in feet, with depths in feet, shifted, off the middle, incomplete, turned round."""
+    k, zero = F.col("hole_id") % 7, F.lit(0.0)
+    z = lambda depth: F.when(k == 0, -depth / 0.3048).when(k == 1, -depth * 0.3048).when((k == 5) & (F.col("from_m") >= 50), depth).otherwise(-depth)
+    rows = v.assay(s, d).withColumns({
+        "x_from": zero, "y_from": zero, "z_from": z(F.col("from_m")), "x_to": F.when(k == 2, 10.0).otherwise(zero), "y_to": zero, "z_to": z(F.col("to_m")),
+        "x_mid": F.when(k != 4, zero), "y_mid": zero, "z_mid": z((F.col("from_m") + F.col("to_m")) / 2) + F.when(k == 3, 1.0).otherwise(zero),
+    })
+    return _counts(checks.geometry_checks(rows))
+
+
+def candidate_numbers(s: SparkSession, d: str) -> DataFrame:
+    return windows.with_candidate_ids(windows.candidates(_usable(s, d), RULES)).select("candidate_id", "hole_id", _r("from_m", 2))
+
+
+def presented_grades(s: SparkSession, d: str) -> DataFrame:
+    """Grades in the units of their side under plain headers."""
+    i = F.col("p_partkey")
+    rows = v.table(s, d, "part").select(i, (i * 13.7).alias("elem_zn"), (i * 11.3).alias("wtd_zn"), (F.col("p_retailprice") * 50).alias("bm_elem_zn"), F.col("p_brand").alias("bm_attr_rock"), F.lower("p_brand").alias("attr_rock"))
+    shown = report.Shown({"zn": "pct"}, {"zn": "oz_t"}, ("rock",))
+    return report.present(rows, shown)
+
+
+def parse_issue_values(s: SparkSession, d: str) -> DataFrame:
+    """The five most frequent values of each kind, and the first lines."""
+    rows = _texts(s, d).select(F.col("event_id").alias("_row"), "t", numbers.parse_grade(F.col("t"), PARSE).alias("p"))
+    return numbers.parse_issues(rows, "assay", {"zn": ("t", "p")}).select("check", "message")
+
+
 def project_intervals(s: SparkSession, d: str) -> DataFrame:
     """The interval framework of a whole project of CSV files: read, mapped, parsed, cut, coded, placed, put into blocks and massed."""
     rows = project.stage_geometry(project.stage_load(s, files.make(s, d))).tables["intervals"]
@@ -459,6 +494,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
-        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, project_issues, project_intervals, windows_same_bin, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
+        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, project_issues, project_faults, project_intervals, dq_geometry, candidate_numbers, presented_grades, parse_issue_values, windows_same_bin, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
     )
     return {f.__name__: f for f in named}

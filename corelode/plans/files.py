@@ -46,11 +46,17 @@ def spelled(grade: Column, key: Column) -> Column:
     return F.when(k == 1, "<0.01").when(k == 2, "-99").when(k == 3, "n/a").when(k == 4, "").when(k == 5, F.concat(F.lit(" "), grade.cast("string"))).otherwise(grade.cast("string"))
 
 
-def make(spark: SparkSession, sf_dir: str) -> Config:
-    """Writes the files into a folder of this call's own."""
+def number_of(sample: str) -> Column:
+    """Centimetres at which a sample begins, and its hole."""
+    return F.substring_index(sample, "-", -1).cast("long") + F.substring_index(sample, "-", 1).cast("long")
+
+
+def make(spark: SparkSession, sf_dir: str, faults: bool = False) -> Config:
+    """Writes the files into a folder of this call's own. With `faults`: dips the wrong way up, a code twice, states without a meaning, blank sample ids,
+    and neither total depths nor recoveries mapped."""
     at = f"{v.shared_dir(spark)}/project-{uuid.uuid4().hex}"
     assay = v.assay(spark, sf_dir)
-    number = F.substring_index("sample_id", "-", -1).cast("long") + F.col("hole_id")
+    number = number_of("sample_id")
     tables: dict[str, DataFrame] = {
         "collar": v.collar(spark, sf_dir).toDF("Hole", "East", "North", "RL", "EOH"),
         "survey": v.survey(spark, sf_dir).select(F.col("hole_id").alias("Hole"), F.col("depth").alias("At"), (-F.col("dip")).alias("Dip"), F.col("azimuth").alias("Azi")),
@@ -60,6 +66,13 @@ def make(spark: SparkSession, sf_dir: str) -> Config:
         "blocks": v.blocks(spark, sf_dir).select(*(F.col(c).alias(c.upper()) for c in ("x", "y", "z", "dx", "dy", "dz")), F.col("period").alias("Period"), F.col("bm_attr_rock").alias("Rock"), F.col("bm_elem_zn").alias("Zn_ppm"), F.col("density").alias("SG")),
         "availability": v.availability(spark, sf_dir).select(F.col("hole_id").alias("Hole"), F.when(F.col("availability") == "AVAILABLE", "In storage").otherwise("gone").alias("State"), F.col("core_diameter_mm").alias("Diameter"), F.col("remaining_fraction").alias("Rest")),
     }
+    text = CONFIG
+    if faults:
+        tables["lookup"] = tables["lookup"].unionByName(tables["lookup"].where("Code in ('L0', 'L3')"))
+        tables["availability"] = tables["availability"].withColumn("State", F.when(F.col("Hole") % 7 == 1, "lost").otherwise(F.col("State")))
+        tables["assay"] = tables["assay"].withColumn("Sample", F.when(number_of("Sample") % 30 != 3, F.col("Sample")))
+        for old, new in (("dip_convention: positive_down", "dip_convention: negative_down"), (", total_depth: EOH", ""), ("{source: Rec, type: threshold, threshold: 50, direction: below}", "{source: null}")):
+            text = text.replace(old, new)
     for name, rows in tables.items():
         rows.write.csv(f"{at}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return parse_config(CONFIG, at)
+    return parse_config(text, at)

@@ -268,6 +268,29 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'WARN', 'beyond_total_depth', 'assay', count(*) FROM plain_assay WHERE to_m > 820 + 1e-6 UNION ALL SELECT 'INFO', 'period_unscheduled', 'block_model', count(*) FROM blocks WHERE period = ''
       UNION ALL SELECT 'ERROR', 'logged_code_unmapped', 'domain_lookup', count(DISTINCT logged_code) FROM litho WHERE logged_code NOT IN (SELECT logged_code FROM lookup)) WHERE n > 0""",
       _ASSAY.replace("assay AS (", "plain_assay AS ("), _LITHO, _SPELLED, _BLOCKS),
+    "project_faults": _q("""SELECT severity, "check", source, CAST(sum(n) AS BIGINT) AS count FROM (
+      SELECT 'WARN' AS severity, 'density_fallback' AS "check", 'assay' AS source, count(*) AS n FROM numbered_assay WHERE k % 20 = 7 UNION ALL SELECT 'INFO', 'below_detection', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 1
+      UNION ALL SELECT 'INFO', 'null_value', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 2 UNION ALL SELECT 'ERROR', 'value_unparseable', 'assay', count(*) FROM numbered_assay WHERE k % 50 = 3
+      UNION ALL SELECT 'INFO', 'period_unscheduled', 'block_model', count(*) FROM blocks WHERE period = ''
+      UNION ALL SELECT 'ERROR', 'logged_code_unmapped', 'domain_lookup', count(DISTINCT logged_code) FROM litho WHERE logged_code NOT IN (SELECT logged_code FROM lookup)
+      UNION ALL SELECT 'ERROR', 'domain_lookup_duplicate', 'domain_lookup', 2 UNION ALL SELECT 'WARN', 'sample_id_blank', 'assay', count(*) FROM numbered_assay WHERE k % 30 = 3
+      UNION ALL SELECT 'ERROR', 'availability_unmapped', 'availability', count(*) FROM supplier WHERE s_suppkey % 13 <> 0 AND s_suppkey % 7 = 1
+      UNION ALL SELECT 'WARN', 'dip_sign', 'survey', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM supplier UNION ALL SELECT 'INFO', 'tier2_fallback', 'collar', 1 UNION ALL SELECT 'INFO', 'tier2_fallback', 'assay', 1) WHERE n > 0 GROUP BY 1, 2, 3""",
+      _ASSAY.replace("assay AS (", "plain_assay AS ("), _LITHO, _SPELLED, _BLOCKS),
+    "dq_geometry": _q("""SELECT severity, "check", CAST(n AS BIGINT) AS count FROM (
+      SELECT 'WARN' AS severity, 'coordinates_missing' AS "check", count(*) AS n FROM rows WHERE k = 4 UNION ALL SELECT 'ERROR', 'geometry_unit_mismatch', count(*) FROM rows WHERE k = 0 UNION ALL SELECT 'ERROR', 'geometry_unit_mismatch', count(*) FROM rows WHERE k = 1
+      UNION ALL SELECT 'WARN', 'geometry_length_mismatch', count(*) FROM rows WHERE k = 2 UNION ALL SELECT 'WARN', 'geometry_midpoint_offset', count(*) FROM rows WHERE k IN (2, 3)
+      UNION ALL SELECT 'WARN', 'geometry_discontinuous', count(*) FROM rows WHERE prev IS NOT NULL AND (k = 2 OR k = 5 AND from_m >= 50 AND prev < 50)
+      UNION ALL SELECT 'WARN', 'hole_changes_vertical_direction', count(*) FROM (SELECT hole_id FROM rows WHERE k = 5 GROUP BY 1 HAVING min(from_m) < 50 AND max(from_m) >= 50)) WHERE n > 0""",
+      _ASSAY, " rows AS (SELECT *, hole_id % 7 AS k, lag(from_m) OVER (PARTITION BY hole_id ORDER BY from_m) AS prev FROM assay)"),
+    "candidate_numbers": _q("SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY hole_id, from_m, run_no) AS VARCHAR), 6, '0') AS candidate_id, hole_id, round(from_m, 2) + 0 AS from_m FROM (SELECT DISTINCT hole_id, run_no, from_m FROM rated)", *_SEGMENTED, _WINDOWS),
+    "presented_grades": "SELECT p_partkey, round_even(p_partkey * 13.7::DOUBLE / 10000, 3) AS zn_pct, round_even(p_partkey * 11.3::DOUBLE / 10000, 3) AS zn_pct_wtd, round_even(p_retailprice * 50 / 34.2857142857::DOUBLE, 3) AS bm_zn_oz_t, p_brand AS bm_rock, lower(p_brand) AS rock FROM part",
+    "parse_issue_values": _q("""SELECT CASE c.state WHEN 'declared_null' THEN 'null_value' WHEN 'unparsed' THEN 'value_unparseable' WHEN 'negative' THEN 'grade_negative' ELSE c.state END AS "check",
+      'zn: ' || top || CASE WHEN different > 5 THEN ' and ' || (different - 5) || ' more' ELSE '' END || '; lines ' || lines AS message FROM (SELECT state, count(DISTINCT t) AS different FROM said GROUP BY 1) c JOIN tops USING (state) JOIN firsts USING (state)""", _TEXTS, """
+      said AS (SELECT g.event_id, x.t, g.state FROM grades g JOIN texts x USING (event_id) WHERE g.state NOT IN ('ok', 'blank')),
+      ranked AS (SELECT state, t, count(*) AS n, min(event_id) AS first FROM said GROUP BY 1, 2),
+      tops AS (SELECT state, string_agg(chr(39) || t || chr(39) || ' x ' || n, ', ' ORDER BY r) AS top FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY n DESC, first, t) AS r FROM ranked) WHERE r <= 5 GROUP BY 1),
+      firsts AS (SELECT state, string_agg(CAST(event_id + 2 AS VARCHAR), ', ' ORDER BY event_id) AS lines FROM (SELECT *, row_number() OVER (PARTITION BY state ORDER BY event_id) AS r FROM said) WHERE r <= 5 GROUP BY 1)"""),
     "project_intervals": _q("""SELECT CASE WHEN count(*) OVER (PARTITION BY parent) > 1 THEN parent || '_' || row_number() OVER (PARTITION BY parent ORDER BY from_m) ELSE parent END AS interval_id, hole_id, round(from_m, 2) + 0 AS from_m, round(to_m, 2) + 0 AS to_m, logged_code, geomet_domain, low_recovery,
       round(elem_zn, 2) + 0 AS "elem_Zn", round(density, 4) + 0 AS density, availability, round(mass_kg, 4) + 0 AS mass_kg, round(px, 2) + 0 AS x_mid, round(py, 2) + 0 AS y_mid, round(pz, 2) + 0 AS z_mid, outside AS outside_model, CASE WHEN NOT outside THEN b.rock END AS attr_rock,
       CASE WHEN NOT outside AND b.period <> '' THEN b.period END AS period, bin AS grade_bin, upper(coalesce(CASE WHEN NOT outside THEN b.rock END, 'UNKNOWN')) || '-' || upper(coalesce(bin, 'UNKNOWN')) AS allocation_domain
