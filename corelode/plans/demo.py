@@ -429,6 +429,18 @@ def dq_geometry(s: SparkSession, d: str) -> DataFrame:
     return _counts(checks.geometry_checks(rows))
 
 
+def _rising(s: SparkSession, d: str, steps: int) -> DataFrame:
+    """Ends of vertical holes, of which those with an id that `steps` divides rise."""
+    up, zero = F.when(F.col("hole_id") % steps == 0, 1.0).otherwise(-1.0), F.lit(0.0)
+    rows = v.assay(s, d).withColumns({"x_from": zero, "y_from": zero, "z_from": up * F.col("from_m"), "x_to": zero, "y_to": zero, "z_to": up * F.col("to_m")})
+    return geometry.hole_ends(rows)
+
+
+def dq_direction(s: SparkSession, d: str) -> DataFrame:
+    """Once with every third hole upside down, once with all."""
+    return _counts(checks.direction_checks(_rising(s, d, 3)).unionByName(checks.direction_checks(_rising(s, d, 1))))
+
+
 def candidate_numbers(s: SparkSession, d: str) -> DataFrame:
     return windows.with_candidate_ids(windows.candidates(_usable(s, d), RULES)).select("candidate_id", "hole_id", _r("from_m", 2))
 
@@ -494,6 +506,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         testwork_modal_domain, existing_coverage, run_segmentation, run_break_reasons, run_summary, short_runs, event_sessions, hot_hole_runs, hot_hole_codes, hot_hole_gaps, candidate_windows, best_window_per_start, domain_tonnage,
         tonnage_by_period, neyman_dispersion, allocation_targets, largest_remainder, greedy_select, pick_list, unmet_gaps, unmet_after_selection, objective_components, targets_proportional_risk, targets_manual,
         dq_framework, dq_placed, dq_extent, dq_testwork, dq_allocation, dq_samples, unit_mismatch_ratio, dq_intervals, dq_orphans, dq_beyond_depth,
-        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, project_issues, project_faults, project_intervals, dq_geometry, candidate_numbers, presented_grades, parse_issue_values, windows_same_bin, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
+        dq_density_range, dq_survey, dq_duplicates, dq_blocks, csv_line_breaks, project_issues, project_faults, project_intervals, dq_geometry, dq_direction, candidate_numbers, presented_grades, parse_issue_values, windows_same_bin, parse_numbers, parse_grades, parse_issues, unit_conversions, period_weights,
     )
     return {f.__name__: f for f in named}

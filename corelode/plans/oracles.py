@@ -283,6 +283,9 @@ ORACLES: dict[str, str] = {
       UNION ALL SELECT 'WARN', 'geometry_discontinuous', count(*) FROM rows WHERE prev IS NOT NULL AND (k = 2 OR k = 5 AND from_m >= 50 AND prev < 50)
       UNION ALL SELECT 'WARN', 'hole_changes_vertical_direction', count(*) FROM (SELECT hole_id FROM rows WHERE k = 5 GROUP BY 1 HAVING min(from_m) < 50 AND max(from_m) >= 50)) WHERE n > 0""",
       _ASSAY, " rows AS (SELECT *, hole_id % 7 AS k, lag(from_m) OVER (PARTITION BY hole_id ORDER BY from_m) AS prev FROM assay)"),
+    "dq_direction": """SELECT severity, "check", CAST(n AS BIGINT) AS count FROM (
+      SELECT 'INFO' AS severity, 'hole_rises_with_depth' AS "check", count(DISTINCT l_suppkey) AS n FROM lineitem WHERE l_suppkey % 3 = 0 UNION ALL SELECT 'INFO', 'hole_rises_with_depth', count(DISTINCT l_suppkey) FROM lineitem
+      UNION ALL SELECT 'WARN', 'most_holes_rise', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM lineitem UNION ALL SELECT 'WARN', 'most_holes_rise', CASE WHEN avg(CASE WHEN h % 3 = 0 THEN 1 ELSE 0 END) > 0.5 THEN 1 ELSE 0 END FROM (SELECT DISTINCT l_suppkey AS h FROM lineitem)) WHERE n > 0""",
     "candidate_numbers": _q("SELECT 'C' || lpad(CAST(row_number() OVER (ORDER BY hole_id, from_m, run_no) AS VARCHAR), 6, '0') AS candidate_id, hole_id, round(from_m, 2) + 0 AS from_m FROM (SELECT DISTINCT hole_id, run_no, from_m FROM rated)", *_SEGMENTED, _WINDOWS),
     "presented_grades": "SELECT p_partkey, round_even(p_partkey * 13.7::DOUBLE / 10000, 3) AS zn_pct, round_even(p_partkey * 11.3::DOUBLE / 10000, 3) AS zn_pct_wtd, round_even(p_retailprice * 50 / 34.2857142857::DOUBLE, 3) AS bm_zn_oz_t, p_brand AS bm_rock, lower(p_brand) AS rock FROM part",
     "parse_issue_values": _q("""SELECT CASE c.state WHEN 'declared_null' THEN 'null_value' WHEN 'unparsed' THEN 'value_unparseable' WHEN 'negative' THEN 'grade_negative' ELSE c.state END AS "check",
