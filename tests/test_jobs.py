@@ -131,6 +131,24 @@ def test_notes_take_only_what_is_new(spark, tmp_path):
     assert summary[("de", "ok")] == "1" and summary[(None, "declared_null")] == "2"
 
 
+def test_a_run_that_broke_off_before_its_end_adds_nothing_twice(spark, tmp_path):
+    """As after a crash while a batch is noted: by the checkpoint alone (its output counts already), or by the sink too (it is done again, and the files of the
+    first attempt don't count)."""
+    cfg = read_config(note_values.CONFIG)
+    at, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    for k, rows in enumerate(TEXTS[:2]):
+        spark.createDataFrame(rows, "doc_id long, text string, lang string").coalesce(1).write.mode("append").parquet(f"{at}/documents.parquet")
+        assert note_values.run(spark, at, out, mark, cfg)["texts"] == len(rows)
+    before = rows_of(note_values.read_values(spark, out, cfg))
+    last = max(int(p.name) for p in (tmp_path / "mark" / "commits").iterdir() if p.name.isdigit())
+    for lost, again in ((["mark/commits"], 0), (["mark/commits", "out/values/_spark_metadata"], len(TEXTS[1]))):
+        for folder in lost:
+            for name in (f"{last}", f".{last}.crc"):
+                (tmp_path / folder / name).unlink(missing_ok=True)
+        assert note_values.run(spark, at, out, mark, cfg) == {"texts": again, "words": len(before)}
+        assert rows_of(note_values.read_values(spark, out, cfg)) == before
+
+
 def test_notes_without_files(spark, tmp_path):
     os.makedirs(tmp_path / "in")
     spark.createDataFrame([], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in/documents.parquet")
