@@ -9,7 +9,7 @@ with c = 0 for what the corpus doesn't hold. A document's score is the mean over
 lower, the closer to the target. The first token follows the text's start, which is a context of its own.
 
 Nothing is broadcast and no table is bounded. Documents are dealt into chunks of about `chunk_bytes` of text, keys (64-bit hashes, which tell
-words and bigrams apart) into as many ranges. A chunk sends its different keys and their counts, one packed row a range; the rows of
+words and bigrams apart) into ranges, as many for up to about a thousand chunks. A chunk sends its different keys and their counts, one packed row a range; the rows of
 all chunks and of the models' corpora meet by range and are summed by key, and the sums go back to the chunk, but for those that equal its
 own counts. Where the scored documents are the background, the same rows count for it. A key has at most one entry for each chunk, however
 frequent it is.
@@ -20,6 +20,7 @@ target or background gives the uniform model; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,7 @@ from corelode.llm.common import ALNUM, pair, slices
 
 BACKOFF = 8.0
 CHUNK_BYTES = 8 << 20
+SQUARE = 32
 _FLUSH = 1_000_000
 _BATCH = 100_000
 _START = 0x9E3779B97F4A7C15
@@ -211,19 +213,25 @@ def learn(target: DataFrame, background: DataFrame, text_col: str = "text", back
     return MatchedModels(target, background, text_col, (r["t"], r["b"]), r["n"], backoff)
 
 
+def spans_of(chunks: int) -> int:
+    """Ranges of keys: as many as chunks up to SQUARE ** 2 of them, then with the square root, so that rows sent grow with the power 1.5 and a range with 0.5."""
+    return min(chunks, SQUARE * math.isqrt(chunks) + SQUARE)
+
+
 def score_documents(docs: DataFrame, models: MatchedModels, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(id, n_tokens, loss_target, loss_background, score)."""
     kind, same = docs.schema[id_col].dataType.simpleString(), docs is models.background and text_col == models.text_col
     few = pair(docs, id_col, text_col)
     size = few.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).collect()[0][0]
     chunks = int(size // chunk_bytes) + 1
+    spans = spans_of(chunks)
     few = few.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("long").alias("chunk"), "doc_id", "text")
     parts = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = few.repartition(parts, "chunk").sortWithinPartitions("chunk")
-    sent = dealt.mapInArrow(_count(0, chunks, chunk_bytes), _SENT)
+    sent = dealt.mapInArrow(_count(0, spans, chunk_bytes), _SENT)
     for side, corpus in ((_TARGET, models.target), *(() if same else ((_BACKGROUND, models.background),))):
-        sent = sent.union(corpus.select(F.col(models.text_col).cast("binary").alias("text")).mapInArrow(_count(side, chunks, chunk_bytes), _SENT))
-    sums = sent.repartition(parts, "span").sortWithinPartitions("span").mapInArrow(_sum(same), "chunk long, at binary, tn binary, bn binary, tx binary, bx binary")
+        sent = sent.union(corpus.select(F.col(models.text_col).cast("binary").alias("text")).mapInArrow(_count(side, spans, chunk_bytes), _SENT))
+    sums = sent.repartition(max(spans, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "span").sortWithinPartitions("span").mapInArrow(_sum(same), "chunk long, at binary, tn binary, bn binary, tx binary, bx binary")
     few_models = MatchedModels(None, None, models.text_col, models.tokens, models.words, models.backoff)
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
