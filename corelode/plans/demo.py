@@ -192,7 +192,8 @@ def hot_hole_gaps(s: SparkSession, d: str) -> DataFrame:
 
 
 def event_sessions(s: SparkSession, d: str) -> DataFrame:
-    rows = runs.sessions(v.table(s, d, "events"), gap_seconds=6 * 3600)
+    events = v.table(s, d, "events")
+    rows = runs.sessions(events, gap_seconds=6 * 3600, hot=scans.hot_keys(events, "user_id", runs.micros("ts")))
     return rows.select("user_id", "session_no", "n", F.unix_micros(F.col("start_ts").cast("timestamp")).alias("start_us"))
 
 

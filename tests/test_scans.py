@@ -146,3 +146,13 @@ def test_prefix_sums_need_no_single_task(spark):
     for part in plan.split("SinglePartition")[1:]:
         assert any(x in "".join(part.splitlines()[1:4]) for x in ("Filter isnull(", "TakeOrderedAndProject", "collect_list"))
     assert "Window" in main
+
+
+def test_sessions_of_hot_users(spark):
+    rng = random.Random(11)
+    rows = [(1 if rng.random() < 0.6 else rng.randint(2, 9), i, rng.choice([None, rng.randint(0, 4000) * 10])) for i in range(2500)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, s long").select("user_id", "event_id", F.timestamp_seconds("s").alias("ts")).repartition(4)
+    hot = scans.hot_keys(events, "user_id", runs.micros("ts"))
+    assert hot is not None
+    one, cut = (sorted(runs.sessions(events, gap_seconds=60, hot=h).collect(), key=repr) for h in (None, hot))
+    assert one == cut and len(one) > 300
