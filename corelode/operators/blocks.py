@@ -10,6 +10,8 @@ from corelode.operators.joins import small
 from corelode.schema import attribute, block_attribute, hole_attribute
 
 TOLERANCE = 1e-6
+#: Blocks of a level up to which their cells go to all executors: points of a whole model meet in a few cells of a level of large blocks.
+FEW = 1_000
 
 
 def _half(tolerance: float = TOLERANCE) -> Column:
@@ -34,24 +36,24 @@ def nearest_block(points: DataFrame, blocks: DataFrame, carry: list[str], x: str
     sizes are. What is found is then the nearest of all, unless a smaller block's centroid is nearer still without reaching the point. Where all blocks are of
     one size there is none, and points pass one join; else rivals() tells. A cell's list is as long as there are blocks of its level near it: some tens."""
     known = blocks.where("x is not null and y is not null and z is not null").withColumn("__h", _half())
-    r = known.agg(F.min("__h").alias("low"), F.max("__h").alias("high")).collect()[0]
+    r = known.agg(F.min("__h").alias("low"), F.max("__h").alias("high"), F.count("*").alias("n")).collect()[0]
     low, mixed = r["low"] or 1.0, (r["high"] or 1.0) > (r["low"] or 1.0) * (1 + 1e-9)
     level = F.ceil(F.log2(F.col("__h") / low) - 1e-9).cast("int") if mixed else F.lit(0)
     known = known.withColumn("__level", F.greatest(level, F.lit(0)))
-    levels = sorted(row[0] for row in known.select("__level").distinct().collect()) if mixed else [0]
+    sizes = dict(sorted((row[0], row[1]) for row in known.groupBy("__level").agg(F.count("*")).collect())) if mixed else {0: r["n"]}
     at = dict(zip("xyz", (F.col(c) for c in (x, y, z)), strict=True))
     block = F.struct(F.col(order).alias("o"), "x", "y", "z", "dx", "dy", "dz", *(F.col(c).alias(f"v_{c}") for c in carry))
     kind = known.select(block.alias("b")).schema["b"].dataType
     met = points.withColumns({"__d": F.lit(float("inf")), "__best": F.lit(None).cast(kind)})
     keys = ["__cx", "__cy", "__cz"]
-    for k in levels:
+    for k, n in sizes.items():
         width = low * 2.0**k * (1 + 1e-8)
         filed = known.where(F.col("__level") == k).select(block.alias("__block"), *(c.alias(f"__s{n}") for n, c in zip("xyz", cells_of({n: F.col(n) for n in "xyz"}, F.col("__h"), F.lit(width)), strict=True)))
-        for n in "xyz":
-            filed = filed.withColumn(f"__c{n}", F.explode(f"__s{n}")).drop(f"__s{n}")
+        for axis in "xyz":
+            filed = filed.withColumn(f"__c{axis}", F.explode(f"__s{axis}")).drop(f"__s{axis}")
         filed = filed.groupBy(*keys).agg(F.collect_list("__block").alias("__near"))
-        asked = met.withColumns({f"__c{n}": F.floor(c / width) for n, c in at.items()})
-        met = asked.join(filed, keys, "left").drop(*keys)
+        asked = met.withColumns({f"__c{axis}": F.floor(c / width) for axis, c in at.items()})
+        met = asked.join(F.broadcast(filed) if n <= FEW else shuffled(filed), keys, "left").drop(*keys)
         first = F.array_min(F.transform("__near", lambda b, i: F.struct(_squared(at, b).alias("d"), b["o"].alias("o"), i.alias("i"))))
         met = met.withColumn("__first", first)
         nearer = F.coalesce((F.col("__first.d") < F.col("__d")) | ((F.col("__first.d") == F.col("__d")) & (F.col("__first.o") < F.col("__best.o"))), F.lit(False))
@@ -64,10 +66,15 @@ def nearest_block(points: DataFrame, blocks: DataFrame, carry: list[str], x: str
         met = kept(met.withColumn("__id", F.monotonically_increasing_id()))
         asked = met.where(F.col("__in") & (F.col("__d") > low * low)).select("__id", *(c.alias(f"p{n}") for n, c in at.items()), "__d", F.col("__best.o").alias("__o"))
         lost = rivals(asked, known.select("x", "y", "z", F.col(order).alias("o")))
-        met = met.join(lost.select("__id", F.lit(True).alias("__lost")), "__id", "left").withColumn("__in", F.col("__in") & F.col("__lost").isNull())
+        met = met.join(shuffled(lost.select("__id", F.lit(True).alias("__lost"))), "__id", "left").withColumn("__in", F.col("__in") & F.col("__lost").isNull())
     return met.select(*points.columns, *(F.when(F.col("__in"), F.col(f"__best.v_{c}")).alias(c) for c in carry), (~F.col("__in")).alias("outside_model"))
 
 
+def shuffled(rows: DataFrame) -> DataFrame:
+    """rows for a join by shuffle. Lists of near places shrink so much in an exchange that Spark would take them for small and send all of them over the driver."""
+    return rows.hint("merge")
+
+
 def kept(rows: DataFrame) -> DataFrame:
     """rows, computed once and for all: in the shared checkpoint folder; on one machine without such a folder in memory."""
     sc = rows.sparkSession.sparkContext
@@ -111,7 +118,7 @@ def rivals(asked: DataFrame, sites: DataFrame) -> DataFrame:
         levels = sorted(r[0] for r in front.select("level").distinct().collect())  # some tens at most
         if not levels:
             return lost
-        met = front.join(box_pyramid(sites, levels), ["level", "cx", "cy", "cz"])
+        met = shuffled(front).join(shuffled(box_pyramid(sites, levels)), ["level", "cx", "cy", "cz"])
         least = lambda s: sum(F.pow(F.greatest(F.lit(0.0), s[f"l{n}"] - p[n], p[n] - s[f"h{n}"]), F.lit(2.0)) for n in "xyz")
         most = lambda s: sum(F.pow(F.greatest(F.abs(p[n] - s[f"l{n}"]), F.abs(p[n] - s[f"h{n}"])), F.lit(2.0)) for n in "xyz")
         one = lambda s: (s["lx"] == s["hx"]) & (s["ly"] == s["hy"]) & (s["lz"] == s["hz"])

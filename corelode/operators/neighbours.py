@@ -12,7 +12,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelode.operators.blocks import FINER, box_pyramid, cells_of, kept
+from corelode.operators.blocks import FINER, box_pyramid, cells_of, kept, shuffled
 
 #: Levels of the grid on which a start is looked for; places closer than the finest begin there.
 DEPTH = 24
@@ -43,8 +43,8 @@ def _distances(asked: DataFrame, sites: DataFrame) -> DataFrame:
     levels = F.explode(F.sequence(F.lit(top - DEPTH), F.lit(top)))
     cell = lambda c, n: F.floor((c - ends[f"l{n}"]) / F.pow(F.lit(2.0), F.col("level")))
     crowded = sites.withColumn("level", levels).groupBy("level", *(cell(F.col(n), n).alias(f"c{n}") for n in "xyz")).agg(F.count("*").alias("n")).where("n > 1")
-    shared = asked.withColumn("level", levels).withColumns({f"c{n}": cell(c, n) for n, c in p.items()}).join(crowded, ["level", "cx", "cy", "cz"], "left_semi").groupBy("o").agg(F.min("level").alias("level"))
-    front = asked.join(shared, "o", "left").withColumn("__d", F.least(F.coalesce(3 * F.pow(F.lit(4.0), F.col("level")), F.lit(whole)), F.lit(whole)) * (1 + 1e-9)).drop("level")
+    shared = asked.withColumn("level", levels).withColumns({f"c{n}": cell(c, n) for n, c in p.items()}).join(shuffled(crowded), ["level", "cx", "cy", "cz"], "left_semi").groupBy("o").agg(F.min("level").alias("level"))
+    front = asked.join(shuffled(shared), "o", "left").withColumn("__d", F.least(F.coalesce(3 * F.pow(F.lit(4.0), F.col("level")), F.lit(whole)), F.lit(whole)) * (1 + 1e-9)).drop("level")
     radius = F.sqrt("__d")
     front = front.withColumns({"level": F.ceil(F.log2(F.greatest(radius * 2, F.lit(1e-300)) * (1 + 1e-9))).cast("int"), "best": F.lit(float("inf"))})
     for n, cells in zip("xyz", cells_of(p, radius * (1 + 1e-12), F.pow(F.lit(2.0), F.col("level"))), strict=True):
@@ -56,7 +56,7 @@ def _distances(asked: DataFrame, sites: DataFrame) -> DataFrame:
         some = sorted(r[0] for r in front.select("level").distinct().collect())
         if not some:
             return done
-        met = front.join(box_pyramid(sites, some).withColumnRenamed("subs", "s"), ["level", "cx", "cy", "cz"], "left")
+        met = front.join(shuffled(box_pyramid(sites, some).withColumnRenamed("subs", "s")), ["level", "cx", "cy", "cz"], "left")
         least = lambda s: sum(F.pow(F.greatest(F.lit(0.0), s[f"l{n}"] - p[n], p[n] - s[f"h{n}"]), F.lit(2.0)) for n in "xyz")
         most = lambda s: sum(F.pow(F.greatest(F.abs(p[n] - s[f"l{n}"]), F.abs(p[n] - s[f"h{n}"])), F.lit(2.0)) for n in "xyz")
         square = lambda s: sum((p[n] - s[f"l{n}"]) * (p[n] - s[f"l{n}"]) for n in "xyz")

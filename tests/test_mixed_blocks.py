@@ -93,3 +93,13 @@ def test_no_blocks_and_no_points(spark):
     assert [(r["rock"], r["outside_model"]) for r in blocks.nearest_block(points, model, ["rock"]).collect()] == [(None, True)]
     mixed = spark.createDataFrame([*grid(2), (99, 0.0, 0.0, 0.0, 500.0, 500.0, 500.0, "big")], SCHEMA)
     assert blocks.nearest_block(points.limit(0), mixed, ["rock"]).collect() == []
+
+
+def test_long_lists_dont_go_over_the_driver(spark):
+    """Lists that are short once they are exchanged aren't taken for small: a model of one size with more than blocks.FEW blocks."""
+    model = spark.range(1_200).selectExpr("id _row", "double(id % 20) x", "double(id div 20 % 10) y", "double(id div 200) z", "1D dx", "1D dy", "1D dz", "'r' rock")
+    points = spark.range(500).selectExpr("id", "id % 19 + 0.2 x_mid", "id % 7 + 0.3 y_mid", "id % 4 + 0.1 z_mid")
+    found = blocks.nearest_block(points, model, ["rock"])
+    assert found.where("not outside_model").count() == 500
+    rows = found.collect()
+    assert len(rows) == 500 and "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
