@@ -16,12 +16,12 @@ def contacts(litho: DataFrame) -> DataFrame:
     return litho.select(HOLE, F.explode(F.array(FROM, TO)).alias("at_m")).where("at_m is not null").distinct()
 
 
-def logged_at_middle(intervals: DataFrame, litho: DataFrame, carry: tuple[str, ...] = ("logged_code",), hot: HotKeys | None = None) -> DataFrame:
+def logged_at_middle(intervals: DataFrame, litho: DataFrame, carry: tuple[str, ...] = ("logged_code",), hot: HotKeys | None = None, tasks: int | None = None) -> DataFrame:
     """`carry` columns of the last logged interval that begins at or before the middle, where that interval reaches beyond it. There is
     no second choice: an earlier interval that also covers the middle isn't looked for."""
     middle = (F.col(FROM) + F.col(TO)) / 2
     fresh = [c for c in carry if c not in intervals.columns]
-    out = asof_join(intervals, litho, HOLE, middle, F.col(FROM), [TO, *fresh], [F.col(TO)], "__log", hot)
+    out = asof_join(intervals, litho, HOLE, middle, F.col(FROM), [TO, *fresh], [F.col(TO)], "__log", hot, tasks)
     valid = middle < F.col(f"__log.{TO}")
     return out.select(*intervals.columns, *(F.when(valid, F.col(f"__log.{c}")).alias(c) for c in fresh))
 

@@ -23,16 +23,18 @@ def small(rows: DataFrame, most: int = SMALL) -> DataFrame:
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: Column, right_on: Column, carry: list[str], tie: list[Column] = (), into: str = "asof", hot: HotKeys | None = None) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, left_on: Column, right_on: Column, carry: list[str], tie: list[Column] = (), into: str = "asof", hot: HotKeys | None = None, tasks: int | None = None) -> DataFrame:
     """left plus a struct `into` of the `carry` columns of the last right row with the same key whose position isn't over that of the left row; of
-    equal positions the last by `tie`. Null where there is none or a position is null. Keys in `hot`, cut along either side's positions, go in pieces."""
+    equal positions the last by `tie`. Null where there is none or a position is null. Keys in `hot`, cut along either side's positions, go in pieces. Rows are
+    dealt to `tasks`, else to shuffle partitions."""
     kept = F.struct(*(F.col(c) for c in left.columns))
     n = len(tie)
     ties = [c.alias(f"__t{i}") for i, c in enumerate(tie)]
     found = right.where(right_on.isNotNull()).select(F.col(by).alias("__by"), right_on.alias("__at"), F.lit(0).alias("__side"), *ties, F.lit(None).cast(left.select(kept.alias("k")).schema["k"].dataType).alias("__left"), F.struct(*(F.col(c) for c in carry)).alias("__right"))
     blank = [F.lit(None).cast(found.schema[f"__t{i}"].dataType).alias(f"__t{i}") for i in range(n)]
     asked = left.select(F.col(by).alias("__by"), left_on.alias("__at"), F.lit(1).alias("__side"), *blank, kept.alias("__left"), F.lit(None).cast(found.schema["__right"].dataType).alias("__right"))
-    both = scanned(found.unionByName(asked), "__by", ["__at", "__side", *(f"__t{i}" for i in range(n))], hot, **{into: ("known", F.col("__right"))})
+    met = found.unionByName(asked)
+    both = scanned(met.repartition(tasks, "__by") if tasks else met, "__by", ["__at", "__side", *(f"__t{i}" for i in range(n))], hot, **{into: ("known", F.col("__right"))})
     # The key comes from the window's own column, so that what follows knows how the rows are dealt and sorts them no more.
     own = [F.col("__by").alias(c) if c == by else F.col(f"__left.{c}") for c in left.columns]
     return both.where("__side = 1").select(*own, F.when(F.col("__at").isNotNull() & F.col("__by").isNotNull(), F.col(into)).alias(into))

@@ -148,7 +148,8 @@ def existing_coverage(s: SparkSession, d: str) -> DataFrame:
 
 
 def _segmented(s: SparkSession, d: str) -> DataFrame:
-    rows = intervals.domain_of_code(intervals.logged_at_middle(_massed(s, d), v.litho(s, d)), v.lookup(s, d))
+    coded = intervals.logged_at_middle(_massed(s, d), v.litho(s, d), tasks=scans.tasks_for(v.table(s, d, "lineitem")))
+    rows = intervals.domain_of_code(coded, v.lookup(s, d))
     rows = rows.withColumn("elem_zn", F.when(F.col("elem_zn") > 0, F.col("elem_zn")))
     return runs.segment_runs(rows, runs.BreakRules(0.1, (("geomet_domain", "geomet_domain"),), primary_grade="elem_zn"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corelode.operators.scans import tasks_for
+
 ORDER = ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus")
 EDGES, LABELS = (0.0, 20000.0, 60000.0, 200000.0), ("LOW", "MED", "HIGH")
 
@@ -22,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
 
 def assay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Supplier s is hole s; its line items, in a full order, are consecutive samples."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("len_cm", (50 + F.col("l_quantity") * 3).cast("long"))
+    rows = table(spark, sf_dir, "lineitem")
+    tasks = tasks_for(rows)
+    rows = (rows.repartition(tasks, "l_suppkey") if tasks else rows).withColumn("len_cm", (50 + F.col("l_quantity") * 3).cast("long"))
     to_cm = F.sum("len_cm").over(W.partitionBy("l_suppkey").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("to_cm", to_cm).withColumn("from_cm", F.col("to_cm") - F.col("len_cm"))
     return rows.select(

@@ -156,3 +156,16 @@ def test_sessions_of_hot_users(spark):
     assert hot is not None
     one, cut = (sorted(runs.sessions(events, gap_seconds=60, hot=h).collect(), key=repr) for h in (None, hot))
     assert one == cut and len(one) > 300
+
+
+def test_tasks_follow_the_rows(spark, monkeypatch):
+    """Beyond shuffle partitions a join along the axis is dealt to as many tasks as its rows need, with the same rows."""
+    from corelode.operators import intervals
+
+    monkeypatch.setattr(scans, "SHARE", 40, raising=False)
+    assay = spark.range(400).selectExpr("id % 20 hole_id", "double(id div 20) from_m", "double(id div 20 + 1) to_m", "id")
+    litho = spark.range(40).selectExpr("id % 20 hole_id", "double(id div 20 * 10) from_m", "double(id div 20 * 10 + 9) to_m", "string(id) logged_code")
+    assert scans.tasks_for(assay.limit(100)) is None and (tasks := scans.tasks_for(assay)) == 10
+    dealt = intervals.logged_at_middle(assay, litho, tasks=tasks)
+    assert dealt.rdd.getNumPartitions() == 10
+    assert sorted(dealt.collect()) == sorted(intervals.logged_at_middle(assay, litho).collect())
