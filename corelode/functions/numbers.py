@@ -34,18 +34,25 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(SPACES))
 
 
-def plain_number(text: Column) -> Column:
-    """A finite number or null. The pattern keeps out nan, inf and type suffixes, which a cast takes."""
-    t = strip(text)
-    value = F.when(t.rlike(NUMBER), t.try_cast("double"))
+def _finite(value: Column) -> Column:
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
+def _read(bare: Column) -> Column:
+    """The number that a text without blanks around it spells, perhaps an infinite one. The pattern keeps out nan, inf and type suffixes, which a cast takes."""
+    return F.when(bare.rlike(NUMBER), bare.try_cast("double"))
+
+
+def plain_number(text: Column) -> Column:
+    """A finite number or null."""
+    return _finite(_read(strip(text)))
+
+
 def is_blank(text: Column) -> Column:
     return F.coalesce(strip(text), F.lit("")) == ""
 
 
-def is_declared_null(text: Column, rules: ParseRules) -> Column:
+def _declared_null(bare: Column, number: Column, rules: ParseRules) -> Column:
     """A token matches as a word in any case, and a numeric one also any spelling of its value."""
     if not rules.null_values:
         return F.lit(False)
@@ -56,9 +63,9 @@ def is_declared_null(text: Column, rules: ParseRules) -> Column:
             numbers.append(float(v))
         except ValueError:
             continue
-    found = F.upper(strip(text)).isin(words)
+    found = F.upper(bare).isin(words)
     if numbers := [n for n in numbers if n == n and abs(n) != float("inf")]:
-        found = found | F.coalesce(plain_number(text).isin(numbers), F.lit(False))
+        found = found | F.coalesce(number.isin(numbers), F.lit(False))
     return found
 
 
@@ -66,22 +73,58 @@ def _parsed(value: Column, state: Column) -> Column:
     return F.struct(value.alias("value"), state.alias("state"))
 
 
-def parse_number(text: Column, rules: ParseRules = ParseRules()) -> Column:
-    number = plain_number(text)
-    state = F.when(is_blank(text), "blank").when(is_declared_null(text, rules), "declared_null").when(number.isNull(), "unparsed").otherwise("ok")
-    return _parsed(F.when(state == "ok", number), state)
+def _limit(bare: Column) -> Column:
+    """The limit in a text such as <0.01, perhaps an infinite one, or null."""
+    return F.when(bare.startswith("<"), _read(F.regexp_extract(bare, BELOW, 1)))
 
 
-def parse_grade(text: Column, rules: ParseRules = ParseRules()) -> Column:
-    number, limit = plain_number(text), plain_number(F.regexp_extract(strip(text), BELOW, 1))
+def _number_state(bare: Column, number: Column, rules: ParseRules) -> Column:
+    return F.when(F.coalesce(bare, F.lit("")) == "", "blank").when(_declared_null(bare, number, rules), "declared_null").when(number.isNull(), "unparsed").otherwise("ok")
+
+
+def _grade_state(bare: Column, number: Column, limit: Column, rules: ParseRules) -> Column:
     low = F.lit("below_detection" if rules.negative_is_below_detection else "negative")
-    state = (
-        F.when(is_blank(text), "blank").when(is_declared_null(text, rules), "declared_null").when(limit.isNotNull(), "below_detection")
+    return (
+        F.when(F.coalesce(bare, F.lit("")) == "", "blank").when(_declared_null(bare, number, rules), "declared_null").when(limit.isNotNull(), "below_detection")
         .when(number.isNull(), "unparsed").when(number < 0, low).otherwise("ok")
     )
+
+
+def _number(number: Column, state: Column) -> Column:
+    return _parsed(F.when(state == "ok", number), state)
+
+
+def _grade(number: Column, limit: Column, state: Column) -> Column:
     return _parsed(F.when(state == "ok", number).when(state == "below_detection", F.coalesce(limit, F.abs(number)) / 2), state)
 
 
+def parse_number(text: Column, rules: ParseRules = ParseRules()) -> Column:
+    number = plain_number(text)
+    return _number(number, _number_state(strip(text), number, rules))
+
+
+def parse_grade(text: Column, rules: ParseRules = ParseRules()) -> Column:
+    number, limit = plain_number(text), _finite(_limit(strip(text)))
+    return _grade(number, limit, _grade_state(strip(text), number, limit, rules))
+
+
+def with_parsed(rows: DataFrame, wanted: dict[str, tuple[Column, bool]], rules: ParseRules = ParseRules(), into: str = "__p") -> DataFrame:
+    """rows plus a struct `into` with a parsed value for each of `wanted`, name: (text without blanks around it, whether it is a grade).
+
+    Numbers, states and values are columns that rest on one another, each worked out once a row. The last step is a generator of one row: the optimizer would copy
+    the parsing to each use of a value, and filters above would be pushed below it, until the code is too long to be compiled."""
+    if not wanted:
+        return rows
+    limited = [k for k, (_, grade) in wanted.items() if grade]
+    part = lambda kind: {k: F.col(f"__{kind}_{k}") for k in wanted}
+    number, limit, state = part("n"), part("l"), part("s")
+    found = rows.select("*", *(_read(text).alias(f"__n_{k}") for k, (text, _) in wanted.items()), *(_limit(wanted[k][0]).alias(f"__l_{k}") for k in limited))
+    found = found.withColumns({f"__n_{k}": _finite(number[k]) for k in wanted} | {f"__l_{k}": _finite(limit[k]) for k in limited})
+    found = found.withColumns({f"__s_{k}": _grade_state(text, number[k], limit[k], rules) if grade else _number_state(text, number[k], rules) for k, (text, grade) in wanted.items()})
+    values = F.struct(*((_grade(number[k], limit[k], state[k]) if grade else _number(number[k], state[k])).alias(k) for k, (_, grade) in wanted.items()))
+    return found.select(*(F.col(f"`{c}`") for c in rows.columns), F.explode(F.array(values)).alias(into))
+
+
 def _first_rows(rows: DataFrame, keys: list[str], order: list[Column], most: int) -> DataFrame:
     """The first `most` rows of each key with their rank; each task cuts its own rows before the exchange, so no task gathers more than
     `most` rows from each other one."""

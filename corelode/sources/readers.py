@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corelode.config import Config, Flag, Source
 from corelode.functions import units
-from corelode.functions.numbers import ParseRules, is_blank, parse_grade, parse_issues, parse_number, strip
+from corelode.functions.numbers import ParseRules, is_blank, parse_issues, strip, with_parsed
 from corelode.operators.checks import Check, run_checks
 from corelode.schema import COORDS, FROM, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute
 from corelode.sources.quoted import records
@@ -126,6 +126,7 @@ class Reader:
     raw: DataFrame
     out: dict[str, Column] = field(default_factory=dict)
     parsed: dict[str, tuple[str, str]] = field(default_factory=dict)
+    wanted: dict[str, tuple[Column, bool]] = field(default_factory=dict)
     told: list[tuple[str, str, str]] = field(default_factory=list)
     counted: list[Check] = field(default_factory=list)
 
@@ -147,10 +148,9 @@ class Reader:
         if not c:
             self.out[canonical] = F.lit(None).cast("double")
             return
-        hidden = f"__p_{canonical}"
-        self.raw = self.raw.withColumn(hidden, (parse_grade if grade else parse_number)(F.col(f"`{c}`"), self.rules))
-        self.parsed[c] = (f"`{c}`", hidden)
-        self.out[canonical] = convert(F.col(f"{hidden}.value"))
+        self.wanted[canonical] = (F.col(f"`{c}`"), grade)
+        self.parsed[c] = (f"`{c}`", f"__p.`{canonical}`")
+        self.out[canonical] = convert(F.col(f"__p.`{canonical}`.value"))
 
     def length(self, *names: str) -> None:
         for n in names:
@@ -182,15 +182,18 @@ class Reader:
             value = self.out.pop(f"__f_{canonical}")
             self.out[canonical] = F.coalesce(value < f.threshold if f.direction == "below" else value > f.threshold, F.lit(False))
 
+    def rows(self) -> DataFrame:
+        return with_parsed(self.raw, self.wanted, self.rules)
+
     def table(self) -> DataFrame:
-        return self.raw.select(*(v.alias(k) for k, v in self.out.items()), "_row")
+        return self.rows().select(*(v.alias(k) for k, v in self.out.items()), "_row")
 
     def issues(self) -> DataFrame:
         spark = self.raw.sparkSession
         said = spark.createDataFrame([(s, c, self.name, None, 1, m, {}) for s, c, m in self.told], ISSUES)
         if self.counted:
-            said = said.unionByName(run_checks(self.raw, self.name, self.counted, None))
-        return said.unionByName(parse_issues(self.raw, self.name, self.parsed)) if self.parsed else said
+            said = said.unionByName(run_checks(self.rows(), self.name, self.counted, None))
+        return said.unionByName(parse_issues(self.rows(), self.name, self.parsed)) if self.parsed else said
 
 
 def _needs(src: Source, cfg: Config, name: str) -> list[str]:
