@@ -45,9 +45,12 @@ class State:
     trace: DataFrame | None = None
 
     def close(self) -> None:
-        """Gives back what run() keeps."""
+        """Gives back what run() keeps and load() has parsed."""
         while self.held:
             _released(self.held.pop())
+        while self.data.folders:
+            target, store = store_of(self.issues.sparkSession, self.data.folders.pop())
+            store.delete(target, True)
 
     def __getattr__(self, name: str) -> DataFrame:
         try:
@@ -241,7 +244,11 @@ def run(spark: SparkSession, cfg: Config, through: str = "select", force: bool =
     if through not in STAGES:
         raise ValueError(f"no stage {through}")
     state = stage_load(spark, cfg)
-    known = _settle(state, state.issues, force)
+    try:
+        known = _settle(state, state.issues, force)
+    except ValidationFailed:
+        state.close()
+        raise
     key = run_key(spark, cfg) if cache else ""
     for name, stage in (("geometry", stage_geometry), ("candidates", stage_candidates), ("allocate", stage_allocate), ("select", stage_select)):
         if STAGES.index(name) > STAGES.index(through):

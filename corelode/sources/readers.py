@@ -5,6 +5,7 @@ A path that ends in .parquet is read as Parquet (cast to text), everything else
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corelode.config import Config, Flag, Source
 from corelode.functions import units
-from corelode.functions.numbers import ParseRules, is_blank, parse_issues, strip, with_parsed
+from corelode.functions.numbers import SEVERITY, ParseRules, is_blank, parse_issues, strip, with_parsed
 from corelode.operators.checks import Check, run_checks
 from corelode.schema import COORDS, FROM, HOLE, ISSUES, TO, block_attribute, block_element, element, hole_attribute
 from corelode.sources.quoted import records
@@ -111,6 +112,8 @@ def mapping_problems(df: DataFrame, src: Source, name: str, more: list[str]) ->
 class Dataset:
     tables: dict[str, DataFrame]
     issues: DataFrame
+    #: Folders of parsed sources.
+    folders: list[str] = field(default_factory=list)
 
     def __getattr__(self, name: str) -> DataFrame | None:
         return self.tables.get(name)
@@ -127,6 +130,7 @@ class Reader:
     out: dict[str, Column] = field(default_factory=dict)
     parsed: dict[str, tuple[str, str]] = field(default_factory=dict)
     wanted: dict[str, tuple[Column, bool]] = field(default_factory=dict)
+    texts: list[str] = field(default_factory=list)
     told: list[tuple[str, str, str]] = field(default_factory=list)
     counted: list[Check] = field(default_factory=list)
 
@@ -134,6 +138,7 @@ class Reader:
         self.rules = ParseRules(tuple(str(v) for v in self.src.null_values), self.src.negative_is_below_detection)
         for c in self.src.carry_through:
             self.out[c] = F.col(f"`{c}`")
+            self.texts.append(c)
 
     def has(self, canonical: str) -> bool:
         return bool(self.src.columns.get(canonical))
@@ -141,6 +146,7 @@ class Reader:
     def text(self, canonical: str, column: str | None = None, null: bool = False) -> None:
         c = column or self.src.columns.get(canonical)
         value = F.col(f"`{c}`") if c else F.lit(None).cast("string")
+        self.texts += [c] if c else []
         self.out[canonical] = F.when(value != "", value) if null else value
 
     def number(self, canonical: str, column: str | None = None, convert=lambda c: c, grade: bool = False) -> None:
@@ -149,7 +155,7 @@ class Reader:
             self.out[canonical] = F.lit(None).cast("double")
             return
         self.wanted[canonical] = (F.col(f"`{c}`"), grade)
-        self.parsed[c] = (f"`{c}`", f"__p.`{canonical}`")
+        self.parsed[c] = (f"__t_{canonical}", f"__p.`{canonical}`")
         self.out[canonical] = convert(F.col(f"__p.`{canonical}`.value"))
 
     def length(self, *names: str) -> None:
@@ -176,24 +182,33 @@ class Reader:
             self.out[canonical] = F.lit(False)
             self.told.append(("INFO", "tier2_fallback", f"{canonical} isn't mapped"))
         elif f.type == "boolean":
+            self.texts.append(f.source)
             self.out[canonical] = F.upper(strip(F.col(f"`{f.source}`"))).isin([v.strip().upper() for v in f.true_values])
         else:
             self.number(f"__f_{canonical}", f.source)
             value = self.out.pop(f"__f_{canonical}")
             self.out[canonical] = F.coalesce(value < f.threshold if f.direction == "below" else value > f.threshold, F.lit(False))
 
-    def rows(self) -> DataFrame:
-        return with_parsed(self.raw, self.wanted, self.rules)
+    def parse(self, folder: str | None = None) -> None:
+        """Puts values, and the texts of those that have to be told, beside the columns that are texts. With a folder the rows are parsed once and read back from
+        there: many checks and joins read some columns each."""
+        said = [F.when(F.col(f"__p.`{k}`.state").isin(*SEVERITY), text).alias(f"__t_{k}") for k, (text, _) in self.wanted.items()]
+        kept = [F.col(f"`{c}`") for c in dict.fromkeys(self.texts)]
+        rows = with_parsed(self.raw, self.wanted, self.rules).select(*kept, *(["__p"] if self.wanted else []), *said, "_row")
+        if folder:
+            rows.write.parquet(folder)
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+        self.raw = rows
 
     def table(self) -> DataFrame:
-        return self.rows().select(*(v.alias(k) for k, v in self.out.items()), "_row")
+        return self.raw.select(*(v.alias(k) for k, v in self.out.items()), "_row")
 
     def issues(self) -> DataFrame:
         spark = self.raw.sparkSession
         said = spark.createDataFrame([(s, c, self.name, None, 1, m, {}) for s, c, m in self.told], ISSUES)
         if self.counted:
-            said = said.unionByName(run_checks(self.rows(), self.name, self.counted, None))
-        return said.unionByName(parse_issues(self.rows(), self.name, self.parsed)) if self.parsed else said
+            said = said.unionByName(run_checks(self.raw, self.name, self.counted, None))
+        return said.unionByName(parse_issues(self.raw, self.name, self.parsed)) if self.parsed else said
 
 
 def _needs(src: Source, cfg: Config, name: str) -> list[str]:
@@ -306,6 +321,8 @@ def read_testwork(r: Reader) -> None:
 
 
 KINDS = {"collar": read_collar, "survey": read_survey, "assay": _interval, "litho": read_litho, "samples": read_samples, "domain_lookup": read_lookup, "block_model": read_blocks, "availability": read_availability, "existing_testwork": read_testwork, "planned_collar": read_collar, "planned_survey": read_survey}
+#: Sources that are parsed once into the shared checkpoint folder, where the session has one.
+LONG = ("assay", "litho", "samples", "block_model")
 FIRST_OF = {"domain_lookup": "logged_code", "availability": HOLE}
 
 
@@ -321,10 +338,14 @@ def load(spark: SparkSession, cfg: Config) -> Dataset:
             readers.append((name, src, raw))
     if problems:
         raise MappingError("\n".join(problems))
-    tables, issues = {}, spark.createDataFrame([], ISSUES)
+    tables, issues, folders = {}, spark.createDataFrame([], ISSUES), []
+    shared = spark.sparkContext.getCheckpointDir()
     for name, src, raw in readers:
         r = Reader(cfg, src, name, raw)
         KINDS[name](r)
+        if name in LONG and shared:
+            folders.append(f"{shared}/parsed-{uuid.uuid4().hex}")
+        r.parse(folders[-1] if name in LONG and shared else None)
         table = r.table()
         issues = issues.unionByName(r.issues())
         if name == "domain_lookup":
@@ -333,4 +354,4 @@ def load(spark: SparkSession, cfg: Config) -> Dataset:
         if name == "availability":
             issues = issues.unionByName(run_checks(table, name, [Check("availability_unmapped", "ERROR", F.col("availability_unmapped"), "a state that isn't in value_map")]))
         tables[name] = _first(table, FIRST_OF[name]) if name in FIRST_OF else table
-    return Dataset(tables, issues)
+    return Dataset(tables, issues, folders)
