@@ -169,3 +169,22 @@ def test_tasks_follow_the_rows(spark, monkeypatch):
     dealt = intervals.logged_at_middle(assay, litho, tasks=tasks)
     assert dealt.rdd.getNumPartitions() == 10
     assert sorted(dealt.collect()) == sorted(intervals.logged_at_middle(assay, litho).collect())
+
+
+def test_pieces_follow_the_rows(spark, monkeypatch):
+    """A large table goes to a task for each SHARE of rows, and what pieces carry on is told from rows of hot keys alone, exchanged once for both scans."""
+    rows = table(spark, 6000)
+    few = scans.hot_keys(rows, "key", "at")
+    monkeypatch.setattr(scans, "SHARE", 100)
+    hot = scans.hot_keys(rows, "key", "at")
+    assert few.tasks is None and hot.tasks == 60 and hot.pieces > few.pieces
+    assert len(hot.splits.where("__key = 'h'").first()["__splits"]) > 100
+    axis = scans.Axis("key", ("at", "id"), hot)
+    cut = axis.done(axis.scan(axis.scan(axis.deal(rows), **asked()), again=("total", F.col("number").cast("long"))))
+    plain = scans.Axis("key", ("at", "id"))
+    one = plain.scan(plain.scan(rows, **asked()), again=("total", F.col("number").cast("long")))
+    assert sorted(one.collect(), key=lambda r: r["id"]) == sorted(cut.collect(), key=lambda r: r["id"])
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
+    assert dealt and all(", 60" in x for x in dealt)
+    assert "Inner" in plan  # cold rows meet no piece before they would be exchanged
