@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import logging
+from collections.abc import Iterator
 from pathlib import Path
 
 import yaml
@@ -33,6 +35,19 @@ def counted(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return rows.observe(seen, F.count(F.lit(1)).alias("rows")), seen
 
 
+@contextlib.contextmanager
+def dealt_to(spark: SparkSession, tasks: int | None) -> Iterator[None]:
+    """Meanwhile shuffles go to `tasks`, where there are any; then to as many partitions as before."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    try:
+        if tasks:
+            spark.conf.set(name, str(tasks))
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arguments(text: str | None, config: Path, *more: str, argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=text)
     for name in ("input", "output", *more):

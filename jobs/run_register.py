@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from corelode.operators import blocks, checks, intervals, joins, runs, scans
 from corelode.schema import FROM, HOLE, LENGTH, TO
-from jobs.common import arguments, counted, log, read_config, session, source
+from jobs.common import arguments, counted, dealt_to, log, read_config, session, source
 
 CONFIG = Path(__file__).with_suffix(".yaml")
 RUNS = "hole_id bigint, run_no bigint, from_m double, to_m double, length_m double, intervals bigint, mass_kg double, geomet_domain string, break_reason string, verdict string, project string"
@@ -49,7 +49,12 @@ def register(assay: DataFrame, litho: DataFrame, holes: DataFrame, lookup: DataF
 
 
 def run(spark: SparkSession, input_path: str, output_path: str, cfg: dict) -> dict[str, int]:
-    """Computes and writes the register; returns the rows read and written."""
+    """Computes and writes the register; returns the rows read and written. A large table is dealt to more tasks, so that none spills."""
+    with dealt_to(spark, scans.tasks_for(source(spark, input_path, cfg["sources"]["assay"]))):
+        return _run(spark, input_path, output_path, cfg)
+
+
+def _run(spark: SparkSession, input_path: str, output_path: str, cfg: dict) -> dict[str, int]:
     holes = source(spark, input_path, cfg["sources"]["holes"])
     if cfg.get("projects"):
         holes = holes.where(F.col("project").isin(list(cfg["projects"])))

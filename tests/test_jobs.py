@@ -163,3 +163,14 @@ def test_command_line(tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.note_values", "--input", DATA, "--output", f"{tmp_path}/out", "--checkpoint", f"{tmp_path}/mark"], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert done.returncode == 0, done.stderr[-2000:]
     assert "new texts" in done.stderr and any(p.suffix == ".parquet" for p in (tmp_path / "out/values").rglob("*"))
+
+
+def test_a_large_table_is_dealt_to_more_tasks(spark, tmp_path, monkeypatch):
+    """Shuffles of the register follow the assay's rows; the setting is given back, also after an error."""
+    monkeypatch.setattr(run_register.scans, "SHARE", 500)
+    name, seen = "spark.sql.shuffle.partitions", []
+    before = spark.conf.get(name)
+    monkeypatch.setattr(run_register, "register", lambda *a: seen.append(int(spark.conf.get(name))) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_register.run(spark, DATA, str(tmp_path), read_config(run_register.CONFIG))
+    assert seen == [-(-spark.read.parquet(f"{DATA}/lineitem.parquet").count() // 500)] and seen[0] > int(before) == int(spark.conf.get(name))
