@@ -188,3 +188,19 @@ def test_pieces_follow_the_rows(spark, monkeypatch):
     dealt = [x for x in plan.splitlines() if "RepartitionByExpression" in x]
     assert dealt and all(", 60" in x for x in dealt)
     assert "Inner" in plan  # cold rows meet no piece before they would be exchanged
+
+
+@pytest.mark.parametrize("name", ["run_break_reasons", "candidate_windows", "best_window_per_start"])
+def test_windows_and_reasons_follow_the_rows(spark, monkeypatch, name):
+    """Both exchanges of the samples go to a task for each SHARE of rows, what follows sorts them where they are, and the rows are the same."""
+    from corelode.plans import demo
+
+    d = "/root/testdata/sf0.001"
+    plain = sorted(demo.queries()[name](spark, d).collect(), key=repr)
+    monkeypatch.setattr(scans, "SHARE", 200)
+    tasks = -(-spark.read.parquet(f"{d}/lineitem.parquet").count() // 200)
+    dealt = demo.queries()[name](spark, d)
+    plan = dealt._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2
+    assert not [x for x in plan.splitlines() if "Exchange hashpartitioning(" in x and ("hole_id" in x or "l_suppkey" in x) and f", {tasks})" not in x]
+    assert sorted(dealt.collect(), key=repr) == plain
