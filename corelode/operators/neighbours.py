@@ -12,7 +12,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corelode.operators.blocks import FINER, box_pyramid, cells_of, kept, shuffled
+from corelode.operators.blocks import FINER, box_pyramid, cells_of, kept
+from corelode.operators.joins import shuffled
 
 #: Levels of the grid on which a start is looked for; places closer than the finest begin there.
 DEPTH = 24
