@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corelode.config import Config, parse_config
+from corelode.operators.scans import cleaned
 from corelode.plans import views as v
 
 CONFIG = """
@@ -52,7 +53,7 @@ def number_of(sample: str) -> Column:
 
 
 def make(spark: SparkSession, sf_dir: str, faults: bool = False) -> Config:
-    """Writes the files into a folder of this call's own. With `faults`: dips the wrong way up, a code twice, states without a meaning, blank sample ids,
+    """Writes the files, each part of them packed, into a folder of this call's own. With `faults`: dips the wrong way up, a code twice, states without a meaning, blank sample ids,
     and neither total depths nor recoveries mapped."""
     at = f"{v.shared_dir(spark)}/project-{uuid.uuid4().hex}"
     assay = v.assay(spark, sf_dir)
@@ -73,6 +74,7 @@ def make(spark: SparkSession, sf_dir: str, faults: bool = False) -> Config:
         tables["assay"] = tables["assay"].withColumn("Sample", F.when(number_of("Sample") % 30 != 3, F.col("Sample")))
         for old, new in (("dip_convention: positive_down", "dip_convention: negative_down"), (", total_depth: EOH", ""), ("{source: Rec, type: threshold, threshold: 50, direction: below}", "{source: null}")):
             text = text.replace(old, new)
-    for name, rows in tables.items():
-        rows.write.csv(f"{at}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    with cleaned(spark):
+        for name, rows in tables.items():
+            rows.write.csv(f"{at}/{name}", header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, compression="gzip")
     return parse_config(text, at)

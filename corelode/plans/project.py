@@ -100,22 +100,28 @@ def stage_geometry(state: State) -> State:
     cfg, t, spark = state.cfg, state.data.tables, state.issues.sparkSession
     roles = list(cfg.attributes)
     logged = tuple(hole_attribute(r) for r in roles if "litho" in t and hole_attribute(r) in t["litho"].columns)
-    trace = None
+    trace = tasks = None
     if "samples" in t:
         rows = intervals.framework_from_samples(t["samples"], t["domain_lookup"])
     else:
         trace = geometry.traces(t["collar"], t["survey"], cfg.desurvey.fill_collar_survey, scans.hot_keys(t["survey"], HOLE, "depth"))
         hot = scans.hot_keys(t["assay"])
-        rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged, hot)
-        rows = geometry.with_coordinates(rows, trace, hot=hot)
+        tasks = None if hot else scans.tasks_for(t["assay"])  # pieces of hot holes are dealt on their own
+        rows = intervals.build_framework(t["assay"].drop("_row"), t["litho"], t["domain_lookup"], logged, hot, tasks)
+        rows = geometry.with_coordinates(rows, trace, hot=hot, tasks=tasks, dealt=True)
     rows = rows.withColumn("is_planned", F.lit(False))
     if "planned_collar" in t:
         planned = geometry.traces(t["planned_collar"], t["planned_survey"], cfg.desurvey.fill_collar_survey)
         rows = rows.unionByName(_planned(planned, cfg), allowMissingColumns=True)
         trace = trace.unionByName(planned) if trace is not None else planned
+    # While rows are dealt by hole, and before they are dealt by place.
+    none = spark.createDataFrame([], f"{HOLE} string, availability string, core_diameter_mm double, remaining_fraction double")
+    before = rows.columns
+    rows = blocks.with_core(rows, t.get("availability", none), cfg.mass.default_core_diameter_mm, cfg.mass.default_remaining_fraction)
+    core = [c for c in rows.columns if c not in before]
     model = blocks.label_rows(t["block_model"], **_labels(cfg, "blocks"))
     carry = ["period", "bm_density", *(c for c in model.columns if c.startswith(("bm_attr_", "bm_elem_")))]
-    rows = blocks.nearest_block(rows, model.withColumnRenamed("density", "bm_density"), carry)
+    rows = blocks.nearest_block(rows, model.withColumnRenamed("density", "bm_density"), carry, tasks=tasks)
     if cfg.block_model_options.planned_grade_source == "block_model":
         grades = [(element(k), block_element(k)) for k, e in cfg.elements.items() if e.drillhole and e.block_model]
         rows = rows.withColumns({a: F.when(F.col("is_planned"), F.coalesce(a, b)).otherwise(F.col(a)) for a, b in grades})
@@ -124,8 +130,7 @@ def stage_geometry(state: State) -> State:
         pairs.append(("geomet_domain", block_attribute(m)))
     rows = blocks.resolve_attributes(blocks.domain_match(rows, pairs), roles)
     rows = blocks.label_rows(rows, **_labels(cfg, "intervals"))
-    none = spark.createDataFrame([], f"{HOLE} string, availability string, core_diameter_mm double, remaining_fraction double")
-    rows = blocks.with_core(rows, t.get("availability", none), cfg.mass.default_core_diameter_mm, cfg.mass.default_remaining_fraction)
+    rows = rows.select(*(c for c in rows.columns if c not in core), *core)
     density = (cfg.sources.samples or cfg.sources.assay).density
     rows = blocks.with_mass(rows, cfg.mass.loss_factor, density.fallback_constant if density else None)
     if "existing_testwork" in t:
